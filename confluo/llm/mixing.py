@@ -2,8 +2,8 @@
 
 Each source's target T of S words means T / S copies of each document: floor(T / S) whole copies are certain, and
 one more copy is drawn with inclusion odds p / (1 - p) for p = frac(T / S). Documents are ranked by random odds
-u / (1 - u) over inclusion odds; the sample is the head of that order whose words come nearest to what the whole
-copies leave open. The head is found without sorting a source in one task: sums over ranges of u, then over ranges
+u / (1 - u) over inclusion odds; the sample is the longest head of that order whose words don't exceed what the whole
+copies leave open, and the one further document that comes nearest to the rest. The head is found without sorting a source in one task: sums over ranges of u, then over ranges
 inside the range that holds the end, then a running sum over what is left there.
 """
 
@@ -81,17 +81,22 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     second = cut(boundary(inside, "b", first.select("s2", "before", "open")))
     last = inside.join(second.select("s2", "at", "before", "open"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("at")))
     last = last.withColumn("upto", F.sum("size").over(upto("u", KEY)) + F.col("before"))
-    # The row at the end is taken if that comes nearer than leaving it.
-    near = (F.col("upto").cast("double") <= F.col("open")) | ((F.col("upto").cast("double") - F.col("open") < F.col("open") - (F.col("upto") - F.col("size")).cast("double")))
-    heads = last.where(near).groupBy("s2").agg(F.max(F.struct("u", KEY)).alias("m")).select("s2", F.col("m.u").alias("u_end"), F.col(f"m.{KEY}").alias("key_end"))
-    limits = t.join(second.select(F.col("s2").alias("s3"), F.col("at")), F.col("source").eqNullSafe(F.col("s3")), "left").join(heads, F.col("source").eqNullSafe(F.col("s2")), "left")
-    limits = cut(limits.select(F.col("source").alias("s4"), "source_size", "target", "whole", "at", "u_end", "key_end", (F.col("open") > 0).alias("some")))
+    heads = last.where(F.col("upto").cast("double") <= F.col("open")).groupBy("s2").agg(F.max(F.struct("u", KEY, "upto")).alias("m")).select("s2", F.col("m.u").alias("u_end"), F.col(f"m.{KEY}").alias("key_end"), F.col("m.upto").alias("held"))
+    limits = t.join(second.select(F.col("s2").alias("s3"), "at", "before"), F.col("source").eqNullSafe(F.col("s3")), "left").join(heads, F.col("source").eqNullSafe(F.col("s2")), "left")
+    limits = cut(limits.select(F.col("source").alias("s4"), "source_size", "target", "whole", "at", "u_end", "key_end", (F.col("open") > 0).alias("some"), (F.col("open") - F.coalesce("held", "before", F.lit(0)).cast("double")).alias("rest")))
+    in_head = F.col("some") & F.when(F.col("at").isNull(), F.lit(True)).when(F.col("b") != F.col("at"), F.col("b") < F.col("at")).otherwise(F.coalesce((F.col("u") < F.col("u_end")) | ((F.col("u") == F.col("u_end")) & (F.col(KEY) <= F.col("key_end"))), F.lit(False)))
     # One row a source; a source may hold a third of all rows, so rows are salted where the table is too large to send whole.
     salt = 16
     limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     j = full.withColumn("salt0", F.pmod(F.col(KEY), F.lit(salt)).cast("int")).join(limits, F.col("source").eqNullSafe(F.col("s4")) & (F.col("salt0") == F.col("salt")))
-    extra = F.col("some") & F.when(F.col("at").isNull(), F.lit(True)).when(F.col("b") != F.col("at"), F.col("b") < F.col("at")).otherwise(F.coalesce((F.col("u") < F.col("u_end")) | ((F.col("u") == F.col("u_end")) & (F.col(KEY) <= F.col("key_end"))), F.lit(False)))
-    copies = F.col("whole") + extra.cast("long")
+    j = j.withColumn("head", in_head)
+    # What the head leaves open is filled by the one document outside it whose size comes nearest, if that lessens the gap.
+    gap = F.abs(F.col("size").cast("double") - F.col("rest"))
+    fill = cut(j.where(F.col("some") & ~F.col("head") & (gap < F.col("rest"))).groupBy("s4").agg(F.min(F.struct(gap.alias("gap"), "u", KEY)).alias("m")).select(F.col("s4").alias("s5"), F.col(f"m.{KEY}").alias("fill")))
+    # One row a source at most, found again by the key of its document.
+    filled = j.join(fill.select("s5", F.col("fill").alias("fill_key")), F.col("s4").eqNullSafe(F.col("s5")) & (F.col(KEY) == F.col("fill_key")), "left")
+    copies = F.col("whole") + (F.col("head") | F.col("fill_key").isNotNull()).cast("long")
+    j = filled
     return j.select(F.col(ID).alias(id_col), KEY, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 

@@ -70,13 +70,15 @@ f as (select level as final from l where level <= stop order by stop, level limi
 t as (select source, source_size, least(cap::double, w::double * final) as target from l, f),
 p as (select *, case when source_size = 0 then 0 else floor(target / source_size::double) end::bigint as whole from t),
 o as (select *, target - (whole * source_size)::double as open_words from p),
-r as (select d.doc_id, d.size, o.source_size, o.target, o.whole, o.open_words,
-    sum(d.size) over (partition by o.source order by d.u, d.doc_id rows unbounded preceding) as upto
-  from d join o on d.source is not distinct from o.source)
-select doc_id, size::bigint as size, source_size, target,
-  ((whole + case when open_words > 0 and (upto::double <= open_words
-      or (upto::double - open_words < open_words - (upto - size)::double)) then 1 else 0 end) * size)::bigint as taken
-from r
+r as (select d.doc_id, o.source, d.size, o.source_size, o.target, o.whole, o.open_words,
+    d.u, sum(d.size) over (partition by o.source order by d.u, d.doc_id rows unbounded preceding) as upto
+  from d join o on d.source is not distinct from o.source),
+h as (select *, open_words > 0 and upto::double <= open_words as head from r),
+g as (select source, any_value(open_words) - coalesce(max(case when head then upto end), 0)::double as rest from h group by source),
+k as (select h.*, g.rest, abs(h.size::double - g.rest) as gap from h join g on h.source is not distinct from g.source),
+z as (select doc_id as fill_id from (select doc_id, row_number() over (partition by source order by gap, u, doc_id) as n from k where open_words > 0 and not head and gap < rest) where n = 1)
+select doc_id, size::bigint as size, source_size, target, ((whole + case when head or fill_id is not null then 1 else 0 end) * size)::bigint as taken
+from k left join z on doc_id = fill_id
 """
 
 
