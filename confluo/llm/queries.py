@@ -30,6 +30,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(read_table(spark, sf_dir, "documents"), texts=False).drop("spans")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.common import KEY
     from confluo.llm.quality_classifier import classify
@@ -44,6 +50,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop(KEY, "copies")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.common import KEY
+    from confluo.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop(KEY)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.token_output import token_files
 
@@ -83,7 +96,7 @@ from k left join z on doc_id = fill_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_quality_classifier, op5_mixing, op9_token_output, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_mixing, op8_jaccard_join, op9_token_output, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
