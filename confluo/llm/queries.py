@@ -50,6 +50,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop(KEY, "copies")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.common import KEY
+    from confluo.llm.decontamination import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop(KEY)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.common import KEY
     from confluo.llm.jaccard_join import near_duplicates
@@ -95,8 +108,14 @@ from k left join z on doc_id = fill_id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_mixing, op8_jaccard_join, op9_token_output, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_token_output, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
