@@ -1,10 +1,12 @@
 """Benchmark decontamination: latent semantic retrieval of passages, then subsequence and answer checks.
 
-Words are hashed to ``DIM`` features; document frequencies are counted over all documents. A randomised SVD (random
-range, two power steps, each a distributed pass of partial products) of the TF-IDF passages of a bounded sample and
-of the benchmark gives ``RANK`` latent directions. Every window of every document is then projected and compared with
-all benchmark passages, in blocks. What comes near is verified on its words: the longest common subsequence with
-the item must hold enough of the item, and enough of the item's rarest words (its answer) must be there.
+Document frequencies are counted over all documents, in hashed features. A randomised SVD (random range, two power
+steps, each a distributed pass of partial products) of the TF-IDF passages of a block of the benchmark gives its latent
+directions over the block's own words. Windows of documents are folded in: their cosine with a benchmark passage is
+the product of the projections over the passage's projected and the window's whole norm, so what a window holds
+besides lowers it. What comes near is verified on its words: the longest common subsequence with the item must hold
+enough of the item, and enough of the item's rarest words (its answer) must be in the text. The three conditions must all
+hold, so the cheapest, the answer's words in the whole document, is looked at first and spares most projections.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from confluo.llm.common import ID, KEY, TEXT, Memo, cut, id_type, narrow, row_key
+from confluo.llm.common import ID, KEY, TEXT, Memo, narrow, row_key
 
-DIM, RANK, POWER, SEED = 1 << 15, 48, 2, 7
-#: A window is PARTS steps of STEP words; the sample for the SVD is at most SAMPLE documents, BLOCK items are compared at once.
-STEP, PARTS, SAMPLE, BLOCK, PIECE = 8, 4, 2048, 4096, 32
-NEAR, COMMON, ANSWER, ANSWER_WORDS, LEAST_WORDS = 0.5, 0.6, 0.6, 6, 8
+DIM, RANK, POWER, SEED = 1 << 16, 256, 2, 7
+#: A window is PARTS steps of STEP words; BLOCK items are compared at once, a block a pass over the documents.
+STEP, PARTS, BLOCK, PIECE = 8, 4, 256, 32
+NEAR, COMMON, ANSWER, ANSWER_WORDS, LEAST_WORDS = 0.35, 0.55, 0.6, 6, 8
 _EDGE = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
 _FEATURES = Memo(lambda w: xxh32_intdigest(_EDGE.sub(b"", w), 1) % DIM, 500_000)
 
@@ -68,36 +70,26 @@ def document_frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
     return df[:DIM], int(df[DIM])
 
 
-def _rows(pieces: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, weights, starts) of unit TF-IDF rows, repeated words as repeated entries."""
-    ids, n = np.concatenate(pieces), np.array([len(p) for p in pieces])
-    starts = np.cumsum(n) - n
-    w = idf[ids]
-    norm = np.sqrt(np.add.reduceat(w * w, starts))
-    return ids, w / np.repeat(np.maximum(norm, 1e-9), n), starts
-
-
-def latent(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """DIM x RANK directions: the range finder of a randomised SVD with partial products A'(A M) from each task."""
-    m = np.random.default_rng(SEED).standard_normal((DIM, RANK)).astype(np.float32)
+def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
+    """words x rank directions of the unit TF-IDF passages of ``texts``: the range finder of a randomised SVD, with
+    partial products A'(A M) from each task. ``place`` numbers the words, ``idf`` weighs them."""
+    rank = min(RANK, len(place))
+    m = np.random.default_rng(SEED).standard_normal((len(place), rank)).astype(np.float32)
     for _ in range(POWER + 1):
 
         def run(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((DIM, RANK), np.float32)
+            out = np.zeros(m.shape, np.float32)
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    words = normal_words(t)
-                    if not words:
-                        continue
-                    ids, w, starts = _rows([p for p in passages(feature_ids(words)) if len(p)], idf)
-                    y = np.add.reduceat(m[ids] * w[:, None], starts, axis=0)
-                    n = np.diff(np.r_[starts, len(ids)])
-                    np.add.at(out, ids, np.repeat(y, n, axis=0) * w[:, None])
+                    for piece in passages(np.array([place[w] for w in bare(normal_words(t))], np.int64)):
+                        if len(piece):
+                            w = idf[piece] / max(1e-9, float(np.sqrt((np.bincount(piece) ** 2 * idf[: piece.max() + 1] ** 2).sum())))
+                            np.add.at(out, piece, w[:, None] * (m[piece] * w[:, None]).sum(0))
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["y"])
 
-        total = np.zeros((DIM, RANK), np.float64)
-        for (part,) in sample.mapInArrow(run, "y binary").toLocalIterator():  # as many parts as the sample has partitions
-            total += np.frombuffer(part, np.float32).reshape(DIM, RANK)
+        total = np.zeros(m.shape, np.float64)
+        for (part,) in texts.mapInArrow(run, "y binary").toLocalIterator():  # one part a partition of a block of items
+            total += np.frombuffer(part, np.float32).reshape(m.shape)
         m = np.linalg.qr(total)[0].astype(np.float32)
     return m
 
@@ -117,89 +109,91 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 class Items:
     """A block of benchmark items: latent vectors of their pieces, words and answers."""
 
-    def __init__(self, items: list[tuple], basis: np.ndarray, idf: np.ndarray):
+    def __init__(self, items: list[tuple], idf: np.ndarray):
         self.ids = [i for i, _ in items]
         self.words = [bare(normal_words(t)) for _, t in items]
-        self.answers = []
+        self.place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
+        self.idf = idf[feature_ids(list(self.place))]
+        self.answers, self.asked = [], {}
+        for k, w in enumerate(self.words):
+            rare = sorted(set(w), key=lambda x: (-float(self.idf[self.place[x]]), x))[:ANSWER_WORDS] if len(w) >= LEAST_WORDS else []
+            self.answers.append(rare)
+            for x in rare:
+                self.asked.setdefault(x, []).append(k)
+
+    def project(self, basis: np.ndarray) -> None:
+        self.basis = (basis * self.idf[:, None]).astype(np.float32)
         vectors, owner = [], []
         for k, w in enumerate(self.words):
-            f = feature_ids(w)
-            order = np.lexsort((np.arange(len(w)), -idf[f])) if len(w) else []
-            self.answers.append(list(dict.fromkeys(w[i] for i in order))[:ANSWER_WORDS])
-            if len(w) >= LEAST_WORDS:
-                for p in passages(f):
-                    vectors.append((basis[p] * idf[p][:, None]).sum(0))
-                    owner.append(k)
-        v = np.array(vectors, np.float32).reshape(-1, RANK)
+            for p in passages(np.array([self.place[x] for x in w], np.int64)) if len(w) >= LEAST_WORDS else []:
+                vectors.append(self.basis[p].sum(0))
+                owner.append(k)
+        v = np.array(vectors, np.float32).reshape(len(vectors), self.basis.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         self.owner = np.array(owner, np.int64)
 
-    def verify(self, k: int, words: list[bytes], at: int) -> tuple[float, float]:
-        """(share of the item's words in order, share of its answer) in the text around word ``at``."""
-        item = self.words[k]
-        near = bare(words[max(0, at - len(item)) : at + STEP * PARTS + len(item)])
-        have = set(near)
-        answer = sum(w in have for w in self.answers[k]) / max(1, len(self.answers[k]))
-        if answer < ANSWER:
-            return 0.0, answer
-        return common_subsequence(item, near) / len(item), answer
+    def candidates(self, distinct: set[bytes]) -> list[int]:
+        """Items of whose answer the document has enough."""
+        have: dict[int, int] = {}
+        for w in distinct & self.asked.keys():
+            for k in self.asked[w]:
+                have[k] = have.get(k, 0) + 1
+        return [k for k, n in have.items() if n >= ANSWER * len(self.answers[k])]
+
+    def leaks(self, words: list[bytes], idf: np.ndarray) -> list[tuple]:
+        """(item, cosine, share in common, share of the answer, first word) of each verified item, at its best place."""
+        asked = self.candidates(set(words))
+        if not asked:
+            return []
+        ids = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        weight = idf[feature_ids(words)].astype(np.float64) ** 2
+        best: dict[int, tuple] = {}
+        cols = np.flatnonzero(np.isin(self.owner, asked))
+        span = 1 << 15
+        for first in range(0, len(words), span):  # long texts by overlapping parts
+            at = np.arange(max(0, first - STEP * PARTS), min(len(words), first + span))
+            heads = np.arange(0, len(at), STEP)
+            x = np.where((ids[at] >= 0)[:, None], self.basis[ids[at]], np.float32(0))
+            step, square = np.add.reduceat(x, heads, axis=0), np.add.reduceat(weight[at], heads)
+            m = max(1, len(step) - PARTS + 1)
+            ends = np.minimum(np.arange(m) + PARTS, len(step))
+            run = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(step, axis=0, dtype=np.float64)])
+            norm = np.concatenate([[0.0], np.cumsum(square)])
+            v, n = run[ends] - run[:m], np.sqrt(np.maximum(norm[ends] - norm[:m], 1e-9))
+            cosine = (v @ self.vectors[cols].T) / n[:, None]
+            for r, j in zip(*np.nonzero(cosine >= NEAR)):
+                k = int(self.owner[cols[j]])
+                if k in best and best[k][2] >= 1.0:
+                    continue
+                start, item = int(at[0] + STEP * r), self.words[k]
+                near = words[max(0, start - len(item)) : start + STEP * PARTS + len(item)]
+                have = set(near)
+                answer = sum(w in have for w in self.answers[k]) / len(self.answers[k])
+                if answer < ANSWER:
+                    continue
+                common = common_subsequence(item, near) / len(item)
+                if common >= COMMON and (k not in best or common > best[k][2]):
+                    best[k] = (self.ids[k], float(cosine[r, j]), common, answer, start)
+        return [best[k] for k in sorted(best)]
 
 
-def search(d: DataFrame, items: list[tuple], basis: np.ndarray, idf: np.ndarray, *carry: str) -> DataFrame:
+def search(d: DataFrame, block: Items, idf: np.ndarray, *carry: str) -> DataFrame:
     """The columns ``carry`` with item_id, cosine, common, answer and at: verified leaks, the best a row and item."""
     schema = d.select(*carry).schema.add("item_id", "long").add("cosine", "double").add("common", "double").add("answer", "double").add("at", "long")
-    weighted = (basis * idf[:, None]).astype(np.float32)
-    block = Items(items, basis, idf)
+    sent = d.sparkSession.sparkContext.broadcast((block, idf))  # BLOCK items and DIM numbers
     n_carry = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, weights = sent.value
+        bared = Memo(lambda w: _EDGE.sub(b"", w) or w, 300_000)
         for b in batches:
-            docs, sums, owner, begin = [], [], [], []
-            found: dict[tuple[int, int], tuple] = {}
-
-            def compare():
-                if not sums:
-                    return
-                v = np.concatenate(sums)
-                own, at = np.concatenate(owner), np.concatenate(begin)
-                for s in range(0, len(v), 8192):
-                    x = v[s : s + 8192]
-                    c = (x @ block.vectors.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                    for r, j in zip(*np.nonzero(c >= NEAR)):
-                        row, k = int(own[s + r]), int(block.owner[j])
-                        had = found.get((row, k))
-                        if had and had[1] >= 0.999:
-                            continue
-                        common, answer = block.verify(k, docs[row], int(at[s + r]))
-                        if common >= COMMON and (not had or common > had[1]):
-                            found[row, k] = (float(c[r, j]), common, answer, int(at[s + r]))
-
-            size = 0
+            rows, got = [], []
             for row, t in enumerate(b.column(n_carry).to_pylist()):
-                words = normal_words(t)
-                docs.append(words)
-                if not words:
-                    continue
-                for first in range(0, len(words), 1 << 16):  # long texts by overlapping parts
-                    part = words[max(0, first - STEP * PARTS) : first + (1 << 16)]
-                    base = max(0, first - STEP * PARTS)
-                    step = np.add.reduceat(weighted[feature_ids(part)], np.arange(0, len(part), STEP), axis=0)
-                    m = max(1, len(step) - PARTS + 1)
-                    acc = np.concatenate([np.zeros((1, RANK), np.float32), np.cumsum(step, axis=0)])
-                    sums.append(acc[np.minimum(np.arange(m) + PARTS, len(step))] - acc[:m])
-                    owner.append(np.full(m, row))
-                    begin.append(base + STEP * np.arange(m))
-                    size += m
-                if size > 1 << 16:
-                    compare()
-                    sums, owner, begin, size = [], [], [], 0
-                    docs = [None] * len(docs)
-            compare()
-            keys = sorted(found)
-            take = pa.array([k[0] for k in keys], pa.int64())
-            cols = [b.column(i).take(take) for i in range(n_carry)]
-            best = [found[k] for k in keys]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([block.ids[k[1]] for k in keys], pa.int64()), *(pa.array([x[i] for x in best], pa.float64()) for i in range(3)), pa.array([x[3] for x in best], pa.int64())], names=schema.names)
+                for leak in items.leaks(list(map(bared.__getitem__, normal_words(t))), weights):
+                    rows.append(row)
+                    got.append(leak)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n_carry)), pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[i] for x in got], pa.float64()) for i in (1, 2, 3)), pa.array([x[4] for x in got], pa.int64())], names=schema.names)
 
     return d.select(*carry, TEXT).mapInArrow(run, schema)
 
@@ -215,15 +209,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias(TEXT)).na.drop()
     n_items = bench.count()
     df, n = document_frequencies(d)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    chosen = d.select(F.col(ID).alias("__pick")).distinct().orderBy(F.xxhash64("__pick"), "__pick").limit(SAMPLE)
-    texts = d.join(F.broadcast(chosen), F.col(ID) == F.col("__pick"), "left_semi").select(TEXT)  # SAMPLE ids
-    few = bench.orderBy(F.xxhash64("item"), "item").limit(SAMPLE).select(TEXT)
-    basis = latent(cut(texts.unionByName(few).repartition(4)), idf)
+    idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
     blocks, out = max(1, -(-n_items // BLOCK)), None
     for k in range(blocks):  # the queries are a stated set, compared block by block
-        items = sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
-        part = search(d, items, basis, idf, ID, KEY)
+        texts = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        block = Items(sorted(tuple(r) for r in texts.collect()), idf)
+        block.project(latent(texts.select(TEXT).coalesce(4), block.place, block.idf) if block.place else np.zeros((0, 1), np.float32))
+        part = search(d, block, idf, ID, KEY)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed(ID, id_col)
 
