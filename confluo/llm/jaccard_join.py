@@ -9,8 +9,10 @@ Signatures: shared tokens of the plain prefix (c = 1), if few prefixes hold them
 frequent token extends it to c = g + 1 and indexes its rare tokens alone and its frequent tokens in pairs, both of one
 of g hash classes: among g + 1 shared frequent tokens two are in one class. g is a power of two by set size; a
 set indexes for each g that a partner of no larger size may have. Pairs of sets under one signature are verified by
-their token arrays: first each set with the least set of its signature; then, where a signature's sets are not yet in one
-component, the pairs from different components. Links inside a component add nothing to the result.
+their token arrays, if their sizes and their numbers of shared tokens allow a link: first each set with the set of its
+signature that has the least share of unshared tokens, the likely centre of a group of near copies; then, where a
+signature's sets are not yet in one component, the pairs from different components. Links inside a component add
+nothing to the result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from confluo.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 3, 4
 #: A token in the plain prefixes of more sets than this is frequent.
-FREQUENT = 64
+FREQUENT = 1000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,24 +144,24 @@ def classes(n: int) -> list[int]:
 
 
 def plain_rows(sets: DataFrame) -> DataFrame:
-    """(tok, set, n) for the plain prefixes."""
+    """(tok, set, n, s) for the plain prefixes; s is the number of shared tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(s, n, prefix(n, np.frombuffer(t, np.uint64))) for s, n, t in zip(*(c.to_pylist() for c in b.columns))]
+            got = [(s, n, prefix(n, np.frombuffer(t, np.uint64)), len(t) // 8) for s, n, t in zip(*(c.to_pylist() for c in b.columns))]
             k = [len(g[2]) for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[1] for g in got], k).astype(np.int64))], names=["tok", "set", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[1] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[3] for g in got], k).astype(np.int64))], names=["tok", "set", "n", "s"])
 
-    return sets.mapInArrow(run, "tok long, set long, n long")
+    return sets.mapInArrow(run, "tok long, set long, n long, s long")
 
 
 def combination_rows(hot: DataFrame) -> DataFrame:
-    """(sig, set, n) for sets with frequent tokens; ``hot`` has set, n, toks and frequent: the frequent ones among its
+    """(sig, set, n, s) for sets with frequent tokens; ``hot`` has set, n, toks and frequent: the frequent ones among its
     longest prefix. Rare tokens are signatures by themselves, frequent ones in pairs of a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, owner, size = [], [], []
+            sig, owner, size, shared = [], [], [], []
             for s, n, t, frequent in zip(*(c.to_pylist() for c in b.columns)):
                 toks, often = np.frombuffer(t, np.uint64), np.array(sorted(frequent or []), np.int64).view(np.uint64)
                 mine = []
@@ -179,9 +181,10 @@ def combination_rows(hot: DataFrame) -> DataFrame:
                 sig.append(mine)
                 owner += [s] * len(mine)
                 size += [n] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sig) if sig else np.zeros(0, np.uint64))), pa.array(owner, pa.int64()), pa.array(size, pa.int64())], names=["sig", "set", "n"])
+                shared += [len(toks)] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sig) if sig else np.zeros(0, np.uint64))), pa.array(owner, pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64())], names=["sig", "set", "n", "s"])
 
-    return hot.select("set", "n", "toks", "frequent").mapInArrow(run, "sig long, set long, n long")
+    return hot.select("set", "n", "toks", "frequent").mapInArrow(run, "sig long, set long, n long, s long")
 
 
 def longest_rows(hot: DataFrame) -> DataFrame:
@@ -222,20 +225,22 @@ def linked(sets: DataFrame) -> DataFrame:
     hot = cut(sets.join(hot_ids, "set"))
     frequent = often.select("tok").distinct()
     marks = longest_rows(hot).join(frequent, "tok").groupBy("set").agg(F.collect_list("tok").alias("frequent"))
-    single = classed.where(F.col("c") <= FREQUENT).select(F.col("tok").alias("sig"), "set", "n")
+    single = classed.where(F.col("c") <= FREQUENT).select(F.col("tok").alias("sig"), "set", "n", "s")
     combined = combination_rows(hot.join(marks, "set"))
     sigs = cut(single.unionByName(combined).distinct())
-    hubs = sigs.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near = lambda n, m: (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
-    stars = sigs.join(hubs, "sig").where((F.col("set") != F.col("hub.set")) & near(F.col("n"), F.col("hub.n"))).select(F.col("hub.set").alias("a"), F.col("set").alias("b")).distinct()
+    # J >= 3/4 asks for 3 (n + m) <= 7 * intersection, and no more than the shared tokens of either can be in both.
+    may = lambda n, m, s, r: (NUM + DEN) * F.least(s, r) >= NUM * (n + m)
+    apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
+    hubs = sigs.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    stars = sigs.join(hubs, "sig").where((F.col("set") != F.col("hub.set")) & may(F.col("n"), F.col("hub.n"), F.col("s"), F.col("hub.s"))).select(F.least("hub.set", "set").alias("a"), F.greatest("hub.set", "set").alias("b")).distinct()
     first = cut(verified(stars, sets))
     comp = components(first)
     # Signatures whose sets are in several components: the pairs across them.
     member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     rest = cut(member.join(mixed, "sig"))
-    other = rest.select("sig", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = rest.join(other, "sig").where((F.col("set") < F.col("set2")) & (F.col("component") != F.col("component2")) & near(F.col("n"), F.col("n2"))).select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
+    other = rest.select("sig", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("component").alias("component2"))
+    across = rest.join(other, "sig").where((F.col("set") < F.col("set2")) & (F.col("component") != F.col("component2")) & may(F.col("n"), F.col("n2"), F.col("s"), F.col("s2"))).select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
     second = cut(verified(across, sets))
     if second.isEmpty():
         return comp
