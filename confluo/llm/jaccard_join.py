@@ -9,10 +9,10 @@ Signatures: shared tokens of the plain prefix (c = 1), if few prefixes hold them
 frequent token extends it to c = g + 1 and indexes its rare tokens alone and its frequent tokens in pairs, both of one
 of g hash classes: among g + 1 shared frequent tokens two are in one class. g is a power of two by set size; a
 set indexes for each g that a partner of no larger size may have. Pairs of sets under one signature are verified by
-their token arrays, if their sizes and their numbers of shared tokens allow a link: first each set with the set of its
-signature that has the least share of unshared tokens, the likely centre of a group of near copies; then, where a
-signature's sets are not yet in one component, the pairs from different components. Links inside a component add
-nothing to the result.
+their token arrays, if sizes, numbers of shared tokens and places allow a link: first, in two rounds, each set with one
+set, that of its signatures with the least share of unshared tokens, the likely centre of a group of near copies; then,
+where a signature's sets are not yet in one component, all pairs from different components. Links inside a component
+add nothing to the result.
 """
 
 from __future__ import annotations
@@ -144,15 +144,15 @@ def classes(n: int) -> list[int]:
 
 
 def plain_rows(sets: DataFrame) -> DataFrame:
-    """(tok, set, n, s) for the plain prefixes; s is the number of shared tokens."""
+    """(tok, set, n, s, pos) for the plain prefixes; s is the number of shared tokens, pos the token's place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(s, n, prefix(n, np.frombuffer(t, np.uint64)), len(t) // 8) for s, n, t in zip(*(c.to_pylist() for c in b.columns))]
             k = [len(g[2]) for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[1] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[3] for g in got], k).astype(np.int64))], names=["tok", "set", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[1] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[3] for g in got], k).astype(np.int64)), pa.array(np.concatenate([np.arange(len(g[2])) + g[1] - g[3] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64))], names=["tok", "set", "n", "s", "pos"])
 
-    return sets.mapInArrow(run, "tok long, set long, n long, s long")
+    return sets.mapInArrow(run, "tok long, set long, n long, s long, pos long")
 
 
 def combination_rows(hot: DataFrame) -> DataFrame:
@@ -225,26 +225,38 @@ def linked(sets: DataFrame) -> DataFrame:
     hot = cut(sets.join(hot_ids, "set"))
     frequent = often.select("tok").distinct()
     marks = longest_rows(hot).join(frequent, "tok").groupBy("set").agg(F.collect_list("tok").alias("frequent"))
-    single = classed.where(F.col("c") <= FREQUENT).select(F.col("tok").alias("sig"), "set", "n", "s")
+    single = classed.where(F.col("c") <= FREQUENT).select(F.col("tok").alias("sig"), "set", "n", "s", "pos")
     combined = combination_rows(hot.join(marks, "set"))
-    sigs = cut(single.unionByName(combined).distinct())
-    # J >= 3/4 asks for 3 (n + m) <= 7 * intersection, and no more than the shared tokens of either can be in both.
-    may = lambda n, m, s, r: (NUM + DEN) * F.least(s, r) >= NUM * (n + m)
+    # Signatures of extended prefixes have no place: they needn't be the first that two sets share.
+    sigs = cut(single.unionByName(combined.withColumn("pos", F.lit(0).cast("long"))))
+
+    def may(x: str, y: str):
+        """J >= 3/4 asks for 3 (n + m) <= 7 * intersection. No more than the shared tokens of either set can be in both, and
+        none before their first common one; a pair that this rejects at a later common token is met at the first."""
+        c = lambda of, name: F.col(f"{of}{name}")
+        most = F.least(c(x, "s"), c(y, "s"), c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+        return (NUM + DEN) * most >= NUM * (c(x, "n") + c(y, "n"))
+
     apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
-    hubs = sigs.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    stars = sigs.join(hubs, "sig").where((F.col("set") != F.col("hub.set")) & may(F.col("n"), F.col("hub.n"), F.col("s"), F.col("hub.s"))).select(F.least("hub.set", "set").alias("a"), F.greatest("hub.set", "set").alias("b")).distinct()
-    first = cut(verified(stars, sets))
-    comp = components(first)
-    # Signatures whose sets are in several components: the pairs across them.
+    pair = (F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
+    links, tried, comp = None, None, None
+    for _ in range(2):  # each set with one hub: the most central one of its signatures, outside its component
+        member = sigs.withColumn("component", F.col("set")) if comp is None else sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
+        hubs = member.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s", "pos", "component")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+        stars = member.join(hubs, "sig").where((F.col("component") != F.col("hub.component")) & may("", "hub.")).select("set", *pair, "hub.apart")
+        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
+        chosen = cut(stars.groupBy("set").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+        good = cut(verified(chosen, sets))
+        links, tried = (good, chosen) if links is None else (cut(links.unionByName(good)), tried.unionByName(chosen))
+        comp = components(links)
+    # Signatures whose sets are still in several components: all pairs across them.
     member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     rest = cut(member.join(mixed, "sig"))
-    other = rest.select("sig", F.col("set").alias("set2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("component").alias("component2"))
-    across = rest.join(other, "sig").where((F.col("set") < F.col("set2")) & (F.col("component") != F.col("component2")) & may(F.col("n"), F.col("n2"), F.col("s"), F.col("s2"))).select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
-    second = cut(verified(across, sets))
-    if second.isEmpty():
-        return comp
-    return components(first.unionByName(second))
+    other = rest.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "s", "pos", "component")])
+    across = rest.join(other, "sig").where((F.col("set") < F.col("o_set")) & (F.col("component") != F.col("o_component")) & may("", "o_")).select(F.col("set").alias("a"), F.col("o_set").alias("b")).distinct()
+    second = cut(verified(across.join(tried, ["a", "b"], "left_anti"), sets))
+    return comp if second.isEmpty() else components(links.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
