@@ -12,11 +12,30 @@ import heapq
 import json
 import os
 import re
+import struct
+import unicodedata
 
 from confluo.llm.common import Memo
 
-WORD_BOUND, PIECE_BOUND = 400_000, 400_000
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+WORD_BOUND, PIECE_BOUND = 20_000, 150_000
+#: Up to here letters and digits are the same in all versions of Unicode, nothing composes, and one letter's lower case is one letter.
+_LAST = 0x17F
+_RANGE = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, _LAST + 1)) if c != 0x130]
+_PLAIN = re.compile(f"[\\t\\n\\r{re.escape(''.join(_RANGE))}]*")
+_L, _N = (re.escape("".join(c for c in _RANGE if unicodedata.category(c)[0] == k)) for k in "LN")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\t\\n\\r {_L}{_N}]+")
+
+
+#: Bytes that aren't printable get letters from 256 on, in order; the others stand for themselves.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def plain_pieces(text: str) -> list[str] | None:
+    """The pre-tokens of a text of common Latin characters without special strings; None for any other text."""
+    if "<|" in text or not _PLAIN.fullmatch(text):
+        return None
+    return _PIECES.findall(text.lower())
 
 
 def _load(path: str):
@@ -26,10 +45,6 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ascii_pieces(word: str) -> list[str]:
-    return _ASCII_PIECES.findall(word.lower())
-
-
 class MergeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -44,7 +59,7 @@ class MergeCounter:
         self.ranks = {p: (i, p[0] + p[1]) for i, p in enumerate(pairs)}
         tok = _load(path)
         self.normalize, self.pre = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
-        self.words, self.pieces = Memo(self._word, WORD_BOUND), Memo(self._piece, PIECE_BOUND)
+        self.words, self.pieces, self.byte_pieces = Memo(self._word, WORD_BOUND), Memo(self._letters, PIECE_BOUND), Memo(self._piece, WORD_BOUND)
 
     def _piece(self, piece: str) -> int:
         """Tokens of one pre-token in byte letters: its symbols less the merges done on it."""
@@ -76,18 +91,20 @@ class MergeCounter:
         return n - merges
 
     def _plain(self, text: str) -> int:
-        return sum(self.pieces[p] for p, _ in self.pre(self.normalize(text)))
+        return sum(self.byte_pieces[p] for p, _ in self.pre(self.normalize(text)))
 
     def _word(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         if self.split_special and "<|" in text:
             return sum(1 if i % 2 else self._plain(part) for i, part in enumerate(self.split_special.split(text)) if part)
-        if text.isascii() and text.isprintable():
-            return sum(map(self.pieces.__getitem__, _ascii_pieces(text)))
         return self._plain(text)
 
+    def _letters(self, piece: str) -> int:
+        return sum(self.byte_pieces[p] for p, _ in self.pre(piece))
+
     def count(self, text: bytes) -> int:
-        return sum(map(self.words.__getitem__, text.split()))
+        pieces = plain_pieces(text.decode("utf-8", "replace"))
+        return sum(map(self.words.__getitem__, text.split())) if pieces is None else sum(map(self.pieces.__getitem__, pieces))
 
 
 class WordEncoder:
@@ -95,20 +112,23 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tok = _load(path)
-        self.words, self.pieces = Memo(self._word, WORD_BOUND), Memo(self._encode, PIECE_BOUND)
+        self.words, self.pieces = Memo(self._word, WORD_BOUND), Memo(self._letters, PIECE_BOUND)
+        self.model = self.tok.model
 
     def _encode(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, piece: str) -> bytes:
+        """A pre-token by the model alone, in the letters that stand for its bytes."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if "<|" not in text and text.isascii() and text.isprintable():
-            return b"".join(map(self.pieces.__getitem__, _ascii_pieces(text)))
-        return self._encode(text)
+        return self._encode(word.decode("utf-8", "replace"))
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        pieces = plain_pieces(text.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, text.split())) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
 
 
 _MADE: dict = {}

@@ -65,14 +65,19 @@ def cyclic_parts(spark: SparkSession, total_bytes: int, per_part: int) -> int:
 
 
 class Memo(dict):
-    """A bounded memo: asks ``make`` for what it lacks; emptied when full, so memory stays bounded."""
+    """A bounded memo: asks ``make`` for what it lacks. When full, it keeps its content as the older half, from which
+    what is asked for again comes back, so it never holds more than twice ``bound``."""
 
     def __init__(self, make, bound: int):
         super().__init__()
-        self.make, self.bound = make, bound
+        self.make, self.bound, self.older = make, bound, {}
 
     def __missing__(self, key):
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
