@@ -9,8 +9,8 @@ Signatures: shared tokens of the plain prefix (c = 1), if few prefixes hold them
 frequent token extends it to c = g + 1 and indexes its rare tokens alone and its frequent tokens in pairs, both of one
 of g hash classes: among g + 1 shared frequent tokens two are in one class. g is a power of two by set size; a
 set indexes for each g that a partner of no larger size may have. Pairs of sets under one signature are verified by
-their token arrays, if sizes, numbers of shared tokens and places allow a link: first, in two rounds, each set with one
-set, that of its signatures with the least share of unshared tokens, the likely centre of a group of near copies; then,
+their token arrays, if sizes, numbers of shared tokens and places allow a link: first, in ROUNDS rounds, each set with
+HUBS sets, those of its signatures with the least share of unshared tokens, the likely centres of groups of near copies; then,
 where a signature's sets are not yet in one component, all pairs from different components. Links inside a component
 add nothing to the result.
 """
@@ -31,6 +31,8 @@ from confluo.llm.components import components
 SHINGLE, NUM, DEN = 5, 3, 4
 #: A token in the plain prefixes of more sets than this is frequent.
 FREQUENT = 1000
+#: Rounds of central hubs, and hubs a set meets in each, before the pairs that are left are met one by one.
+ROUNDS, HUBS = 2, 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -240,15 +242,20 @@ def linked(sets: DataFrame) -> DataFrame:
     apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
     pair = (F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
     links, tried, comp = None, None, None
-    for _ in range(2):  # each set with one hub: the most central one of its signatures, outside its component
+    for _ in range(ROUNDS):  # each set with a few hubs: the most central ones of its signatures, outside its component
         member = sigs.withColumn("component", F.col("set")) if comp is None else sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
         hubs = member.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s", "pos", "component")).alias("hub"), F.count("*").alias("size")).where("size > 1")
         stars = member.join(hubs, "sig").where((F.col("component") != F.col("hub.component")) & may("", "hub.")).select("set", *pair, "hub.apart")
         stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
-        chosen = cut(stars.groupBy("set").agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+        best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "a", "b"))), 1, HUBS)  # of one set's signatures
+        chosen = cut(stars.groupBy("set").agg(best.alias("best")).select(F.explode("best").alias("x")).select("x.a", "x.b").distinct())
+        if chosen.isEmpty():
+            break
         good = cut(verified(chosen, sets))
         links, tried = (good, chosen) if links is None else (cut(links.unionByName(good)), tried.unionByName(chosen))
         comp = components(links)
+    if comp is None:
+        return components(sets.select(F.col("set").alias("a"), F.col("set").alias("b")))
     # Signatures whose sets are still in several components: all pairs across them.
     member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
