@@ -38,7 +38,7 @@ def bare(words: list[bytes]) -> list[bytes]:
     return [_EDGE.sub(b"", w) or w for w in words]
 
 
-def feature_ids(words: list[bytes]) -> np.ndarray:
+def feature_ids(words: list[bytes] | set[bytes]) -> np.ndarray:
     return np.fromiter(map(_FEATURES.__getitem__, words), np.int64, len(words))
 
 
@@ -58,7 +58,7 @@ def document_frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
-                df[np.unique(feature_ids(list(set(normal_words(t)))))] += 1
+                df[np.unique(feature_ids(set(normal_words(t))))] += 1
         df[DIM] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["f", "n"])
@@ -140,11 +140,12 @@ class Items:
                 have[k] = have.get(k, 0) + 1
         return [k for k, n in have.items() if n >= ANSWER * len(self.answers[k])]
 
-    def leaks(self, words: list[bytes], idf: np.ndarray) -> list[tuple]:
+    def leaks(self, raw: list[bytes], bared: Memo, idf: np.ndarray) -> list[tuple]:
         """(item, cosine, share in common, share of the answer, first word) of each verified item, at its best place."""
-        asked = self.candidates(set(words))
+        asked = self.candidates(set(map(bared.__getitem__, set(raw))))
         if not asked:
             return []
+        words = list(map(bared.__getitem__, raw))
         ids = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         weight = idf[feature_ids(words)].astype(np.float64) ** 2
         best: dict[int, tuple] = {}
@@ -189,7 +190,7 @@ def search(d: DataFrame, block: Items, idf: np.ndarray, *carry: str) -> DataFram
         for b in batches:
             rows, got = [], []
             for row, t in enumerate(b.column(n_carry).to_pylist()):
-                for leak in items.leaks(list(map(bared.__getitem__, normal_words(t))), weights):
+                for leak in items.leaks(normal_words(t), bared, weights):
                     rows.append(row)
                     got.append(leak)
             take = pa.array(rows, pa.int64())
