@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,6 +65,14 @@ def cyclic_parts(spark: SparkSession, total_bytes: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // per_part), 1)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on between stages, and so would its largest size."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Memo(dict):
     """A bounded memo: asks ``make`` for what it lacks. When full, it keeps its content as the older half, from which
     what is asked for again comes back, so it never holds more than twice ``bound``."""

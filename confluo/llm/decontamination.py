@@ -11,7 +11,6 @@ hold, so the cheapest, the answer's words in the whole document, is looked at fi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from confluo.llm.common import ID, KEY, TEXT, Memo, narrow, row_key
+from confluo.llm.common import ID, KEY, TEXT, narrow, release, row_key
 
 DIM, RANK, POWER, SEED = 1 << 16, 256, 2, 7
 #: A window is PARTS steps of STEP words; BLOCK items are compared at once, a block a pass over the documents.
 STEP, PARTS, BLOCK, PIECE = 8, 4, 256, 32
 NEAR, COMMON, ANSWER, ANSWER_WORDS, LEAST_WORDS = 0.35, 0.55, 0.6, 6, 8
-_EDGE = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
-_FEATURES = Memo(lambda w: xxh32_intdigest(_EDGE.sub(b"", w), 1) % DIM, 500_000)
+#: Fixed value: ASCII punctuation, which is stripped from the ends of words.
+_EDGE = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -35,11 +34,11 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def bare(words: list[bytes]) -> list[bytes]:
-    return [_EDGE.sub(b"", w) or w for w in words]
+    return [w.strip(_EDGE) or w for w in words]
 
 
 def feature_ids(words: list[bytes] | set[bytes]) -> np.ndarray:
-    return np.fromiter(map(_FEATURES.__getitem__, words), np.int64, len(words))
+    return np.fromiter((xxh32_intdigest(w.strip(_EDGE), 1) % DIM for w in words), np.int64, len(words))
 
 
 def passages(ids: np.ndarray) -> list[np.ndarray]:
@@ -60,6 +59,7 @@ def document_frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
                 n += 1
                 df[np.unique(feature_ids(set(normal_words(t))))] += 1
         df[DIM] = n
+        release()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["f", "n"])
 
@@ -140,12 +140,12 @@ class Items:
                 have[k] = have.get(k, 0) + 1
         return [k for k, n in have.items() if n >= ANSWER * len(self.answers[k])]
 
-    def leaks(self, raw: list[bytes], bared: Memo, idf: np.ndarray) -> list[tuple]:
+    def leaks(self, raw: list[bytes], idf: np.ndarray) -> list[tuple]:
         """(item, cosine, share in common, share of the answer, first word) of each verified item, at its best place."""
-        asked = self.candidates(set(map(bared.__getitem__, set(raw))))
+        asked = self.candidates({w.strip(_EDGE) or w for w in set(raw)})
         if not asked:
             return []
-        words = list(map(bared.__getitem__, raw))
+        words = bare(raw)
         ids = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         weight = idf[feature_ids(words)].astype(np.float64) ** 2
         best: dict[int, tuple] = {}
@@ -186,11 +186,11 @@ def search(d: DataFrame, block: Items, idf: np.ndarray, *carry: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weights = sent.value
-        bared = Memo(lambda w: _EDGE.sub(b"", w) or w, 300_000)
+        release()
         for b in batches:
             rows, got = [], []
             for row, t in enumerate(b.column(n_carry).to_pylist()):
-                for leak in items.leaks(normal_words(t), bared, weights):
+                for leak in items.leaks(normal_words(t), weights):
                     rows.append(row)
                     got.append(leak)
             take = pa.array(rows, pa.int64())

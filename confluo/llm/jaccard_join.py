@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import exchange as X
-from confluo.llm.common import ID, KEY, TEXT, cut, narrow, row_key
+from confluo.llm.common import ID, KEY, TEXT, cut, narrow, release, row_key
 from confluo.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 3, 4
@@ -94,8 +94,11 @@ def shared_sets(d: DataFrame, n_buckets: int) -> DataFrame:
                     chunk, size = {}, 0
         if chunk:
             yield settle(chunk)
+        chunk = None
+        release()
 
     def find(table: pa.Table) -> pa.Table:
+        release()
         kinds = np.array(table.column("kind").to_pylist())
         passed, asked = table.filter(pa.array(kinds == 1)), table.filter(pa.array(kinds == 0))
         h, owner, size = [], [], []
@@ -117,6 +120,7 @@ def shared_sets(d: DataFrame, n_buckets: int) -> DataFrame:
         return pa.concat_tables([passed.select(X.NAMES), pa.Table.from_batches([X.rows(out)])])
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         owner, n, h = X.unpack_replies(table, np.uint64)
         new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(owner) else np.zeros(0, bool)
         owner, n, h = owner[new], n[new], h[new]
@@ -277,6 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = d.schema[ID].dataType
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             got = [tokens(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in got], pa.int64()), pa.array([set_id(t) for t in got], pa.int64())], names=[ID, KEY, "n_shingles", "set"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import exchange as X
-from confluo.llm.common import ID, KEY, TEXT, id_type, narrow
+from confluo.llm.common import ID, KEY, TEXT, id_type, narrow, release
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max
@@ -67,8 +67,11 @@ def lookup(d: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
                     chunk, size = [], 0
         if chunk:
             yield settle(chunk)
+        chunk = None
+        release()
 
     def find(table: pa.Table) -> pa.Table:
+        release()
         kinds = np.array(table.column("kind").to_pylist())
         passed = table.filter(pa.array(kinds == 1))
         asked = table.filter(pa.array(kinds == 0))
@@ -91,6 +94,7 @@ def lookup(d: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
         return pa.concat_tables([passed.select(X.NAMES), pa.Table.from_batches([X.rows(out)])])
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         owner, mark, at = X.unpack_replies(table, np.uint32)
         s = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])]) if len(owner) else np.zeros(0, np.int64)
         e = np.r_[s[1:], len(owner)] if len(owner) else s
