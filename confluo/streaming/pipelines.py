@@ -14,22 +14,27 @@ def source(spark: SparkSession, path: str, schema: StructType, files: int = 1000
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """Event time with the session's zone: watermarks need it."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def health_per_minute(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
     w = F.window("ts", "1 minute")
-    g = requests.withWatermark("ts", delay).groupBy(w, "plugin").agg(F.count("*").alias("total"), F.count_if("success").alias("ok"))
+    g = _timed(requests, "ts").withWatermark("ts", delay).groupBy(w, "plugin").agg(F.count("*").alias("total"), F.count_if("success").alias("ok"))
     return g.select(F.col("window.start").alias("minute"), "plugin", "total", "ok")
 
 
 def sliding_energy(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Mean square of samples in windows of 2.5 s every 2 s."""
     w = F.window("ts", "2500 milliseconds", "2000 milliseconds")
-    return frames.withWatermark("ts", delay).groupBy("stream_id", w).agg(F.avg(F.col("sample") * F.col("sample")).alias("mean_square"), F.count("*").alias("n")).select("stream_id", F.col("window.start").alias("start"), "mean_square", "n")
+    return _timed(frames, "ts").withWatermark("ts", delay).groupBy("stream_id", w).agg(F.avg(F.col("sample") * F.col("sample")).alias("mean_square"), F.count("*").alias("n")).select("stream_id", F.col("window.start").alias("start"), "mean_square", "n")
 
 
 def rendezvous(a: DataFrame, b: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each (stream, window) once both streams have it."""
-    x = a.withWatermark(ts, delay).select("stream_id", "window_id", F.col(ts).alias("ts_a"))
-    y = b.withWatermark(ts, delay).select(F.col("stream_id").alias("s2"), F.col("window_id").alias("w2"), F.col(ts).alias("ts_b"))
+    x = _timed(a, ts).withWatermark(ts, delay).select("stream_id", "window_id", F.col(ts).alias("ts_a"))
+    y = _timed(b, ts).withWatermark(ts, delay).select(F.col("stream_id").alias("s2"), F.col("window_id").alias("w2"), F.col(ts).alias("ts_b"))
     near = (F.col("ts_b") >= F.col("ts_a") - F.expr(f"interval {delay}")) & (F.col("ts_b") <= F.col("ts_a") + F.expr(f"interval {delay}"))
     return x.join(y, (F.col("stream_id") == F.col("s2")) & (F.col("window_id") == F.col("w2")) & near).select("stream_id", "window_id")
 
