@@ -11,8 +11,8 @@ of g hash classes: among g + 1 shared frequent tokens two are in one class. g is
 set indexes for each g that a partner of no larger size may have. Pairs of sets under one signature are verified by
 their token arrays, if sizes, numbers of shared tokens and places allow a link: first, in ROUNDS rounds, each set with
 HUBS sets, those of its signatures with the least share of unshared tokens, the likely centres of groups of near copies; then,
-where a signature's sets are not yet in one component, all pairs from different components. Links inside a component
-add nothing to the result.
+where a signature's sets are not yet in one component, each set with the blocks of the larger components there, all
+sets of a block at once by a token index. Links inside a component add nothing to the result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import exchange as X
@@ -31,8 +31,10 @@ from confluo.llm.components import components
 SHINGLE, NUM, DEN = 5, 3, 4
 #: A token in the plain prefixes of more sets than this is frequent.
 FREQUENT = 1000
-#: Rounds of central hubs, and hubs a set meets in each, before the pairs that are left are met one by one.
+#: Rounds of central hubs, and hubs a set meets in each, before sets that are left meet blocks of components.
 ROUNDS, HUBS = 2, 3
+#: Sets of a component that are met at once.
+BLOCK = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -221,6 +223,82 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def may(x: str, y: str) -> Column:
+    """J >= 3/4 asks for 3 (n + m) <= 7 * intersection. No more than the shared tokens of either set can be in both, and
+    none before their first common one; a pair that this rejects at a later common token is met at the first."""
+    c = lambda of, name: F.col(f"{of}{name}")
+    most = F.least(c(x, "s"), c(y, "s"), c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+    return (NUM + DEN) * most >= NUM * (c(x, "n") + c(y, "n"))
+
+
+def block_links(met: DataFrame) -> DataFrame:
+    """(a, b) for the links of each block's members with the sets that ask for it; ``met`` has comp, block, part, asks,
+    set, n, toks. Rows of a block part come together, members first; a token index over the members answers each asking set,
+    so no pair becomes a row unless it is a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for comp, block, part, asks, s, n, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (comp, block, part) != key:
+                    key, members, index = (comp, block, part), [], None
+                toks = np.frombuffer(t, np.uint64)
+                if not asks:
+                    members.append((s, n, toks))
+                    continue
+                if not members:
+                    continue
+                if index is None:
+                    ids, sizes = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+                    every, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order]
+                at, to = np.searchsorted(index[0], toks, "left"), np.searchsorted(index[0], toks, "right")
+                hit = np.repeat(at - np.r_[0, np.cumsum(to - at)[:-1]], to - at) + np.arange((to - at).sum())
+                both = np.bincount(index[1][hit], minlength=len(ids))
+                good = ids[DEN * both >= NUM * (n + sizes - both)]
+                a += [s] * len(good)
+                b += good.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    key = ["comp", "block", "part"]
+    dealt = met.repartition(*key).sortWithinPartitions(*key, "asks")
+    return dealt.select(*key, "asks", "set", "n", "toks").mapInArrow(run, "a long, b long")
+
+
+def across(sigs: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of one signature that ``comp`` has in different components.
+
+    The sets of a component are dealt into blocks of about BLOCK. Under each such signature a set of the smaller component asks
+    for the blocks of the larger one that have a set there which may link with it, and meets each block once, whatever
+    the number of signatures that lead to it: a set that stays outside a large family costs a row a block, not a row a member.
+    """
+    member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
+    mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    rest = cut(member.join(mixed, "sig"))
+    who = rest.select("component", "set").distinct()
+    # One component may be that of a third of all rows: counts are partial sums, the join is salted.
+    count = who.groupBy("component").agg(F.count("*").alias("k"), F.min("set").alias("only"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
+    placed = who.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(16)).cast("int")).join(count.select("*", salts), ["component", "salt"])
+    block = F.pmod(F.xxhash64("set", F.lit("block")), F.ceil(F.col("k") / BLOCK)).cast("int")
+    placed = cut(placed.select("set", "component", "k", block.alias("block"), F.when(F.col("k") == 1, F.col("only")).alias("only")))
+    known = rest.drop("component").join(placed, "set")
+    # What the sets of a block have at most under a signature; of a single set it is what that set has.
+    theirs = known.groupBy("sig", F.col("component").alias("comp"), "block", F.col("k").alias("o_k"), "only").agg(F.max("s").alias("o_s"), F.min("n").alias("o_n"), F.max(F.col("n") - F.col("pos")).alias("o_left"))
+    may_one = (NUM + DEN) * F.least("s", "o_s", F.col("n") - F.col("pos"), "o_left") >= NUM * (F.col("n") + F.col("o_n"))
+    mine = known.drop("block", "only")
+    smaller = (F.col("k") < F.col("o_k")) | ((F.col("k") == F.col("o_k")) & (F.col("component") < F.col("comp")))
+    asked = mine.join(theirs, "sig").where(smaller & may_one).select("set", "comp", "block", "only").distinct()
+    met = tried.select(F.col("a").alias("set"), F.col("b").alias("only")).union(tried.select("b", "a"))
+    asked = cut(asked.join(met, ["set", "only"], "left_anti").drop("only"))
+    parts = asked.groupBy("comp", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    asking = asked.join(parts, ["comp", "block"]).select("comp", "block", F.pmod(F.xxhash64("set", F.lit("part")), "parts").cast("int").alias("part"), F.lit(1).alias("asks"), "set")
+    members = placed.withColumnRenamed("component", "comp").join(parts, ["comp", "block"]).select("comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "set")
+    return block_links(asking.unionByName(members).join(sets, "set"))
+
+
 def linked(sets: DataFrame) -> DataFrame:
     """(node, component) over ``sets`` (set, n, toks)."""
     plain = plain_rows(sets)
@@ -236,13 +314,6 @@ def linked(sets: DataFrame) -> DataFrame:
     # Signatures of extended prefixes have no place: they needn't be the first that two sets share.
     sigs = cut(single.unionByName(combined.withColumn("pos", F.lit(0).cast("long"))))
 
-    def may(x: str, y: str):
-        """J >= 3/4 asks for 3 (n + m) <= 7 * intersection. No more than the shared tokens of either set can be in both, and
-        none before their first common one; a pair that this rejects at a later common token is met at the first."""
-        c = lambda of, name: F.col(f"{of}{name}")
-        most = F.least(c(x, "s"), c(y, "s"), c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
-        return (NUM + DEN) * most >= NUM * (c(x, "n") + c(y, "n"))
-
     apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
     pair = (F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
     links, tried, comp = None, None, None
@@ -260,13 +331,7 @@ def linked(sets: DataFrame) -> DataFrame:
         comp = components(links)
     if comp is None:
         return components(sets.select(F.col("set").alias("a"), F.col("set").alias("b")))
-    # Signatures whose sets are still in several components: all pairs across them.
-    member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
-    mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = cut(member.join(mixed, "sig"))
-    other = rest.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("set", "n", "s", "pos", "component")])
-    across = rest.join(other, "sig").where((F.col("set") < F.col("o_set")) & (F.col("component") != F.col("o_component")) & may("", "o_")).select(F.col("set").alias("a"), F.col("o_set").alias("b")).distinct()
-    second = cut(verified(across.join(tried, ["a", "b"], "left_anti"), sets))
+    second = cut(across(sigs, comp, tried, sets))
     return comp if second.isEmpty() else components(links.unionByName(second))
 
 

@@ -183,6 +183,7 @@ def brute_classes(rows):
 @pytest.mark.parametrize("frequent", [1000, 1])
 def test_jaccard_join(spark, docs, odd, none, local, monkeypatch, frequent):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4 if frequent == 1 else jaccard_join.BLOCK)
     table = lambda d: sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(d).collect())
     assert table(docs) == brute_classes(local)
     assert table(odd) == brute_classes([r[:2] for r in odd_rows()])
@@ -198,6 +199,25 @@ def test_jaccard_join(spark, docs, odd, none, local, monkeypatch, frequent):
     assert table(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_jaccard_join_outside_a_family(spark, monkeypatch, rounds):
+    """Sets that no hub reaches: groups around centres far from each other, with sets between them, in small blocks."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rnd = random.Random(rounds)
+    base = [str(rnd.random()) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rnd.sample(range(120), rnd.randint(0, 6)):
+            w[at] = f"{at}-{rnd.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    want = brute_classes(rows)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    assert 1 < len({c for _, _, c in want}) < 150
+
+
 def test_keep_one(odd):
     kept = jaccard_join.keep_one(odd, jaccard_join.near_duplicates(odd))
     ids = [r.doc_id for r in kept.collect()]
