@@ -271,7 +271,7 @@ def across(sigs: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame)
     """Links between sets of one signature that ``comp`` has in different components.
 
     The sets of a component are dealt into blocks of about BLOCK. Under each such signature a set of the smaller component asks
-    for the blocks of the larger one that have a set there which may link with it, and meets each block once, whatever
+    for the larger one's blocks that have a set there, if sizes and places allow a link, and meets each block once, whatever
     the number of signatures that lead to it: a set that stays outside a large family costs a row a block, not a row a member.
     """
     member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
@@ -285,12 +285,14 @@ def across(sigs: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame)
     block = F.pmod(F.xxhash64("set", F.lit("block")), F.ceil(F.col("k") / BLOCK)).cast("int")
     placed = cut(placed.select("set", "component", "k", block.alias("block"), F.when(F.col("k") == 1, F.col("only")).alias("only")))
     known = rest.drop("component").join(placed, "set")
-    # What the sets of a block have at most under a signature; of a single set it is what that set has.
-    theirs = known.groupBy("sig", F.col("component").alias("comp"), "block", F.col("k").alias("o_k"), "only").agg(F.max("s").alias("o_s"), F.min("n").alias("o_n"), F.max(F.col("n") - F.col("pos")).alias("o_left"))
+    # What the sets of a component have at most under a signature (of a single set it is what that set has), and their blocks.
+    blocks = F.array_sort(F.collect_set("block")).alias("blocks")
+    theirs = known.groupBy("sig", F.col("component").alias("comp"), F.col("k").alias("o_k"), "only").agg(F.max("s").alias("o_s"), F.min("n").alias("o_n"), F.max(F.col("n") - F.col("pos")).alias("o_left"), blocks)
     may_one = (NUM + DEN) * F.least("s", "o_s", F.col("n") - F.col("pos"), "o_left") >= NUM * (F.col("n") + F.col("o_n"))
     mine = known.drop("block", "only")
     smaller = (F.col("k") < F.col("o_k")) | ((F.col("k") == F.col("o_k")) & (F.col("component") < F.col("comp")))
-    asked = mine.join(theirs, "sig").where(smaller & may_one).select("set", "comp", "block", "only").distinct()
+    # Signatures of a family mostly lead to the same blocks, so equal lists fall away before they are unfolded.
+    asked = mine.join(theirs, "sig").where(smaller & may_one).groupBy("set", "comp", "only").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks")).select("set", "comp", "only", F.explode("blocks").alias("block"))
     met = tried.select(F.col("a").alias("set"), F.col("b").alias("only")).union(tried.select("b", "a"))
     asked = cut(asked.join(met, ["set", "only"], "left_anti").drop("only"))
     parts = asked.groupBy("comp", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
