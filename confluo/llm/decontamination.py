@@ -5,8 +5,9 @@ steps, each a distributed pass of partial products) of the TF-IDF passages of a
 directions over the block's own words. Windows of documents are folded in: their cosine with a benchmark passage is
 the product of the projections over the passage's projected and the window's whole norm, so what a window holds
 besides lowers it. What comes near is verified on its words: the longest common subsequence with the item must hold
-enough of the item, and enough of the item's rarest words (its answer) must be in the text. The three conditions must all
-hold, so the cheapest, the answer's words in the whole document, is looked at first and spares most projections.
+enough of the item. A high share is a leak by itself; a weak one is, if enough of the item's rarest words (its answer)
+are there too. A common subsequence has no more of an item than its words in the whole document, and none in a stretch has
+more than in a longer one, so a document is projected for the items that these two bounds let through; they lose nothing.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ DIM, RANK, POWER, SEED = 1 << 16, 256, 2, 7
 #: A window is PARTS steps of STEP words; BLOCK items are compared at once, a block a pass over the documents.
 STEP, PARTS, BLOCK, PIECE = 8, 4, 256, 32
 NEAR, COMMON, ANSWER, ANSWER_WORDS, LEAST_WORDS = 0.35, 0.55, 0.6, 6, 8
+#: From this share in common on, the answer isn't asked for.
+SURE = 0.6
 #: Fixed value: ASCII punctuation, which is stripped from the ends of words.
 _EDGE = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -96,13 +99,24 @@ def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray) -> np.nda
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, one big-integer step a word of ``b``."""
+    at = places(a)
+    return in_order(at[w] for w in b if w in at)
+
+
+def places(words: list[bytes]) -> dict[bytes, int]:
+    """Of each word the places it has in ``words``, as bits."""
     at: dict[bytes, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         at[w] = at.get(w, 0) | 1 << i
-    row, full = 0, (1 << len(a)) - 1
-    for w in b:
-        x = row | at.get(w, 0)
-        row = x & ~(x - (row << 1 | 1)) & full
+    return at
+
+
+def in_order(masks) -> int:
+    """Length of the longest common subsequence; a step is the places of a word of one text in the other."""
+    row = 0
+    for m in masks:
+        x = row | m
+        row = x & ~(x - (row << 1 | 1))
     return row.bit_count()
 
 
@@ -114,12 +128,14 @@ class Items:
         self.words = [bare(normal_words(t)) for _, t in items]
         self.place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.idf = idf[feature_ids(list(self.place))]
-        self.answers, self.asked = [], {}
+        self.places = [places(w) for w in self.words]
+        self.sizes = np.array([max(1, len(w)) for w in self.words])
+        self.answers, holds = [], {}
         for k, w in enumerate(self.words):
-            rare = sorted(set(w), key=lambda x: (-float(self.idf[self.place[x]]), x))[:ANSWER_WORDS] if len(w) >= LEAST_WORDS else []
-            self.answers.append(rare)
-            for x in rare:
-                self.asked.setdefault(x, []).append(k)
+            self.answers.append(sorted(set(w), key=lambda x: (-float(self.idf[self.place[x]]), x))[:ANSWER_WORDS])
+            for x in w if len(w) >= LEAST_WORDS else []:
+                holds.setdefault(x, []).append(k)
+        self.holds = {x: np.array(ks, np.int64) for x, ks in holds.items()}  # an item once a place
 
     def project(self, basis: np.ndarray) -> None:
         self.basis = (basis * self.idf[:, None]).astype(np.float32)
@@ -132,20 +148,37 @@ class Items:
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         self.owner = np.array(owner, np.int64)
 
-    def candidates(self, distinct: set[bytes]) -> list[int]:
-        """Items of whose answer the document has enough."""
-        have: dict[int, int] = {}
-        for w in distinct & self.asked.keys():
-            for k in self.asked[w]:
-                have[k] = have.get(k, 0) + 1
-        return [k for k, n in have.items() if n >= ANSWER * len(self.answers[k])]
+    def candidates(self, distinct: set[bytes]) -> np.ndarray:
+        """Items of whose places the document's words fill enough for the common subsequence."""
+        hits = [self.holds[w] for w in distinct & self.holds.keys()]
+        if not hits:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(self.sizes)) / self.sizes >= COMMON)
+
+    def possible(self, asked: np.ndarray, words: list[bytes]) -> list[int]:
+        """Those of the items that have enough words in order in a stretch of ``words``. Stretches overlap by what the longest
+        of the items, then the item, is verified on, so each place that is verified lies in one of them."""
+        span = STEP * PARTS + 2 * int(self.sizes[asked].max())
+        open_, out = set(asked.tolist()), set()
+        for i in range(0, max(1, len(words) - span), span):
+            stretch = words[i : i + 2 * span]
+            for k in open_.intersection(self.candidates(set(stretch)).tolist()):
+                at, size, n = self.places[k], int(self.sizes[k]), STEP * PARTS + 2 * int(self.sizes[k])
+                enough = lambda part, at=at, size=size: in_order([at[w] for w in part if w in at]) / size >= COMMON
+                if enough(stretch) and any(enough(stretch[j : j + n + n // 2]) for j in range(0, max(1, len(stretch) - n), n // 2)):
+                    out.add(k)
+            open_ -= out
+        return sorted(out)
 
     def leaks(self, raw: list[bytes], idf: np.ndarray) -> list[tuple]:
         """(item, cosine, share in common, share of the answer, first word) of each verified item, at its best place."""
         asked = self.candidates({w.strip(_EDGE) or w for w in set(raw)})
-        if not asked:
+        if not len(asked):
             return []
         words = bare(raw)
+        asked = self.possible(asked, words)
+        if not asked:
+            return []
         ids = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         weight = idf[feature_ids(words)].astype(np.float64) ** 2
         best: dict[int, tuple] = {}
@@ -154,26 +187,27 @@ class Items:
         for first in range(0, len(words), span):  # long texts by overlapping parts
             at = np.arange(max(0, first - STEP * PARTS), min(len(words), first + span))
             heads = np.arange(0, len(at), STEP)
-            x = np.where((ids[at] >= 0)[:, None], self.basis[ids[at]], np.float32(0))
+            known, which = np.unique(ids[at], return_inverse=True)
+            x = np.where((known >= 0)[:, None], self.basis[known] @ self.vectors[cols].T, np.float32(0))[which]
             step, square = np.add.reduceat(x, heads, axis=0), np.add.reduceat(weight[at], heads)
             m = max(1, len(step) - PARTS + 1)
             ends = np.minimum(np.arange(m) + PARTS, len(step))
             run = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(step, axis=0, dtype=np.float64)])
             norm = np.concatenate([[0.0], np.cumsum(square)])
             v, n = run[ends] - run[:m], np.sqrt(np.maximum(norm[ends] - norm[:m], 1e-9))
-            cosine = (v @ self.vectors[cols].T) / n[:, None]
+            cosine = v / n[:, None]
             for r, j in zip(*np.nonzero(cosine >= NEAR)):
                 k = int(self.owner[cols[j]])
                 if k in best and best[k][2] >= 1.0:
                     continue
                 start, item = int(at[0] + STEP * r), self.words[k]
                 near = words[max(0, start - len(item)) : start + STEP * PARTS + len(item)]
+                common = common_subsequence(item, near) / len(item)
+                if common < COMMON or (k in best and common <= best[k][2]):
+                    continue
                 have = set(near)
                 answer = sum(w in have for w in self.answers[k]) / len(self.answers[k])
-                if answer < ANSWER:
-                    continue
-                common = common_subsequence(item, near) / len(item)
-                if common >= COMMON and (k not in best or common > best[k][2]):
+                if common >= SURE or answer >= ANSWER:
                     best[k] = (self.ids[k], float(cosine[r, j]), common, answer, start)
         return [best[k] for k in sorted(best)]
 

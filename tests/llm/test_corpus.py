@@ -273,6 +273,24 @@ def test_decontamination(spark, docs, odd, none, local):
     assert decontamination.common_subsequence([b"a", b"b", b"c", b"a"], [b"b", b"x", b"a"]) == 2
 
 
+def test_altered_copies_leak(spark):
+    """The rarest words stand elsewhere or nowhere: the words in common decide, and no bound before them loses a pair."""
+    common = "the plan was to walk along the river until the old bridge and then to follow the path up".split()
+    item = [*common, "quixotic", "zephyr", "obelisk"]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    filler = [(10 + i, " ".join(common)) for i in range(3)] + [(20 + i, "noise of other kinds here") for i in range(40)]
+    text = [(1, " ".join(["alpha"] * 30 + common + ["reckless", "breeze", "pillar"] + ["omega"] * 5)), (2, " ".join([*common[:8], *item[15:]]))]
+    got = decontamination.find_leaks(spark.createDataFrame(text + filler, "doc_id long, text string"), b)
+    found = {r.doc_id: (r.common, r.answer) for r in got.collect()}
+    assert found[1][0] >= decontamination.SURE and found[1][1] < decontamination.ANSWER
+    docs = [[rnd.choice(item + ["x", "y"]) for _ in range(30)] for rnd in map(random.Random, range(60))]
+    block = decontamination.Items([(1, " ".join(item))], np.ones(decontamination.DIM, np.float32))
+    for d in docs:
+        words = [w.encode() for w in d]
+        if decontamination.common_subsequence(block.words[0], words) / len(item) >= decontamination.COMMON:
+            assert 0 in block.candidates(set(words))
+
+
 def test_toxicity(spark, labels, odd, none):
     big = "/root/testdata/sf0.1"
     lab = spark.read.parquet(f"{big}/labels.parquet")
