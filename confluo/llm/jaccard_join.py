@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.llm import exchange as X
@@ -338,9 +339,10 @@ def linked(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row; the row's key is in KEY.
+    """(id, n_shingles, component_id, component) for each row; the row's key is in KEY.
 
-    The class of a document is the smallest id that links reach. Texts without words, and null texts, have no shingles
+    The class of a document is the smallest id that links reach; unrelated texts under one id may share it, so the component
+    itself, a number of its sets, stands beside it (null without shingles). Texts without words, and null texts, have no shingles
     and are alone; such rows, like rows with a null id that reach no id, have their own id as class. Rows with one id are judged by
     their own texts, repeated rows too; an empty table gives no rows; other columns are ignored. The id is an integer.
     """
@@ -361,14 +363,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = full.groupBy("set").agg(F.min(ID).alias("low"))
     group = least.join(comp, least["set"] == comp["node"], "left").select("set", "low", F.coalesce("component", F.col("set")).alias("component"))
     lows = group.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = group.join(lows, "component").select("set", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    named = group.join(lows, "component").select("set", "component_id", "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     j = sized.withColumn("salt", F.pmod(F.col(KEY), F.lit(16)).cast("int")).join(named, ["set", "salt"], "left")
-    return j.select(F.col(ID).alias(id_col), KEY, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(ID))).otherwise(F.col(ID)).alias("component_id"))
+    return j.select(F.col(ID).alias(id_col), KEY, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(ID))).otherwise(F.col(ID)).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, classes_: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each class: that of the smallest id (and key); rows without an id stay."""
-    best = classes_.where(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id"))).groupBy(F.col("component_id").alias("__c")).agg(F.min(KEY).alias("__k"))
+    """``docs``, all columns, with exactly one row of each component: the smallest id (nulls last), key, and one among equal
+    rows. Rows without shingles are in no component and stay."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY).alias("key")))
+    classes_ = cut(classes_.select(id_col, KEY, "component"))  # read twice
+    best = classes_.where("component is not null").groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("__k"))
+    alone = classes_.where("component is null").select(F.col(KEY).alias("__k")).distinct()
     keyed = docs.withColumn("__rk", row_key(docs[id_col], docs[text_col]))
-    kept = keyed.join(best, (keyed[id_col] == best["__c"]) & (keyed["__rk"] == best["__k"]), "left").where(F.col("__k").isNotNull() | F.col(id_col).isNull())
-    return kept.drop("__rk", "__c", "__k")
+    # Equal rows may differ in other columns; maps can't be hashed.
+    tie = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t])
+    chosen = keyed.join(best, F.col("__rk") == F.col("__k")).withColumn("__n", F.row_number().over(W.partitionBy("__rk").orderBy(tie))).where("__n = 1")
+    return chosen.drop("__rk", "__k", "__n").unionByName(keyed.join(alone, F.col("__rk") == F.col("__k"), "left_semi").drop("__rk"))

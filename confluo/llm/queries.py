@@ -67,7 +67,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from confluo.llm.common import KEY
     from confluo.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop(KEY)
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop(KEY, "component")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id (null ids last)."""
     return jaccard_join.keep_one(docs, jaccard_join.near_duplicates(docs))
 
 

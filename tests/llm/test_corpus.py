@@ -224,6 +224,20 @@ def test_keep_one(odd):
     assert kept.columns == odd.columns and 1 in ids and 2 not in ids and ids.count(None) == 2
 
 
+def test_keep_one_row_a_component(spark):
+    """Equal rows at the representative, null ids, and unrelated texts under one id."""
+    rnd = random.Random(9)
+    a, b, c, d = (" ".join(str(rnd.random()) for _ in range(60)) for _ in range(4))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, near(a), "x"), (None, near(a), "x"), (3, b, "x"), (3, c, "x"), (None, d, "x"), (None, near(d), "x"), (None, d, "z"), (5, "", "x"), (6, None, "x")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = jaccard_join.keep_one(t, jaccard_join.near_duplicates(t))
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    of_d = [k for k in got if k[0] is None]
+    assert len(of_d) == 1 and of_d[0][1] in (d, near(d))
+    assert got == collections.Counter([(1, a), (3, b), (3, c), (5, ""), (6, None), *of_d])
+
+
 def test_mixing(docs, odd, none):
     r = mixing.mix(docs).toPandas()
     assert (r.taken <= 3 * r["size"]).all() and (r.taken % r["size"].clip(lower=1) == 0).all()
