@@ -59,5 +59,5 @@ def features(raw: bytes, text: str, base: tuple[list[bytes], int, int, int, int]
     stop = sum(map(STOP.__contains__, words))
     return (
         float(np.log1p(len(words))), chars / n, symbols / c, dup_lines / lines, repeats / n, upper / c,
-        raw.count(b"!") / n, digits / c, words.count(b"|") / n, len(set(words)) / n, stop / n, (raw.count(b".") + raw.count(b",")) / n, sum(map(bytes.istitle, words[: 1 << 20])) / n,
+        raw.count(b"!") / n, digits / c, words.count(b"|") / n, len(set(words)) / n, stop / n, (raw.count(b".") + raw.count(b",")) / n, sum(map(bytes.istitle, words)) / n,
     )

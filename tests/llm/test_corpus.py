@@ -115,6 +115,15 @@ def test_long_text_repeats_are_the_same(monkeypatch):
     assert doc_stats.repeated_words(words) == plain == brute_stats(" ".join(w.decode() for w in words))[4]
 
 
+def test_title_rate_counts_all_words():
+    from confluo.llm import doc_stats
+
+    words = [b"a"] * (1 << 20) + [b"B"] * (1 << 20)
+    raw = b" ".join(words)
+    got = doc_stats.features(raw, raw.decode(), (words, len(words), 0, 0, 0))
+    assert got[list(doc_stats.FEATURES).index("title_rate")] == 0.5
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((800, 2))
