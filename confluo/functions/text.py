@@ -115,10 +115,13 @@ def phrases_equivalent(a: Column, b: Column) -> Column:
 
 
 def longest_boundary_match(before: Column, after: Column, most: int) -> Column:
-    """Tokens of the longest end of ``before`` that begins ``after``, compared bare; 0 for none."""
+    """Tokens of the longest end of ``before`` that begins ``after``, compared bare; 0 for none. One or two tokens count from
+    a mean length of 3 on, and a token that is bare of everything equals none."""
     a, b = F.transform(before, bare_token), F.transform(after, bare_token)
+    head = lambda k: F.slice(b, F.lit(1), k)
+    long_enough = lambda k: ~F.array_contains(head(k), "") & ((k > 2) | (F.length(F.array_join(head(k), "")) >= 3 * k))
     sizes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.size(a), F.size(b))))
-    fits = F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), k) == F.slice(b, F.lit(1), k)))
+    fits = F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), k) == F.slice(b, F.lit(1), k)) & long_enough(k))
     return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
 
 

@@ -320,7 +320,7 @@ def chunk_split(spark, d):
 def boundary_overlap(spark, d):
     line = W.partitionBy("stream_id").orderBy("window_id")
     w = A.transcription_windows(spark, d).withColumn("before", F.lag("text").over(line)).where("before is not null")
-    return w.select("stream_id", "window_id", T.longest_boundary_match(T.words(F.col("before")), T.words(F.col("text")), 20).alias("overlap"), F.round(repetition.similarity()("before", "text"), 6).alias("similarity"))
+    return w.select("stream_id", "window_id", T.longest_boundary_match(T.words(F.col("before")), T.words(F.col("text")), 120).alias("overlap"), F.round(repetition.similarity()("before", "text"), 6).alias("similarity"))
 
 
 @query()

@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from confluo.functions import repetition
@@ -59,6 +60,22 @@ def test_text_columns(spark):
     assert tuple(r) == ("do it", "01:01:01", "00:59", "00:00:59", "01:01:01.900", None, 12, 2)
 
 
+def test_boundary_overlap_bound(spark):
+    """A repeat of 100 words, a short one, and one of short words at the boundary."""
+    long = " ".join(f"word{i}" for i in range(100))
+    pairs = [(1, f"before {long}", f"{long} after"), (2, "we like apples", "apples grow"), (3, "so is it", "it is")]
+    df = spark.createDataFrame(pairs, "k long, a string, b string")
+    got = df.select("k", T.longest_boundary_match(T.words(F.col("a")), T.words(F.col("b")), 120).alias("n")).collect()
+    assert {r.k: r.n for r in got} == {1: 100, 2: 1, 3: 0}
+
+
+def test_boundary_overlap_query(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(100))
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("turn < 2").withColumn("text", F.when(F.col("turn") == 0, F.lit(f"before {long}")).otherwise(F.lit(f"{long} after")))
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.overlap for r in engine.Q["boundary_overlap"](spark, str(tmp_path)).collect()} == {100}
+
+
 def test_mirrored_overlap(spark):
     w = spark.createDataFrame([(1, 1, "x a"), (1, 2, "A y"), (1, 3, "y z")], "stream_id long, window_id long, text string")
     assert [r.removed for r in context.word_overlap(w).orderBy("window_id").collect()] == [0, 1, 1]
