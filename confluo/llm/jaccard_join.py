@@ -8,11 +8,10 @@ Two sets over the threshold share c tokens or more among their first n - a + c (
 Signatures: shared tokens of the plain prefix (c = 1), if few prefixes hold them. A set whose plain prefix has a
 frequent token extends it to c = g + 1 and indexes its rare tokens alone and its frequent tokens in pairs, both of one
 of g hash classes: among g + 1 shared frequent tokens two are in one class. g is a power of two by set size; a
-set indexes for each g that a partner of no larger size may have. Pairs of sets under one signature are verified by
-their token arrays, if sizes, numbers of shared tokens and places allow a link: first, in ROUNDS rounds, each set with
-HUBS sets, those of its signatures with the least share of unshared tokens, the likely centres of groups of near copies; then,
-where a signature's sets are not yet in one component, each set with the blocks of the larger components there, all
-sets of a block at once by a token index. Links inside a component add nothing to the result.
+set indexes for each g that a partner of no larger size may have. Sets under one signature are verified by their token
+arrays: first each set with HUBS sets, those of its signatures with the least share of unshared tokens, the likely centres of
+groups of near copies; then, where a signature's sets are not yet in one component, each set with the blocks of sets that
+hold higher components there, all sets of a block at once by a token index. Links inside a component add nothing to the result.
 """
 
 from __future__ import annotations
@@ -32,10 +31,10 @@ from confluo.llm.components import components
 SHINGLE, NUM, DEN = 5, 3, 4
 #: A token in the plain prefixes of more sets than this is frequent.
 FREQUENT = 1000
-#: Rounds of central hubs, and hubs a set meets in each, before sets that are left meet blocks of components.
-ROUNDS, HUBS = 2, 3
-#: Sets of a component that are met at once.
-BLOCK = 256
+#: Hubs that a set meets before sets that are left meet blocks.
+HUBS = 3
+#: Sets of a block, askers of a part of a block; copies of a row that a hot key may meet.
+BLOCK, PART, SALTS = 256, 256, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -207,23 +206,6 @@ def longest_rows(hot: DataFrame) -> DataFrame:
     return hot.select("set", "n", "toks").mapInArrow(run, "tok long, set long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is at least NUM / DEN; unshared tokens can't be in both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                if DEN * both >= NUM * (n + m - both):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
-
-    left = sets.select(F.col("set").alias("a"), F.col("n").alias("n"), F.col("toks").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("toks").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def may(x: str, y: str) -> Column:
     """J >= 3/4 asks for 3 (n + m) <= 7 * intersection. No more than the shared tokens of either set can be in both, and
     none before their first common one; a pair that this rejects at a later common token is met at the first."""
@@ -232,110 +214,136 @@ def may(x: str, y: str) -> Column:
     return (NUM + DEN) * most >= NUM * (c(x, "n") + c(y, "n"))
 
 
-def block_links(met: DataFrame) -> DataFrame:
-    """(a, b) for the links of each block's members with the sets that ask for it; ``met`` has comp, block, part, asks,
-    set, n, toks. Rows of a block part come together, members first; a token index over the members answers each asking set,
-    so no pair becomes a row unless it is a link."""
+def asked_links(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each (set, block) of ``asks``, a link of the set with each component that the block's members over the threshold have.
+
+    ``members`` (block, set) deals sets into blocks; both have ``comp``, the component a set is known to be in. A block that
+    very many sets ask is met in parts of PART askers. Rows of a part come together, members first; a token
+    index over the members answers each asker, so no pair becomes a row unless it is a link between components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, index = None, [], None
         for batch in batches:
             a, b = [], []
-            for comp, block, part, asks, s, n, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if (comp, block, part) != key:
-                    key, members, index = (comp, block, part), [], None
+            for block, part, asker, s, comp, n, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, part) != key:
+                    key, members, index = (block, part), [], None
                 toks = np.frombuffer(t, np.uint64)
-                if not asks:
-                    members.append((s, n, toks))
-                    continue
-                if not members:
+                if not asker:
+                    members.append((s, comp, n, toks))
                     continue
                 if index is None:
-                    ids, sizes = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-                    every, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+                    ids, comps, sizes = (np.array([m[i] for m in members], np.int64) for i in range(3))
+                    every = np.concatenate([m[3] for m in members])
+                    owner = np.repeat(np.arange(len(members)), [len(m[3]) for m in members])
                     order = np.argsort(every, kind="stable")
                     index = every[order], owner[order]
                 at, to = np.searchsorted(index[0], toks, "left"), np.searchsorted(index[0], toks, "right")
                 hit = np.repeat(at - np.r_[0, np.cumsum(to - at)[:-1]], to - at) + np.arange((to - at).sum())
                 both = np.bincount(index[1][hit], minlength=len(ids))
-                good = ids[DEN * both >= NUM * (n + sizes - both)]
+                good = np.flatnonzero((DEN * both >= NUM * (n + sizes - both)) & (comps != comp))
+                good = good[np.unique(comps[good], return_index=True)[1]]
                 a += [s] * len(good)
-                b += good.tolist()
+                b += ids[good].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    key = ["comp", "block", "part"]
-    dealt = met.repartition(*key).sortWithinPartitions(*key, "asks")
-    return dealt.select(*key, "asks", "set", "n", "toks").mapInArrow(run, "a long, b long")
+    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    # A block may be asked by a third of all sets: its number of parts reaches them by a salted join.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = asks.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
+    part = F.pmod(F.xxhash64("set", F.lit("part")), "parts").cast("int").alias("part")
+    asking = salted.join(parts.select("block", "parts", salts), ["block", "salt"]).select("block", part, F.lit(1).alias("asker"), "set", "comp")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asked = members.join(parts, "block").select("block", every, F.lit(0).alias("asker"), "set", "comp")
+    met = asking.unionByName(asked).join(sets, "set").select("block", "part", "asker", "set", "comp", "n", "toks")
+    return met.repartition("block", "part").sortWithinPartitions("block", "part", "asker").mapInArrow(run, "a long, b long")
 
 
-def across(sigs: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between sets of one signature that ``comp`` has in different components.
+def hub_links(sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each set with a few hubs: of its signatures' sets with the least share of unshared tokens, the HUBS least."""
+    apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
+    hubs = sigs.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s", "pos")).alias("hub"), F.count("*").alias("size"))
+    stars = sigs.join(hubs.where("size > 1"), "sig").where((F.col("set") != F.col("hub.set")) & may("", "hub."))
+    best = F.slice(F.array_sort(F.collect_set(F.struct("hub.apart", "hub.set"))), 1, HUBS)  # of one set's signatures
+    asks = cut(stars.groupBy("set").agg(best.alias("best")).select("set", F.explode("best.set").alias("block")))
+    members = asks.select("block").distinct().select("block", F.col("block").alias("set"), F.col("block").alias("comp"))
+    return asked_links(asks.withColumn("comp", F.col("set")), members, sets)
 
-    The sets of a component are dealt into blocks of about BLOCK. Under each such signature a set of the smaller component asks
-    for the larger one's blocks that have a set there, if sizes and places allow a link, and meets each block once, whatever
-    the number of signatures that lead to it: a set that stays outside a large family costs a row a block, not a row a member.
-    """
-    member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
-    mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = cut(member.join(mixed, "sig"))
-    who = rest.select("component", "set").distinct()
-    # One component may be that of a third of all rows: counts are partial sums, the join is salted.
-    count = who.groupBy("component").agg(F.count("*").alias("k"), F.min("set").alias("only"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
-    placed = who.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(16)).cast("int")).join(count.select("*", salts), ["component", "salt"])
-    block = F.pmod(F.xxhash64("set", F.lit("block")), F.ceil(F.col("k") / BLOCK)).cast("int")
-    placed = cut(placed.select("set", "component", "k", block.alias("block"), F.when(F.col("k") == 1, F.col("only")).alias("only")))
-    known = rest.drop("component").join(placed, "set")
-    # What the sets of a component have at most under a signature (of a single set it is what that set has), and their blocks.
-    blocks = F.array_sort(F.collect_set("block")).alias("blocks")
-    theirs = known.groupBy("sig", F.col("component").alias("comp"), F.col("k").alias("o_k"), "only").agg(F.max("s").alias("o_s"), F.min("n").alias("o_n"), F.max(F.col("n") - F.col("pos")).alias("o_left"), blocks)
-    may_one = (NUM + DEN) * F.least("s", "o_s", F.col("n") - F.col("pos"), "o_left") >= NUM * (F.col("n") + F.col("o_n"))
-    mine = known.drop("block", "only")
-    smaller = (F.col("k") < F.col("o_k")) | ((F.col("k") == F.col("o_k")) & (F.col("component") < F.col("comp")))
-    # Signatures of a family mostly lead to the same blocks, so equal lists fall away before they are unfolded.
-    asked = mine.join(theirs, "sig").where(smaller & may_one).groupBy("set", "comp", "only").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks")).select("set", "comp", "only", F.explode("blocks").alias("block"))
-    met = tried.select(F.col("a").alias("set"), F.col("b").alias("only")).union(tried.select("b", "a"))
-    asked = cut(asked.join(met, ["set", "only"], "left_anti").drop("only"))
-    parts = asked.groupBy("comp", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asking = asked.join(parts, ["comp", "block"]).select("comp", "block", F.pmod(F.xxhash64("set", F.lit("part")), "parts").cast("int").alias("part"), F.lit(1).alias("asks"), "set")
-    members = placed.withColumnRenamed("component", "comp").join(parts, ["comp", "block"]).select("comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "set")
-    return block_links(asking.unionByName(members).join(sets, "set"))
 
+def across_links(sigs: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of one signature that ``comp`` has in different components.
 
-def linked(sets: DataFrame) -> DataFrame:
-    """(node, component) over ``sets`` (set, n, toks)."""
+    A component's rank is its size, then its number. A set is dealt into the cell of the highest component that its
+    signatures lead to, a cell into blocks of about BLOCK sets. Under each signature a set asks for the blocks
+    that hold a set of higher rank, and meets each block once whatever the number of signatures that lead to it: a set that
+    stays outside a large family costs a row a block, not a row a member, and a family of sets without links no more.
+    """
+    member = sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("component", F.col("set")))
+    mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    rest = cut(member.join(mixed, "sig").select("sig", "set", "n", "s", "pos", "comp"))
+    # One component may be that of a third of all rows: counts are partial sums, joins on components and cells are salted.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")
+    who = rest.select("set", "comp").distinct()
+    size = who.groupBy("comp").agg(F.count("*").alias("k"))
+    ranked = who.withColumn("salt", salt).join(size.select("comp", "k", salts), ["comp", "salt"]).select("set", F.struct("k", "comp").alias("rank"))
+    known = cut(rest.drop("comp").join(ranked, "set"))
+    top = known.groupBy("sig").agg(F.max("rank").alias("top"))
+    cells = known.join(top, "sig").groupBy("set", "rank").agg(F.max("top").getField("comp").alias("cell"))
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    number = F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks"))
+    dealt = cells.withColumn("salt", salt).join(blocks.select("cell", "blocks", salts), ["cell", "salt"])
+    placed = cut(dealt.select("set", "rank", "cell", number.alias("number"), F.xxhash64("cell", number).alias("block")))
+    held = known.drop("rank").join(placed, "set")
+    left = F.col("n") - F.col("pos")
+    best = [F.max("rank").alias("most"), F.min("n").alias("o_n"), F.max(F.least("s", left)).alias("o_s")]
+    there = held.groupBy("sig", "block", F.shiftright("number", 10).alias("page")).agg(*best)
+    # The blocks of a signature as lists, a page of a cell each, so the join below has as many rows as sets have signatures.
+    lists = there.groupBy("sig", "page").agg(F.collect_list(F.struct("block", "most", "o_n", "o_s")).alias("list"), F.max("most").alias("most"))
+    # The bound of may(), for what the block's sets have at most.
+    fits = lambda x: (NUM + DEN) * F.least("s", left, x["o_s"]) >= NUM * (F.col("n") + x["o_n"])
+    higher = F.transform(F.filter("list", lambda x: (x["most"] > F.col("rank")) & fits(x)), lambda x: x["block"])
+    led = held.join(lists, "sig").where(F.col("rank") < F.col("most"))
+    each = led.select("set", F.array_sort(higher).alias("mine"), F.col("rank.comp").alias("comp")).where(F.size("mine") > 0).distinct()
+    asks = each.groupBy("set", "comp").agg(F.array_distinct(F.flatten(F.collect_set("mine"))).alias("mine"))
+    asks = cut(asks.select("set", "comp", F.explode("mine").alias("block")))
+    return asked_links(asks, placed.select("block", "set", F.col("rank.comp").alias("comp")), sets)
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """(sig, set, n, s, pos), for signatures of two sets or more but for combinations."""
     plain = plain_rows(sets)
     count = plain.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     classed = cut(plain.join(count, "tok"))
     often = classed.where(F.col("c") > FREQUENT)
-    hot_ids = often.select("set").distinct()
-    hot = cut(sets.join(hot_ids, "set"))
-    frequent = often.select("tok").distinct()
-    marks = longest_rows(hot).join(frequent, "tok").groupBy("set").agg(F.collect_list("tok").alias("frequent"))
     single = classed.where(F.col("c") <= FREQUENT).select(F.col("tok").alias("sig"), "set", "n", "s", "pos")
-    combined = combination_rows(hot.join(marks, "set"))
+    if often.isEmpty():
+        return single
+    hot = cut(sets.join(often.select("set").distinct(), "set"))
+    marks = longest_rows(hot).join(often.select("tok").distinct(), "tok").groupBy("set").agg(F.collect_list("tok").alias("frequent"))
     # Signatures of extended prefixes have no place: they needn't be the first that two sets share.
-    sigs = cut(single.unionByName(combined.withColumn("pos", F.lit(0).cast("long"))))
+    return cut(single.unionByName(combination_rows(hot.join(marks, "set")).withColumn("pos", F.lit(0).cast("long"))))
 
-    apart = ((F.col("n") - F.col("s")) / F.col("n")).alias("apart")
-    pair = (F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
-    links, tried, comp = None, None, None
-    for _ in range(ROUNDS):  # each set with a few hubs: the most central ones of its signatures, outside its component
-        member = sigs.withColumn("component", F.col("set")) if comp is None else sigs.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", F.col("set")))
-        hubs = member.groupBy("sig").agg(F.min(F.struct(apart, "set", "n", "s", "pos", "component")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-        stars = member.join(hubs, "sig").where((F.col("component") != F.col("hub.component")) & may("", "hub.")).select("set", *pair, "hub.apart")
-        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
-        best = F.slice(F.array_sort(F.collect_set(F.struct("apart", "a", "b"))), 1, HUBS)  # of one set's signatures
-        chosen = cut(stars.groupBy("set").agg(best.alias("best")).select(F.explode("best").alias("x")).select("x.a", "x.b").distinct())
-        if chosen.isEmpty():
-            break
-        good = cut(verified(chosen, sets))
-        links, tried = (good, chosen) if links is None else (cut(links.unionByName(good)), tried.unionByName(chosen))
-        comp = components(links)
-    if comp is None:
-        return components(sets.select(F.col("set").alias("a"), F.col("set").alias("b")))
-    second = cut(across(sigs, comp, tried, sets))
-    return comp if second.isEmpty() else components(links.unionByName(second))
+
+def linked(sets: DataFrame) -> DataFrame:
+    """(node, component) over ``sets`` (set, n, toks), for sets with a link."""
+    sigs = signatures(sets)
+    comp = components(hub_links(sigs, sets))
+    second = cut(across_links(sigs, comp, sets))
+    if second.isEmpty():
+        return comp
+    # The few links between components join them: the components are the nodes now.
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = second.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    alone = ends.select(F.col("ca").alias("node")).union(ends.select("cb")).distinct()
+    every = comp.union(alone.select("node", F.col("node").alias("component"))).distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    last = joined.select(F.col("node").alias("component"), F.col("component").alias("root"), salts)
+    every = every.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(last, ["component", "salt"], "left")
+    return every.select("node", F.coalesce("root", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

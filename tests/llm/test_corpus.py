@@ -208,13 +208,13 @@ def test_jaccard_join(spark, docs, odd, none, local, monkeypatch, frequent):
     assert table(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_jaccard_join_outside_a_family(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_outside_a_family(spark, monkeypatch, seed):
     """Sets that no hub reaches: groups around centres far from each other, with sets between them, in small blocks."""
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "HUBS", 1)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    rnd = random.Random(rounds)
+    monkeypatch.setattr(jaccard_join, "PART", 2)
+    rnd = random.Random(seed)
     base = [str(rnd.random()) for _ in range(120)]
     rows = []
     for i in range(150):
