@@ -15,7 +15,7 @@ from xxhash import xxh3_64_intdigest
 
 from confluo.llm.common import cyclic_parts, text_bytes
 
-CHUNK, PER_BUCKET, BYTES_A_WORD = 1 << 21, 1 << 21, 6
+CHUNK, PER_BUCKET, BYTES_A_WORD = 1 << 20, 1 << 21, 6
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: A packed row: bucket, kind (0: windows to look up, 1: replies), and four arrays as bytes.
 SCHEMA = "bucket int, kind int, a binary, b binary, c binary, d binary"
