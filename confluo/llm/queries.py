@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from confluo.llm.common import read_table
 
-TOKENIZER = os.environ.get("CONFLUO_TOKENIZER", "word_bpe_49k.json")
+#: Fixed value: the tokenizer of the contracts.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return name if os.path.isabs(name) else str(public_tokenizers.path(name))
+    return str(public_tokenizers.path(name))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0::double as u
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    (cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || coalesce(text, '')), 1, 13) as bigint)::double + 0.5)
+      / 4503599627370496.0::double as u
   from documents),
-s as (select source, sum(size)::bigint as source_size from d group by source),
+e as (select doc_id, source, size, u, length(bin(size)) as g, count(*)::bigint as n from d group by all),
+s as (select source, sum(n * size)::bigint as source_size from e group by source),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s),
 c as (select *, source_size * 3 as cap, (source_size * 3) / w::double as stop from w),
 l as (select *, (sum(source_size) over () - (sum(cap) over (order by stop, source nulls last rows unbounded preceding) - cap))::double
@@ -96,15 +98,24 @@ f as (select level as final from l where level <= stop order by stop, level limi
 t as (select source, source_size, least(cap::double, w::double * final) as target from l, f),
 p as (select *, case when source_size = 0 then 0 else floor(target / source_size::double) end::bigint as whole from t),
 o as (select *, target - (whole * source_size)::double as open_words from p),
-r as (select d.doc_id, o.source, d.size, o.source_size, o.target, o.whole, o.open_words,
-    d.u, sum(d.size) over (partition by o.source order by d.u, d.doc_id rows unbounded preceding) as upto
-  from d join o on d.source is not distinct from o.source),
-h as (select *, open_words > 0 and upto::double <= open_words as head from r),
-g as (select source, any_value(open_words) - coalesce(max(case when head then upto end), 0)::double as rest from h group by source),
-k as (select h.*, g.rest, abs(h.size::double - g.rest) as gap from h join g on h.source is not distinct from g.source),
-z as (select doc_id as fill_id from (select doc_id, row_number() over (partition by source order by gap, u, doc_id) as n from k where open_words > 0 and not head and gap < rest) where n = 1)
-select doc_id, size::bigint as size, source_size, target, ((whole + case when head or fill_id is not null then 1 else 0 end) * size)::bigint as taken
-from k left join z on doc_id = fill_id
+k as (select e.source, g, any_value(open_words) as open_words, sum(n * size) as words
+  from e join o on e.source is not distinct from o.source group by e.source, g),
+v as (select *, (open_words - coalesce(sum(words) over (partition by source order by g desc rows between unbounded preceding and 1 preceding), 0)::double)
+    / nullif(sum(g * words) over (partition by source order by g desc rows between current row and unbounded following), 0)::double as level from k),
+i as (select source, max_by(level, g) as level from v where level >= 0 and level * g::double <= 1 group by source),
+q as (select e.*, o.* exclude (source), least(1.0::double, coalesce(level, 0)::double * g::double) as p
+  from e join o on e.source is not distinct from o.source left join i on e.source is not distinct from i.source),
+r as (select *, case when p <= 0 then 1.0::double else (u / (1 - u)) * ((1 - p) / p) / (1 + (u / (1 - u)) * ((1 - p) / p)) end as v from q),
+h as (select *, sum(n * size) over (partition by source order by v, u, doc_id rows unbounded preceding) as upto from r),
+a as (select *, row_number() over (partition by source, upto::double > open_words order by v, u, doc_id) as place from h),
+b as (select *, case when open_words <= 0 then 0 when upto::double <= open_words then n
+    when place = 1 and size > 0 then floor((open_words - (upto - n * size)::double) / size::double) else 0 end::bigint as extra from a),
+x as (select source, any_value(open_words) - sum(extra * size)::double as rest from b group by source),
+m as (select b.*, abs(size::double - rest) as gap, open_words > 0 and extra < n and abs(size::double - rest) < rest as may
+  from b join x on b.source is not distinct from x.source),
+z as (select *, row_number() over (partition by source, may order by length(bin(floor(gap)::bigint)), v, u, doc_id) as nth from m),
+y as (select *, extra + case when may and nth = 1 then 1 else 0 end as more from z)
+select doc_id, size, source_size, target, ((whole + case when unnest(range(1, n + 1)) <= more then 1 else 0 end) * size)::bigint as taken from y
 """
 
 
