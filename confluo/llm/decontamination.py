@@ -1,13 +1,11 @@
 """Benchmark decontamination: latent semantic retrieval of passages, then subsequence and answer checks.
 
-Document frequencies are counted over all documents, in hashed features. A randomised SVD (random range, two power
-steps, each a distributed pass of partial products) of the TF-IDF passages of a block of the benchmark gives its latent
-directions over the block's own words. Windows of documents are folded in: their cosine with a benchmark passage is
-the product of the projections over the passage's projected and the window's whole norm, so what a window holds
-besides lowers it. What comes near is verified on its words: the longest common subsequence with the item must hold
-enough of the item. A high share is a leak by itself; a weak one is, if enough of the item's rarest words (its answer)
-are there too. A common subsequence has no more of an item than its words in the whole document, and none in a stretch has
-more than in a longer one, so a document is projected for the items that these two bounds let through; they lose nothing.
+Document frequencies of the benchmark's words are counted over all documents. A randomised SVD (random range, two power
+steps, each a distributed pass of partial products) of the TF-IDF passages gives latent directions, half as many as passages or
+fewer but for very small benchmarks. Windows of all documents are folded in by sums of their words' rows; a word outside the benchmark has no direction, but
+its weight turns its window away from every passage. Windows near a passage by cosine are candidates. They are verified
+on words: the longest common subsequence must hold enough of the passage. A high share is a leak by itself; a weak one is, if
+enough of the passage's rarest words (its answer) are there too.
 """
 
 from __future__ import annotations
@@ -18,16 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
-from confluo.llm.common import ID, KEY, TEXT, narrow, release, row_key
-
-DIM, RANK, POWER, SEED = 1 << 16, 256, 2, 7
-#: A window is PARTS steps of STEP words; BLOCK items are compared at once, a block a pass over the documents.
-STEP, PARTS, BLOCK, PIECE = 8, 4, 256, 32
-NEAR, COMMON, ANSWER, ANSWER_WORDS, LEAST_WORDS = 0.35, 0.55, 0.6, 6, 8
-#: From this share in common on, the answer isn't asked for.
-SURE = 0.6
+from confluo.llm.common import ID, KEY, TEXT, Memo, cut, id_type, narrow, release, row_key
+
+#: Directions: RANK, or half as many as passages if those are fewer, but FULL or as many as passages at least.
+RANK, FULL, POWER, SEED = 128, 32, 2, 7
+#: Passages are pieces of PIECE words. They are compared with windows of whole steps of STEP words: of the first of WIDTHS that
+#: holds them, else the last. BLOCK passages are compared in one pass over the documents.
+PIECE, STEP, WIDTHS, BLOCK = 32, 8, (2, 4), 8192
+#: A window is a candidate from this cosine on; a candidate is a leak from this share of the passage in common on.
+NEAR, SURE = 0.45, 0.6
+#: A weaker share is one if so much of the answer, the passage's rarest words, is there too.
+COMMON, ANSWER, ANSWER_WORDS = 0.55, 0.6, 6
+#: Passages of fewer words are found word for word.
+LEAST_WORDS = 8
+#: Words of documents that are compared at once, and windows; words that a task remembers.
+SPAN, ROWS, MEMO = 1 << 15, 1 << 10, 1 << 16
 #: Fixed value: ASCII punctuation, which is stripped from the ends of words.
 _EDGE = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -40,43 +44,52 @@ def bare(words: list[bytes]) -> list[bytes]:
     return [w.strip(_EDGE) or w for w in words]
 
 
-def feature_ids(words: list[bytes] | set[bytes]) -> np.ndarray:
-    return np.fromiter((xxh32_intdigest(w.strip(_EDGE), 1) % DIM for w in words), np.int64, len(words))
+def pieces(words: list[bytes]) -> list[list[bytes]]:
+    """Passages of an item: PIECE words, overlapping by half; an item of up to one and a half is one passage."""
+    if len(words) <= PIECE + PIECE // 2:
+        return [words]
+    return [words[s : s + PIECE] for s in range(0, len(words) - PIECE, PIECE // 2)] + [words[-PIECE:]]
+
+
+def passages(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item, nth, words) of every item with a word; ``words`` are bare and joined by blanks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, n, b" ".join(p).decode("utf-8", "replace")) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (w := bare(normal_words(t))) for n, p in enumerate(pieces(w))]
+            cols = list(zip(*got)) if got else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["item", "nth", "words"])
 
-def passages(ids: np.ndarray) -> list[np.ndarray]:
-    """Pieces of PIECE words, overlapping by half; a short rest is in the last one."""
-    if len(ids) <= PIECE + PIECE // 2:
-        return [ids]
-    starts = list(range(0, len(ids) - PIECE, PIECE // 2))
-    return [ids[s : s + PIECE] for s in starts] + [ids[-PIECE:]]
+    return benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias(TEXT)).mapInArrow(run, "item long, nth long, words string")
 
 
-def document_frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents that hold each feature, documents), over all of ``d``; DIM numbers come to the driver."""
+def document_frequencies(d: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """(documents that hold each word of the vocabulary, documents), over all of ``d``: exact counts, one a word."""
+    sent, size = d.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)  # the words of a block of passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(DIM + 1, np.int64), 0
+        df, place = np.zeros(size + 1, np.int64), sent.value
+        known = Memo(lambda w: place.get(w.strip(_EDGE) or w, -1), MEMO)
         for b in batches:
             for t in b.column(0).to_pylist():
-                n += 1
-                df[np.unique(feature_ids(set(normal_words(t))))] += 1
-        df[DIM] = n
+                at = {known[w] for w in set(normal_words(t))}
+                at.discard(-1)
+                df[list(at)] += 1
+            df[size] += b.num_rows
         release()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["f", "n"])
 
     got = d.select(TEXT).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n")).collect()
-    df = np.zeros(DIM + 1, np.int64)
+    df = np.zeros(size + 1, np.int64)
     for f, n in got:
         df[f] = n
-    return df[:DIM], int(df[DIM])
+    return df[:size], int(df[size])
 
 
-def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
-    """words x rank directions of the unit TF-IDF passages of ``texts``: the range finder of a randomised SVD, with
+def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
+    """words x rank directions of the unit TF-IDF passages of ``texts`` (words): the range finder of a randomised SVD, with
     partial products A'(A M) from each task. ``place`` numbers the words, ``idf`` weighs them."""
-    rank = min(RANK, len(place))
     m = np.random.default_rng(SEED).standard_normal((len(place), rank)).astype(np.float32)
     for _ in range(POWER + 1):
 
@@ -84,25 +97,19 @@ def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray) -> np.nda
             out = np.zeros(m.shape, np.float32)
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    for piece in passages(np.array([place[w] for w in bare(normal_words(t))], np.int64)):
-                        if len(piece):
-                            w = idf[piece] / max(1e-9, float(np.sqrt((np.bincount(piece) ** 2 * idf[: piece.max() + 1] ** 2).sum())))
-                            np.add.at(out, piece, w[:, None] * (m[piece] * w[:, None]).sum(0))
+                    piece, n = np.unique([place[w] for w in t.encode().split(b" ")], return_counts=True)
+                    w = n * idf[piece]
+                    w = (w / max(1e-9, float(np.sqrt((w * w).sum())))).astype(np.float32)
+                    out[piece] += w[:, None] * (m[piece] * w[:, None]).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["y"])
 
         total = np.zeros(m.shape, np.float64)
-        for (part,) in texts.mapInArrow(run, "y binary").toLocalIterator():  # one part a partition of a block of items
+        for (part,) in texts.coalesce(4).mapInArrow(run, "y binary").toLocalIterator():  # one part a task of a block
             total += np.frombuffer(part, np.float32).reshape(m.shape)
         m = np.linalg.qr(total)[0].astype(np.float32)
     return m
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, one big-integer step a word of ``b``."""
-    at = places(a)
-    return in_order(at[w] for w in b if w in at)
-
-
 def places(words: list[bytes]) -> dict[bytes, int]:
     """Of each word the places it has in ``words``, as bits."""
     at: dict[bytes, int] = {}
@@ -112,7 +119,7 @@ def places(words: list[bytes]) -> dict[bytes, int]:
 
 
 def in_order(masks) -> int:
-    """Length of the longest common subsequence; a step is the places of a word of one text in the other."""
+    """Length of the longest common subsequence, one big-integer step a word; a step is the word's places in the other text."""
     row = 0
     for m in masks:
         x = row | m
@@ -120,115 +127,145 @@ def in_order(masks) -> int:
     return row.bit_count()
 
 
-class Items:
-    """A block of benchmark items: latent vectors of their pieces, words and answers."""
+class Passages:
+    """A block of benchmark passages: latent vectors, words and answers."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray):
-        self.ids = [i for i, _ in items]
-        self.words = [bare(normal_words(t)) for _, t in items]
-        self.place = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
-        self.idf = idf[feature_ids(list(self.place))]
+    def __init__(self, rows: list[tuple]):
+        self.items = [(r[0], r[1]) for r in rows]
+        self.words = [r[2].encode().split(b" ") for r in rows]
+        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.places = [places(w) for w in self.words]
-        self.sizes = np.array([max(1, len(w)) for w in self.words])
-        self.answers, holds = [], {}
+        self.short: dict[bytes, list[int]] = {}
         for k, w in enumerate(self.words):
-            self.answers.append(sorted(set(w), key=lambda x: (-float(self.idf[self.place[x]]), x))[:ANSWER_WORDS])
-            for x in w if len(w) >= LEAST_WORDS else []:
-                holds.setdefault(x, []).append(k)
-        self.holds = {x: np.array(ks, np.int64) for x, ks in holds.items()}  # an item once a place
+            if len(w) < LEAST_WORDS:
+                self.short.setdefault(w[0], []).append(k)
+
+    def weigh(self, df: np.ndarray, n: int) -> None:
+        self.idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
+        self.answers = [sorted(set(w), key=lambda x: (-float(self.idf[self.vocabulary[x]]), x))[:ANSWER_WORDS] for w in self.words]
 
     def project(self, basis: np.ndarray) -> None:
-        self.basis = (basis * self.idf[:, None]).astype(np.float32)
-        vectors, owner = [], []
-        for k, w in enumerate(self.words):
-            for p in passages(np.array([self.place[x] for x in w], np.int64)) if len(w) >= LEAST_WORDS else []:
-                vectors.append(self.basis[p].sum(0))
-                owner.append(k)
-        v = np.array(vectors, np.float32).reshape(len(vectors), self.basis.shape[1])
-        self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        self.owner = np.array(owner, np.int64)
-
-    def candidates(self, distinct: set[bytes]) -> np.ndarray:
-        """Items of whose places the document's words fill enough for the common subsequence."""
-        hits = [self.holds[w] for w in distinct & self.holds.keys()]
-        if not hits:
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(self.sizes)) / self.sizes >= COMMON)
-
-    def possible(self, asked: np.ndarray, words: list[bytes]) -> list[int]:
-        """Those of the items that have enough words in order in a stretch of ``words``. Stretches overlap by what the longest
-        of the items, then the item, is verified on, so each place that is verified lies in one of them."""
-        span = STEP * PARTS + 2 * int(self.sizes[asked].max())
-        open_, out = set(asked.tolist()), set()
-        for i in range(0, max(1, len(words) - span), span):
-            stretch = words[i : i + 2 * span]
-            for k in open_.intersection(self.candidates(set(stretch)).tolist()):
-                at, size, n = self.places[k], int(self.sizes[k]), STEP * PARTS + 2 * int(self.sizes[k])
-                enough = lambda part, at=at, size=size: in_order([at[w] for w in part if w in at]) / size >= COMMON
-                if enough(stretch) and any(enough(stretch[j : j + n + n // 2]) for j in range(0, max(1, len(stretch) - n), n // 2)):
-                    out.add(k)
-            open_ -= out
-        return sorted(out)
-
-    def leaks(self, raw: list[bytes], idf: np.ndarray) -> list[tuple]:
-        """(item, cosine, share in common, share of the answer, first word) of each verified item, at its best place."""
-        asked = self.candidates({w.strip(_EDGE) or w for w in set(raw)})
-        if not len(asked):
-            return []
-        words = bare(raw)
-        asked = self.possible(asked, words)
-        if not asked:
-            return []
-        ids = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
-        weight = idf[feature_ids(words)].astype(np.float64) ** 2
-        best: dict[int, tuple] = {}
-        cols = np.flatnonzero(np.isin(self.owner, asked))
-        span = 1 << 15
-        for first in range(0, len(words), span):  # long texts by overlapping parts
-            at = np.arange(max(0, first - STEP * PARTS), min(len(words), first + span))
-            heads = np.arange(0, len(at), STEP)
-            known, which = np.unique(ids[at], return_inverse=True)
-            x = np.where((known >= 0)[:, None], self.basis[known] @ self.vectors[cols].T, np.float32(0))[which]
-            step, square = np.add.reduceat(x, heads, axis=0), np.add.reduceat(weight[at], heads)
-            m = max(1, len(step) - PARTS + 1)
-            ends = np.minimum(np.arange(m) + PARTS, len(step))
-            run = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(step, axis=0, dtype=np.float64)])
-            norm = np.concatenate([[0.0], np.cumsum(square)])
-            v, n = run[ends] - run[:m], np.sqrt(np.maximum(norm[ends] - norm[:m], 1e-9))
-            cosine = v / n[:, None]
-            for r, j in zip(*np.nonzero(cosine >= NEAR)):
-                k = int(self.owner[cols[j]])
-                if k in best and best[k][2] >= 1.0:
-                    continue
-                start, item = int(at[0] + STEP * r), self.words[k]
-                near = words[max(0, start - len(item)) : start + STEP * PARTS + len(item)]
-                common = common_subsequence(item, near) / len(item)
-                if common < COMMON or (k in best and common <= best[k][2]):
-                    continue
-                have = set(near)
-                answer = sum(w in have for w in self.answers[k]) / len(self.answers[k])
-                if common >= SURE or answer >= ANSWER:
-                    best[k] = (self.ids[k], float(cosine[r, j]), common, answer, start)
-        return [best[k] for k in sorted(best)]
-
-
-def search(d: DataFrame, block: Items, idf: np.ndarray, *carry: str) -> DataFrame:
-    """The columns ``carry`` with item_id, cosine, common, answer and at: verified leaks, the best a row and item."""
-    schema = d.select(*carry).schema.add("item_id", "long").add("cosine", "double").add("common", "double").add("answer", "double").add("at", "long")
-    sent = d.sparkSession.sparkContext.broadcast((block, idf))  # BLOCK items and DIM numbers
+        """Vectors of passages, by the width of the windows they are compared with; rows of words, then those of a word
+        outside the vocabulary (only a weight: it turns a window away from every passage) and of padding."""
+        rank = basis.shape[1]
+        rows = basis * self.idf[:, None]
+        long = [k for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS]
+        v = np.array([rows[[self.vocabulary[x] for x in self.words[k]]].sum(0) for k in long], np.float32).reshape(len(long), rank)
+        whole = sum(float((self.idf[self.vocabulary[x]] ** 2)) for k in long for x in self.words[k])
+        kept = float((v * v).sum()) / max(1e-9, whole)  # the share of a passage that the directions hold
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        self.rows = np.vstack([rows, np.zeros((2, rank))]).astype(np.float32)
+        self.outside = np.zeros(len(rows) + 2, np.float32)
+        self.outside[len(rows)] = kept * float(np.square(self.idf).mean()) if len(rows) else 1.0
+        self.groups = []
+        for steps in WIDTHS:
+            mine = [j for j, k in enumerate(long) if self.width(len(self.words[k])) == steps]
+            if mine:
+                self.groups.append((steps, v[mine].T.copy(), np.array([long[j] for j in mine])))
+
+    @staticmethod
+    def width(n: int) -> int:
+        """Steps of the windows a passage of n words is compared with."""
+        return next((s for s in WIDTHS if s * STEP >= n), WIDTHS[-1])
+
+    def near(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, float]]]:
+        """{(document, passage): [(first word, cosine) of each window over NEAR]} for documents as word numbers, all at once."""
+        pad, most = len(self.rows) - 1, WIDTHS[-1]
+        steps = np.array([-(-len(x) // STEP) for x in docs])
+        first = np.cumsum(np.r_[0, steps + most])  # so many steps of padding that no window reaches two documents
+        ids = np.full(first[-1] * STEP, pad, np.int64)
+        for x, s in zip(docs, first):
+            ids[s * STEP : s * STEP + len(x)] = x
+        step = self.rows[ids].reshape(-1, STEP, self.rows.shape[1]).sum(1)
+        other = self.outside[ids].reshape(-1, STEP).sum(1)
+        owner = np.repeat(np.arange(len(docs)), steps + most)
+        found: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for width, vectors, which in self.groups:
+            m = len(step) - width + 1
+            v, o = step[:m].copy(), other[:m].copy()
+            for j in range(1, width):
+                v += step[j : j + m]
+                o += other[j : j + m]
+            v /= np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v) + o, 1e-9))[:, None]
+            for a in range(0, m, ROWS):
+                c = v[a : a + ROWS] @ vectors
+                for i, j in zip(*np.nonzero(c >= NEAR)):
+                    d = int(owner[a + i])
+                    found.setdefault((d, int(which[j])), []).append((int(a + i - first[d]) * STEP, float(c[i, j])))
+        return found
+
+    def verified(self, k: int, words: list[bytes], windows: list[tuple[int, float]]) -> tuple | None:
+        """(cosine, share in common, share of the answer, first word) at the best of the windows, or None."""
+        best, at, n, answer = None, self.places[k], len(self.words[k]), self.answers[k]
+        reach = self.width(n) * STEP + n
+        for start, cosine in windows:
+            region = bare(words[max(0, start - n) : start + reach])
+            masks = [at[w] for w in region if w in at]
+            if len(masks) < COMMON * n or (best and best[1] >= 1.0):
+                continue
+            common = in_order(masks) / n
+            if common < COMMON or (best and common <= best[1]):
+                continue
+            have = set(region)
+            share = sum(w in have for w in answer) / len(answer)
+            if common >= SURE or share >= ANSWER:
+                best = (cosine, common, share, start)
+        return best
+
+    def stands(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(passage, first word) of each short passage that stands word for word."""
+        for x in self.short.keys() & set(words):
+            spots = [i for i, w in enumerate(words) if w == x]
+            for k in self.short[x]:
+                spot = next((i for i in spots if words[i : i + len(self.words[k])] == self.words[k]), None)
+                if spot is not None:
+                    yield k, spot
+
+
+def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
+    """The columns ``carry`` with item_id, nth, cosine, common, answer and at: verified leaks, a row a passage."""
+    schema = d.select(*carry).schema.add("item_id", "long").add("nth", "long").add("cosine", "double").add("common", "double").add("answer", "double").add("at", "long")
+    sent = d.sparkSession.sparkContext.broadcast(block)  # at most BLOCK passages
     n_carry = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weights = sent.value
+        block = sent.value
+        outside = len(block.vocabulary)
+        known = Memo(lambda w: block.vocabulary.get(w.strip(_EDGE) or w, outside), MEMO)
         release()
+
+        def leaks(texts: list[tuple[int, list[bytes]]]) -> Iterator[tuple]:
+            """Leaks of some documents, and of a long one by overlapping parts."""
+            cut, far = [], WIDTHS[-1] * STEP + PIECE * 2
+            for row, raw in texts:
+                numbers = np.fromiter((known[w] for w in raw), np.int64, len(raw))
+                cut += [(row, s, numbers[s : s + SPAN]) for s in range(0, max(1, len(raw) - far), SPAN - far)]
+            raws, found = dict(texts), {}
+            for (i, k), windows in block.near([c[2] for c in cut]).items():
+                row, s = cut[i][:2]
+                got = block.verified(k, raws[row], [(a + s, c) for a, c in windows])
+                if got and ((row, k) not in found or got[1] > found[row, k][1]):
+                    found[row, k] = got
+            for row, raw in texts if block.short else ():
+                for k, spot in block.stands(bare(raw)):
+                    found[row, k] = (1.0, 1.0, 1.0, spot)
+            for (row, k), got in sorted(found.items()):
+                yield row, block.items[k], got
+
         for b in batches:
-            rows, got = [], []
+            some, n, got = [], 0, []
             for row, t in enumerate(b.column(n_carry).to_pylist()):
-                for leak in items.leaks(normal_words(t), weights):
-                    rows.append(row)
-                    got.append(leak)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n_carry)), pa.array([x[0] for x in got], pa.int64()), *(pa.array([x[i] for x in got], pa.float64()) for i in (1, 2, 3)), pa.array([x[4] for x in got], pa.int64())], names=schema.names)
+                raw = normal_words(t)
+                if raw:
+                    some.append((row, raw))
+                    n += len(raw)
+                if n >= SPAN:
+                    got += leaks(some)
+                    some, n = [], 0
+            got += leaks(some) if some else []
+            take = pa.array([g[0] for g in got], pa.int64())
+            new = [pa.array([g[1][i] for g in got], pa.int64()) for i in (0, 1)] + [pa.array([g[2][i] for g in got], pa.float64()) for i in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n_carry)), *new, pa.array([g[2][3] for g in got], pa.int64())], names=schema.names)
 
     return d.select(*carry, TEXT).mapInArrow(run, schema)
 
@@ -236,26 +273,31 @@ def search(d: DataFrame, block: Items, idf: np.ndarray, *carry: str) -> DataFram
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, cosine, common, answer, at), one row a leaking document and benchmark item; the row's key is in KEY.
 
-    Only documents with a leak are in the result. Null and empty texts leak nothing, items without LEAST_WORDS words are not
-    searched; repeated rows and null ids are treated like any; an empty table or benchmark gives no rows; other
-    columns are ignored.
+    Only documents with a leak are in the result; the figures are those of the item's best passage. Items under LEAST_WORDS words
+    are leaks where they stand word for word. Null and empty texts leak nothing, null and empty items aren't leaked;
+    items with a null id are searched and have a null id in the result, all of them one item; equal rows of documents are
+    one row of the result, null ids are treated like any; an empty table or benchmark gives no rows; other columns are ignored.
     """
     d = narrow(docs, id_col, text_col).withColumn(KEY, row_key(F.col(ID), F.col(TEXT)))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias(TEXT)).na.drop()
-    n_items = bench.count()
-    df, n = document_frequencies(d)
-    idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
-    blocks, out = max(1, -(-n_items // BLOCK)), None
-    for k in range(blocks):  # the queries are a stated set, compared block by block
-        texts = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        block = Items(sorted(tuple(r) for r in texts.collect()), idf)
-        block.project(latent(texts.select(TEXT).coalesce(4), block.place, block.idf) if block.place else np.zeros((0, 1), np.float32))
-        part = search(d, block, idf, ID, KEY)
+    found = cut(passages(benchmark, item_col, item_text).distinct())
+    n_passages = found.count()
+    if not n_passages:
+        kinds = f"{KEY} long, item_id long, cosine double, common double, answer double, at long"
+        return d.sparkSession.createDataFrame([], f"`{id_col}` {id_type(docs, id_col)}, {kinds}")
+    blocks, out = -(-n_passages // BLOCK), None
+    for k in range(blocks):  # the passages are a stated set; a block is searched in one pass over the documents
+        mine = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else found
+        block = Passages(sorted((tuple(r) for r in mine.collect()), key=str))
+        block.weigh(*document_frequencies(d, block.vocabulary))
+        rank = max(1, min(len(block.words), len(block.vocabulary), max(FULL, min(RANK, len(block.words) // 2))))
+        block.project(latent(mine.select("words"), block.vocabulary, block.idf, rank))
+        part = search(d, block, ID, KEY)
         out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed(ID, id_col)
+    best = out.groupBy(ID, KEY, "item_id").agg(F.max(F.struct("common", "cosine", "answer", "at")).alias("best"))
+    return best.select(F.col(ID).alias(id_col), KEY, "item_id", "best.cosine", "best.common", "best.answer", "best.at")
 
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows whose key is among the leaks."""
+    """``docs``, all columns whatever their names, without the rows whose key is among the leaks; empty tables give no rows."""
     out = leaks.select(F.col(KEY).alias("__leak")).distinct()
     return docs.join(out, row_key(docs[id_col], docs[text_col]) == out["__leak"], "left_anti")

@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -247,15 +249,56 @@ def test_keep_one_row_a_component(spark):
     assert got == collections.Counter([(1, a), (3, b), (3, c), (5, ""), (6, None), *of_d])
 
 
-def test_mixing(docs, odd, none):
-    r = mixing.mix(docs).toPandas()
+def held_against_sql(spark, rows):
+    """The mix of (doc_id, text, source) rows, in Spark and by the query's SQL, and what apply_mix makes of it."""
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(t)
+    con = duckdb.connect()
+    con.register("documents", t.toArrow())
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = con.sql(queries.OP5_SQL).project(", ".join(cols)).fetchall()
+    got = [tuple(r) for r in mixed.select(*cols).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    applied = mixing.apply_mix(t, mixed)
+    assert applied.columns == t.columns
+    assert applied.count() == (mixed.agg({"copies": "sum"}).first()[0] or 0)
+    return mixed.toPandas(), applied.toPandas()
+
+
+def test_mixing(spark, docs, odd, none):
+    r, _ = held_against_sql(spark, [(x.doc_id, x.text, x.source) for x in docs.select("doc_id", "text", "source").collect()])
     assert (r.taken <= 3 * r["size"]).all() and (r.taken % r["size"].clip(lower=1) == 0).all()
-    again = mixing.mix(docs).toPandas()
-    assert r.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
     mixed = mixing.mix(odd)
     assert mixed.count() == len(odd_rows())
     out = mixing.apply_mix(odd, mixed)
-    assert out.columns == odd.columns and mixing.mix(none).count() == 0
+    assert out.columns == odd.columns and mixing.mix(none).count() == 0 and mixing.apply_mix(none, mixing.mix(none)).count() == 0
+
+
+def test_mixing_repeated_rows(spark):
+    """Equal rows, null ids, one id with many texts and sources, a source without words: near the targets all the same."""
+    rows = [(7, "w " * 10, "a")] * 400 + [(i, "x " * (i % 37), "a") for i in range(30)] + [(100 + i, "y " * (i % 50), "b") for i in range(40)]
+    rows += [(200 + i, "z " * 5, None) for i in range(60)] + [(None, "q " * 9, "b")] * 50 + [(None, None, "c")] * 3
+    rows += [(7, f"other words {i} " * 3, "a") for i in range(20)] + [(7, "w " * 10, "b")]
+    r, applied = held_against_sql(spark, rows)
+    per = r.groupby("source_size").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(per.taken - per.target) <= 0.01 * per.target + 1).all()
+    assert (r.copies <= 3).all()
+    words = applied.text.fillna("").str.split().str.len().groupby(applied.source.fillna("-")).sum()
+    assert sorted(words) == sorted(x for x in per.taken if x)
+
+
+def test_mixing_probabilities():
+    """Inclusion by length: with the draws of many mixes, documents of more digits are in oftener."""
+    rows = [(i, "w " * (2 ** (1 + i % 6)), "a") for i in range(240)] + [(1000 + i, "v " * 40, "b") for i in range(60)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    n = {}
+    for salt in range(40):
+        sql = queries.OP5_SQL.replace("|| ':' ||", f"|| ':{salt}' ||")
+        for size, extra in con.sql(f"select size, sum(taken / size) from ({sql}) where source_size > 2400 group by size").fetchall():
+            n[size] = n.get(size, 0) + extra
+    drawn = {s: k % 1600 for s, k in n.items()}  # beyond the whole copies
+    assert drawn[64] > 2 * drawn[2] and drawn[64] > drawn[8] > drawn[2]
 
 
 def test_mix_targets(spark):
@@ -285,33 +328,65 @@ def test_license_diagonals(spark):
 def test_decontamination(spark, docs, odd, none, local):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, b.item_id) for i, t in local for b in bench.collect() if b.text in t}
-    assert want <= {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert want == {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
     item = "the quick brown fox jumps over seventeen lazy dogs while nobody watches from windows"
-    b = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
-    text = [(1, "noise " * 50 + item.replace("lazy", "sleepy") + " noise" * 50), (2, "noise " * 90), (3, None)]
+    null = "every autumn some geese fly south across our wide valley toward warmer lakes"
+    b = spark.createDataFrame([(1, item), (2, None), (3, "five words only, in order"), (4, ""), (None, null)], "item_id long, text string")
+    text = [(1, "noise " * 50 + item.replace("lazy", "sleepy") + " noise" * 50), (2, "noise " * 90), (3, None), (4, ""), (None, f"x {null} y"), (None, f"x {null} y")]
+    text += [(5, "here are Five words only, in order."), (6, "five words in order, only"), (7, "long " * 70000 + item + " long" * 9)]
     leaks = decontamination.find_leaks(spark.createDataFrame(text, "doc_id long, text string"), b)
-    assert [(r.doc_id, r.item_id) for r in leaks.collect()] == [(1, 1)]
+    assert sorted(((r.doc_id, r.item_id) for r in leaks.collect()), key=str) == [(1, 1), (5, 3), (7, 1), (None, None)]
     assert decontamination.drop_leaks(odd, decontamination.find_leaks(odd, b)).count() == len(odd_rows())
+    assert decontamination.drop_leaks(odd.withColumn("__leak", odd.doc_id), leaks).columns == [*odd.columns, "__leak"]
     assert decontamination.find_leaks(none, b).count() == 0 and decontamination.find_leaks(odd, b.limit(0)).count() == 0
-    assert decontamination.common_subsequence([b"a", b"b", b"c", b"a"], [b"b", b"x", b"a"]) == 2
+    assert decontamination.find_leaks(odd, b.where("item_id = 2")).count() == 0
+
+
+def longest_in_order(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_common_subsequence():
+    for rnd in map(random.Random, range(60)):
+        a, b = ([rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(1, 30))] for _ in range(2))
+        at = decontamination.places(a)
+        assert decontamination.in_order([at[w] for w in b if w in at]) == longest_in_order(a, b)
 
 
 def test_altered_copies_leak(spark):
-    """The rarest words stand elsewhere or nowhere: the words in common decide, and no bound before them loses a pair."""
-    common = "the plan was to walk along the river until the old bridge and then to follow the path up".split()
-    item = [*common, "quixotic", "zephyr", "obelisk"]
-    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    filler = [(10 + i, " ".join(common)) for i in range(3)] + [(20 + i, "noise of other kinds here") for i in range(40)]
-    text = [(1, " ".join(["alpha"] * 30 + common + ["reckless", "breeze", "pillar"] + ["omega"] * 5)), (2, " ".join([*common[:8], *item[15:]]))]
-    got = decontamination.find_leaks(spark.createDataFrame(text + filler, "doc_id long, text string"), b)
-    found = {r.doc_id: (r.common, r.answer) for r in got.collect()}
-    assert found[1][0] >= decontamination.SURE and found[1][1] < decontamination.ANSWER
-    docs = [[rnd.choice(item + ["x", "y"]) for _ in range(30)] for rnd in map(random.Random, range(60))]
-    block = decontamination.Items([(1, " ".join(item))], np.ones(decontamination.DIM, np.float32))
-    for d in docs:
-        words = [w.encode() for w in d]
-        if decontamination.common_subsequence(block.words[0], words) / len(item) >= decontamination.COMMON:
-            assert 0 in block.candidates(set(words))
+    """Recall on items of which a share of words is replaced by other words of the benchmark, the item at any place of a
+    text; texts without an item are left alone. The directions are fewer than the passages."""
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items = [tuple(r) for r in bench.orderBy("item_id").collect()]
+    clean = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 7 = 0").collect() if not any(t in r.text for _, t in items)]
+    words = sorted({w for _, t in items for w in t.split()})
+    rnd, rows = random.Random(1), [(k, " ".join(w)) for k, w in enumerate(clean)]
+    for share in (0, 10, 20, 30):
+        for i, t in items:
+            w, f = t.split(), rnd.choice(clean)
+            for k in rnd.sample(range(len(w)), round(len(w) * share / 100)):
+                w[k] = rnd.choice(words)
+            cut = rnd.randint(0, len(f))
+            rows.append((1000 * (1 + share) + i + 10**6, " ".join(f[:cut][-100:] + w + f[cut:][:100])))
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    recall = {share: sum((1000 * (1 + share) + i + 10**6, i) in got for i, _ in items) / len(items) for share in (0, 10, 20, 30)}
+    assert recall[0] == recall[10] == 1 and recall[20] >= 0.95 and recall[30] >= 0.9, recall
+    assert not any(d < 10**6 for d, _ in got)
+    found = decontamination.passages(bench, "item_id", "text")
+    assert decontamination.RANK < found.count()
+
+
+def test_part_of_a_long_item_leaks(spark):
+    rnd = random.Random(3)
+    item = [f"{rnd.choice('abcdefgh')}{rnd.randrange(400)}" for _ in range(300)]
+    b = spark.createDataFrame([(1, " ".join(item))] + [(2 + k, " ".join(f"o{rnd.randrange(500)}" for _ in range(40))) for k in range(20)], "item_id long, text string")
+    text = [(1, "y " * 40 + " ".join(item[101:141]) + " y" * 40), (2, "y " * 40 + " ".join(item[101:110]) + " y" * 40)]
+    assert [(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(text, "doc_id long, text string"), b).collect()] == [(1, 1)]
 
 
 def test_toxicity(spark, labels, odd, none):
