@@ -1,25 +1,28 @@
-"""Packed exchange of word-window hashes: each task sends one blob a bucket instead of a row a window.
+"""Packed exchange of word-window hashes: each task sends one row of arrays a bucket instead of a row a window.
 
 A task first settles what it can by itself, over chunks of ``CHUNK`` windows, so a window that very many rows share
-leaves each chunk once. A bucket is a range of the hash space; there are as many as keep about ``PER_BUCKET``
-windows in one. Replies go back packed by their owner.
+leaves each chunk once. A bucket holds about ``PER_BUCKET`` windows. Where there are more than ``COARSE`` buckets the
+exchange has two levels: chunks are packed by coarse buckets, and tasks that hold one coarse bucket pack what they get anew,
+CHUNK windows at once, so a packed row has CHUNK / COARSE windows or more however many buckets there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from confluo.llm.common import cyclic_parts, text_bytes
+from confluo.llm.common import cyclic_parts, release, text_bytes
 
-CHUNK, PER_BUCKET, BYTES_A_WORD = 1 << 20, 1 << 21, 6
+CHUNK, PER_BUCKET, BYTES_A_WORD, COARSE = 1 << 20, 1 << 21, 6, 4096
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: A packed row: bucket, kind (0: windows to look up, 1: replies), and four arrays as bytes.
-SCHEMA = "bucket int, kind int, a binary, b binary, c binary, d binary"
-NAMES = ["bucket", "kind", "a", "b", "c", "d"]
+#: A packed row: bucket, kind, and equally long arrays: a 64-bit value, its owner, a mark, a place, and the final bucket.
+NAMES = ["bucket", "kind", "value", "owner", "mark", "at", "fine"]
+SCHEMA = "bucket int, kind int, value binary, owner binary, mark binary, at binary, fine binary"
 
 
 def stir(h: np.ndarray) -> np.ndarray:
@@ -45,50 +48,100 @@ def buckets_for(d: DataFrame) -> int:
     return cyclic_parts(d.sparkSession, text_bytes(d), PER_BUCKET * BYTES_A_WORD)
 
 
+def spread(owner: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket where an owner gathers its replies."""
+    return (stir(owner.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def slices(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return starts, np.r_[starts[1:], len(key)] if len(key) else starts
+
+
 def squeeze(x: np.ndarray) -> bytes:
-    """Rising integers as compressed differences."""
-    return zstandard.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), 1)
+    """Compressed byte planes of the differences; one number where all are equal."""
+    if (x == x[0]).all():
+        return x[:1].tobytes()
+    step = np.diff(x.view(np.uint64), prepend=np.uint64(0))
+    return zstandard.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def swell(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 8:
+        return np.repeat(np.frombuffer(raw, np.int64), n)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, n)
+    return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64).view(np.int64)
+
+
+def pack(kind: int, value: np.ndarray, owner: np.ndarray, mark: np.ndarray, at: np.ndarray, bucket: np.ndarray, per: int) -> list[tuple]:
+    """Packed rows of entries, one for ``per`` neighbouring buckets, each in order of owner, place."""
+    coarse = bucket // per
+    order = np.lexsort((at, owner, coarse))
+    value, owner, mark, at, bucket = value[order], owner[order], mark[order], at[order], bucket[order]
+    coarse, out = coarse[order], []
+    for s, e in zip(*slices(coarse)):
+        out.append((int(coarse[s]), kind, value[s:e].tobytes(), *(squeeze(x[s:e]) for x in (owner, mark, at, bucket))))
+    return out
+
 
+def of_kind(table: pa.Table, *kinds: int) -> pa.Table:
+    return table.filter(pa.array([k in kinds for k in table.column("kind").to_pylist()], pa.bool_())).select(NAMES)
 
-def swell(raw: bytes, dtype) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(raw), dtype), dtype=dtype)
+
+def unpack(table: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
+    """(value, owner, mark, at, bucket) of all packed rows of a kind, one row after another."""
+    cols: tuple[list, ...] = ([], [], [], [], [])
+    for value, *rest in zip(*(of_kind(table, kind).column(x).to_pylist() for x in NAMES[2:])):
+        cols[0].append(np.frombuffer(value, np.uint64))
+        for col, raw in zip(cols[1:], rest):
+            col.append(swell(raw, len(cols[0][-1])))
+    if not cols[0]:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(map(np.concatenate, cols))
 
 
 def rows(items: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*items)) if items else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=NAMES)
+    cols = list(zip(*items)) if items else [()] * len(NAMES)
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=NAMES)
 
 
-def slices(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs of equal values."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return starts, np.r_[starts[1:], len(key)] if len(key) else starts
+def per_row(n_buckets: int) -> int:
+    """Buckets that one packed row of a chunk holds: 1, or so many that there are COARSE rows at most."""
+    return -(-n_buckets // COARSE)
 
 
-def pack_replies(owner: np.ndarray, mark: np.ndarray, value: np.ndarray, n_buckets: int) -> list[tuple]:
-    """Rows of kind 1 for (owner, mark, value) triples, one a bucket of owners."""
-    if not len(owner):
-        return []
-    bucket = (stir(owner.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-    order = np.lexsort((value, mark, owner, bucket))
-    owner, mark, value, bucket = owner[order], mark[order], value[order], bucket[order]
-    out = []
-    for s, e in zip(*slices(bucket)):
-        first = np.flatnonzero(np.r_[True, (owner[s + 1 : e] != owner[s : e - 1]) | (mark[s + 1 : e] != mark[s : e - 1])])
-        out.append((int(bucket[s]), 1, owner[s:e][first].tobytes(), mark[s:e][first].tobytes(), np.diff(np.r_[first, e - s]).astype(np.uint32).tobytes(), zstandard.compress(value[s:e].tobytes(), 1)))
-    return out
+def delivered(sent: DataFrame, n_buckets: int) -> DataFrame:
+    """``sent``, packed by buckets: as it is, or coarse rows packed anew."""
+    if per_row(n_buckets) == 1:
+        return sent
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def anew() -> pa.RecordBatch:
+            table, out = pa.Table.from_batches(held), []
+            for kind in sorted(set(table.column("kind").to_pylist())):
+                out += pack(kind, *unpack(table, kind), 1)
+            return rows(out)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                held.append(b.slice(i, 1))
+                size += len(b.column(2)[i].as_py()) // 8
+                if size >= CHUNK:
+                    yield anew()
+                    held, size = [], 0
+        if held:
+            yield anew()
+        held = None
+        release()
+
+    return sent.repartition(min(n_buckets, COARSE), "bucket").sortWithinPartitions("bucket").mapInArrow(split, SCHEMA)
 
 
-def unpack_replies(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, mark, value) triples of all packed rows, in order of owner, mark, value."""
-    owner, mark, value = [], [], []
-    for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd")):
-        n = np.frombuffer(c, np.uint32)
-        owner.append(np.repeat(np.frombuffer(a, np.int64), n))
-        mark.append(np.repeat(np.frombuffer(b, np.int64), n))
-        value.append(np.frombuffer(zstandard.decompress(d), dtype))
-    if not owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
-    o, m, v = map(np.concatenate, (owner, mark, value))
-    order = np.lexsort((v, m, o))
-    return o[order], m[order], v[order]
+def exchange(sent: DataFrame, n_buckets: int, find: Callable[[pa.Table], pa.Table], gather: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``find`` meets the windows of a bucket and replies, ``gather`` the replies of a bucket of owners."""
+    found = delivered(sent, n_buckets).groupBy("bucket").applyInArrow(find, SCHEMA)
+    return delivered(found, n_buckets).groupBy("bucket").applyInArrow(gather, schema)

@@ -61,27 +61,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def shared_sets(d: DataFrame, n_buckets: int) -> DataFrame:
     """(set, n, toks): the sets with enough shared tokens to have a partner, with those tokens, sorted, as bytes."""
 
+    per = X.per_row(n_buckets)
+
     def settle(chunk: dict[int, np.ndarray]) -> pa.RecordBatch:
         sets = np.fromiter(chunk, np.int64, len(chunk))
-        n = np.array([len(t) for t in chunk.values()])
+        n = np.array([len(t) for t in chunk.values()], np.int64)
         h, doc = np.concatenate(list(chunk.values())), np.repeat(np.arange(len(sets)), n)
         order = np.argsort(h, kind="stable")
         s, e = X.slices(h[order])
-        many = np.repeat(e - s > 1, e - s)
+        at = order[np.repeat(e - s > 1, e - s)]
         # Known as shared here; one entry without an owner tells the other chunks.
-        at = order[many]
-        out = X.pack_replies(sets[doc[at]], n[doc[at]], h[at], n_buckets)
+        out = X.pack(1, h[at], sets[doc[at]], n[doc[at]], np.zeros(len(at), np.int64), X.spread(sets[doc[at]], n_buckets), per)
         first = order[s]
-        owner = np.where(e - s > 1, 0, sets[doc[first]])
-        size = np.where(e - s > 1, 0, n[doc[first]])
-        bucket = (X.stir(h[first]) % np.uint64(n_buckets)).astype(np.int32)
-        order = np.lexsort((owner, bucket))
-        first, owner, size, bucket = first[order], owner[order], size[order], bucket[order]
-        for i, j in zip(*X.slices(bucket)):
-            which, local = np.unique(owner[i:j], return_index=True)[0], np.searchsorted(np.unique(owner[i:j]), owner[i:j])
-            sizes = size[i:j][np.searchsorted(owner[i:j], which)]
-            out.append((int(bucket[i]), 0, h[first[i:j]].tobytes(), which.tobytes(), X.squeeze(local.astype(np.uint32)), X.zstandard.compress(sizes.astype(np.int64).tobytes(), 1)))
-        return X.rows(out)
+        owner, size = (np.where(e - s > 1, 0, x[doc[first]]) for x in (sets, n))
+        return X.rows(out + X.pack(0, h[first], owner, size, np.zeros(len(first), np.int64), X.spread(h[first], n_buckets), per))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = {}, 0
@@ -101,38 +94,33 @@ def shared_sets(d: DataFrame, n_buckets: int) -> DataFrame:
 
     def find(table: pa.Table) -> pa.Table:
         release()
-        kinds = np.array(table.column("kind").to_pylist())
-        passed, asked = table.filter(pa.array(kinds == 1)), table.filter(pa.array(kinds == 0))
-        h, owner, size = [], [], []
-        for a, b, c, d in zip(*(asked.column(x).to_pylist() for x in "abcd")):
-            local = X.swell(c, np.uint32)
-            h.append(np.frombuffer(a, np.uint64))
-            owner.append(np.frombuffer(b, np.int64)[local])
-            size.append(np.frombuffer(X.zstandard.decompress(d), np.int64)[local])
+        h, owner, size, _, _ = X.unpack(table, 0)
+        order = np.lexsort((owner, h))
+        h, owner, size = h[order], owner[order], size[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]  # copies in other chunks fall away
+        h, owner, size = h[new], owner[new], size[new]
         out = []
-        if h:
-            h, owner, size = map(np.concatenate, (h, owner, size))
-            order = np.lexsort((owner, h))
-            h, owner, size = h[order], owner[order], size[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]  # copies in other chunks fall away
-            h, owner, size = h[new], owner[new], size[new]
+        if len(h):
             s, e = X.slices(h)
             several = np.repeat((e - s > 1) | (np.add.reduceat((owner == 0).astype(np.int64), s) > 0), e - s) & (owner != 0)
-            out = X.pack_replies(owner[several], size[several], h[several], n_buckets)
-        return pa.concat_tables([passed.select(X.NAMES), pa.Table.from_batches([X.rows(out)])])
+            h, owner, size = h[several], owner[several], size[several]
+            out = X.pack(1, h, owner, size, np.zeros(len(h), np.int64), X.spread(owner, n_buckets), per)
+        return pa.concat_tables([X.of_kind(table, 1), pa.Table.from_batches([X.rows(out)])])
 
     def gather(table: pa.Table) -> pa.Table:
         release()
-        owner, n, h = X.unpack_replies(table, np.uint64)
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(owner) else np.zeros(0, bool)
-        owner, n, h = owner[new], n[new], h[new]
+        h, owner, n, _, _ = X.unpack(table, 1)
+        order = np.lexsort((h, owner))
+        h, owner, n = h[order], owner[order], n[order]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])][: len(h)]
+        h, owner, n = h[new], owner[new], n[new]
         s, e = X.slices(owner)
         keep = DEN * (e - s) >= NUM * n[s] if len(s) else np.zeros(0, bool)
         s, e = s[keep], e[keep]
-        return pa.table([pa.array(owner[s]), pa.array(n[s]), pa.array([h[i:j].tobytes() for i, j in zip(s, e)], pa.binary())], names=["set", "n", "toks"])
+        toks = [h[i:j].tobytes() for i, j in zip(s, e)]
+        return pa.table([pa.array(owner[s]), pa.array(n[s]), pa.array(toks, pa.binary())], names=["set", "n", "toks"])
 
-    sent = d.select(TEXT).mapInArrow(send, X.SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(find, X.SCHEMA).groupBy("bucket").applyInArrow(gather, "set long, n long, toks binary")
+    return X.exchange(d.select(TEXT).mapInArrow(send, X.SCHEMA), n_buckets, find, gather, "set long, n long, toks binary")
 
 
 def prefix(n: int, toks: np.ndarray, c: int = 1) -> np.ndarray:

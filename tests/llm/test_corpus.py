@@ -12,8 +12,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from confluo.llm import decontamination, exchange, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, queries, substring_dedup, token_counts, token_output, toxicity, trees
-from confluo.llm.common import KEY
+from confluo.llm import decontamination, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, queries, substring_dedup, token_counts, token_output, toxicity, trees
+from confluo.llm import exchange as X
+from confluo.llm.common import KEY, narrow
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, label string, words string, b int"
@@ -168,6 +169,19 @@ def test_substring_dedup(docs, odd, none, local, monkeypatch):
     assert table(none) == []
 
 
+def test_factors(spark):
+    """A parse by hand: two stretches of one earlier document, one of another, and windows across the boundaries."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(40)]
+    third = ["x", *a[5:35], *a[10:30], "y", *b[20:40]]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(third)), (4, " ".join(["z", *a[28:35], *a[10:18], "z"]))]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [(f.start, f.words, f.place) for f in got[3].factors] == [(1, 30, 5), (31, 20, 10), (52, 20, 48 + 20)]
+    assert len({f.block for f in got[3].factors}) == 1 and not got[1].factors and not got[2].factors
+    assert [(s.start, s.words) for s in got[3].spans] == [(1, 50), (52, 20)]
+    # Across the boundary of the two factors of document 3 stand 15 words that are nowhere else.
+    assert [(f.start, f.words) for f in got[4].factors] == [(1, 15)] and got[4].n_removed == 15
+
+
 def brute_classes(rows):
     sets = []
     for _, t in rows:
@@ -407,10 +421,41 @@ def test_toxic_folding():
 
 
 def test_exchange_round_trip():
-    owner, mark, value = np.array([5, 5, 7, -1]), np.array([1, 1, 2, 3]), np.array([9, 4, 2, 8], np.uint32)
-    table = exchange.pa.Table.from_batches([exchange.rows(exchange.pack_replies(owner, mark, value, 3))])
-    got = list(zip(*(x.tolist() for x in exchange.unpack_replies(table, np.uint32))))
-    assert got == [(-1, 3, 8), (5, 1, 4), (5, 1, 9), (7, 2, 2)]
+    rnd = np.random.default_rng(4)
+    value, owner = rnd.integers(0, 1 << 63, 500).astype(np.uint64), rnd.integers(-(1 << 62), 1 << 62, 40)[rnd.integers(0, 40, 500)]
+    mark, at, bucket = owner // 7, rnd.permutation(500), X.spread(owner, 17)
+    want = sorted(zip(*(x.tolist() for x in (value, owner, mark, at, bucket))))
+    for per in (1, 5, 17):
+        table = pa.Table.from_batches([X.rows(X.pack(3, value, owner, mark, at, bucket, per))])
+        assert table.num_rows <= -(-17 // per) and sorted(zip(*(x.tolist() for x in X.unpack(table, 3)))) == want
+        assert len(X.unpack(table, 1)[0]) == 0
+
+
+def test_exchange_bytes_a_window():
+    """However many buckets there are, packed rows of a chunk keep about the same bytes a window."""
+    rnd = np.random.default_rng(5)
+    n = X.CHUNK
+    h, owner, ids, at = rnd.integers(0, 1 << 63, n).astype(np.uint64), np.full(n, 77), np.sort(rnd.integers(0, 9999, n)), np.arange(n)
+    each = {}
+    for buckets in (80, 8000, 800_000, 8_000_000):
+        out = X.pack(0, h, owner, ids, at, (h % np.uint64(buckets)).astype(np.int64), X.per_row(buckets))
+        assert len(out) <= X.COARSE
+        each[buckets] = sum(48 + sum(map(len, row[2:])) for row in out) / n
+    assert each[80] < 10 and each[8_000_000] < 1.1 * each[8000] < 1.1 * 14, each
+
+
+def test_exchange_of_two_levels(spark, docs, odd, local, monkeypatch):
+    monkeypatch.setattr(X, "COARSE", 3)
+    monkeypatch.setattr(X, "CHUNK", 2000)
+    for module in (substring_dedup, jaccard_join):
+        monkeypatch.setattr(module.X, "buckets_for", lambda d: 20)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs).collect())
+    assert got == brute_dedup(local)
+    sets = {r.set: (r.n, sorted(np.frombuffer(r.toks, np.uint64).tolist())) for r in jaccard_join.shared_sets(narrow(docs), 20).collect()}
+    every = {jaccard_join.set_id(t): t for _, text in local if len(t := jaccard_join.tokens(text.encode()))}
+    times = collections.Counter(x for t in every.values() for x in t.tolist())
+    shared = {i: [x for x in t.tolist() if times[x] > 1] for i, t in every.items()}
+    assert sets == {i: (len(every[i]), sorted(x)) for i, x in shared.items() if 4 * len(x) >= 3 * len(every[i])}
 
 
 def test_pipeline(spark, docs):
