@@ -333,10 +333,58 @@ def test_license_scan(docs, odd, none, local):
     assert table(none) == []
 
 
+def brute_licenses(text):
+    """Labels, score and spans of the method and the base, template by template over one text."""
+    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = []
+    for phrase, label in license_scan.BASE.items():
+        p = phrase.split()
+        found += [(k, k + len(p) - 1, label, 1.0) for k in range(len(w)) if w[k : k + len(p)] == p]
+    for template, label in license_scan.TEMPLATES.items():
+        t = template.split()
+        pairs, good = len(t) - 1, []
+        votes = sorted((q, p) for q in range(pairs) for p in range(len(w) - 1) if w[p : p + 2] == t[q : q + 2])
+        for d in sorted({p - q for q, p in votes}):
+            last, n, first = (-1, -1), 0, None
+            for q, p in votes:
+                if abs(p - q - d) <= license_scan.DRIFT and q > last[0] and p > last[1]:
+                    last, n, first = (q, p), n + 1, p if first is None else first
+            if n / pairs >= license_scan.AT:
+                good.append((d, n / pairs, first, last[1] + 1))
+        run = []
+        for k, (d, score, start, stop) in enumerate(good):
+            if k and d - good[k - 1][0] > license_scan.DRIFT:
+                found.append((*max(run)[2:], label, max(run)[0]))
+                run = []
+            run.append((score, -d, start, stop))
+        if run:
+            found.append((*max(run)[2:], label, max(run)[0]))
+    return ",".join(sorted({x[2] for x in found})), max((x[3] for x in found), default=0.0), sorted(found)
+
+
 def test_license_diagonals(spark):
-    d = spark.createDataFrame([(1, "x released under the very MIT license y"), (2, "released mit under license")], "doc_id long, text string")
-    got = {r.doc_id: r.labels for r in license_scan.scan(d).collect()}
-    assert got == {1: "mit", 2: ""}
+    """Labels, score and spans against brute force: repeats, gaps, drift, wrong order, two templates in one run."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    apache = "licensed under the apache license version 2 0"
+    texts = ["the mit license the mit license", "released under the mit license", f"x y {mit} z", f"x {mit.replace('hereby', 'hereby now also')} z", f"x {mit.replace(' free of charge', '')}"]
+    texts += [" ".join(reversed(mit.split())), f"{mit} {mit}", f"{apache} {apache} all rights reserved", "licensed under the mit license licensed under the apache license version 2 0", "mit license the the mit under license released"]
+    texts += [mit[: len(mit) // 2], "granted free of charge to is hereby granted free of charge", "this work is licensed under the gnu general public license version 3", ""]
+    rnd = random.Random(8)
+    every = sorted({w for t in license_scan.TEMPLATES for w in t.split()})
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            t = rnd.choice(list(license_scan.TEMPLATES)).split()
+            i = rnd.randrange(len(t))
+            words += t[: i + 1] + [rnd.choice(every) for _ in range(rnd.choice([0, 0, 1, 2, 4]))] + t[i + rnd.choice([0, 1, 2]) :]
+        texts.append(" ".join(words))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        labels, score, spans = brute_licenses(t)
+        assert (got[k].labels, got[k].score) == (labels, score), t
+        assert sorted((s.start, s.end, s.label, s.score) for s in got[k].spans or []) == spans, t
+    assert got[0].labels == "" and got[0].score == 0 and got[1].labels == "mit" and got[3].labels == got[4].labels == "mit" and got[5].labels == ""
 
 
 def test_decontamination(spark, docs, odd, none, local):
