@@ -23,17 +23,23 @@ _FEATURE_SCHEMA = ", ".join(f"{f} double" for f in FEATURES)
 
 
 def labelled_features(d: DataFrame, labels: DataFrame, label: str, label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(features, label) of a bounded sample of labelled documents; ``d`` has ID and TEXT."""
-    some = labels.select(F.col(label_id).alias("__pick"), F.col(label).cast("double").alias("__y")).na.drop().dropDuplicates(["__pick"]).orderBy(F.xxhash64("__pick"), "__pick").limit(sample)
-    picked = d.join(F.broadcast(some), F.col(ID) == F.col("__pick")).select("__pick", "__y", TEXT)  # at most `sample` ids and labels are broadcast
+    """(features, label) of a bounded sample of labelled documents; ``d`` has ID and TEXT.
+
+    An id with two labels has the smaller one, an id with several texts the first of them in order, so reruns agree and
+    no more than ``sample`` rows come to the driver.
+    """
+    known = labels.select(F.col(label_id).alias("__pick"), F.col(label).cast("double").alias("__y")).na.drop()
+    some = known.groupBy("__pick").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__pick"), "__pick").limit(sample)
+    found = d.join(F.broadcast(some), F.col(ID) == F.col("__pick"))  # at most `sample` ids and labels are broadcast
+    picked = found.groupBy("__pick", "__y").agg(F.min(TEXT).alias(TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(raw, raw.decode("utf-8", "replace"), base_stats(raw, raw.decode("utf-8", "replace"))) for t in b.column(2).cast(pa.binary()).to_pylist() for raw in (t or b"",)]
             cols = list(zip(*x)) if x else [()] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *(pa.array(c, pa.float64()) for c in cols)], names=["pick", "y", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), *(pa.array(c, pa.float64()) for c in cols)], names=["pick", "y", *FEATURES])
 
-    rows = picked.mapInArrow(run, f"pick long, y double, {_FEATURE_SCHEMA}").toPandas()
+    rows = picked.mapInArrow(run, f"pick string, y double, {_FEATURE_SCHEMA}").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the same order, and so the same model, on each run
     return rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float)
 

@@ -21,19 +21,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.llm.bpe import WordEncoder, once
-from confluo.llm.common import ID, KEY, TEXT, checkpoint_root, narrow, row_key, shared_table
+from confluo.llm.common import ID, KEY, TEXT, checkpoint_root, cyclic_parts, narrow, row_key, shared_table
 
-BLOCK_BYTES = 1 << 20
-#: The dictionary is fitted on so many documents at most (smallest hash of the id), and is so large at most.
-DICT_DOCS, DICT_BYTES, LEVEL = 1024, 64 << 10, 3
+#: Bytes of a block's frames, and of the texts of a shard.
+BLOCK_BYTES, SHARD_BYTES = 1 << 20, 64 << 20
+#: The dictionary is fitted on so many documents at most (smallest hash of the id), on so many letters and bytes of ids of
+#: each at most, and is so large at most. A document is compressed whole, whatever the dictionary.
+DICT_DOCS, DICT_LETTERS, DICT_IDS, DICT_BYTES, LEVEL = 1024, 1 << 16, 1 << 15, 64 << 10, 3
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the id arrays of at most DICT_DOCS documents; empty where there is too little to learn."""
     chosen = docs.select(F.col(ID).alias("__pick")).distinct().orderBy(F.xxhash64("__pick"), "__pick").limit(DICT_DOCS)
-    rows = docs.join(F.broadcast(chosen), F.col(ID) == F.col("__pick"), "left_semi").select(F.substring(TEXT, 1, 1 << 16).alias(TEXT)).limit(2 * DICT_DOCS).collect()
+    rows = docs.join(F.broadcast(chosen), F.col(ID) == F.col("__pick"), "left_semi").select(F.substring(TEXT, 1, DICT_LETTERS).alias(TEXT)).limit(2 * DICT_DOCS).collect()
     encoder = WordEncoder(tokenizer)
-    samples = [encoder.encode((r[0] or "").encode())[: 1 << 15] + end_id.to_bytes(4, "little") for r in rows]
+    samples = [encoder.encode((r[0] or "").encode())[:DICT_IDS] + end_id.to_bytes(4, "little") for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -49,9 +51,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
     spark, d = docs.sparkSession, narrow(docs, id_col, text_col)
     shared = train_dictionary(d, tokenizer, end_id)
     crc = zlib.crc32(shared)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bounds of the shards from the ids alone: the encoding isn't run for a range sample.
+    size = F.coalesce(F.octet_length(TEXT).cast("long"), F.lit(0))
+    total, without = d.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col(ID).isNull(), size)), F.lit(0))).first()
+    parts, nulls = cyclic_parts(spark, total - without, SHARD_BYTES), without // SHARD_BYTES + 1
+    # Bounds of the shards from the ids alone: the encoding isn't run for a range sample. Rows without an id follow by the
+    # hash of their text.
     bounds = sorted(set(d.select(F.col(ID).cast("double").alias(ID)).na.drop().approxQuantile(ID, [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    after = len(bounds) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, comp, end = once(WordEncoder, tokenizer), _compressor(shared), end_id.to_bytes(4, "little")
@@ -61,7 +67,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
                 raw = encoder.encode(t or b"") + end
                 n.append(len(raw) // 4)
                 frames.append(comp.compress(raw))
-            shard = [len(bounds) + 1 if i is None else bisect_left(bounds, i) for i in ids]
+            keys = b.column(2).to_pylist()
+            shard = [after + ((k + (1 << 63)) * nulls >> 64) if i is None else bisect_left(bounds, i) for i, k in zip(ids, keys)]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["shard", ID, KEY, "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +91,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
             yield flush()
 
     coded = d.withColumn(KEY, row_key(F.col(ID), F.col(TEXT))).mapInArrow(encode, f"shard long, {ID} long, {KEY} long, n long, frame binary")
-    packed = coded.repartition(parts, "shard").sortWithinPartitions("shard", F.asc_nulls_last(ID), KEY).mapInArrow(pack, "shard long, block long, doc_ids array<long>, n_ids long, index binary, payload binary, dict_crc long")
+    packed = coded.repartitionById(after + nulls, F.col("shard").cast("int")).sortWithinPartitions("shard", F.asc_nulls_last(ID), KEY).mapInArrow(pack, "shard long, block long, doc_ids array<long>, n_ids long, index binary, payload binary, dict_crc long")
     packed.write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(shared), crc)], "dict binary, dict_crc long").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
@@ -97,7 +104,7 @@ def read_tokens(spark, path: str, id_col: str = "doc_id") -> DataFrame:
         raise ValueError("the dictionary is not the one that was written")
     blocks = spark.read.parquet(f"{path}/blocks")
     sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # One row a shard; shards are as many as the session's shuffle partitions.
+    # One row a shard, of SHARD_BYTES of text or more.
     shards = sums.select("shard", (F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("shard_start"))
     inner = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = blocks.select("shard", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("in_shard")).join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("start"))
@@ -127,7 +134,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
     Null texts are empty documents that hold only the end id; null ids come last with null as id; rows with one id
     follow each other by a hash of their text, repeated rows are kept; an empty table gives no rows; other columns
-    are ignored.
+    are ignored. The id is an integer. Rows of one id are in one shard, which is sorted on disk and packed a block at a time.
     """
     spark = docs.sparkSession
     checkpoint_root(spark)

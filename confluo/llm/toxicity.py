@@ -137,7 +137,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", label_id: str = "doc_id") -> Lexicon:
     """A lexicon from labelled rows that aren't held out (crc32 of the id as text, mod 4, is not 2)."""
     d = narrow(docs, id_col, text_col)
-    usable = labels.select(F.col(label_id).alias("__pick"), F.col(label).cast("int").alias("__y")).na.drop().dropDuplicates(["__pick"]).where(F.crc32(F.col("__pick").cast("string")) % 4 != 2)
+    usable = labels.select(F.col(label_id).alias("__pick"), F.col(label).cast("int").alias("__y")).na.drop().groupBy("__pick").agg(F.min("__y").alias("__y")).where(F.crc32(F.col("__pick").cast("string")) % 4 != 2)
     share = {r[0]: r[1] for r in usable.groupBy("__y").count().collect()}
     if not share.get(1) or not share.get(0):
         return Lexicon()
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y, n in SAMPLE.items():
         part = usable.where(F.col("__y") == y).orderBy(F.xxhash64("__pick"), "__pick").limit(n)
         some = part if some is None else some.unionByName(part)
-    rows = cut(d.join(F.broadcast(some), F.col(ID) == F.col("__pick")).select("__y", TEXT).dropDuplicates([TEXT]))  # the sample's ids are few by SAMPLE
+    rows = cut(d.join(F.broadcast(some), F.col(ID) == F.col("__pick")).groupBy(TEXT).agg(F.min("__y").alias("__y")).select("__y", TEXT))  # the sample's ids are few by SAMPLE
 
     def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from confluo.llm import decontamination, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, queries, substring_dedup, token_counts, token_output, toxicity, trees
 from confluo.llm import exchange as X
@@ -108,6 +109,38 @@ def test_quality_rules(docs, labels, odd, none, local):
     assert quality_rules.quality_rules(none, labels.limit(0)).count() == 0
 
 
+def held_out(spark):
+    """Documents of sf0.1, their labels, and the labels without a quarter of the ids."""
+    big = "/root/testdata/sf0.1"
+    lab = spark.read.parquet(f"{big}/labels.parquet")
+    out = "crc32(cast(doc_id as string)) % 4 = 2"
+    marks = {r.doc_id: r.quality for r in lab.where(out).collect()}
+    docs = spark.read.parquet(f"{big}/documents.parquet").join(lab.where(out).select("doc_id"), "doc_id", "left_semi")
+    return spark.read.parquet(f"{big}/documents.parquet"), docs, lab.where(f"not {out}"), marks
+
+
+def test_quality_held_out(spark):
+    """Verdicts on labels that weren't used to fit."""
+    everything, docs, labels, marks = held_out(spark)
+    for judge in (quality_rules.quality_rules, quality_classifier.classify):
+        got = {r.doc_id: r.kept for r in judge(everything, labels).collect() if r.doc_id in marks}
+        assert np.mean([got[i] for i, q in marks.items() if q]) > 0.95, judge
+        assert np.mean([got[i] for i, q in marks.items() if not q]) < 0.05, judge
+
+
+def test_quality_ids_ties_and_columns(spark, odd):
+    """Text ids, an id and a text with two labels, tables without the site's columns, labels of one class or none."""
+    text = odd.withColumn("doc_id", F.concat(F.lit("d"), odd.doc_id.cast("string")))
+    two = spark.createDataFrame([("d1", 1, 0), ("d1", 0, 1), ("d3", 0, 0), ("d8", 1, None)], "doc_id string, quality int, toxic int")
+    for judge in (quality_rules.quality_rules, quality_classifier.classify, toxicity.toxicity):
+        for lab in (two, two.where("doc_id = 'd3'"), two.limit(0), two.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))):
+            assert judge(text, lab).count() == len(odd_rows())
+    bare = text.select("doc_id", "text")
+    assert quality_classifier.classify(bare, two).count() == len(odd_rows())
+    a, b = ([str(r) for r in quality_rules.quality_rules(text, two).orderBy("doc_id", "score").collect()] for _ in range(2))
+    assert a == b
+
+
 def test_long_text_repeats_are_the_same(monkeypatch):
     from confluo.llm import doc_stats
 
@@ -506,6 +539,22 @@ def test_exchange_of_two_levels(spark, docs, odd, local, monkeypatch):
     assert sets == {i: (len(every[i]), sorted(x)) for i, x in shared.items() if 4 * len(x) >= 3 * len(every[i])}
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    """Each stage on nulls, repeats and clashing names, and on an empty table, as the next one's documents."""
+    import corpus_pipeline
+
+    for start in (odd, none):
+        t = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, t, SF)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == odd.columns, name
+                t = spark.createDataFrame(out.collect(), odd.schema)
+                assert (t.count() == 0) == (start is none) or k > 0
+            else:
+                assert out.count() == t.count()
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
