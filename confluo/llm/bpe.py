@@ -15,7 +15,7 @@ import re
 import struct
 import unicodedata
 
-from confluo.llm.common import Memo
+from confluo.llm.common import KEPT, Memo
 
 WORD_BOUND, PIECE_BOUND = 20_000, 150_000
 #: Up to here letters and digits are the same in all versions of Unicode, nothing composes, and one letter's lower case is one letter.
@@ -131,11 +131,8 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.split())) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
 
 
-_MADE: dict = {}
-
-
 def once(kind, path: str):
-    """One object a worker process and file, kept between tasks."""
-    if (kind, path) not in _MADE:
-        _MADE[kind, path] = kind(path)
-    return _MADE[kind, path]
+    """One object a worker process and file, kept between the tasks of a stage."""
+    if (kind, path) not in KEPT:
+        KEPT[kind, path] = kind(path)
+    return KEPT[kind, path]

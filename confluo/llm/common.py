@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all machines share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "confluo")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
@@ -65,8 +68,14 @@ def cyclic_parts(spark: SparkSession, total_bytes: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // per_part), 1)
 
 
+#: What a worker process keeps between tasks of one stage, until another stage's function releases it.
+KEPT: dict = {}
+
+
 def release() -> None:
-    """Give freed memory back to the system: a worker process lives on between stages, and so would its largest size."""
+    """Give memory back to the system: a worker process lives on between stages, and so would its largest size."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

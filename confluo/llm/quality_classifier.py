@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm import trees
-from confluo.llm.common import ID, KEY, TEXT, cut, narrow, row_key
+from confluo.llm.common import ID, KEY, TEXT, cut, release, row_key
 from confluo.llm.doc_stats import FEATURES, base_stats, features
 from confluo.llm.quality_rules import SAMPLE, labelled_features
 
@@ -36,6 +36,7 @@ def evidence(d: DataFrame, model: trees.Forest, *carry: str) -> DataFrame:
     schema = kept.drop(TEXT).schema.add("p", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             x = [features(raw, text, base_stats(raw, text)) for t in b.column(len(carry)).cast(pa.binary()).to_pylist() for raw in (t or b"",) for text in (raw.decode("utf-8", "replace"),)]
             p = 1 / (1 + np.exp(-model.raw(np.array(x, float).reshape(-1, len(FEATURES)))))
@@ -58,12 +59,12 @@ def _strength(groups: DataFrame, parent: str) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, sample: int = SAMPLE) -> DataFrame:
     """(id, evidence, host_mean, path_mean, posterior, kept) for each row; the row's key is in the column KEY.
 
-    Null hosts or paths are sites of their own; a null text has no words; null ids and repeated rows pass through;
+    Null hosts or paths are sites of their own; without the columns all documents are one site; a null text has no words; null ids and repeated rows pass through;
     without usable labels the evidence is the base rate; an empty table gives no rows; other columns are ignored.
     """
-    d = narrow(docs, id_col, text_col).select(ID, TEXT, F.lit(None).alias("__none")) if host_col not in docs.columns else docs.select(docs[id_col].alias(ID), docs[text_col].alias(TEXT), docs[host_col].cast("string").alias("host"), F.concat_ws("\x1f", *[F.coalesce(docs[c].cast("string"), F.lit("\x00")) for c in path_cols]).alias("path"))
-    if host_col not in docs.columns:
-        d = d.select(ID, TEXT, F.lit("").alias("host"), F.lit("").alias("path"))
+    path = [F.coalesce(docs[c].cast("string"), F.lit("\x00")) if c in docs.columns else F.lit("") for c in path_cols]
+    host = docs[host_col].cast("string") if host_col in docs.columns else F.lit("")
+    d = docs.select(docs[id_col].alias(ID), docs[text_col].alias(TEXT), host.alias("host"), F.concat_ws("\x1f", *path).alias("path"))
     model = trees.fit(*labelled_features(d, labels, "quality", sample=sample), signs=list(FEATURES.values()))
     d = d.withColumn("host", F.coalesce("host", F.lit("\x00"))).withColumn(KEY, row_key(F.col(ID), F.col(TEXT)))
     scored = cut(evidence(d, model, ID, KEY, "host", "path"))  # ids, sites and a number a row: the texts are scored once
