@@ -67,22 +67,42 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"), F.lit(1))
 
 
+#: The CJK blocks that are stripped.
+CJK_BLOCKS = (
+    "\u2E80-\u2EFF", "\u2F00-\u2FDF", "\u3000-\u303F", "\u3040-\u309F", "\u30A0-\u30FF", "\u3100-\u312F", "\u3130-\u318F",
+    "\u3190-\u319F", "\u31A0-\u31BF", "\u31F0-\u31FF", "\u3200-\u32FF", "\u3300-\u33FF", "\u3400-\u4DBF", "\u4E00-\u9FFF",
+    "\uA000-\uA48F", "\uA490-\uA4CF", "\uAC00-\uD7AF", "\uF900-\uFAFF", "\uFE30-\uFE4F",
+)
+#: Phrases that tell a leaked instruction.
+LEAK_PHRASES = (
+    "professional meeting scribe", "expert editor maintaining", "your task is to produce", "core editing rule",
+    "return a json object", "security constraints", "these instructions", "system prompt", "as a language model", "as an ai",
+    "i am an ai", "summarisation process", "fast-pass summariser", "heading format", "json response", "output format",
+    "key points guidelines", "topics guidelines",
+)
+#: The time ranges that mark an item without timing, and those that may end a heading.
+ZERO_RANGE = r"\[\s*0:00:00\s*[–—-]\s*0:00:00\s*\]"
+TRAILING_RANGE = r"\s*\[\d+:\d{2}:\d{2}\s*[–—-]\s*\d+:\d{2}:\d{2}\]\s*$"
+
+
 def strip_cjk(text: Column) -> Column:
-    cjk = r"[⺀-⿿　-〿぀-ヿ㄀-ㄯㆠ-ㇿ㐀-䶿一-鿿가-힯豈-﫿＀-￯]+"
-    return F.trim(F.regexp_replace(F.regexp_replace(text, cjk, " "), " {2,}", " "))
+    """Runs of CJK letters become one blank, runs of blanks one, ends are trimmed."""
+    cut = F.regexp_replace(text, f"[{''.join(CJK_BLOCKS)}]+", " ")
+    return F.regexp_replace(F.regexp_replace(cut, " {2,}", " "), r"\A\s+|\s+\z", "")
 
 
-def drop_lines_with(text: Column, fingerprints: list[str]) -> Column:
-    bad = lambda line: F.exists(F.array(*[F.lit(f) for f in fingerprints]), lambda f: F.contains(F.lower(line), f))
+def drop_lines_with(text: Column, phrases: tuple[str, ...] = LEAK_PHRASES) -> Column:
+    """Lines without any of the phrases, case aside."""
+    bad = lambda line: F.exists(F.array(*[F.lit(f) for f in phrases]), lambda f: F.contains(F.lower(line), f))
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n")
 
 
 def drop_zero_timed(items: Column) -> Column:
-    return F.filter(items, lambda i: ~i.rlike(r"\[0:00:00\s*[–—-]\s*0:00:00\]"))
+    return F.filter(items, lambda i: ~i.rlike(ZERO_RANGE))
 
 
 def strip_trailing_range(heading: Column) -> Column:
-    return F.regexp_replace(heading, r"\s*\[\d+:\d{2}:\d{2}\s*[–—-]\s*\d+:\d{2}:\d{2}\]\s*$", "")
+    return F.regexp_replace(heading, TRAILING_RANGE, "")
 
 
 def strip_fence(text: Column) -> Column:
@@ -95,8 +115,8 @@ def tidy_punctuation(text: Column) -> Column:
 
 def reference_id(text: Column) -> Column:
     """A positive whole number or null."""
-    x = F.try_to_number(F.trim(text), F.lit("999999999999.9999")).cast("double")
-    return F.when((x > 0) & (x == F.floor(x)), x.cast("long"))
+    whole = F.regexp_extract(F.trim(text), r"\A\+?(\d{1,18})(?:\.0*)?\z", 1)
+    return F.when(whole != "", F.when(whole.cast("long") > 0, whole.cast("long")))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -114,20 +134,95 @@ def phrases_equivalent(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(same, lambda x: F.coalesce(x, F.lit(False)))
 
 
-def longest_boundary_match(before: Column, after: Column, most: int) -> Column:
-    """Tokens of the longest end of ``before`` that begins ``after``, compared bare; 0 for none. One or two tokens count from
-    a mean length of 3 on, and a token that is bare of everything equals none."""
-    a, b = F.transform(before, bare_token), F.transform(after, bare_token)
-    head = lambda k: F.slice(b, F.lit(1), k)
-    long_enough = lambda k: ~F.array_contains(head(k), "") & ((k > 2) | (F.length(F.array_join(head(k), "")) >= 3 * k))
-    sizes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), F.size(a), F.size(b))))
-    fits = F.filter(sizes, lambda k: (k <= F.size(a)) & (k <= F.size(b)) & (F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), k) == F.slice(b, F.lit(1), k)) & long_enough(k))
-    return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
-
-
 def pcm16(samples: Column) -> Column:
     return F.transform(samples, lambda x: (clamp(x, -1.0, 1.0) * 32767).cast("smallint"))
 
 
 def dbfs(mean_square: Column) -> Column:
-    return 20 * F.log10(F.greatest(F.sqrt(mean_square), F.lit(1e-12)))
+    """Level of a frame by its mean square; an empty frame (null) is infinitely quiet."""
+    return F.coalesce(20 * F.log10(F.greatest(F.sqrt(mean_square), F.lit(1e-12))), F.lit(float("-inf")))
+
+
+def duration_text(seconds: Column) -> Column:
+    """'1 hour 2 minutes 5 seconds': parts of zero are left out, but for a duration of nothing."""
+    s = F.floor(seconds).cast("long")
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    part = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+    nothing = (h <= 0) & (m <= 0)
+    return F.concat_ws(" ", F.when(h > 0, part(h, "hour")), F.when(m > 0, part(m, "minute")), F.when((r > 0) | nothing, part(r, "second")))
+
+
+#: Languages that an answer may be asked for in.
+LANGUAGES = {
+    "en": "English", "zh": "Chinese", "es": "Spanish", "fr": "French", "de": "German", "ja": "Japanese", "ko": "Korean",
+    "pt": "Portuguese", "it": "Italian", "ru": "Russian", "ar": "Arabic", "hi": "Hindi", "nl": "Dutch", "pl": "Polish",
+    "tr": "Turkish", "vi": "Vietnamese", "th": "Thai", "id": "Indonesian",
+}
+
+
+def language_name(code: Column) -> Column:
+    """The language that answers are asked for in; English for an unknown or missing code."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, code), F.lit("English"))
+
+
+#: Names of tools that an answer shouldn't mention.
+TOOL_NAMES = (
+    "search_notes", "search_content", "get_segment", "get_status", "check_availability", "search_web", "search_fast_summaries",
+    "search_transcript", "get_transcript_time_range", "get_stream_info", "get_context_availability", "web_search",
+)
+_STRIP = r"\A\s+|\s+\z"
+
+
+def agent_answer(raw: Column) -> tuple[Column, Column]:
+    """(response, error) of an agent's raw output: tool calls go, an answer is unwrapped, mentions of tools go, an error is
+    taken out."""
+    trim = lambda c: F.regexp_replace(c, _STRIP, "")
+    tools = rf"(?i)(?:I\s+(?:used|called|invoked|ran)\s+(?:the\s+)?|(?:using|via|through)\s+(?:the\s+)?)(?:{'|'.join(TOOL_NAMES)})(?:\s+tool)?(?:\s+to\b|\s*,)?\s*"
+    text = trim(F.regexp_replace(raw, r"(?si)<tool_call>.*?</?tool_call>", ""))
+    text = trim(F.regexp_replace(text, r"(?si)<answer>(.*?)</answer>", "$1"))
+    text = trim(F.regexp_replace(text, tools, ""))
+    has = text.rlike(r"(?si)<error>.*?</error>")
+    error = F.when(has, trim(F.regexp_extract(text, r"(?si)<error>(.*?)</error>", 1)))
+    return F.when(has, trim(F.regexp_replace(text, r"(?si)<error>.*?</error>", ""))).otherwise(text), error
+
+
+#: What an error that never succeeds on retry says.
+HOPELESS = ("context_length_exceeded", "maximum context length", "too many tokens", "reduce the length")
+
+
+def is_retryable(message: Column) -> Column:
+    return ~F.exists(F.array(*[F.lit(p) for p in HOPELESS]), lambda p: F.contains(F.lower(message), p))
+
+
+def tail(text: Column, n: int) -> Column:
+    return F.right(text, F.lit(n))
+
+
+def first_half(text: Column) -> Column:
+    """What a retry after a truncated answer keeps of its prior context."""
+    return F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
+
+
+def insight_line(kind: Column, number: Column, start: Column, end: Column, text: Column, continues: Column, corrects: Column) -> Column:
+    """'- **TYPE** [#id] [start - end]: text (CONTINUATION of insight #n)'; a reference of 0 is none."""
+    mark = lambda word, n: F.when(n != 0, F.concat(F.lit(f"{word} of insight #"), n.cast("string")))
+    marks = F.concat_ws(", ", mark("CONTINUATION", continues), mark("CORRECTION", corrects))
+    head = F.concat(F.lit("- **"), kind, F.lit("** [#"), number.cast("string"), F.lit("] ["))
+    when = F.concat(hms(start, True), F.lit(" - "), hms(end, True), F.lit("]: "))
+    return F.concat(head, when, text, F.when(marks != "", F.concat(F.lit(" ("), marks, F.lit(")"))).otherwise(""))
+
+
+def section_block(heading: Column, start_ms: Column, end_ms: Column, content: Column) -> Column:
+    """A section as markdown: heading without a range of its own, clock range, content."""
+    trim = lambda c: F.regexp_replace(c, _STRIP, "")
+    named = F.when(F.coalesce(heading, F.lit("")) == "", "Untitled Topic").otherwise(heading)
+    title = trim(strip_trailing_range(trim(named)))
+    return F.concat(F.lit("## "), title, F.lit(" ["), clock(start_ms), F.lit(" – "), clock(end_ms), F.lit("]\n\n"), trim(F.coalesce(content, F.lit(""))))
+
+
+def multiset_coverage(source: Column, candidate: Column) -> Column:
+    """Share of the candidate's tokens that the source has, each as often as it stands there; 0 without tokens."""
+    count = lambda tokens, w: F.size(F.filter(tokens, lambda x: x == w))
+    both = F.aggregate(F.array_distinct(candidate), F.lit(0), lambda n, w: n + F.least(count(source, w), count(candidate, w)))
+    return F.coalesce(F.try_divide(both.cast("double"), F.size(candidate).cast("double")), F.lit(0.0))

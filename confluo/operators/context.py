@@ -38,12 +38,66 @@ def recent(w: DataFrame, chars: int) -> DataFrame:
     return w.withColumn("__b", before).where(F.col("__b") < chars).drop("__b")
 
 
-def budget_fold(w: DataFrame, tokens: int) -> DataFrame:
-    """Newest to oldest, a window is taken if its tokens still fit: a fold, as a skipped window doesn't end it."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("window_id")).alias("neg"), F.floor(F.length("text") / 4).alias("cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda s, r: F.when(s["used"] + r["cost"] <= tokens, F.struct((s["used"] + r["cost"]).alias("used"), F.concat(F.array(-r["neg"]), s["ids"]).alias("ids"))).otherwise(s)
-    return w.groupBy("stream_id").agg(F.aggregate(rows, start, step).alias("s")).select("stream_id", F.col("s.used").alias("tokens_used"), F.array_join(F.transform("s.ids", lambda i: i.cast("string")), ",").alias("window_ids"))
+def budget_fold(items: DataFrame, keys: list[str], order: str, cost: Column, tokens: Column | int) -> DataFrame:
+    """(keys, used, taken, first_miss): newest to oldest by ``order``, an item is taken if its cost still fits; a fold, as a missed
+    item doesn't end it. ``tokens``: 0 takes all, less than 0 nothing; ``first_miss`` is the order of the first one that didn't fit."""
+    limit = tokens if isinstance(tokens, Column) else F.lit(tokens)
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("neg"), cost.cast("long").alias("cost"))))
+    empty = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("taken"), F.lit(None).cast("long").alias("miss"))
+    g = items.groupBy(*keys).agg(rows.alias("rows"), F.max(limit).alias("limit"))
+
+    def step(s: Column, r: Column) -> Column:
+        take = F.struct((s["used"] + r["cost"]).alias("used"), F.concat(s["taken"], F.array(-r["neg"])).alias("taken"), s["miss"].alias("miss"))
+        miss = F.struct(s["used"].alias("used"), s["taken"].alias("taken"), F.coalesce(s["miss"], -r["neg"]).alias("miss"))
+        limit = F.col("limit")
+        return F.when(limit < 0, s).when((limit == 0) | limit.isNull() | (s["used"] + r["cost"] <= limit), take).otherwise(miss)
+
+    s = F.aggregate("rows", start, step)
+    return g.select(*keys, s.alias("s")).select(*keys, F.col("s.used").alias("used"), F.col("s.taken").alias("taken"), F.col("s.miss").alias("first_miss"))
+
+
+def text_and_results(w: DataFrame, results: DataFrame, text_tokens: int, plugins: dict[str, int | None]) -> DataFrame:
+    """(stream_id, text, text_tokens, results, per_window): the text and the plugins' results that fit their budgets.
+
+    ``w`` (stream_id, window_id, text), ``results`` (stream_id, window_id, plugin, formatted, include). Text comes oldest first, each
+    plugin's results newest first. A budget of None is none, one of 0 for a plugin takes what costs nothing. Once the text and
+    every plugin have missed an item, nothing older is taken. ``per_window`` is a plugin's number of results over the
+    number of windows.
+    """
+    asked = results.where(F.col("plugin").isin(list(plugins)) & F.coalesce("include", F.lit(True)) & (F.col("formatted") != ""))
+    # A plugin's limit of 0 isn't "no limit": it becomes a limit that only free items meet.
+    limits = F.create_map(*[x for p, n in plugins.items() for x in (F.lit(p), F.lit(n).cast("double"))]) if plugins else None
+    own = F.try_element_at(limits, F.col("plugin")) if plugins else F.lit(None).cast("double")
+    own = F.when(own == 0, 0.5).otherwise(own)
+    texts = budget_fold(w, ["stream_id"], "window_id", F.floor(F.length("text") / 4), text_tokens)
+    folded = budget_fold(asked, ["stream_id", "plugin"], "window_id", F.floor(F.length("formatted") / 4), own)
+    missed = folded.where("first_miss is not null").groupBy("stream_id").agg(F.count("*").alias("n"), F.min("first_miss").alias("at"))
+    all_missed = F.col("first_miss").isNotNull() & (F.coalesce("n", F.lit(0)) == len(plugins))
+    stop = F.when(all_missed, F.least("first_miss", F.coalesce("at", "first_miss")))
+    stops = texts.join(missed, "stream_id", "left").select("stream_id", "used", "taken", stop.alias("stop"))
+    kept = lambda ids: F.filter(ids, lambda i: F.col("stop").isNull() | (i >= F.col("stop")))
+    mine = stops.select("stream_id", F.explode(kept(F.col("taken"))).alias("window_id")).join(w, ["stream_id", "window_id"])
+    text = mine.groupBy("stream_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window_id", "text"))), lambda r: r["text"]), "\n").alias("text"),
+        F.sum(F.floor(F.length("text") / 4)).alias("text_tokens"),
+    )
+    taken = folded.join(stops.select("stream_id", "stop"), "stream_id").select("stream_id", "plugin", F.explode(kept(F.col("taken"))).alias("window_id"))
+    lines = taken.join(asked, ["stream_id", "plugin", "window_id"])
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("window_id")).alias("neg"), "formatted")))
+    per = lines.groupBy("stream_id", "plugin").agg(F.transform(newest, lambda r: r["formatted"]).alias("list"))
+    joined = F.array_sort(F.collect_list(F.struct("plugin", "list"))).alias("results")
+    out = w.groupBy("stream_id").agg(F.count("*").alias("windows")).join(text, "stream_id", "left").join(per.groupBy("stream_id").agg(joined), "stream_id", "left")
+    ratio = F.transform("results", lambda r: F.struct(r["plugin"].alias("plugin"), (F.size(r["list"]) / F.col("windows").cast("double")).alias("ratio")))
+    return out.select("stream_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("text_tokens", F.lit(0)).cast("long").alias("text_tokens"), "results", ratio.alias("per_window"))
+
+
+def context_string(text: Column, results: Column) -> Column:
+    """Prior text and the plugins' results under their headings, whichever there are."""
+    prior = F.when(text != "", F.concat(F.lit("## PRIOR TEXT\n"), text))
+    every = F.flatten(F.transform(results, lambda r: r["list"]))
+    other = F.when(F.size(every) > 0, F.concat(F.lit("## OTHER PLUGIN RESULTS\n"), F.array_join(every, "\n\n---\n\n")))
+    return F.concat_ws("\n\n", prior, other)
 
 
 def every_nth(w: DataFrame, n: int, delay: float = 0.0) -> DataFrame:

@@ -21,15 +21,22 @@ def last_write(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("m")).select(*keys, "m.*")
 
 
+_OPEN = "coalesce(continuation_of, 0) = 0 and coalesce(correction_of, 0) = 0"
+
+
 def duplicate_types(insights: DataFrame) -> DataFrame:
-    """Types that a window has more than once, continuations left out."""
-    return insights.where("continuation_of is null").groupBy("stream_id", "window_id", "insight_type").agg(F.count("*").alias("n")).where("n > 1")
+    """Types that a window has more than once, continuations and corrections left out."""
+    return insights.where(_OPEN).groupBy("stream_id", "window_id", "insight_type").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def consolidate(insights: DataFrame) -> DataFrame:
-    """One row a duplicate group: the highest confidence and the first text."""
-    g = insights.where("continuation_of is null").groupBy("stream_id", "window_id", "insight_type")
-    return g.agg(F.max("confidence").alias("confidence"), F.min_by("insight_text", "insight_id").alias("insight_text"), F.count("*").alias("n")).where("n > 1")
+    """One row a duplicate group: the highest confidence, the first text and classification, and an id after the stream's last one."""
+    g = insights.where(_OPEN).groupBy("stream_id", "window_id", "insight_type")
+    first = [F.min_by(c, "insight_id").alias(c) for c in ("insight_text", "classification")]
+    rows = g.agg(F.max("confidence").alias("confidence"), *first, F.count("*").alias("n")).where("n > 1")
+    last = insights.groupBy("stream_id").agg(F.max("insight_id").alias("__last"))
+    line = W.partitionBy("stream_id").orderBy("window_id", "insight_type")
+    return rows.join(last, "stream_id").withColumn("insight_id", F.col("__last") + F.row_number().over(line)).drop("__last")
 
 
 def trimmed_cues(cues: DataFrame) -> DataFrame:

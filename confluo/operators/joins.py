@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluo.operators.shared import cut
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, tie: str) -> DataFrame:
     """The last ``value`` of ``right`` at or before each left row: one union, one sort, no join."""
@@ -16,6 +18,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
     return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(line)).where("__kind = 1").select(*cols, value)
 
 
+def type_in_force(left: DataFrame, changes: DataFrame, recompute: bool, unknown: str = "UNKNOWN") -> DataFrame:
+    """``left`` (stream_id, ms, ..) with content_type: the change in force at ms, or unknown.
+
+    With ``recompute`` a window before the first change, or under an unknown type, has the latest type of its stream.
+    """
+    j = as_of(left, changes, "stream_id", "ms", "start_ms", "content_type", "change_window")
+    held = F.coalesce("content_type", F.lit(unknown))
+    if not recompute:
+        return j.withColumn("content_type", held)
+    latest = changes.groupBy("stream_id").agg(F.max_by("content_type", F.struct("start_ms", "change_window")).alias("__latest"))
+    j = j.join(latest, "stream_id", "left")
+    return j.withColumn("content_type", F.when(held == unknown, F.coalesce("__latest", held)).otherwise(held)).drop("__latest")
+
+
 def overlap_join(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str], bucket: int) -> DataFrame:
     """Pairs of one key whose intervals overlap: an equi-join on time buckets, each pair kept in its first common bucket."""
     (a0, a1), (b0, b1) = a_span, b_span
@@ -54,20 +70,44 @@ def rendezvous(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("stream_id", "window_id").distinct().join(b.select("stream_id", "window_id").distinct(), ["stream_id", "window_id"])
 
 
-def chain_roots(links: DataFrame, key: str, node: str, parent: str) -> DataFrame:
-    """The root that each node's chain of parents ends in, by pointer doubling: log2(length) joins, no per-node loop.
+def _ancestors(state: DataFrame, key: str, steps: int) -> DataFrame:
+    """(key, n, p) with p moved 2 ** steps links up, or to the last node; a parent that isn't a node is the last."""
+    for _ in range(steps):
+        up = state.select(key, F.col("n").alias("p"), F.col("p").alias("pp"))
+        state = cut(state.join(up, [key, "p"], "left").select(key, "n", F.coalesce("pp", "p").alias("p")))
+    return state
+
 
-    A parent that isn't a node is the root; nodes on or before a cycle end where the doubling stops.
+def chain_roots(links: DataFrame, key: str, node: str, parent: str, other: str | None = None) -> DataFrame:
+    """The root that each node's chain of parents ends in: pointer doubling, as many rounds as the digits of the largest chain.
+
+    ``other`` is a second reference that counts where ``parent`` is null or 0. A parent that isn't a node is the root; a chain that
+    comes to a cycle ends at the node that it visits again, so a node on a cycle is its own root.
     """
-    state = links.select(key, F.col(node).alias("n"), F.coalesce(parent, node).alias("p"))
-    for _ in range(16):
-        up = state.select(key, F.col("n").alias("p"), F.col("p").alias("pp"))
-        new = state.join(up, [key, "p"], "left").select(key, "n", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved"))
-        new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    return state.select(key, F.col("n").alias(node), F.col("p").alias("root"))
+    ref = F.when(F.col(parent) != 0, F.col(parent))
+    ref = ref if other is None else F.coalesce(ref, F.when(F.col(other) != 0, F.col(other)))
+    state = cut(links.select(key, F.col(node).alias("n"), F.coalesce(ref, node).alias("p")))
+    most = state.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    steps = max(1, most).bit_length()
+    far = _ancestors(state, key, steps)
+    # After so many steps a chain stands at its root or on its cycle, and every node of a cycle is stood on.
+    up = state.select(key, F.col("n").alias("p"), F.col("p").alias("next"))
+    on_cycle = far.join(up, [key, "p"]).where(F.col("next") != F.col("p")).select(key, F.col("p").alias("n")).distinct().withColumn("cycle", F.lit(True))
+    on_cycle = cut(on_cycle)
+    if on_cycle.isEmpty():
+        return far.select(key, F.col("n").alias(node), F.col("p").alias("root"))
+    open_ = state.join(on_cycle, [key, "n"], "left").select(key, "n", F.when(F.col("cycle"), F.col("n")).otherwise(F.col("p")).alias("p"))
+    return _ancestors(cut(open_), key, steps).select(key, F.col("n").alias(node), F.col("p").alias("root"))
+
+
+def closed_merges(merges: DataFrame) -> DataFrame:
+    """(old, new) with every merge followed to its end."""
+    one = merges.select(F.lit(0).alias("k"), "old", "new")
+    last = merges.select(F.lit(0).alias("k"), F.col("new").alias("old"), F.lit(None).cast(merges.schema["new"].dataType).alias("new"))
+    every = one.unionByName(last.join(one, ["k", "old"], "left_anti")).distinct()
+    state = every.select("k", F.col("old").alias("n"), F.coalesce("new", "old").alias("p"))
+    most = merges.count() + 1
+    return _ancestors(state, "k", most.bit_length()).where("n <> p").select(F.col("n").alias("old"), F.col("p").alias("new"))
 
 
 def remap(rows: DataFrame, col: str, merges: DataFrame) -> DataFrame:

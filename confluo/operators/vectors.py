@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,18 +36,75 @@ def validity(v: Column, min_norm: float = 0.1, min_mean: float = 1e-6, max_zero:
     zeros = F.size(F.filter(v, lambda x: F.abs(x) <= 1e-8)) / size
     return (
         F.when(v.isNull() | (size == 0), "empty").when(F.forall(v, lambda x: F.abs(x) <= 1e-8), "all_zeros").when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "nan_or_inf")
-        .when(dot(v, v) < 1e-8, "zero_norm").when(F.array_max(v) > most, "extreme").when(norm(v) < min_norm, "low_norm").when(mean < min_mean, "low_mean").when(zeros > max_zero, "sparse").otherwise("valid")
+        .when(dot(v, v) < 1e-8, "zero_norm").when(F.exists(v, lambda x: F.abs(x) > most), "extreme").when(norm(v) < min_norm, "low_norm").when(mean < min_mean, "low_mean").when(zeros > max_zero, "sparse").otherwise("valid")
     )
 
 
+#: Queries that are met in one pass over the vectors: a block of them is sent to every task.
+QUERIES = 65536
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the stated query set, QUERIES at once."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERIES))
+    for k in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "v").collect() if n else []
+        if rows:
+            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+
+
+def _distances(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+    """Squared distances of a batch's vectors (column 1) and the queries, by one matrix product."""
+    v = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, q.shape[1])
+    return np.maximum(0.0, (v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * v @ q.T)
+
+
 def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, d, rank): the k nearest by squared distance of each query; the queries are a small stated set.
+    """(query_id, vec_id, d, rank): the k nearest by squared distance of each query, ties by id; vectors have one length.
 
-    Each task keeps k rows a query before the shuffle, as the rank is bounded.
+    A task keeps k rows a query and batch, so no pair of vectors becomes a row unless it may be among the nearest.
     """
-    j = vecs.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), F.lit(True)).select("query_id", "vec_id", F.round(squared_distance(F.col("v"), F.col("q")), 6).alias("d"))
+    schema, out = "query_id long, vec_id long, d double", None
+    for ids, q in _blocks(queries):
+        sent = vecs.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for b in batches:
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                d = np.round(_distances(b, q), 6)
+                got: list[tuple] = []
+                for j in range(len(ids) if len(own) else 0):
+                    near = np.flatnonzero(d[:, j] <= np.partition(d[:, j], min(k, len(own)) - 1)[min(k, len(own)) - 1])
+                    near = near[np.lexsort((own[near], d[near, j]))][:k]
+                    got.append((np.full(len(near), ids[j]), own[near], d[near, j]))
+                cols = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "d"])
+
+        part = vecs.select("vec_id", "v").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vecs.sparkSession.createDataFrame([], f"{schema}, rank int")
     line = W.partitionBy("query_id").orderBy("d", "vec_id")
-    return j.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
+
+
+def nearest_distance(vecs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(vec_id, d): the squared distance of each vector from the nearest query; null without queries."""
+    out = None
+    for ids, q in _blocks(queries):
+        sent = vecs.sparkSession.sparkContext.broadcast(q)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_distances(b, sent.value).min(1))], names=["vec_id", "d"])
+
+        part = vecs.select("vec_id", "v").mapInArrow(run, "vec_id long, d double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vecs.select("vec_id", F.lit(None).cast("double").alias("d"))
+    return out.groupBy("vec_id").agg(F.min("d").alias("d"))
 
 
 def relevance_gate(d: Column, at: float = 0.35, faithful: bool = True) -> Column:
@@ -50,12 +112,39 @@ def relevance_gate(d: Column, at: float = 0.35, faithful: bool = True) -> Column
     return F.coalesce((1 - (d * d if faithful else d) / 2) >= at, F.lit(True))
 
 
-def centroids(vecs: DataFrame, key: str) -> DataFrame:
-    """Unit mean vectors as (key, dim, x): sums by dimension, combined before the shuffle."""
-    s = vecs.select(key, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("m"))
+def centroids(vecs: DataFrame, key: str, weight: str) -> DataFrame:
+    """Unit weighted mean vectors as (key, dim, x): sums by dimension, combined before the shuffle."""
+    s = vecs.select(key, weight, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim")
+    s = s.agg((F.sum(F.col("x") * F.col(weight)) / F.sum(weight)).alias("m"))
     return s.withColumn("x", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy(key)))).select(key, "dim", "x")
 
 
+def least_best_match(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, least): of the best cosines of a's vectors among b's the least; ``pairs`` has a row a vector pair (va, vb, cos)."""
+    return pairs.groupBy(a, b, "va").agg(F.max("cos").alias("best")).groupBy(a, b).agg(F.min("best").alias("least"))
+
+
+def plane(vecs: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, x, y): unit centroids on the two main axes of their spread, an axis' largest part positive; zeros for one key.
+
+    The centroids are one row a speaker; their number squared is what the driver gets.
+    """
+    c = centroids(vecs, key, weight).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("v"))
+    schema = c.select(key).schema.add("x", "double").add("y", "double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        m = np.array(pdf["v"].tolist(), float)
+        m = m - m.mean(0)
+        axes = np.linalg.svd(m, full_matrices=False)[2][:2] if len(m) > 1 else np.zeros((2, m.shape[1]))
+        axes = np.vstack([axes, np.zeros((2 - len(axes), m.shape[1]))])
+        axes = axes * np.where(axes[np.arange(2), np.abs(axes).argmax(1)] < 0, -1, 1)[:, None]
+        xy = m @ axes.T
+        return pd.DataFrame({key: pdf[key].to_numpy(), "x": np.round(xy[:, 0], 6) + 0.0, "y": np.round(xy[:, 1], 6) + 0.0})
+
+    return c.groupBy(F.lit(0)).applyInPandas(run, schema)
+
+
 def pairs_within(vecs: DataFrame, key: str) -> DataFrame:
     """Pairs of vectors of one group (a < b) with their cosine; groups are single speakers or chunks, small by nature."""
     a, b = vecs.select(key, F.col("vec_id").alias("a"), F.col("v").alias("va")), vecs.select(key, F.col("vec_id").alias("b"), F.col("v").alias("vb"))

@@ -27,7 +27,8 @@ COUNTS = """count(*) as total, count(*) filter (success) as ok, count(*) filter
 count(*) filter (failure_type = 'truncation_failure') as truncation_failure, round(100.0::double * count(*) filter (success) / count(*), 2) as rate"""
 SEC = TW + ", sec as (select stream_id, window_id, window_id * 2000 as start_ms, window_id * 2000 + 5000 + length(text) % 3 * 2000 as end_ms, substr(text, 1, 12) as heading, text as content from tw)"
 INS = TW + """, ins as (select stream_id, window_id // 2 as window_id, window_id as insight_id, (['KEY POINT', 'ACTION', 'DECISION', 'QUESTION', 'RISK', 'SENTIMENT', 'PARTICIPANTS', 'NOTES'])[length(text) % 8 + 1] as insight_type,
-text as insight_text, length(text) % 100 / 100.0::double as confidence, case when window_id % 3 <> 0 then window_id - 1 end as continuation_of from tw)"""
+text as insight_text, length(text) % 100 / 100.0::double as confidence, case when window_id % 3 <> 0 then window_id - 1 end as continuation_of,
+case when window_id % 6 = 3 then window_id - 2 end as correction_of, 'class ' || (window_id % 4) as classification from tw)"""
 CHG = TW + ", chg as (select stream_id, window_id as change_window, (ts_start * 1000)::bigint as start_ms, ([" + ", ".join(f"'{c}'" for c in A.CONTENT_TYPES) + "])[(stream_id + window_id) % 11 + 1] as content_type from tw where window_id % 3 = 0)"
 VEC = "vec as (select vec_id, embedding::double[] as v, label::bigint as label, vec_id // 10 as chunk_id from embeddings)"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
@@ -68,7 +69,9 @@ f as (select stream_id, 0::bigint as rn, 0::bigint as used, ''::varchar as ids f
 select f.stream_id, o.rn, case when f.used + o.cost <= 150 then f.used + o.cost else f.used end, case when f.used + o.cost <= 150 then case when f.ids = '' then o.window_id::varchar else o.window_id::varchar || ',' || f.ids end else f.ids end from f join o on o.stream_id = f.stream_id and o.rn = f.rn + 1)
 select stream_id, arg_max(used, rn) as tokens_used, arg_max(ids, rn) as window_ids from f group by 1""")
 def token_budget_fold(spark, d):
-    return context.budget_fold(A.transcription_windows(spark, d), 150)
+    f = context.budget_fold(A.transcription_windows(spark, d), ["stream_id"], "window_id", F.floor(F.length("text") / 4), 150)
+    ids = F.array_join(F.transform(F.array_sort("taken"), lambda i: i.cast("string")), ",")
+    return f.select("stream_id", F.col("used").alias("tokens_used"), ids.alias("window_ids"))
 
 
 @query(f"with {TW} select stream_id, string_agg(text, ' ' order by window_id) as text, count(*) as n from tw where ts_end >= 6.0 group by 1")
@@ -143,14 +146,13 @@ def knn_top15(spark, d):
 @query(f"with {VEC}, j as (select vec.vec_id, min(list_sum(list_transform(list_zip(vec.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as d from vec, (select v from vec where vec_id % 100 = 0) q group by 1) select vec_id, round(d, 6) as d, 1 - d * d / 2 >= 0.35 as passes, 1 - d / 2 >= 0.35 as passes_cosine from j")
 def relevance_gate(spark, d):
     v = A.vectors(spark, d)
-    q = v.where("vec_id % 100 = 0").select(F.col("v").alias("q"))
-    m = v.join(q, F.lit(True)).groupBy("vec_id").agg(F.min(vectors.squared_distance(F.col("v"), F.col("q"))).alias("d"))
+    m = vectors.nearest_distance(v, v.where("vec_id % 100 = 0"))
     return m.select("vec_id", F.round("d", 6).alias("d"), vectors.relevance_gate(F.col("d")).alias("passes"), vectors.relevance_gate(F.col("d"), faithful=False).alias("passes_cosine"))
 
 
-@query(f"with {VEC}, m as (select label, i as dim, avg(v[i + 1]) as m from vec, range(64) t(i) group by 1, 2) select label, dim::int as dim, round(m / sqrt(sum(m * m) over (partition by label)), 6) as x from m")
+@query(f"with {VEC}, m as (select label, i as dim, sum(v[i + 1] * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1) as m from vec, range(64) t(i) group by 1, 2) select label, dim::int as dim, round(m / sqrt(sum(m * m) over (partition by label)), 6) as x from m")
 def label_centroids(spark, d):
-    return vectors.centroids(A.vectors(spark, d), "label").withColumn("x", F.round("x", 6))
+    return vectors.centroids(A.vectors(spark, d).withColumn("heard", F.col("vec_id") % 5 + 1), "label", "heard").withColumn("x", F.round("x", 6))
 
 
 @query(f"with {VEC} select a.chunk_id, a.vec_id as a, b.vec_id as b, round({DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) * sqrt({DOT.format(a='b.v', b='b.v')})), 6) as cos from vec a join vec b on a.chunk_id = b.chunk_id and a.vec_id < b.vec_id")
@@ -176,11 +178,16 @@ def speaker_transitions(spark, d):
     return vectors.transitions(A.transcription_windows(spark, d)).withColumn("bonus", F.round("bonus", 8))
 
 
-@query(f"with {CHG} select tw.stream_id, tw.window_id, coalesce(chg.content_type, 'UNKNOWN') as content_type from (select *, (ts_start * 1000)::bigint as ms from tw) tw asof left join chg on tw.stream_id = chg.stream_id and tw.ms >= chg.start_ms")
+@query(f"""with {CHG}, l as (select stream_id, arg_max(content_type, change_window) as latest from chg where change_window > 0 group by 1)
+select tw.stream_id, tw.window_id, coalesce(chg.content_type, 'UNKNOWN') as online,
+case when coalesce(chg.content_type, 'UNKNOWN') = 'UNKNOWN' then coalesce(l.latest, 'UNKNOWN') else chg.content_type end as recomputed
+from (select *, (ts_start * 1000)::bigint as ms from tw) tw asof left join (select * from chg where change_window > 0) chg on tw.stream_id = chg.stream_id and tw.ms >= chg.start_ms left join l on l.stream_id = tw.stream_id""")
 def content_type_asof(spark, d):
+    """The first change is left out, so that windows before any change occur."""
     w = A.transcription_windows(spark, d).select("stream_id", "window_id", T.to_ms(F.col("ts_start")).alias("ms"))
-    j = joins.as_of(w, A.content_changes(spark, d), "stream_id", "ms", "start_ms", "content_type", "change_window")
-    return j.select("stream_id", "window_id", F.coalesce("content_type", F.lit("UNKNOWN")).alias("content_type"))
+    changes = A.content_changes(spark, d).where("change_window > 0")
+    a, b = (joins.type_in_force(w, changes, mode).select("stream_id", "window_id", F.col("content_type").alias(name)) for mode, name in ((False, "online"), (True, "recomputed")))
+    return a.join(b, ["stream_id", "window_id"])
 
 
 @query(f"with {SEC}, seg as (select stream_id, window_id as segment_id, (ts_start * 1000)::bigint as s0, (ts_end * 1000)::bigint as s1 from tw) select sec.stream_id, sec.window_id, seg.segment_id, round((least(end_ms, s1) - greatest(start_ms, s0)) / greatest(least(end_ms - start_ms, s1 - s0), 1)::double, 6) as ratio from sec join seg on sec.stream_id = seg.stream_id and start_ms < s1 and s0 < end_ms")
@@ -206,25 +213,32 @@ def rendezvous_join(spark, d):
     return joins.rendezvous(w.where(F.length("text") % 2 == 0), w.where(F.length("text") % 3 == 0))
 
 
-@query(f"with {TW}, n as (select stream_id, window_id, regexp_replace(lower(regexp_replace(substr(text, 1, 9), '^\\s+|\\s+$', '', 'g')), '\\.+$', '') as norm from tw), r as (select *, row_number() over (partition by stream_id, norm order by window_id) as rn from n where norm <> '') select stream_id, window_id, norm from r where rn = 1")
+@query(f"with {TW}, n as (select stream_id, window_id, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\.+$', '') as norm from tw), r as (select *, row_number() over (partition by stream_id, norm order by window_id) as rn from n where norm <> '') select stream_id, window_id, norm from r where rn = 1")
 def first_seen_actions(spark, d):
-    w = A.transcription_windows(spark, d).withColumn("action", F.substring("text", 1, 9))
-    return dedup.first_seen(w, "stream_id", "action", "window_id").select("stream_id", "window_id", T.normal_action(F.col("action")).alias("norm"))
+    w = A.transcription_windows(spark, d)
+    return dedup.first_seen(w, "stream_id", "text", "window_id").select("stream_id", "window_id", T.normal_action(F.col("text")).alias("norm"))
+
+
+_OPEN = "coalesce(continuation_of, 0) = 0 and coalesce(correction_of, 0) = 0"
 
 
-@query(f"with {INS} select stream_id, window_id, insight_type, count(*) as n from ins where continuation_of is null group by 1, 2, 3 having count(*) > 1")
+@query(f"with {INS} select stream_id, window_id // 4 as window_id, insight_type, count(*) as n from ins where {_OPEN} group by 1, 2, 3 having count(*) > 1")
 def duplicate_types(spark, d):
-    return dedup.duplicate_types(A.insights(spark, d))
+    return dedup.duplicate_types(A.insights(spark, d).withColumn("window_id", F.floor(F.col("window_id") / 4)))
 
 
-@query(f"with {INS} select stream_id, window_id // 4 as window_id, insight_type, max(confidence) as confidence, arg_min(insight_text, insight_id) as insight_text, count(*) as n from ins where continuation_of is null group by 1, 2, 3 having count(*) > 1")
+@query(f"""with {INS}, g as (select stream_id, window_id // 4 as window_id, insight_type, max(confidence) as confidence, arg_min(insight_text, insight_id) as insight_text,
+arg_min(classification, insight_id) as classification, count(*) as n from ins where {_OPEN} group by 1, 2, 3 having count(*) > 1), l as (select stream_id, max(insight_id) as last from ins group by 1)
+select g.*, last + row_number() over (partition by g.stream_id order by window_id, insight_type) as insight_id from g join l on g.stream_id = l.stream_id""")
 def consolidated_insights(spark, d):
     return dedup.consolidate(A.insights(spark, d).withColumn("window_id", F.floor(F.col("window_id") / 4)))
 
 
-@query(f"with recursive {INS}, up as (select stream_id, insight_id, insight_id as here, continuation_of as nxt from ins union all select up.stream_id, up.insight_id, up.nxt, i.continuation_of from up left join ins i on i.stream_id = up.stream_id and i.insight_id = up.nxt where up.nxt is not null) select stream_id, insight_id, here as root from up where nxt is null")
+@query(f"""with recursive {INS}, r as (select stream_id, insight_id, coalesce(nullif(continuation_of, 0), nullif(correction_of, 0)) as ref from ins),
+up as (select stream_id, insight_id, insight_id as here, ref as nxt from r union all select up.stream_id, up.insight_id, up.nxt, i.ref from up left join r i on i.stream_id = up.stream_id and i.insight_id = up.nxt where up.nxt is not null)
+select stream_id, insight_id, here as root from up where nxt is null""")
 def chain_root(spark, d):
-    return joins.chain_roots(A.insights(spark, d), "stream_id", "insight_id", "continuation_of")
+    return joins.chain_roots(A.insights(spark, d), "stream_id", "insight_id", "continuation_of", "correction_of")
 
 
 @query(f"with {TW}, m(old, new) as (values ('user', 'assistant'), ('assistant', 'system')) select stream_id, window_id, coalesce(m.new, speaker) as speaker from tw left join m on speaker = m.old")
@@ -233,13 +247,24 @@ def speaker_remap(spark, d):
     return joins.remap(A.transcription_windows(spark, d), "speaker", m).select("stream_id", "window_id", "speaker")
 
 
-_RULES_SQL = "rules(content_type, sentiment, participants) as (values " + ", ".join(f"('{t}', {str(s).lower()}, {str(p).lower()})" for t, s, p, _, _ in rules.RULES) + ")"
+_RULES_SQL = "rules(content_type, emphasize, deemphasize, sentiment, participants) as (values " + ", ".join(f"('{t}', '{e}', '{n}', {str(s).lower()}, {str(p).lower()})" for t, e, n, s, p, _, _ in rules.RULES) + ")"
+_TYPED = f"{INS}, {CHG.split('), ', 1)[1]}, {_RULES_SQL}, typed as (select ins.*, chg.content_type from ins asof left join chg on ins.stream_id = chg.stream_id and ins.insight_id >= chg.change_window)"
+
+
+def _typed(spark, d):
+    """Insights with the content type in force at their window."""
+    j = joins.as_of(A.insights(spark, d), A.content_changes(spark, d), "stream_id", "insight_id", "change_window", "content_type", "change_window")
+    return j
 
 
-@query(f"with {INS}, {CHG.split('), ', 1)[1]}, {_RULES_SQL}, typed as (select ins.*, chg.content_type from ins left join chg on ins.stream_id = chg.stream_id and chg.change_window = 0) select stream_id, insight_id, insight_type from typed left join rules using (content_type) where not (insight_type = 'SENTIMENT' and not coalesce(sentiment, true)) and not (insight_type = 'PARTICIPANTS' and not coalesce(participants, true))")
+@query(f"with {_TYPED} select stream_id, insight_id, insight_type from typed left join rules using (content_type) where not (insight_type = 'SENTIMENT' and not coalesce(sentiment, true)) and not (insight_type = 'PARTICIPANTS' and not coalesce(participants, true))")
 def rule_filtered_insights(spark, d):
-    first = A.content_changes(spark, d).where("change_window = 0").select("stream_id", "content_type")
-    return rules.filtered(A.insights(spark, d).join(first, "stream_id", "left"), spark).select("stream_id", "insight_id", "insight_type")
+    return rules.filtered(_typed(spark, d), spark).select("stream_id", "insight_id", "insight_type")
+
+
+@query(f"with {_TYPED} select stream_id, insight_id, case when list_contains(string_split(coalesce(emphasize, ''), ','), insight_type) then 1 when list_contains(string_split(coalesce(deemphasize, ''), ','), insight_type) then -1 else 0 end as weight from typed left join rules using (content_type)")
+def rule_weights(spark, d):
+    return rules.weighed(_typed(spark, d), spark).select("stream_id", "insight_id", "weight")
 
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, json_extract_string(props, '$.topic') is null as topic_missing from events")
@@ -254,9 +279,9 @@ def window_stats(spark, d):
     return g.agg(F.sum(F.length("text")).alias("chars"), F.sum(T.word_count(F.col("text"))).alias("words"), F.count("*").alias("windows"), F.max(F.col("ts_start") + 2.5).alias("position"), F.sum(F.lit(2.5)).alias("duration"))
 
 
-@query(f"with {TW} select stream_id, window_id, lpad((ts_start::bigint // 60)::varchar, 2, '0') || ':' || lpad((ts_start::bigint % 60)::varchar, 2, '0') as label, length(text) // 4 as tokens, regexp_replace(lower(regexp_replace(substr(text, 1, 20), '^\\s+|\\s+$', '', 'g')), '\\.+$', '') as action from tw")
+@query(f"with {TW} select stream_id, window_id, lpad((ts_start::bigint // 60)::varchar, 2, '0') || ':' || lpad((ts_start::bigint % 60)::varchar, 2, '0') as label, length(text) // 4 as tokens, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\.+$', '') as action from tw")
 def text_functions(spark, d):
-    return A.transcription_windows(spark, d).select("stream_id", "window_id", T.hms(F.col("ts_start")).alias("label"), T.token_estimate(F.col("text")).alias("tokens"), T.normal_action(F.substring("text", 1, 20)).alias("action"))
+    return A.transcription_windows(spark, d).select("stream_id", "window_id", T.hms(F.col("ts_start")).alias("label"), T.token_estimate(F.col("text")).alias("tokens"), T.normal_action(F.col("text")).alias("action"))
 
 
 @query(f"with {TW}, l as (select *, lead(ts_start) over (partition by stream_id order by ts_start, window_id) as nx from tw) select stream_id, window_id, round(least(ts_end, coalesce(nx - 0.001, ts_end)), 6) as ts_end from l")
@@ -276,17 +301,25 @@ def last_write_wins(spark, d):
     return dedup.last_write(A.transcription_windows(spark, d).select("stream_id", "window_id", "text"), ["stream_id"], "window_id").select("stream_id", "text", "window_id")
 
 
-@query(f"with {TW} select a.stream_id, a.window_id, b.text as prior_text, length(a.text) as n from tw a left join tw b on a.stream_id = b.stream_id and b.window_id = a.window_id - 1")
+@query(f"""with {TW} select a.stream_id, a.window_id, case when coalesce(b.text, '') <> '' then '## Previous Summary Window Transcript' || chr(10) || b.text || chr(10) || chr(10) || '## Current Summary Window Transcript' || chr(10) || a.text else a.text end as content
+from tw a left join tw b on a.stream_id = b.stream_id and b.window_id = a.window_id - 1 and a.window_id > 0""")
 def prior_window_pair(spark, d):
     w = A.transcription_windows(spark, d)
-    p = w.select("stream_id", (F.col("window_id") + 1).alias("window_id"), F.col("text").alias("prior_text"))
-    return w.join(p, ["stream_id", "window_id"], "left").select("stream_id", "window_id", "prior_text", F.length("text").cast("long").alias("n"))
+    p = w.select("stream_id", (F.col("window_id") + 1).alias("window_id"), F.col("text").alias("prior")).where("window_id > 0 and prior <> ''")
+    both = F.concat(F.lit("## Previous Summary Window Transcript\n"), "prior", F.lit("\n\n## Current Summary Window Transcript\n"), "text")
+    return w.join(p, ["stream_id", "window_id"], "left").select("stream_id", "window_id", F.coalesce(both, "text").alias("content"))
+
+
+_ACTIONS = """n as (select stream_id, window_id, text, regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\.+$', '') as norm from tw),
+r as (select *, row_number() over (partition by stream_id, norm order by window_id) as rn from n where norm <> '')"""
 
 
-@query(f"with {TW}, e as (select stream_id, window_id, string_agg(text, ' | ') over (partition by stream_id order by window_id rows unbounded preceding) as so_far from (select stream_id, window_id, substr(text, 1, 10) as text from tw)) select * from e")
+@query(f"with {TW}, {_ACTIONS} select stream_id, window_id, string_agg(text, ' | ') over (partition by stream_id order by window_id rows unbounded preceding) as so_far from r where rn = 1")
 def accumulated_actions(spark, d):
+    """A snapshot of all actions so far, where a window has a new one."""
     line = W.partitionBy("stream_id").orderBy("window_id").rowsBetween(W.unboundedPreceding, 0)
-    return A.transcription_windows(spark, d).select("stream_id", "window_id", F.array_join(F.collect_list(F.substring("text", 1, 10)).over(line), " | ").alias("so_far"))
+    new = dedup.first_seen(A.transcription_windows(spark, d), "stream_id", "text", "window_id")
+    return new.select("stream_id", "window_id", F.array_join(F.collect_list("text").over(line), " | ").alias("so_far"))
 
 
 @query(f"with {TW} select stream_id, window_id, (window_id + 1)::varchar || chr(10) || '00:00:' || lpad((ts_start::bigint)::varchar, 2, '0') || '.000 --> 00:00:' || lpad(floor(ts_end)::bigint::varchar, 2, '0') || '.500' || chr(10) || text as cue from tw")
@@ -318,15 +351,30 @@ def chunk_split(spark, d):
 
 @query()
 def boundary_overlap(spark, d):
+    """Each text and the one before it, without what they repeat at their boundary."""
     line = W.partitionBy("stream_id").orderBy("window_id")
-    w = A.transcription_windows(spark, d).withColumn("before", F.lag("text").over(line)).where("before is not null")
-    return w.select("stream_id", "window_id", T.longest_boundary_match(T.words(F.col("before")), T.words(F.col("text")), 120).alias("overlap"), F.round(repetition.similarity()("before", "text"), 6).alias("similarity"))
+    w = A.transcription_windows(spark, d).withColumn("prior", F.lag("text").over(line)).where("prior is not null")
+    return w.select("stream_id", "window_id", repetition.boundaries(120)("prior", "text").alias("x")).select("stream_id", "window_id", "x.*")
+
+
+@query()
+def validated_text(spark, d):
+    """A window's text as a rewriting of the one before it, kept where it is close enough."""
+    line = W.partitionBy("stream_id").orderBy("window_id")
+    w = A.transcription_windows(spark, d).withColumn("source", F.lag("text").over(line)).where("source is not null")
+    both = repetition.validated()("source", "text").alias("text"), F.round(repetition.similarity()("source", "text"), 6).alias("similarity")
+    return w.select("stream_id", "window_id", *both)
 
 
 @query()
 def online_speakers(spark, d):
-    v = A.vectors(spark, d).withColumn("stream_id", F.floor(F.col("vec_id") / 100))
-    return cluster.online_speakers(v, "stream_id", cluster.Settings(threshold=0.3, merge_periodic=0.3))
+    return cluster.online_speakers(A.speaker_turns(spark, d), "stream_id")
+
+
+@query()
+def spliced_sections(spark, d):
+    s = A.sections(spark, d)
+    return cluster.splice_sections(s.where("window_id % 2 = 0"), s.where("window_id % 2 = 1"))
 
 
 @query()

@@ -43,7 +43,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = transcription_windows(spark, sf_dir)
     kind = F.element_at(F.array(*[F.lit(x) for x in ("KEY POINT", "ACTION", "DECISION", "QUESTION", "RISK", "SENTIMENT", "PARTICIPANTS", "NOTES")]), (F.length("text") % 8 + 1).cast("int"))
-    return w.select("stream_id", F.floor(F.col("window_id") / 2).alias("window_id"), F.col("window_id").alias("insight_id"), kind.alias("insight_type"), F.col("text").alias("insight_text"), (F.length("text") % 100 / F.lit(100.0)).alias("confidence"), F.when(F.col("window_id") % 3 != 0, F.col("window_id") - 1).alias("continuation_of"))
+    return w.select("stream_id", F.floor(F.col("window_id") / 2).alias("window_id"), F.col("window_id").alias("insight_id"), kind.alias("insight_type"), F.col("text").alias("insight_text"), (F.length("text") % 100 / F.lit(100.0)).alias("confidence"), F.when(F.col("window_id") % 3 != 0, F.col("window_id") - 1).alias("continuation_of"), F.when(F.col("window_id") % 6 == 3, F.col("window_id") - 2).alias("correction_of"), F.concat(F.lit("class "), (F.col("window_id") % 4).cast("string")).alias("classification"))
 
 
 #: Content types in the order that the change table deals them.
@@ -53,3 +53,28 @@ CONTENT_TYPES = ("GENERAL_MEETING", "TECHNICAL_TALK", "LECTURE_OR_TALK", "INTERV
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in CONTENT_TYPES]), ((F.col("stream_id") + F.col("window_id")) % 11 + 1).cast("int"))
     return transcription_windows(spark, sf_dir).where("window_id % 3 = 0").select("stream_id", F.col("window_id").alias("change_window"), (F.col("ts_start") * 1000).cast("long").alias("start_ms"), kind.alias("content_type"))
+
+
+def speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as turns of streams of 100: each leans to the axis of its label, so that labels sound like speakers; some are short, some
+    overlapped or onset-contaminated."""
+    lean = F.transform("v", lambda x, i: x * 0.6 + F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    at = F.col("vec_id") * F.lit(1.5)
+    long = F.lit(0.2) + (F.col("vec_id") % 10) * F.lit(0.12)
+    cols = [lean.alias("v"), at.alias("start"), (at + long).alias("end"), long.alias("duration"), F.col("chunk_id").alias("chunk"), "label"]
+    flags = [(F.col("vec_id") % 17 == 5).alias("is_overlap"), (F.col("vec_id") % 13 == 7).alias("is_onset")]
+    return vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 100).alias("stream_id"), F.col("vec_id").alias("turn_id"), *cols, *flags)
+
+
+#: Plugins of the result table, with the windows that they have results for.
+PLUGINS = {"context_summary": 2, "rapid_summary": 1}
+
+
+def plugin_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream_id, window_id, plugin, formatted, include) of two plugins."""
+    w, out = transcription_windows(spark, sf_dir), None
+    for name, every in PLUGINS.items():
+        line = F.concat(F.lit(f"{name}: "), "text")
+        part = w.where(F.col("window_id") % every == 0).select("stream_id", "window_id", F.lit(name).alias("plugin"), line.alias("formatted"), (F.col("window_id") % 5 != 4).alias("include"))
+        out = part if out is None else out.unionByName(part)
+    return out

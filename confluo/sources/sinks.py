@@ -18,6 +18,11 @@ def parse_event(payload: Column, schema: str) -> Column:
     return F.from_json(payload, schema, {"mode": "PERMISSIVE"})
 
 
+def dispatched(payload: Column, kinds: list[str]) -> Column:
+    """Whether an event is of a kind that someone handles."""
+    return F.coalesce(F.get_json_object(payload, "$.type").isin(*kinds), F.lit(False))
+
+
 def csv_line(*cols: str) -> Column:
     quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cols]
     return F.concat_ws(",", *quoted)

@@ -12,6 +12,7 @@ from confluo.functions import repetition
 from confluo.functions import text as T
 from confluo.operators import cluster, context, joins
 from confluo.plans import queries as engine
+from confluo.plans import service  # noqa: F401 - adds its queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +52,11 @@ def test_repeats():
 
 def test_chunks():
     chunks = repetition.split_chunks("One short sentence here. " * 400, 300)
-    assert len(chunks) > 1 and all(len(c) <= 2501 for c in chunks)
+    assert len(chunks) > 1 and all(len(c) <= 2205 for c in chunks)
+    assert chunks[1].startswith(chunks[0][-500:].strip())
+    long = repetition.split_chunks("Short one. " + "x" * 4100 + ". Next sentence.", 300)
+    assert long == ["Short one.", "x" * 2000, "x" * 2000, "x" * 100 + ".", "Next sentence."]
+    assert repetition.split_chunks("  a   b ") == ["a b"] and repetition.split_chunks(" ") == []
 
 
 def test_text_columns(spark):
@@ -60,20 +65,31 @@ def test_text_columns(spark):
     assert tuple(r) == ("do it", "01:01:01", "00:59", "00:00:59", "01:01:01.900", None, 12, 2)
 
 
-def test_boundary_overlap_bound(spark):
-    """A repeat of 100 words, a short one, and one of short words at the boundary."""
+def test_boundary():
+    """The three cases, their bounds, and what the third one loses."""
     long = " ".join(f"word{i}" for i in range(100))
-    pairs = [(1, f"before {long}", f"{long} after"), (2, "we like apples", "apples grow"), (3, "so is it", "it is")]
-    df = spark.createDataFrame(pairs, "k long, a string, b string")
-    got = df.select("k", T.longest_boundary_match(T.words(F.col("a")), T.words(F.col("b")), 120).alias("n")).collect()
-    assert {r.k: r.n for r in got} == {1: 100, 2: 1, 3: 0}
+    assert repetition.boundary(f"before {long}", f"{long} after", 120) == (f"before {long}", "after", 1)
+    assert repetition.boundary(f"before {long}", f"{long} after", 80)[2] == 0
+    assert repetition.boundary("we like apples", "Apples, grow") == ("we like apples", "grow", 1)
+    assert repetition.boundary("so is it", "it is") == ("so is it", "it is", 0)
+    assert repetition.boundary("open 24.", "24-7 shop") == ("open", "24-7 shop", 2)
+    assert repetition.boundary("then it gets a random", "gets a randomized value") == ("then it", "randomized value", 3)
+    assert repetition.boundary("", "x") == ("", "x", 0)
 
 
-def test_boundary_overlap_query(spark, tmp_path):
+def test_boundary_query(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(100))
     turns = spark.read.parquet(f"{SF}/conversations.parquet").where("turn < 2").withColumn("text", F.when(F.col("turn") == 0, F.lit(f"before {long}")).otherwise(F.lit(f"{long} after")))
     turns.write.parquet(str(tmp_path / "conversations.parquet"))
-    assert {r.overlap for r in engine.Q["boundary_overlap"](spark, str(tmp_path)).collect()} == {100}
+    assert {(r.after, r.case) for r in engine.Q["boundary_overlap"](spark, str(tmp_path)).collect()} == {("after", 1)}
+
+
+def test_validated():
+    source = "we will meet at nine on monday morning in the main hall of the building"
+    assert repetition.accepted(source, source.replace("nine", "Nine").replace("hall", "hall,"))
+    assert not repetition.accepted(source, "something else entirely") and not repetition.accepted(source, source[:20])
+    assert not repetition.accepted(source, "") and repetition.accepted("", "new")
+    assert repetition.clean_up("go go on , now [00:01] now now .") == "go on, now [00:01] now."
 
 
 def test_mirrored_overlap(spark):
@@ -90,21 +106,120 @@ def test_overlap_join_is_plain_join(spark):
     assert rows(map(tuple, got.collect())) == rows(map(tuple, want.collect()))
 
 
-def test_chain_with_cycle(spark):
-    c = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 5, 9), (1, 6, 7), (1, 7, 6)], "stream_id long, n long, p long")
-    got = {r.n: r.root for r in joins.chain_roots(c, "stream_id", "n", "p").collect()}
-    assert (got[1], got[2], got[3], got[5]) == (1, 1, 1, 9) and got[6] in (6, 7)
+def plain_root(up, n):
+    seen = set()
+    while n not in seen:
+        seen.add(n)
+        if not up.get(n):
+            return n
+        n = up[n]
+    return n
+
+
+def test_chains(spark):
+    """Random links with cycles, long chains and unknown parents, against following them one by one."""
+    rng = np.random.default_rng(5)
+    links = {n: (int(rng.integers(1, 60)) if rng.random() < 0.8 else None) for n in range(1, 41)}
+    links |= {n: n + 1 for n in range(100, 300)}
+    c = spark.createDataFrame([(1, n, p) for n, p in links.items()] + [(2, 1, None)], "stream_id long, n long, p long")
+    got = {(r.stream_id, r.n): r.root for r in joins.chain_roots(c, "stream_id", "n", "p").collect()}
+    assert got == {(1, n): plain_root(links, n) for n in links} | {(2, 1): 1}
+    m = spark.createDataFrame([(2, 1), (1, 0), (7, 2)], "old long, new long")
+    assert {(r.old, r.new) for r in joins.closed_merges(m).collect()} == {(2, 0), (1, 0), (7, 0)}
+
+
+def turn(c, v, t, dur=1.0, **more):
+    return c.identify(np.asarray(v, float), t, t, t + dur, duration=dur, **more)
 
 
 def test_clusterer():
     rng = np.random.default_rng(42)
     a, b = np.eye(64)[0], np.eye(64)[1]
+    noisy = lambda v: v + 0.03 * rng.standard_normal(64)
     c, seen = cluster.Clusterer(), []
     for i in range(20):
-        v = (a if i % 2 else b) + 0.02 * rng.standard_normal(64)
-        seen.append(c.identify(v, i, i, i + 1.0, i, i % 2)[0])
+        seen.append(turn(c, noisy(a if i % 2 else b), i, chunk=i, label=i % 2)[0])
     assert len(set(seen)) == 2 and len(set(seen[::2])) == 1
-    assert c.identify(np.zeros(64), 21, 21, 22)[0] is None
+    assert turn(c, np.zeros(64), 21)[0] is None and c.invalid == {"all_zeros": 1} and c.seen == 21
+    assert c.statistics()["speakers"] == 2 and round(c.statistics()["valid"], 4) == round(20 / 21, 4)
+
+
+def test_short_and_overlapped_turns():
+    rng = np.random.default_rng(1)
+    a, b = np.eye(64)[0] + 0.02 * rng.standard_normal(64), np.eye(64)[1] + 0.02 * rng.standard_normal(64)
+    c = cluster.Clusterer()
+    assert turn(c, a, 0, overlap=True) == (None, 0.0) and not c.speakers
+    assert turn(c, a, 1) == (0, 1.0) and turn(c, b, 3) == (1, 1.0)
+    assert c.moves == {}  # a new speaker is the last one before its move is noted
+    k, conf = turn(c, a, 5, 0.2)
+    assert k == 0 and 0.65 < conf < 0.75 and c.last == 0 and c.moves == {(1, 0): 1} and c.last_end == 5.2 and c.speakers[0].count == 1
+    assert turn(c, np.eye(64)[2] + 0.02 * rng.standard_normal(64), 6, 0.2) == (None, 0.0)
+    assert turn(c, np.eye(64)[3] + 0.02 * rng.standard_normal(64), 7, overlap=True) == (None, 0.0) and len(c.speakers) == 2
+    turn(c, a, 8, onset=True)
+    assert c.speakers[0].count == 1 and c.speakers[0].last_seen == 8
+
+
+def test_merges_of_speakers():
+    rng = np.random.default_rng(2)
+    base = np.eye(64)[0]
+    like = lambda x, i: x * base + np.sqrt(1 - x * x) * np.eye(64)[i] + 0.01 * rng.standard_normal(64)
+    c = cluster.Clusterer(cluster.Settings(threshold=0.99))
+    for i in range(4):
+        c.speakers[i] = cluster.Speaker(i, cluster._unit(like(0.9 if i < 2 else 0.1, i + 1)), [], 3, 0.0)
+        c.speakers[i].protos, c.next = [[c.speakers[i].centroid, 3]], i + 1
+    c.speakers[0].chunks, c.speakers[1].chunks = [(7, "x")], [(7, "y")]
+    assert [(x[1], x[2]) for x in c.similar(0.7)] == [(0, 1)]
+    assert c.merge(0.7) == 0  # heard in one chunk under different labels
+    assert c.merge(0.7, session=True) == 1 and c.speakers[0].count == 6 and 1 not in c.speakers and c.speakers[0].variance == 0
+    assert c.merge_by_hand(2, 9) is False and c.merge_by_hand(3, 2) is True and 3 not in c.speakers
+    c.speakers[0].centroid = np.zeros(64)
+    assert c.clean_up() == [0]
+    d = cluster.Clusterer()
+    d.speakers = {i: cluster.Speaker(i, cluster._unit(like(0.9, i + 1)), [[cluster._unit(like(0.9, i + 1)), 2]], 2) for i in range(3)}
+    assert sorted(d.consolidate()) == [(0, 1), (0, 2)] and list(d.speakers) == [0]
+
+
+def test_merged_sections():
+    sec = lambda h, a, b, t: {"heading": h, "start_ms": a, "end_ms": b, "content": t}
+    have = [sec("Budget", 0, 120000, "one two three"), sec("", 200000, 260000, "x y")]
+    out = cluster.merged(have, [sec("Budget [0:00:00 – 0:02:00]", 0, 180000, "one two"), sec("Risks", 400000, 460000, None)], 500000)
+    assert [(x["heading"], x["end_ms"], x["content"]) for x in out] == [("Budget", 180000, "one two three"), ("", 260000, "x y"), ("Risks", 460000, "")]
+    out = cluster.merged(have, [sec("budget ", 0, 60000, "four five six")], 500000)
+    assert [(x["heading"], x["end_ms"], x["content"]) for x in out][0] == ("budget", 60000, "four five six")
+    out = cluster.merged(have, [sec(None, 200000, 250000, "z")], 260000)  # the latest may shrink, an empty heading gets the default
+    assert out[1]["heading"] == "Untitled Topic" and out[1]["content"] == "z"
+    assert len(cluster.merged(have, [sec("", 900000, 900001, "new")])) == 3
+    assert [x["content"] for x in cluster.spliced(have, [sec("v", 10000, 110000, "fixed"), sec("w", 900000, 900001, "lost")])] == ["fixed", "x y"]
+
+
+def test_document():
+    from confluo.operators import service as S
+
+    rows = [(0, 2000, "we like green apples", "A"), (2000, 4000, "green apples grow", "B"), (4000, 5000, " ", "A"), (5000, 3723000, "grow tall", "C")]
+    text, used = S.document(rows)
+    assert text == "[0:00:00]\n\nwe like green apples\n\n[0:00:02]\n\ngrow\n\n[0:00:04]\n\ntall\n\n[1:02:03]" and used == ["A", "B", "C"]
+
+
+def test_text_and_results_budgets(spark):
+    w = spark.createDataFrame([(1, i, "x" * 40) for i in range(3)], "stream_id long, window_id long, text string")
+    r = spark.createDataFrame([(1, i, "p", "y" * 40, True) for i in range(3)], "stream_id long, window_id long, plugin string, formatted string, include boolean")
+    n = lambda tokens, plugins: [(x.text_tokens, sum(len(y.list) for y in x.results or [])) for x in context.text_and_results(w, r, tokens, plugins).collect()][0]
+    assert n(50, {"p": 1000}) == (30, 3) and n(50, {"p": 10}) == (30, 1) and n(0, {"p": None}) == (30, 3)
+    assert n(-1, {"p": None}) == (0, 3) and n(10, {"p": 20}) == (10, 2) and n(50, {}) == (30, 0)
+
+
+def test_nearest_in_batches(spark, monkeypatch):
+    from confluo.operators import vectors
+    from confluo.sources import adapters
+
+    v = adapters.vectors(spark, SF)
+    q = v.where("vec_id % 100 = 0")
+    one = rows(map(tuple, vectors.nearest(v, q, 15).collect()))
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    assert rows(map(tuple, vectors.nearest(v, q, 15).collect())) == one
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert vectors.nearest_distance(v, q.limit(0)).where("d is not null").count() == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
