@@ -234,3 +234,50 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out).count()
     want = spark.read.parquet(src).selectExpr("date_trunc('minute', ts) m", "plugin").distinct().count()
     assert 0 < got <= want and got >= want - 2  # the watermark still holds the last minute
+
+
+def streamed(spark, tmp_path, parts, make, name):
+    """What ``make`` gives over files that come one a micro-batch, with a last one that moves the watermark if there is one."""
+    from confluo.streaming import pipelines
+
+    src, out = str(tmp_path / name), str(tmp_path / f"{name}-out")
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(src)
+    df = make(pipelines.source(spark, src, parts[0].schema, 1))
+    pipelines.run_once(df, str(tmp_path / f"{name}-cp"), lambda b, _: b.write.mode("append").parquet(out), "append")
+    return spark.read.parquet(out)
+
+
+def test_stateful_windows_and_speakers(spark, tmp_path):
+    """State carried over micro-batches gives what the batch operators give."""
+    from confluo.sources import adapters
+    from confluo.streaming import pipelines
+
+    w = adapters.transcription_windows(spark, SF)
+    cuts = [w.where("window_id < 3"), w.where("window_id between 3 and 4"), w.where("window_id > 4")]
+    got = streamed(spark, tmp_path, cuts, lambda s: pipelines.count_windows(s, 2), "w")
+    cols = ["stream_id", "summary_id", "text", "ts_start", "ts_end"]
+    assert rows(map(tuple, got.select(*cols).collect())) == rows(map(tuple, context.count_windows(w, 2).select(*cols).collect()))
+    t = adapters.speaker_turns(spark, SF).where("stream_id < 2")
+    cuts = [t.where("turn_id % 100 < 30"), t.where("turn_id % 100 >= 30")]
+    got = streamed(spark, tmp_path, cuts, pipelines.online_speakers, "t")
+    cols = ["stream_id", "turn_id", "speaker", "confidence"]
+    batch = cluster.online_speakers(t, "stream_id").select(*cols).collect()
+    assert rows(map(tuple, got.select(*cols).collect())) == rows(map(tuple, batch)) and len({r.speaker for r in batch}) > 3
+
+
+def test_windows_joins_and_actions_streamed(spark, tmp_path):
+    from confluo.streaming import pipelines
+
+    base = spark.range(0, 120).selectExpr("id % 2 as stream_id", "timestamp_seconds(1700000000 + id) as ts", "id / 100.0 as sample", "id as window_id", "concat('Do ', cast(id % 7 as string), '.') as text")
+    late = spark.range(1).selectExpr("9 as stream_id", "timestamp_seconds(1700000000 + 90000) as ts", "0.0 as sample", "999 as window_id", "'end' as text").select(*[F.col(f.name).cast(f.dataType) for f in base.schema])
+    for make, seconds, stride in ((pipelines.tumbling_energy, 10, 10), (pipelines.sliding_energy, 2.5, 2)):
+        got = streamed(spark, tmp_path, [base.where("window_id < 60"), base.where("window_id >= 60"), late], make, make.__name__)
+        want = base.groupBy("stream_id", F.window("ts", f"{int(seconds * 1000)} milliseconds", f"{stride * 1000} milliseconds")).count().select("stream_id", "window.start", "count")
+        assert rows(map(tuple, got.where("stream_id < 9").select("stream_id", "start", "n").collect())) == rows(map(tuple, want.collect()))
+    got = streamed(spark, tmp_path, [base.where("window_id < 60"), base.where("window_id >= 60")], pipelines.first_actions, "a")
+    assert sorted(r.norm for r in got.collect()) == sorted([f"do {k}" for k in range(7)] * 2)
+    src = str(tmp_path / "both")
+    base.write.parquet(src)
+    both = lambda s: pipelines.rendezvous(s, pipelines.source(spark, src, base.schema).where("window_id % 3 = 0"))
+    assert streamed(spark, tmp_path, [base.where("window_id < 60"), base.where("window_id >= 60")], both, "r").count() == 40
