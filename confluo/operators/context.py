@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,20 +133,33 @@ def between(w: DataFrame, start: float, end: float) -> DataFrame:
     return w.where((F.col("ts_start") < end) & (F.col("ts_end") > start))
 
 
+def _repeated(before: list[str], words: list[str]) -> int:
+    """Words by the mirrored rule: the i-th last word before against the i-th word after, as long as they are equal."""
+    n = 0
+    while n < min(len(before), len(words)) and before[-n - 1].lower() == words[n].lower():
+        n += 1
+    return n
+
+
 def word_overlap(w: DataFrame) -> DataFrame:
-    """Words of a window that repeat the previous kept text, by the mirrored rule: the i-th last word before against the
-    i-th word after; the kept text of one window is the 'before' of the next, so this is a fold per stream."""
-    split = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
-    rows = F.array_sort(F.collect_list(F.struct("window_id", split(F.col("text")).alias("words"))))
-    start = F.struct(F.array().cast("array<string>").alias("prev"), F.array().cast("array<struct<window_id:bigint,removed:bigint>>").alias("out"))
-
-    def step(s, r):
-        n = F.least(F.size(s["prev"]), F.size(r["words"]))
-        back = F.slice(F.reverse(s["prev"]), F.lit(1), n)
-        same = F.zip_with(back, F.slice(r["words"], F.lit(1), n), lambda a, b: F.lower(a) == F.lower(b))
-        at = F.array_position(same, False)
-        cut = F.when(at == 0, n).otherwise(at - 1).cast("int")
-        kept = F.slice(r["words"], cut + 1, F.greatest(F.size(r["words"]) - cut, F.lit(0)))
-        return F.struct(kept.alias("prev"), F.concat(s["out"], F.array(F.struct(r["window_id"].cast("bigint").alias("window_id"), cut.cast("bigint").alias("removed")))).alias("out"))
-
-    return w.groupBy("stream_id").agg(F.aggregate(rows, start, step).alias("s")).select("stream_id", F.explode("s.out").alias("o")).select("stream_id", "o.window_id", "o.removed")
+    """(stream_id, window_id, removed): words of a window that repeat the kept text of the one before it.
+
+    The kept text of one window is the 'before' of the next, so a stream is folded in order; its rows pass by one after
+    another, and only the last kept text is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, before = None, []
+        for b in batches:
+            removed = []
+            for s, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                words = (text or "").split()
+                if s != stream:
+                    stream, before = s, []
+                n = _repeated(before, words)
+                removed.append(n)
+                before = words[n:]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64())], names=["stream_id", "window_id", "removed"])
+
+    rows = w.select("stream_id", "window_id", "text").repartition("stream_id").sortWithinPartitions("stream_id", "window_id")
+    return rows.mapInArrow(run, "stream_id long, window_id long, removed long")

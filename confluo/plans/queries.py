@@ -333,7 +333,10 @@ def csv_export(spark, d):
     return A.transcription_windows(spark, d).select("stream_id", "window_id", sinks.csv_line("window_id", "speaker", "text").alias("line"))
 
 
-@query()
+@query(f"""with recursive {TW}, o as (select stream_id, window_id, row_number() over (partition by stream_id order by window_id) as rn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as words from tw),
+f as (select distinct stream_id, 0::bigint as rn, null::bigint as window_id, []::varchar[] as kept, 0::bigint as removed from tw union all
+select stream_id, rn, window_id, words[cut + 1:], cut from (select o.stream_id, o.rn, o.window_id, o.words, coalesce(nullif(list_position(list_transform(range(1, least(len(f.kept), len(o.words)) + 1), lambda i: lower(f.kept[-i]) = lower(o.words[i])), false), 0) - 1, least(len(f.kept), len(o.words)))::bigint as cut
+from f join o on o.stream_id = f.stream_id and o.rn = f.rn + 1)) select stream_id, window_id, removed from f where rn > 0""")
 def word_overlap_dedup(spark, d):
     return context.word_overlap(A.transcription_windows(spark, d))
 
@@ -343,7 +346,13 @@ def transcript_dedupe(spark, d):
     return A.transcription_windows(spark, d).select("stream_id", "window_id", repetition.repeats_collapsed()("text").alias("text"))
 
 
-@query()
+@query(f"""with recursive {TW}, t as (select stream_id, trim(regexp_replace(string_agg(text, ' ' order by window_id), '\\s+', ' ', 'g')) as text from tw group by 1),
+l as (select stream_id, length(text) <= 2000 as whole, case when length(text) <= 2000 then [text] else regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) end as s from t),
+f as (select stream_id, s, 1::bigint as i, 0::bigint as chunk, s[1] as text, length(s[1]) + 1 as held from l union all
+select stream_id, s, i + 1, case when held + length(s[i + 1]) + 1 <= 2000 then chunk else chunk + 1 end,
+case when held + length(s[i + 1]) + 1 <= 2000 then text || ' ' || s[i + 1] else trim(right(text, 500)) || ' ' || s[i + 1] end,
+case when held + length(s[i + 1]) + 1 <= 2000 then held + length(s[i + 1]) + 1 else length(trim(right(text, 500))) + length(s[i + 1]) + 2 end from f where i < len(s))
+select stream_id, chunk::int as chunk, arg_max(text, i) as text from f group by 1, 2""")
 def chunk_split(spark, d):
     s = A.transcription_windows(spark, d).groupBy("stream_id").agg(context.ordered_text("text", "window_id").alias("text"))
     return s.select("stream_id", F.posexplode(repetition.chunks_of()("text")).alias("chunk", "text"))
