@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.llm import exchange as X
@@ -365,14 +364,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, classes_: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with exactly one row of each component: the smallest id (nulls last), key, and one among equal
-    rows. Rows without shingles are in no component and stay."""
+    """``docs``, columns of any name as they are, with exactly one row of each component: the smallest id (nulls last), then key.
+
+    Of equal rows, which may differ in other columns, the one of the smallest hash of all columns, then the first stays; they meet
+    in a grouped minimum, never in one sort. ``docs`` must give its rows in the same partitions each time, as a table that is
+    read does. Rows without shingles are in no component and stay; an empty table gives no rows.
+    """
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY).alias("key")))
-    classes_ = cut(classes_.select(id_col, KEY, "component"))  # read twice
-    best = classes_.where("component is not null").groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("__k"))
-    alone = classes_.where("component is null").select(F.col(KEY).alias("__k")).distinct()
-    keyed = docs.withColumn("__rk", row_key(docs[id_col], docs[text_col]))
-    # Equal rows may differ in other columns; maps can't be hashed.
-    tie = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t])
-    chosen = keyed.join(best, F.col("__rk") == F.col("__k")).withColumn("__n", F.row_number().over(W.partitionBy("__rk").orderBy(tie))).where("__n = 1")
-    return chosen.drop("__rk", "__k", "__n").unionByName(keyed.join(alone, F.col("__rk") == F.col("__k"), "left_semi").drop("__rk"))
+    classes_ = cut(classes_.select(id_col, KEY, "component"))  # read three times
+    best = classes_.where("component is not null").groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("k"))
+    alone = classes_.where("component is null").select(F.col(KEY).alias("k"), F.lit(0).cast("long").alias("rows")).distinct()
+    rows = classes_.groupBy(KEY).agg(F.count("*").alias("rows"))
+    kept = best.join(rows, F.col("k") == F.col(KEY)).select("k", "rows")
+    names = {n: f"__keep_{i}" for i, n in enumerate(docs.columns)}
+    # Maps can't be hashed.
+    tie = F.xxhash64(*[docs[n] for n, t in docs.dtypes if "map<" not in t])
+    keyed = docs.select(*[F.col(f"`{n}`").alias(x) for n, x in names.items()], row_key(docs[id_col], docs[text_col]).alias("__keep_key"), F.monotonically_increasing_id().alias("__keep_at"), tie.alias("__keep_tie"))
+    several = keyed.select("__keep_key", "__keep_at", "__keep_tie").join(kept.where("rows > 1"), F.col("__keep_key") == F.col("k"))
+    one = several.groupBy("k").agg(F.min(F.struct("__keep_tie", "__keep_at")).alias("m")).select(F.col("k").alias("k1"), F.col("m.__keep_at").alias("only"))
+    plan = cut(kept.join(one, F.col("k") == F.col("k1"), "left").select("k", "only").unionByName(alone.select("k", F.lit(None).cast("long").alias("only"))))
+    chosen = keyed.join(plan, F.col("__keep_key") == F.col("k")).where(F.col("only").isNull() | (F.col("only") == F.col("__keep_at")))
+    return chosen.select(*[F.col(x).alias(n) for n, x in names.items()])

@@ -288,8 +288,9 @@ def test_keep_one_row_a_component(spark):
     a, b, c, d = (" ".join(str(rnd.random()) for _ in range(60)) for _ in range(4))
     near = lambda t: " ".join(["changed", *t.split()[1:]])
     rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, near(a), "x"), (None, near(a), "x"), (3, b, "x"), (3, c, "x"), (None, d, "x"), (None, near(d), "x"), (None, d, "z"), (5, "", "x"), (6, None, "x")]
-    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__k", F.lit(1)).withColumn("k", F.lit(2))
     kept = jaccard_join.keep_one(t, jaccard_join.near_duplicates(t))
+    assert kept.columns == t.columns
     got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
     of_d = [k for k in got if k[0] is None]
     assert len(of_d) == 1 and of_d[0][1] in (d, near(d))
