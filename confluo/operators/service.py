@@ -249,3 +249,52 @@ def rendered(w: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["stream_id"].iloc[0], text, ",".join(used), len(pdf))], columns=["stream_id", "document", "styles", "windows"])
 
     return w.groupBy("stream_id").applyInPandas(run, "stream_id long, document string, styles string, windows long")
+
+
+def latest(events: DataFrame, key: str, order: str, most: int = 100) -> DataFrame:
+    """The last ``most`` events of each key: what a bounded buffer still holds."""
+    line = W.partitionBy(key).orderBy(F.desc(order))
+    return events.withColumn("__r", F.row_number().over(line)).where(F.col("__r") <= most).drop("__r")
+
+
+def transcript_range(w: DataFrame, start: float, end: float, now: DataFrame) -> DataFrame:
+    """(stream_id, answer): what a stream said in a stretch of time, each window under its times; ``now`` (stream_id, position) tells
+    where the stream stands, which the answer notes if the stretch goes beyond."""
+    s, e = T.hms(F.lit(start)), T.hms(F.lit(end))
+    label = F.concat(F.lit("["), T.hms(F.col("ts_start")), F.lit(" – "), T.hms(F.col("ts_end")), F.lit("]\n"), "text")
+    inside = w.where((F.col("ts_start") < end) & (F.col("ts_end") > start)).withColumn("line", label)
+    g = inside.groupBy("stream_id").agg(ordered_text("line", "ts_start", "window_id", sep="\n").alias("lines"), F.count("*").alias("n"))
+    beyond = (F.lit(end) > F.col("position")) & (F.col("position") > 0)
+    note = F.when(beyond, F.concat(F.lit(" (stream is at "), T.hms(F.col("position")), F.lit(")"))).otherwise("")
+    some = F.concat(F.lit("[Transcript "), s, F.lit(" to "), e, F.lit(" — "), F.col("n").cast("string"), F.lit(" window(s)"), note, F.lit("]\n\n"), "lines")
+    none = F.concat(F.lit("No transcript between "), s, F.lit(" and "), e, F.lit("."), note)
+    return now.join(g, "stream_id", "left").select("stream_id", F.coalesce(some, none).alias("answer"))
+
+
+def formatted(results: DataFrame, callbacks: dict[str, Column]) -> DataFrame:
+    """``results`` with ``line``: a plugin's own format, null where that fails; JSON for a plugin without one; null for no result."""
+    json = F.to_json(F.struct("formatted"))
+    own = None
+    for plugin, expression in callbacks.items():
+        own = F.when(F.col("plugin") == plugin, expression) if own is None else own.when(F.col("plugin") == plugin, expression)
+    line = json if own is None else F.when(F.col("plugin").isin(list(callbacks)), own).otherwise(json)
+    return results.withColumn("line", F.when(F.coalesce("formatted", F.lit("")) != "", line))
+
+
+def prompt(parts: dict[str, Column]) -> Column:
+    """The parts that aren't empty, each under its heading, in the given order."""
+    blocks = [F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"## {name}\n"), text)) for name, text in parts.items()]
+    return F.concat_ws("\n\n", *blocks)
+
+
+def health_alerts(requests: DataFrame, least: float) -> DataFrame:
+    """(stream_id, payload): the monitoring channel's events, one a stream whose share of successes in per cent is under ``least``."""
+    g = requests.groupBy("stream_id").agg(F.count("*").alias("total"), F.count_if("success").alias("ok"))
+    low = g.where(100 * F.col("ok") < least * F.col("total"))
+    return low.select("stream_id", F.to_json(F.struct(F.lit("monitoring").alias("type"), "stream_id", "total", "ok")).alias("payload"))
+
+
+def mono(samples: Column, channels: int) -> Column:
+    """The mean of the channels of interleaved samples."""
+    n = F.floor(F.size(samples) / channels).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda i: F.aggregate(F.slice(samples, i * channels + 1, F.lit(channels)), F.lit(0.0), lambda s, x: s + x) / channels)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from confluo.functions import repetition
 from confluo.functions import text as T
-from confluo.operators import context, health, joins, rules, vectors
+from confluo.operators import cluster, context, health, joins, rules, vectors
 from confluo.operators import service as S
-from confluo.plans.queries import CHG, DOT, INS, SEC, SW, TW, VEC, _sw, query
+from confluo.plans.queries import _TYPED, CHG, DOT, INS, SEC, SW, TW, VEC, _sw, _typed, query
 from confluo.sources import adapters as A
 from confluo.sources import sinks
 
@@ -345,3 +344,69 @@ def pending_counts(spark, d):
 def availability_flags(spark, d):
     w = A.transcription_windows(spark, d)
     return S.availability_flags(w.select("stream_id").distinct(), w.where("window_id > 2"), 500)
+
+
+@query("select user_id as stream_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as r from events) where r <= 100")
+def latest_buffer(spark, d):
+    return S.latest(A.table(spark, d, "events").select(F.col("user_id").alias("stream_id"), "event_id"), "stream_id", "event_id", 100)
+
+
+_MMSS = "lpad((({s})::bigint // 60)::varchar, 2, '0') || ':' || lpad((({s})::bigint % 60)::varchar, 2, '0')"
+
+
+@query(f"""with {TW}, g as (select stream_id, string_agg('[' || {_MMSS.format(s='floor(ts_start)')} || ' – ' || {_MMSS.format(s='floor(ts_end)')} || ']' || chr(10) || text, chr(10) order by ts_start, window_id) as lines, count(*) as n from tw where ts_start < 12 and ts_end > 9 group by 1),
+p as (select stream_id, max(ts_end) as position from tw group by 1)
+select p.stream_id, case when n > 0 then '[Transcript 00:09 to 00:12 — ' || n || ' window(s)' || case when 12 > position then ' (stream is at ' || {_MMSS.format(s='floor(position)')} || ')' else '' end || ']' || chr(10) || chr(10) || lines
+else 'No transcript between 00:09 and 00:12.' || case when 12 > position then ' (stream is at ' || {_MMSS.format(s='floor(position)')} || ')' else '' end end as answer from p left join g on g.stream_id = p.stream_id""")
+def transcript_range(spark, d):
+    w = A.transcription_windows(spark, d)
+    return S.transcript_range(w, 9.0, 12.0, w.groupBy("stream_id").agg(F.max("ts_end").alias("position")))
+
+
+@query(f"""with {TW}, {_PLUG} select stream_id, window_id, plugin, case when plugin = 'rapid_summary' then 'note ' || (100 // nullif(window_id, 0)) else '{{"formatted":' || to_json(formatted) || '}}' end as line from res""")
+def formatted_results(spark, d):
+    own = F.concat(F.lit("note "), F.floor(F.try_divide(F.lit(100), F.col("window_id"))).cast("string"))
+    return S.formatted(A.plugin_results(spark, d), {"rapid_summary": own}).select("stream_id", "window_id", "plugin", "line")
+
+
+@query(f"""with {_TYPED}, p as (select stream_id, insight_id, concat_ws(chr(10) || chr(10), '## Task' || chr(10) || 'Find what matters.', case when emphasize is not null then '## Look for' || chr(10) || emphasize end, case when deemphasize is not null then '## Leave out' || chr(10) || deemphasize end, '## Text' || chr(10) || insight_text) as prompt
+from typed left join rules using (content_type)) select * from p""")
+def prompts(spark, d):
+    j = rules.weighed(_typed(spark, d), spark)
+    parts = {"Task": F.lit("Find what matters."), "Look for": F.col("emphasize"), "Leave out": F.col("deemphasize"), "Text": F.col("insight_text")}
+    return j.select("stream_id", "insight_id", S.prompt(parts).alias("prompt"))
+
+
+@query("""with g as (select user_id as stream_id, count(*) as total, count(*) filter (event_type <> 'error') as ok from events group by 1)
+select stream_id, '{"type":"monitoring","stream_id":' || stream_id || ',"total":' || total || ',"ok":' || ok || '}' as payload from g where 100 * ok < 80 * total""")
+def health_alerts(spark, d):
+    return S.health_alerts(A.llm_requests(spark, d), 80)
+
+
+@query(f"with {VEC}, m as (select vec_id, unnest(list_transform(range(0, 16), lambda i: (v[i * 4 + 1] + v[i * 4 + 2] + v[i * 4 + 3] + v[i * 4 + 4]) / 4)) as x from vec) select vec_id, round(sum(x), 6) as total, count(*) as n from m group by 1")
+def mono_mix(spark, d):
+    m = A.vectors(spark, d).select("vec_id", S.mono(F.col("v"), 4).alias("m"))
+    return m.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("m").cast("long").alias("n"))
+
+
+@query(f"with {VEC}, c as (select vec_id, label, chunk_id, case when vec_id % 11 = 0 then list_transform(v, lambda x: x * 0.0) when vec_id % 13 = 0 then list_transform(v, lambda x: x * 0.01) else v end as v from vec) select vec_id, case when vec_id % 11 = 0 then 'all_zeros' else 'low_norm' end as reason from c where vec_id % 11 = 0 or vec_id % 13 = 0")
+def invalid_vectors(spark, d):
+    """The side output of what the rules reject, with the reason."""
+    n = F.when(F.col("vec_id") % 11 == 0, 0.0).when(F.col("vec_id") % 13 == 0, 0.01).otherwise(1.0)
+    v = A.vectors(spark, d).select("vec_id", F.transform("v", lambda x: x * n).alias("v"))
+    return v.select("vec_id", vectors.validity(F.col("v")).alias("reason")).where("reason <> 'valid'")
+
+
+@query()
+def low_confidence_turns(spark, d):
+    """The side output of matches that aren't sure."""
+    return cluster.online_speakers(A.speaker_turns(spark, d), "stream_id").where("speaker >= 0 and confidence < 0.65")
+
+
+@query()
+def speaker_diagnostics(spark, d):
+    """One row a stream: speakers, turns, who was nobody, merges at the end, and the mean confidence."""
+    t = cluster.online_speakers(A.speaker_turns(spark, d), "stream_id")
+    n = [F.count_distinct(F.when(F.col("final") >= 0, F.col("final"))).alias("speakers"), F.count("*").alias("turns"), F.count_if(F.col("speaker") < 0).alias("unknown")]
+    merged = F.count_distinct(F.when(F.col("speaker") != F.col("final"), F.col("speaker"))).alias("merged")
+    return t.groupBy("stream_id").agg(*n, merged, F.round(F.avg(F.when(F.col("speaker") >= 0, F.col("confidence"))), 6).alias("confidence"))
