@@ -27,6 +27,7 @@ from confluo.llm.common import ID, TEXT, cut, id_type, narrow
 
 #: The lexicon is fitted on so many labelled rows of each class at most (smallest hash of the id).
 SAMPLE = {1: 2000, 0: 4000}
+#: The model's size, documented parameters: letters of a term, and terms and exception pairs at most, those with the most evidence.
 SHORTEST, LONGEST, LEXICON = 3, 9, 5000
 LEAST_DOCS, LEAST_NEIGHBOURS, PRECISION, EVIDENCE = 4, 4, 0.9, 16.0
 AT = 0.3
