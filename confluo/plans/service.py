@@ -19,7 +19,8 @@ _HMS = "lpad((({s})::bigint // 3600)::varchar, 2, '0') || ':' || lpad((({s})::bi
 
 @query(f"""with e as (select event_id, event_id * 37 % 20000 as s, (event_id * 37 % 20000) * 1000 + 345 as ms from events)
 select event_id, {_HMS.format(s='s')} as always, {_CLOCK.format(s='ms // 1000')} as clock, {_HMS.format(s='s')} || '.345' as cue,
-coalesce(nullif(concat_ws(' ', {_PART.format(n='(s // 3600)', w='hour')}, {_PART.format(n='(s % 3600 // 60)', w='minute')}, {_PART.format(n='(s % 60)', w='second')}), ''), '0 seconds') as duration from e""")
+coalesce(nullif(concat_ws(' ', {_PART.format(n='(s // 3600)', w='hour')}, {_PART.format(n='(s % 3600 // 60)', w='minute')},
+{_PART.format(n='(s % 60)', w='second')}), ''), '0 seconds') as duration from e""")
 def time_formats(spark, d):
     s = F.col("event_id") * 37 % 20000
     e = A.table(spark, d, "events").select("event_id", s.alias("s"), (s * 1000 + 345).alias("ms"))
@@ -30,9 +31,11 @@ _CJK = "[" + "".join(T.CJK_BLOCKS) + "]+"
 
 
 @query(f"""with {TW}, t as (select stream_id, window_id, 'x 漢字かな ㄱ ꀀ Ａ ' || text || ' [0:00:05 – 0:01:00]' as raw, text from tw)
-select stream_id, window_id, regexp_replace(regexp_replace(regexp_replace(raw, '{_CJK}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as stripped,
+select stream_id, window_id, regexp_replace(regexp_replace(regexp_replace(raw, '{_CJK}', ' ', 'g'), ' {{2,}}', ' ', 'g'), '^\\s+|\\s+$',
+'', 'g') as stripped,
 regexp_replace(raw, '\\s*\\[\\d+:\\d{{2}}:\\d{{2}}\\s*[–—-]\\s*\\d+:\\d{{2}}:\\d{{2}}\\]\\s*$', '') as heading,
-case when window_id % 2 = 0 then text else '' end as lines, list_aggregate(list_filter([text, 'a [ 0:00:00 — 0:00:00 ] b'], lambda i: not regexp_matches(i, '\\[\\s*0:00:00\\s*[–—-]\\s*0:00:00\\s*\\]')), 'string_agg', '|') as timed,
+case when window_id % 2 = 0 then text else '' end as lines, list_aggregate(list_filter([text, 'a [ 0:00:00 — 0:00:00 ] b'], lambda i: not
+regexp_matches(i, '\\[\\s*0:00:00\\s*[–—-]\\s*0:00:00\\s*\\]')), 'string_agg', '|') as timed,
 trim(text) as unfenced from t""")
 def text_cleanup(spark, d):
     w = A.transcription_windows(spark, d)
@@ -43,10 +46,13 @@ def text_cleanup(spark, d):
     return w.select("stream_id", "window_id", T.strip_cjk(raw).alias("stripped"), T.strip_trailing_range(raw).alias("heading"), lines.alias("lines"), F.array_join(timed, "|").alias("timed"), fenced.alias("unfenced"))
 
 
-@query(f"""with {TW}, t as (select stream_id, window_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') as s,
-regexp_extract_all(lower(text), '[a-z0-9'']+') as a, lag(regexp_extract_all(lower(text), '[a-z0-9'']+')) over (partition by stream_id order by window_id) as b from tw)
+@query(f"""with {TW}, t as (select stream_id, window_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'),
+chr(1)), lambda s: trim(s) <> '') as s,
+regexp_extract_all(lower(text), '[a-z0-9'']+') as a, lag(regexp_extract_all(lower(text), '[a-z0-9'']+')) over (partition by stream_id
+order by window_id) as b from tw)
 select stream_id, window_id, len(s) as sentences, s[-1] as last_sentence, len(a) as tokens,
-round(coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(coalesce(b, []), lambda x: x = w)))))::double / nullif(len(a), 0), 0), 6) as coverage from t""")
+round(coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(coalesce(b,
+[]), lambda x: x = w)))))::double / nullif(len(a), 0), 0), 6) as coverage from t""")
 def token_rules(spark, d):
     line = W.partitionBy("stream_id").orderBy("window_id")
     w = A.transcription_windows(spark, d).withColumns({"s": T.sentences(F.col("text")), "a": T.ascii_tokens(F.col("text"))})
@@ -55,10 +61,13 @@ def token_rules(spark, d):
     return w.select("stream_id", "window_id", F.size("s").cast("long").alias("sentences"), F.try_element_at("s", F.lit(-1)).alias("last_sentence"), F.size("a").cast("long").alias("tokens"), F.round(cover, 6).alias("coverage"))
 
 
-@query("""with e as (select event_id, (['12', ' 7 ', '3.0', '3.5', '-4', '0', 'x1', '', '99999999999999999'])[event_id % 9 + 1] as raw, value, event_id * 997 % 90000000 as ms from events)
-select event_id, case when regexp_matches(trim(raw), '^\\+?\\d{1,18}(\\.0*)?$') and regexp_extract(trim(raw), '(\\d+)', 1)::bigint > 0 then regexp_extract(trim(raw), '(\\d+)', 1)::bigint end as reference,
+@query("""with e as (select event_id, (['12', ' 7 ', '3.0', '3.5', '-4', '0', 'x1', '', '99999999999999999'])[event_id % 9 + 1] as raw, value,
+event_id * 997 % 90000000 as ms from events)
+select event_id, case when regexp_matches(trim(raw), '^\\+?\\d{1,18}(\\.0*)?$') and regexp_extract(trim(raw), '(\\d+)', 1)::bigint > 0
+then regexp_extract(trim(raw), '(\\d+)', 1)::bigint end as reference,
 round(greatest(0, least(1, value / 100)), 6) as confidence, trunc(greatest(-1, least(1, value / 100 - 1)) * 32767)::bigint as pcm,
-least(10 + 3 * (greatest(1, ceil(ms / 1800000)) - 1), 35)::bigint as key_points, least(8 + 2 * (greatest(1, ceil(ms / 1800000)) - 1), 24)::bigint as topics,
+least(10 + 3 * (greatest(1, ceil(ms / 1800000)) - 1), 35)::bigint as key_points, least(8 + 2 * (greatest(1, ceil(ms / 1800000)) - 1),
+24)::bigint as topics,
 event_id / 90000.0 as frame_time from e""")
 def numeric_rules(spark, d):
     raw = F.element_at(F.array(*[F.lit(x) for x in ("12", " 7 ", "3.0", "3.5", "-4", "0", "x1", "", "99999999999999999")]), (F.col("event_id") % 9 + 1).cast("int"))
@@ -71,13 +80,15 @@ def numeric_rules(spark, d):
 _NAMES = "{" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
 
 
-@query(f"select doc_id, coalesce(map {_NAMES}[case when doc_id % 7 = 0 then 'xx' when doc_id % 11 = 0 then null else lang end], 'English') as answer_in from documents")
+@query(f"""select doc_id, coalesce(map {_NAMES}[case when doc_id % 7 = 0 then 'xx' when doc_id % 11 = 0 then null else lang end], 'English') as
+answer_in from documents""")
 def language_names(spark, d):
     code = F.when(F.col("doc_id") % 7 == 0, "xx").when(F.col("doc_id") % 11 != 0, F.col("lang"))
     return A.table(spark, d, "documents").select("doc_id", T.language_name(code).alias("answer_in"))
 
 
-@query(f"""with {TW} select stream_id, window_id, case window_id % 4 when 0 then 'see ' || trim(text) when 1 then trim(text) when 2 then 'I looked. find ' || trim(text) else trim(text) end as response, case when window_id % 4 = 3 then 'no index' end as error,
+@query(f"""with {TW} select stream_id, window_id, case window_id % 4 when 0 then 'see ' || trim(text) when 1 then trim(text) when 2 then
+'I looked. find ' || trim(text) else trim(text) end as response, case when window_id % 4 = 3 then 'no index' end as error,
 window_id % 3 <> 0 as retryable from tw""")
 def agent_answers(spark, d):
     t = F.trim("text")
@@ -88,23 +99,32 @@ def agent_answers(spark, d):
     return A.transcription_windows(spark, d).select("stream_id", "window_id", response.alias("response"), error.alias("error"), T.is_retryable(says).alias("retryable"))
 
 
-@query(f"""with {TW}, {INS.split("from conversations), ", 1)[1]} select stream_id, insight_id, '- **' || insight_type || '** [#' || insight_id || '] [' || {_HMS.format(s='insight_id * 2')} || ' - ' || {_HMS.format(s='insight_id * 2 + 2')} || ']: ' || insight_text ||
-case when coalesce(continuation_of, 0) <> 0 or coalesce(correction_of, 0) <> 0 then ' (' || concat_ws(', ', case when continuation_of <> 0 then 'CONTINUATION of insight #' || continuation_of end, case when correction_of <> 0 then 'CORRECTION of insight #' || correction_of end) || ')' else '' end as line from ins""")
+@query(f"""with {TW}, {INS.split("from conversations), ", 1)[1]} select stream_id, insight_id, '- **' || insight_type || '** [#' || insight_id ||
+'] [' || {_HMS.format(s='insight_id * 2')} || ' - ' || {_HMS.format(s='insight_id * 2 + 2')} || ']: ' || insight_text ||
+case when coalesce(continuation_of, 0) <> 0 or coalesce(correction_of, 0) <> 0 then ' (' || concat_ws(', ', case when continuation_of <> 0
+then 'CONTINUATION of insight #' || continuation_of end, case when correction_of <> 0 then 'CORRECTION of insight #' || correction_of end)
+|| ')' else '' end as line from ins""")
 def insight_lines(spark, d):
     i, at = A.insights(spark, d), F.col("insight_id") * 2
     line = T.insight_line(F.col("insight_type"), F.col("insight_id"), at, at + 2, F.col("insight_text"), F.col("continuation_of"), F.col("correction_of"))
     return i.select("stream_id", "insight_id", line.alias("line"))
 
 
-@query(f"""with {SEC}, b as (select stream_id, start_ms, end_ms, '## ' || case when trim(heading) = '' then 'Untitled Topic' else trim(heading) end || ' [' || {_CLOCK.format(s='start_ms // 1000')} || ' – ' || {_CLOCK.format(s='end_ms // 1000')} || ']' || chr(10) || chr(10) || trim(content) as block from sec)
-select stream_id, '## Actions' || chr(10) || chr(10) || '- [ ] first' || chr(10) || '- [ ] second' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by start_ms, end_ms, block) as document from b group by 1""")
+@query(f"""with {SEC}, b as (select stream_id, start_ms, end_ms, '## ' || case when trim(heading) = '' then 'Untitled Topic' else trim(heading) end
+|| ' [' || {_CLOCK.format(s='start_ms // 1000')} || ' – ' || {_CLOCK.format(s='end_ms // 1000')} || ']' || chr(10) || chr(10) ||
+trim(content) as block from sec)
+select stream_id, '## Actions' || chr(10) || chr(10) || '- [ ] first' || chr(10) || '- [ ] second' || chr(10) || chr(10) || '---' ||
+chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by start_ms, end_ms, block) as document from b group by 1""")
 def summary_markdown(spark, d):
     return S.markdown(A.sections(spark, d), ["first", "second"], [])
 
 
-@query(f"""with {TW}, s as (select *, window_id % 7 = 3 as blank, (window_id % 10) / 10.0 as p from tw) select stream_id, window_id, case when p < 0.5 then '' else text end as text,
-len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' and length(w) % 5 / 5.0 >= 0.6)) as sure_words, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 1)) as items from s
-where not blank and trim(text) <> '' and (ts_end - ts_start) * (window_id % 4) / 10 >= 0.15 and not (window_id % 5 = 4 and lower('Untitled Topic') in ('untitled topic', 'topic', 'section') and window_id % 2 = 0)""")
+@query(f"""with {TW}, s as (select *, window_id % 7 = 3 as blank, (window_id % 10) / 10.0 as p from tw) select stream_id, window_id, case when p <
+0.5 then '' else text end as text,
+len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' and length(w) % 5 / 5.0 >= 0.6)) as sure_words,
+len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 1)) as items from s
+where not blank and trim(text) <> '' and (ts_end - ts_start) * (window_id % 4) / 10 >= 0.15 and not (window_id % 5 = 4 and
+lower('Untitled Topic') in ('untitled topic', 'topic', 'section') and window_id % 2 = 0)""")
 def segment_filters(spark, d):
     w = A.transcription_windows(spark, d).withColumn("blank", F.col("window_id") % 7 == 3)
     said = F.array(F.struct(F.when(~F.col("blank"), F.col("text")).otherwise(F.lit("  ")).alias("text")))
@@ -127,23 +147,28 @@ def _detections(spark, d):
     return A.transcription_windows(spark, d).select("stream_id", "window_id", kind.alias("content_type"), lang.alias("lang"))
 
 
-@query(f"with {TW}, {_DET}, k as (select *, max(case when content_type <> 'UNKNOWN' then 1 else 0 end) over (partition by stream_id order by window_id rows between unbounded preceding and 1 preceding) as known from det) select stream_id, window_id, content_type from k where not (content_type = 'UNKNOWN' and coalesce(known, 0) = 1)")
+@query(f"""with {TW}, {_DET}, k as (select *, max(case when content_type <> 'UNKNOWN' then 1 else 0 end) over (partition by stream_id order by
+window_id rows between unbounded preceding and 1 preceding) as known from det) select stream_id, window_id, content_type from k where not
+(content_type = 'UNKNOWN' and coalesce(known, 0) = 1)""")
 def content_type_regressions(spark, d):
     return S.without_regressions(_detections(spark, d)).select("stream_id", "window_id", "content_type")
 
 
-@query(f"with {TW}, {_DET}, n as (select *, lag(lang) over (partition by stream_id order by window_id) as p from det where lang is not null) select stream_id, window_id, lang from n where p is null or p <> lang")
+@query(f"""with {TW}, {_DET}, n as (select *, lag(lang) over (partition by stream_id order by window_id) as p from det where lang is not null) select
+stream_id, window_id, lang from n where p is null or p <> lang""")
 def language_changes(spark, d):
     return S.language_changes(_detections(spark, d)).select("stream_id", "window_id", "lang")
 
 
-@query("""with e as (select user_id as stream_id, floor(epoch(ts))::bigint - 1704067200 as t, value from events) select stream_id, t // 10 as win, count(*) as n, round(sum(value), 6) as total, max(t // 10) over (partition by stream_id) = t // 10 as partial from e group by 1, 2""")
+@query("""with e as (select user_id as stream_id, floor(epoch(ts))::bigint - 1704067200 as t, value from events) select stream_id, t // 10 as win,
+count(*) as n, round(sum(value), 6) as total, max(t // 10) over (partition by stream_id) = t // 10 as partial from e group by 1, 2""")
 def tumbling_windows(spark, d):
     """Windows of 10 s without overlap; the last of a stream may be cut by the end of the input."""
     return S.tumbling(A.frames(spark, d), 10).withColumn("total", F.round(F.col("total") * 500, 6))
 
 
-@query("""with e as (select user_id as stream_id, floor(epoch(ts))::bigint - 1704067200 as t, value from events), w as (select stream_id, t, value, unnest([t // 2 - 1, t // 2]) as win from e)
+@query("""with e as (select user_id as stream_id, floor(epoch(ts))::bigint - 1704067200 as t, value from events), w as (select stream_id, t, value,
+unnest([t // 2 - 1, t // 2]) as win from e)
 select stream_id, (win * 2)::double as start, count(*) as n from w where win >= 0 and t >= win * 2 and t < win * 2 + 2.5 group by 1, 2""")
 def sliding_windows(spark, d):
     """Windows of 2.5 s, every 2 s: a frame is in one or two of them."""
@@ -160,16 +185,23 @@ _PLUG = "res as (" + " union all ".join(f"select stream_id, window_id, '{p}' as
 
 
 @query(f"""with recursive {TW}, {_PLUG}, items as (select stream_id, '' as kind, window_id, length(text) // 4 as cost, 150 as lim from tw union all
-select stream_id, plugin, window_id, length(formatted) // 4, case plugin when 'context_summary' then 80 else 60 end from res where include),
+select stream_id, plugin, window_id, length(formatted) // 4, case plugin when 'context_summary' then 80 else 60 end from res where
+include),
 o as (select *, row_number() over (partition by stream_id, kind order by window_id desc) as rn from items),
 f as (select distinct stream_id, kind, 0::bigint as rn, 0::bigint as used, false as taken, null::bigint as window_id from items union all
-select f.stream_id, f.kind, o.rn, case when f.used + o.cost <= o.lim then f.used + o.cost else f.used end, f.used + o.cost <= o.lim, o.window_id from f join o on o.stream_id = f.stream_id and o.kind = f.kind and o.rn = f.rn + 1),
+select f.stream_id, f.kind, o.rn, case when f.used + o.cost <= o.lim then f.used + o.cost else f.used end, f.used + o.cost <= o.lim,
+o.window_id from f join o on o.stream_id = f.stream_id and o.kind = f.kind and o.rn = f.rn + 1),
 m as (select stream_id, kind, max(window_id) as miss from f where rn > 0 and not taken group by 1, 2),
 st as (select stream_id, case when count(*) = 3 then min(miss) end as stop from m group by 1),
-k as (select f.*, st.stop from f left join st on f.stream_id = st.stream_id where f.rn > 0 and taken and (stop is null or f.window_id >= stop)),
-t as (select k.stream_id, string_agg(text, chr(10) order by k.window_id) as text, sum(length(text) // 4)::bigint as text_tokens from k join tw on tw.stream_id = k.stream_id and tw.window_id = k.window_id where kind = '' group by 1),
-p as (select k.stream_id, string_agg(formatted, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by kind, k.window_id desc) as other, count(*) as n from k join res on res.stream_id = k.stream_id and res.window_id = k.window_id and res.plugin = k.kind group by 1)
-select s.stream_id, coalesce(text_tokens, 0) as text_tokens, coalesce(n, 0) as results, coalesce(concat_ws(chr(10) || chr(10), case when text <> '' then '## PRIOR TEXT' || chr(10) || text end, case when n > 0 then '## OTHER PLUGIN RESULTS' || chr(10) || other end), '') as context
+k as (select f.*, st.stop from f left join st on f.stream_id = st.stream_id where f.rn > 0 and taken and (stop is null or f.window_id >=
+stop)),
+t as (select k.stream_id, string_agg(text, chr(10) order by k.window_id) as text, sum(length(text) // 4)::bigint as text_tokens from k
+join tw on tw.stream_id = k.stream_id and tw.window_id = k.window_id where kind = '' group by 1),
+p as (select k.stream_id, string_agg(formatted, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by kind, k.window_id desc) as
+other, count(*) as n from k join res on res.stream_id = k.stream_id and res.window_id = k.window_id and res.plugin = k.kind group by 1)
+select s.stream_id, coalesce(text_tokens, 0) as text_tokens, coalesce(n, 0) as results, coalesce(concat_ws(chr(10) || chr(10), case when
+text <> '' then '## PRIOR TEXT' || chr(10) || text end, case when n > 0 then '## OTHER PLUGIN RESULTS' || chr(10) || other end), '') as
+context
 from (select distinct stream_id from tw) s left join t on t.stream_id = s.stream_id left join p on p.stream_id = s.stream_id""")
 def text_and_results(spark, d):
     got = context.text_and_results(A.transcription_windows(spark, d), A.plugin_results(spark, d), 150, {"context_summary": 80, "rapid_summary": 60})
@@ -177,7 +209,8 @@ def text_and_results(spark, d):
     return got.select("stream_id", "text_tokens", n.cast("long").alias("results"), context.context_string(F.col("text"), F.col("results")).alias("context"))
 
 
-@query(f"""with {VEC}, p as (select a.label as a, b.label as b, {DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) * sqrt({DOT.format(a='b.v', b='b.v')})) as c, a.vec_id as i from vec a join vec b on a.chunk_id = b.chunk_id and a.label <> b.label),
+@query(f"""with {VEC}, p as (select a.label as a, b.label as b, {DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) *
+sqrt({DOT.format(a='b.v', b='b.v')})) as c, a.vec_id as i from vec a join vec b on a.chunk_id = b.chunk_id and a.label <> b.label),
 m as (select a, b, i, max(c) as best from p group by 1, 2, 3) select a, b, round(min(best), 6) as least from m group by 1, 2""")
 def least_best_match(spark, d):
     v = A.vectors(spark, d)
@@ -187,15 +220,18 @@ def least_best_match(spark, d):
     return vectors.least_best_match(p, "a", "b").withColumn("least", F.round("least", 6))
 
 
-@query(f"""with {VEC}, p as (select a.vec_id as a, b.vec_id as b, {DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) * sqrt({DOT.format(a='b.v', b='b.v')})) as c from vec a join vec b on a.chunk_id = b.chunk_id and a.vec_id < b.vec_id)
+@query(f"""with {VEC}, p as (select a.vec_id as a, b.vec_id as b, {DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) *
+sqrt({DOT.format(a='b.v', b='b.v')})) as c from vec a join vec b on a.chunk_id = b.chunk_id and a.vec_id < b.vec_id)
 select a, b, round(c, 6) as cos from p where c >= 0.2 order by c desc, a, b limit 10""")
 def top_similar_pairs(spark, d):
     p = vectors.pairs_within(A.vectors(spark, d), "chunk_id").where("cos >= 0.2")
     return p.orderBy(F.desc("cos"), "a", "b").limit(10).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
-@query(f"""with {VEC}, s as (select label, count(*) as n from vec group by 1), l as (select vec_id, case when vec_id % 3 = 0 then 'match' else 'new' end as decision, abs(v[1]) as c from vec order by vec_id desc limit 20)
-select count(*) as speakers, sum(n)::bigint as samples, round(sum(n) / greatest(1, count(*))::double, 6) as mean, (select round(coalesce(avg(c), 1.0), 6) from l where decision = 'match') as confidence,
+@query(f"""with {VEC}, s as (select label, count(*) as n from vec group by 1), l as (select vec_id, case when vec_id % 3 = 0 then 'match' else 'new'
+end as decision, abs(v[1]) as c from vec order by vec_id desc limit 20)
+select count(*) as speakers, sum(n)::bigint as samples, round(sum(n) / greatest(1, count(*))::double, 6) as mean, (select
+round(coalesce(avg(c), 1.0), 6) from l where decision = 'match') as confidence,
 round((select count(*) filter (vec_id % 9 <> 0) from vec) / greatest(1, (select count(*) from vec))::double, 6) as valid from s""")
 def speaker_statistics(spark, d):
     v = A.vectors(spark, d)
@@ -207,7 +243,8 @@ def speaker_plane(spark, d):
     return vectors.plane(A.vectors(spark, d).withColumn("heard", F.col("vec_id") % 5 + 1), "label", "heard")
 
 
-@query(f"""with {TW} select stream_id, window_id, right(text, 40) as tail, substr(text, 1, length(text) // 2) as half, case when window_id % 2 = 1 then 'truncation_failure' when window_id % 3 = 0 then 'timeout_failure' when window_id % 5 = 4 then 'parse_failure' end as outcome from tw""")
+@query(f"""with {TW} select stream_id, window_id, right(text, 40) as tail, substr(text, 1, length(text) // 2) as half, case when window_id % 2 = 1
+then 'truncation_failure' when window_id % 3 = 0 then 'timeout_failure' when window_id % 5 = 4 then 'parse_failure' end as outcome from tw""")
 def retry_rules(spark, d):
     n = F.col("window_id")
     finish = F.when(n % 2 == 1, "length").otherwise("stop")
@@ -215,8 +252,10 @@ def retry_rules(spark, d):
     return A.transcription_windows(spark, d).select("stream_id", "window_id", T.tail(F.col("text"), 40).alias("tail"), T.first_half(F.col("text")).alias("half"), health.outcome(finish, error).alias("outcome"))
 
 
-@query(f"""with {TW}, w as (select *, lag(ts_end) over (partition by stream_id order by window_id) as prev_end, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as words from tw)
-select stream_id, window_id, coalesce(list_aggregate(list_filter(words, lambda x, i: window_id % 2 = 1 or prev_end is null or (ts_start * 1000 + (i - 1) * 100)::bigint / 1000.0 >= prev_end), 'string_agg', ' '), '') as text,
+@query(f"""with {TW}, w as (select *, lag(ts_end) over (partition by stream_id order by window_id) as prev_end,
+list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as words from tw)
+select stream_id, window_id, coalesce(list_aggregate(list_filter(words, lambda x, i: window_id % 2 = 1 or prev_end is null or (ts_start *
+1000 + (i - 1) * 100)::bigint / 1000.0 >= prev_end), 'string_agg', ' '), '') as text,
 case when prev_end is null then 'first' when window_id % 2 = 0 then 'timestamps' else 'words' end as path from w""")
 def timestamp_dedup(spark, d):
     """Words that began before the last window's end go; every second window has no word times and takes the other path."""
@@ -224,64 +263,83 @@ def timestamp_dedup(spark, d):
 
 
 @query(f"""with {SW}, ids as (select stream_id, summary_id, unnest([summary_id * 2, summary_id * 2 + 99]) as wanted from sw)
-select ids.stream_id, summary_id, wanted, coalesce(text, '') as text, coalesce(ts_start, 0.0) as ts_start from ids left join tw on tw.stream_id = ids.stream_id and tw.window_id = ids.wanted""".replace("{SW}", SW))
+select ids.stream_id, summary_id, wanted, coalesce(text, '') as text, coalesce(ts_start, 0.0) as ts_start from ids left join tw on
+tw.stream_id = ids.stream_id and tw.window_id = ids.wanted""".replace("{SW}", SW))
 def lookup_by_id(spark, d):
     wanted = _sw(spark, d).select("stream_id", "summary_id", F.explode(F.array(F.col("summary_id") * 2, F.col("summary_id") * 2 + 99)).alias("wanted"))
     return S.lookup(wanted, A.transcription_windows(spark, d))
 
 
-@query(f"""with {TW}, {INS.split("from conversations), ", 1)[1]}, r as (select stream_id, window_id, string_agg(insight_text, ' / ' order by insight_id) as said, count(*) as n from ins where window_id % 2 = 0 group by 1, 2),
-s as (select distinct stream_id from ins), w as (select stream_id, max(window_id) as last, count(distinct window_id) as windows from ins group by 1)
-select s.stream_id, coalesce((select said from r where r.stream_id = s.stream_id and r.window_id = 1), (select arg_max(said, window_id) from r where r.stream_id = s.stream_id)) as latest,
+@query(f"""with {TW}, {INS.split("from conversations), ", 1)[1]}, r as (select stream_id, window_id, string_agg(insight_text, ' / ' order by
+insight_id) as said, count(*) as n from ins where window_id % 2 = 0 group by 1, 2),
+s as (select distinct stream_id from ins), w as (select stream_id, max(window_id) as last, count(distinct window_id) as windows from ins
+group by 1)
+select s.stream_id, coalesce((select said from r where r.stream_id = s.stream_id and r.window_id = 1), (select arg_max(said, window_id)
+from r where r.stream_id = s.stream_id)) as latest,
 (select count(*) from ins i where i.stream_id = s.stream_id and i.window_id < w.last) as prior,
-round(coalesce((select count(*) from ins i where i.stream_id = s.stream_id and i.window_id < w.last) / nullif(w.windows - 1, 0)::double, 0), 6) as per_window from s join w using (stream_id)""")
+round(coalesce((select count(*) from ins i where i.stream_id = s.stream_id and i.window_id < w.last) / nullif(w.windows - 1, 0)::double,
+0), 6) as per_window from s join w using (stream_id)""")
 def latest_insights(spark, d):
     return S.latest_insights(A.insights(spark, d), 1)
 
 
-@query(f"""with {TW}, {_PLUG} select tw.stream_id, tw.window_id, any_value(case when plugin = 'rapid_summary' then formatted end) as rapid_summary, any_value(case when plugin = 'context_summary' then formatted end) as context_summary from tw left join res using (stream_id, window_id) group by 1, 2""")
+@query(f"""with {TW}, {_PLUG} select tw.stream_id, tw.window_id, any_value(case when plugin = 'rapid_summary' then formatted end) as rapid_summary,
+any_value(case when plugin = 'context_summary' then formatted end) as context_summary from tw left join res using (stream_id, window_id)
+group by 1, 2""")
 def cross_plugin_read(spark, d):
     w = A.transcription_windows(spark, d).select("stream_id", "window_id")
     r = A.plugin_results(spark, d).groupBy("stream_id", "window_id").pivot("plugin", ["rapid_summary", "context_summary"]).agg(F.first("formatted"))
     return w.join(r, ["stream_id", "window_id"], "left")
 
 
-@query(f"with {TW}, {_PLUG}, s as (select *, row_number() over (partition by stream_id, plugin order by window_id desc) as rn from res where length(formatted) <= 300) select stream_id, plugin, window_id, '{{\"text\":' || to_json(formatted) || ',\"include\":' || include || '}}' as stored from s where rn = 1")
+@query(f"""with {TW}, {_PLUG}, s as (select *, row_number() over (partition by stream_id, plugin order by window_id desc) as rn from res where
+length(formatted) <= 300) select stream_id, plugin, window_id, '{{\"text\":' || to_json(formatted) || ',\"include\":' || include || '}}'
+as stored from s where rn = 1""")
 def stored_results(spark, d):
     return S.stored_results(A.plugin_results(spark, d), 300)
 
 
-@query(f"with {TW} select stream_id, coalesce(string_agg(text, ' ' order by window_id) filter (window_id % 3 <> 0), '') as unprocessed, string_agg(text, ' ' order by window_id) as everything, count(*) filter (window_id % 3 <> 0) as pending from tw group by 1")
+@query(f"""with {TW} select stream_id, coalesce(string_agg(text, ' ' order by window_id) filter (window_id % 3 <> 0), '') as unprocessed,
+string_agg(text, ' ' order by window_id) as everything, count(*) filter (window_id % 3 <> 0) as pending from tw group by 1""")
 def unprocessed_text(spark, d):
     w = A.transcription_windows(spark, d).withColumn("processed", F.col("window_id") % 3 == 0)
     return S.unprocessed(w)
 
 
-@query(f"""with {TW}, r as (select *, row_number() over (partition by stream_id order by window_id desc) as rn from tw) select stream_id, string_agg(text, ' | ' order by window_id desc) filter (rn <= 5) as cues, count(*) as total, arg_max(ts_end, window_id) as duration, max(ts_end) = max(case when rn = 1 then ts_end end) as in_order from r group by 1""")
+@query(f"""with {TW}, r as (select *, row_number() over (partition by stream_id order by window_id desc) as rn from tw) select stream_id,
+string_agg(text, ' | ' order by window_id desc) filter (rn <= 5) as cues, count(*) as total, arg_max(ts_end, window_id) as duration,
+max(ts_end) = max(case when rn = 1 then ts_end end) as in_order from r group by 1""")
 def viewer_cues(spark, d):
     return S.viewer_cues(A.transcription_windows(spark, d), 5)
 
 
-@query(f"""with {TW} select stream_id, window_id, (ts_start * 1000)::bigint as start_ms, (ts_end * 1000)::bigint as end_ms, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words, speaker, regexp_replace('1' || chr(10) || '00:00:00,000 --> 00:00:01,000' || chr(10) || text, '^[^\\n]*\\n[^\\n]*\\n', '') as srt from tw""")
+@query(f"""with {TW} select stream_id, window_id, (ts_start * 1000)::bigint as start_ms, (ts_end * 1000)::bigint as end_ms, text,
+len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words, speaker, regexp_replace('1' || chr(10) ||
+'00:00:00,000 --> 00:00:01,000' || chr(10) || text, '^[^\\n]*\\n[^\\n]*\\n', '') as srt from tw""")
 def segments_payload(spark, d):
     p = S.segments_payload(A.transcription_windows(spark, d))
     return p.select("stream_id", "window_id", "segment.start_ms", "segment.end_ms", "segment.text", F.size("segment.words").cast("long").alias("words"), "segment.speaker", sinks.srt_text(F.concat(F.lit("1\n00:00:00,000 --> 00:00:01,000\n"), "segment.text")).alias("srt"))
 
 
-@query(f"with {TW} select stream_id, string_agg(speaker || ':' || (ts_start * 1000)::bigint || '-' || (ts_end * 1000)::bigint, ',' order by window_id) as turns from tw group by 1")
+@query(f"""with {TW} select stream_id, string_agg(speaker || ':' || (ts_start * 1000)::bigint || '-' || (ts_end * 1000)::bigint, ',' order by
+window_id) as turns from tw group by 1""")
 def speakers_payload(spark, d):
     return S.speakers_payload(A.transcription_windows(spark, d))
 
 
-@query(f"""with recursive {TW}, m(old, new) as (values ('user', 'assistant'), ('assistant', 'system'), ('x', 'user')), c as (select old, new from m union all select c.old, m.new from c join m on c.new = m.old),
-f as (select old, new from c where new not in (select old from m)) select stream_id, window_id, coalesce(m.new, speaker) as one_hop, coalesce(f.new, speaker) as closed from tw left join m on speaker = m.old left join f on speaker = f.old""")
+@query(f"""with recursive {TW}, m(old, new) as (values ('user', 'assistant'), ('assistant', 'system'), ('x', 'user')), c as (select old, new from m
+union all select c.old, m.new from c join m on c.new = m.old),
+f as (select old, new from c where new not in (select old from m)) select stream_id, window_id, coalesce(m.new, speaker) as one_hop,
+coalesce(f.new, speaker) as closed from tw left join m on speaker = m.old left join f on speaker = f.old""")
 def speaker_remap_closure(spark, d):
     m = spark.createDataFrame([("user", "assistant"), ("assistant", "system"), ("x", "user")], "old string, new string")
     w = A.transcription_windows(spark, d).select("stream_id", "window_id", F.col("speaker").alias("one_hop"), F.col("speaker").alias("closed"))
     return joins.remap(joins.remap(w, "one_hop", m), "closed", joins.closed_merges(m))
 
 
-@query(f"with {CHG}, f as (select stream_id, content_type, min(change_window) as first_at from chg group by 1, 2) select stream_id, string_agg(content_type, ',' order by first_at) as styles, (select sum(length(text) // 4)::bigint from tw where tw.stream_id = f.stream_id) as tokens from f group by 1")
+@query(f"""with {CHG}, f as (select stream_id, content_type, min(change_window) as first_at from chg group by 1, 2) select stream_id,
+string_agg(content_type, ',' order by first_at) as styles, (select sum(length(text) // 4)::bigint from tw where tw.stream_id =
+f.stream_id) as tokens from f group by 1""")
 def styles_and_tokens(spark, d):
     return S.styles(A.content_changes(spark, d)).join(S.token_sums(A.transcription_windows(spark, d)), "stream_id")
 
@@ -295,8 +353,10 @@ def rendered_document(spark, d):
 _JSON = "case event_id % 6 when 0 then '{\"topic\": \"BUSINESS\", \"insights\": [{\"insight_text\": \"a\"}, {\"insight_text\": \"b\"}]}' when 1 then '{\"topic\": \"nonsense\"}' when 2 then 'not json' when 3 then '{\"insights\": []}' when 4 then '[{\"insight_text\": \"c\"}]' else '{\"topic\": \"GENERAL\", \"insights\"' end"
 
 
-@query("""select event_id, case event_id % 6 when 0 then 'BUSINESS' when 1 then 'GENERAL' end as topic, case event_id % 6 when 0 then 2 when 4 then 1 else 0 end as insights,
-case event_id % 6 when 2 then 'json' when 5 then 'json' when 3 then 'topic is missing' end as error, case when event_id % 6 = 0 then 'PODCAST' else 'UNKNOWN' end as content_type from events""")
+@query("""select event_id, case event_id % 6 when 0 then 'BUSINESS' when 1 then 'GENERAL' end as topic, case event_id % 6 when 0 then 2 when 4 then
+1 else 0 end as insights,
+case event_id % 6 when 2 then 'json' when 5 then 'json' when 3 then 'topic is missing' end as error, case when event_id % 6 = 0 then
+'PODCAST' else 'UNKNOWN' end as content_type from events""")
 def json_validate(spark, d):
     e = A.table(spark, d, "events").select("event_id", F.expr(_JSON).alias("raw"))
     kinds = F.when(F.col("event_id") % 6 == 0, '{"content_type": "PODCAST"}').when(F.col("event_id") % 6 == 1, '{"content_type": "OPERA"}').otherwise('{"content_type": "PODCAST"')
@@ -304,7 +364,9 @@ def json_validate(spark, d):
     return e.select("event_id", got["topic"].alias("topic"), F.size(got["insights"]).alias("insights"), got["error"].alias("error"), S.parsed_content_type(kinds, A.CONTENT_TYPES).alias("content_type"))
 
 
-@query("""select event_id, 'transcription' as type, '{"type":"transcription","event_id":' || event_id || ',"event_type":' || to_json(event_type) || '}' as payload, event_id as parsed, case when event_id % 4 = 0 then 'dropped' else 'kept' end as known from events""")
+@query("""select event_id, 'transcription' as type,
+'{"type":"transcription","event_id":' || event_id || ',"event_type":' || to_json(event_type) || '}' as payload, event_id as parsed, case
+when event_id % 4 = 0 then 'dropped' else 'kept' end as known from events""")
 def json_events(spark, d):
     rows = A.table(spark, d, "events").select("event_id", "event_type")
     e = sinks.events(rows, "transcription")
@@ -314,7 +376,8 @@ def json_events(spark, d):
     return e.select(back["event_id"].alias("event_id"), "type", "payload", back["event_id"].alias("parsed"), known.alias("known"))
 
 
-@query("select coalesce(c_nationkey, n_nationkey) as nation, count(c_custkey) as customers, count(distinct c_mktsegment) as segments from customer full join nation on c_nationkey = n_nationkey and n_nationkey > 3 group by 1")
+@query("""select coalesce(c_nationkey, n_nationkey) as nation, count(c_custkey) as customers, count(distinct c_mktsegment) as segments from customer
+full join nation on c_nationkey = n_nationkey and n_nationkey > 3 group by 1""")
 def customers_full_join(spark, d):
     c, n = A.table(spark, d, "customer"), A.table(spark, d, "nation")
     j = c.join(n, (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("n_nationkey") > 3), "full")
@@ -327,26 +390,31 @@ def shared_nations(spark, d):
     return c.intersect(A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
-@query(f"with {TW}, r as (select t.stream_id, t.window_id, o.window_id as other from tw t right join (select * from tw where window_id > 1) o on t.stream_id = o.stream_id and t.window_id = o.window_id - 2) select * from r")
+@query(f"""with {TW}, r as (select t.stream_id, t.window_id, o.window_id as other from tw t right join (select * from tw where window_id > 1) o on
+t.stream_id = o.stream_id and t.window_id = o.window_id - 2) select * from r""")
 def right_join_windows(spark, d):
     w = A.transcription_windows(spark, d)
     o = w.where("window_id > 1").select(F.col("stream_id").alias("s"), F.col("window_id").alias("other"))
     return w.join(o, (F.col("stream_id") == F.col("s")) & (F.col("window_id") == F.col("other") - 2), "right").select("stream_id", "window_id", "other")
 
 
-@query(f"with {TW}, s as (select distinct stream_id, 1 as event, 0 as at from tw union all select stream_id, 1, window_id from tw where window_id > 0 union all select stream_id, -1, window_id + 1 from tw where window_id % 3 = 0) select stream_id, sum(event)::bigint as pending from s group by 1")
+@query(f"""with {TW}, s as (select distinct stream_id, 1 as event, 0 as at from tw union all select stream_id, 1, window_id from tw where window_id >
+0 union all select stream_id, -1, window_id + 1 from tw where window_id % 3 = 0) select stream_id, sum(event)::bigint as pending from s
+group by 1""")
 def pending_counts(spark, d):
     w = A.transcription_windows(spark, d)
     return S.pending(w, w.where("window_id % 3 = 0"))
 
 
-@query(f"with {TW} select stream_id, coalesce(sum(length(text)) filter (window_id > 2), 0)::bigint as chars, count(*) filter (window_id > 2) = 0 as is_empty, coalesce(sum(length(text)) filter (window_id > 2), 0) < 500 as is_minimal from tw group by 1")
+@query(f"""with {TW} select stream_id, coalesce(sum(length(text)) filter (window_id > 2), 0)::bigint as chars, count(*) filter (window_id > 2) = 0 as
+is_empty, coalesce(sum(length(text)) filter (window_id > 2), 0) < 500 as is_minimal from tw group by 1""")
 def availability_flags(spark, d):
     w = A.transcription_windows(spark, d)
     return S.availability_flags(w.select("stream_id").distinct(), w.where("window_id > 2"), 500)
 
 
-@query("select user_id as stream_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as r from events) where r <= 100")
+@query("""select user_id as stream_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as r
+from events) where r <= 100""")
 def latest_buffer(spark, d):
     return S.latest(A.table(spark, d, "events").select(F.col("user_id").alias("stream_id"), "event_id"), "stream_id", "event_id", 100)
 
@@ -354,22 +422,29 @@ def latest_buffer(spark, d):
 _MMSS = "lpad((({s})::bigint // 60)::varchar, 2, '0') || ':' || lpad((({s})::bigint % 60)::varchar, 2, '0')"
 
 
-@query(f"""with {TW}, g as (select stream_id, string_agg('[' || {_MMSS.format(s='floor(ts_start)')} || ' – ' || {_MMSS.format(s='floor(ts_end)')} || ']' || chr(10) || text, chr(10) order by ts_start, window_id) as lines, count(*) as n from tw where ts_start < 12 and ts_end > 9 group by 1),
+@query(f"""with {TW}, g as (select stream_id, string_agg('[' || {_MMSS.format(s='floor(ts_start)')} || ' – ' || {_MMSS.format(s='floor(ts_end)')} ||
+']' || chr(10) || text, chr(10) order by ts_start, window_id) as lines, count(*) as n from tw where ts_start < 12 and ts_end > 9 group by
+1),
 p as (select stream_id, max(ts_end) as position from tw group by 1)
-select p.stream_id, case when n > 0 then '[Transcript 00:09 to 00:12 — ' || n || ' window(s)' || case when 12 > position then ' (stream is at ' || {_MMSS.format(s='floor(position)')} || ')' else '' end || ']' || chr(10) || chr(10) || lines
-else 'No transcript between 00:09 and 00:12.' || case when 12 > position then ' (stream is at ' || {_MMSS.format(s='floor(position)')} || ')' else '' end end as answer from p left join g on g.stream_id = p.stream_id""")
+select p.stream_id, case when n > 0 then '[Transcript 00:09 to 00:12 — ' || n || ' window(s)' || case when 12 > position then
+' (stream is at ' || {_MMSS.format(s='floor(position)')} || ')' else '' end || ']' || chr(10) || chr(10) || lines
+else 'No transcript between 00:09 and 00:12.' || case when 12 > position then ' (stream is at ' || {_MMSS.format(s='floor(position)')} ||
+')' else '' end end as answer from p left join g on g.stream_id = p.stream_id""")
 def transcript_range(spark, d):
     w = A.transcription_windows(spark, d)
     return S.transcript_range(w, 9.0, 12.0, w.groupBy("stream_id").agg(F.max("ts_end").alias("position")))
 
 
-@query(f"""with {TW}, {_PLUG} select stream_id, window_id, plugin, case when plugin = 'rapid_summary' then 'note ' || (100 // nullif(window_id, 0)) else '{{"formatted":' || to_json(formatted) || '}}' end as line from res""")
+@query(f"""with {TW}, {_PLUG} select stream_id, window_id, plugin, case when plugin = 'rapid_summary' then 'note ' || (100 // nullif(window_id, 0))
+else '{{"formatted":' || to_json(formatted) || '}}' end as line from res""")
 def formatted_results(spark, d):
     own = F.concat(F.lit("note "), F.floor(F.try_divide(F.lit(100), F.col("window_id"))).cast("string"))
     return S.formatted(A.plugin_results(spark, d), {"rapid_summary": own}).select("stream_id", "window_id", "plugin", "line")
 
 
-@query(f"""with {_TYPED}, p as (select stream_id, insight_id, concat_ws(chr(10) || chr(10), '## Task' || chr(10) || 'Find what matters.', case when emphasize is not null then '## Look for' || chr(10) || emphasize end, case when deemphasize is not null then '## Leave out' || chr(10) || deemphasize end, '## Text' || chr(10) || insight_text) as prompt
+@query(f"""with {_TYPED}, p as (select stream_id, insight_id, concat_ws(chr(10) || chr(10), '## Task' || chr(10) || 'Find what matters.', case when
+emphasize is not null then '## Look for' || chr(10) || emphasize end, case when deemphasize is not null then '## Leave out' || chr(10) ||
+deemphasize end, '## Text' || chr(10) || insight_text) as prompt
 from typed left join rules using (content_type)) select * from p""")
 def prompts(spark, d):
     j = rules.weighed(_typed(spark, d), spark)
@@ -378,18 +453,22 @@ def prompts(spark, d):
 
 
 @query("""with g as (select user_id as stream_id, count(*) as total, count(*) filter (event_type <> 'error') as ok from events group by 1)
-select stream_id, '{"type":"monitoring","stream_id":' || stream_id || ',"total":' || total || ',"ok":' || ok || '}' as payload from g where 100 * ok < 80 * total""")
+select stream_id, '{"type":"monitoring","stream_id":' || stream_id || ',"total":' || total || ',"ok":' || ok || '}' as payload from g
+where 100 * ok < 80 * total""")
 def health_alerts(spark, d):
     return S.health_alerts(A.llm_requests(spark, d), 80)
 
 
-@query(f"with {VEC}, m as (select vec_id, unnest(list_transform(range(0, 16), lambda i: (v[i * 4 + 1] + v[i * 4 + 2] + v[i * 4 + 3] + v[i * 4 + 4]) / 4)) as x from vec) select vec_id, round(sum(x), 6) as total, count(*) as n from m group by 1")
+@query(f"""with {VEC}, m as (select vec_id, unnest(list_transform(range(0, 16), lambda i: (v[i * 4 + 1] + v[i * 4 + 2] + v[i * 4 + 3] + v[i * 4 + 4])
+/ 4)) as x from vec) select vec_id, round(sum(x), 6) as total, count(*) as n from m group by 1""")
 def mono_mix(spark, d):
     m = A.vectors(spark, d).select("vec_id", S.mono(F.col("v"), 4).alias("m"))
     return m.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("m").cast("long").alias("n"))
 
 
-@query(f"with {VEC}, c as (select vec_id, label, chunk_id, case when vec_id % 11 = 0 then list_transform(v, lambda x: x * 0.0) when vec_id % 13 = 0 then list_transform(v, lambda x: x * 0.01) else v end as v from vec) select vec_id, case when vec_id % 11 = 0 then 'all_zeros' else 'low_norm' end as reason from c where vec_id % 11 = 0 or vec_id % 13 = 0")
+@query(f"""with {VEC}, c as (select vec_id, label, chunk_id, case when vec_id % 11 = 0 then list_transform(v, lambda x: x * 0.0) when vec_id % 13 = 0
+then list_transform(v, lambda x: x * 0.01) else v end as v from vec) select vec_id, case when vec_id % 11 = 0 then 'all_zeros' else
+'low_norm' end as reason from c where vec_id % 11 = 0 or vec_id % 13 = 0""")
 def invalid_vectors(spark, d):
     """The side output of what the rules reject, with the reason."""
     n = F.when(F.col("vec_id") % 11 == 0, 0.0).when(F.col("vec_id") % 13 == 0, 0.01).otherwise(1.0)
