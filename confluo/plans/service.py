@@ -110,9 +110,9 @@ def insight_lines(spark, d):
     return i.select("stream_id", "insight_id", line.alias("line"))
 
 
-@query(f"""with {SEC}, b as (select stream_id, start_ms, end_ms, '## ' || case when trim(heading) = '' then 'Untitled Topic' else trim(heading) end
+@query(f"""with {SEC}, b as (select stream_id, start_ms, end_ms, '## ' || case when regexp_replace(heading, '^\\s+|\\s+$', '', 'g') = '' then 'Untitled Topic' else regexp_replace(heading, '^\\s+|\\s+$', '', 'g') end
 || ' [' || {_CLOCK.format(s='start_ms // 1000')} || ' – ' || {_CLOCK.format(s='end_ms // 1000')} || ']' || chr(10) || chr(10) ||
-trim(content) as block from sec)
+regexp_replace(content, '^\\s+|\\s+$', '', 'g') as block from sec)
 select stream_id, '## Actions' || chr(10) || chr(10) || '- [ ] first' || chr(10) || '- [ ] second' || chr(10) || chr(10) || '---' ||
 chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by start_ms, end_ms, block) as document from b group by 1""")
 def summary_markdown(spark, d):
