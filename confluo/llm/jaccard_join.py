@@ -135,7 +135,18 @@ def classes(n: int) -> list[int]:
     """
     one = lambda m: max(1, min((1 << m.bit_length() - 1) // DEN, -(-NUM * m // DEN) - 1))
     least = -(-NUM * n // DEN)
-    return sorted({one(m) for m in {n, least, *((1 << k) for k in range(least.bit_length(), n.bit_length())), *((1 << k) - 1 for k in range(least.bit_length(), n.bit_length()))} if least <= m <= n and m >= 2})
+    powers = [1 << k for k in range(least.bit_length(), n.bit_length())]
+    sizes = {n, least, *powers, *(p - 1 for p in powers)}
+    return sorted({one(m) for m in sizes if least <= m <= n and m >= 2})
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return _signed(np.concatenate(arrays)) if arrays else np.zeros(0, np.int64)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    """A batch of 64-bit numbers."""
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
 
 
 def plain_rows(sets: DataFrame) -> DataFrame:
@@ -145,7 +156,9 @@ def plain_rows(sets: DataFrame) -> DataFrame:
         for b in batches:
             got = [(s, n, prefix(n, np.frombuffer(t, np.uint64)), len(t) // 8) for s, n, t in zip(*(c.to_pylist() for c in b.columns))]
             k = [len(g[2]) for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[1] for g in got], k).astype(np.int64)), pa.array(np.repeat([g[3] for g in got], k).astype(np.int64)), pa.array(np.concatenate([np.arange(len(g[2])) + g[1] - g[3] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64))], names=["tok", "set", "n", "s", "pos"])
+            each = lambda i, got=got, k=k: np.repeat(np.array([g[i] for g in got], np.int64), k)
+            place = _joined([np.arange(len(g[2]), dtype=np.int64) + g[1] - g[3] for g in got])
+            yield _batch(tok=_joined([g[2] for g in got]), set=each(0), n=each(1), s=each(3), pos=place)
 
     return sets.mapInArrow(run, "tok long, set long, n long, s long, pos long")
 
@@ -177,7 +190,7 @@ def combination_rows(hot: DataFrame) -> DataFrame:
                 owner += [s] * len(mine)
                 size += [n] * len(mine)
                 shared += [len(toks)] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sig) if sig else np.zeros(0, np.uint64))), pa.array(owner, pa.int64()), pa.array(size, pa.int64()), pa.array(shared, pa.int64())], names=["sig", "set", "n", "s"])
+            yield _batch(sig=_joined(sig), set=owner, n=size, s=shared)
 
     return hot.select("set", "n", "toks", "frequent").mapInArrow(run, "sig long, set long, n long, s long")
 
@@ -188,7 +201,7 @@ def longest_rows(hot: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(s, prefix(n, np.frombuffer(t, np.uint64), max(classes(n), default=0) + 1)) for s, n, t in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint64))), pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64))], names=["tok", "set"])
+            yield _batch(tok=_joined([g[1] for g in got]), set=np.repeat(np.array([g[0] for g in got], np.int64), [len(g[1]) for g in got]))
 
     return hot.select("set", "n", "toks").mapInArrow(run, "tok long, set long")
 
@@ -348,7 +361,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release()
         for b in batches:
             got = [tokens(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in got], pa.int64()), pa.array([set_id(t) for t in got], pa.int64())], names=[ID, KEY, "n_shingles", "set"])
+            size, name = pa.array([len(t) for t in got], pa.int64()), pa.array([set_id(t) for t in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, name], names=[ID, KEY, "n_shingles", "set"])
 
     sized = cut(d.withColumn(KEY, row_key(F.col(ID), F.col(TEXT))).select(ID, KEY, TEXT).mapInArrow(digest, f"{ID} {kind.simpleString()}, {KEY} long, n_shingles long, set long"))
     sets = cut(shared_sets(d, X.buckets_for(d)))
@@ -360,7 +374,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = group.groupBy("component").agg(F.min("low").alias("component_id"))
     named = group.join(lows, "component").select("set", "component_id", "component", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     j = sized.withColumn("salt", F.pmod(F.col(KEY), F.lit(16)).cast("int")).join(named, ["set", "salt"], "left")
-    return j.select(F.col(ID).alias(id_col), KEY, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(ID))).otherwise(F.col(ID)).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+    some = F.col("n_shingles") > 0
+    least_id = F.when(some, F.coalesce("component_id", F.col(ID))).otherwise(F.col(ID)).alias("component_id")
+    return j.select(F.col(ID).alias(id_col), KEY, "n_shingles", least_id, F.when(some, F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, classes_: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,7 +395,8 @@ def keep_one(docs: DataFrame, classes_: DataFrame, id_col: str = "doc_id", text_
     names = {n: f"__keep_{i}" for i, n in enumerate(docs.columns)}
     # Maps can't be hashed.
     tie = F.xxhash64(*[docs[n] for n, t in docs.dtypes if "map<" not in t])
-    keyed = docs.select(*[F.col(f"`{n}`").alias(x) for n, x in names.items()], row_key(docs[id_col], docs[text_col]).alias("__keep_key"), F.monotonically_increasing_id().alias("__keep_at"), tie.alias("__keep_tie"))
+    own = [row_key(docs[id_col], docs[text_col]).alias("__keep_key"), F.monotonically_increasing_id().alias("__keep_at"), tie.alias("__keep_tie")]
+    keyed = docs.select(*[F.col(f"`{n}`").alias(x) for n, x in names.items()], *own)
     several = keyed.select("__keep_key", "__keep_at", "__keep_tie").join(kept.where("rows > 1"), F.col("__keep_key") == F.col("k"))
     one = several.groupBy("k").agg(F.min(F.struct("__keep_tie", "__keep_at")).alias("m")).select(F.col("k").alias("k1"), F.col("m.__keep_at").alias("only"))
     plan = cut(kept.join(one, F.col("k") == F.col("k1"), "left").select("k", "only").unionByName(alone.select("k", F.lit(None).cast("long").alias("only"))))

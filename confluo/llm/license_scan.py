@@ -100,7 +100,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     every = exact_base.unionByName(by_method)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     only = lambda c: F.when(F.col("base"), F.col(c))
-    per = every.groupBy(KEY).agg(F.count(only("start")).alias("n_base"), F.min(only("start")).cast("long").alias("first_word"), F.max(only("start")).cast("long").alias("last_word"), joined(only("label")).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("start", F.col("stop").alias("end"), "label", "score"))).alias("spans"))
+    per = every.groupBy(KEY).agg(
+        F.count(only("start")).alias("n_base"),
+        F.min(only("start")).cast("long").alias("first_word"),
+        F.max(only("start")).cast("long").alias("last_word"),
+        joined(only("label")).alias("base_labels"),
+        joined(F.col("label")).alias("labels"),
+        F.max("score").alias("score"),
+        F.array_sort(F.collect_list(F.struct("start", F.col("stop").alias("end"), "label", "score"))).alias("spans"),
+    )
     out = w.select(ID, KEY, F.size("words").cast("long").alias("n_words")).join(per, KEY, "left")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return out.select(F.col(ID).alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", empty("base_labels"), empty("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")
+    n_base, score = F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.coalesce("score", F.lit(0.0)).alias("score")
+    found = ["first_word", "last_word", empty("base_labels"), empty("labels"), score, "spans"]
+    return out.select(F.col(ID).alias(id_col), "n_words", n_base, *found)

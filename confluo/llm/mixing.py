@@ -181,7 +181,8 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, source_col: str = "source", id_
     taken = mixed.groupBy(KEY).agg(F.min("copies").alias("few"), F.max("copies").alias("many"), F.sum("copies").alias("n"), F.count("*").alias("rows"))
     taken = cut(taken.where("many > 0"))
     names = {n: f"__mix_{i}" for i, n in enumerate(docs.columns)}
-    keyed = docs.select(*[F.col(f"`{n}`").alias(x) for n, x in names.items()], mix_key(docs[id_col], docs[text_col], docs[source_col]).alias("__mix_key"), F.monotonically_increasing_id().alias("__mix_at"))
+    own = [mix_key(docs[id_col], docs[text_col], docs[source_col]).alias("__mix_key"), F.monotonically_increasing_id().alias("__mix_at")]
+    keyed = docs.select(*[F.col(f"`{n}`").alias(x) for n, x in names.items()], *own)
     uneven = taken.where("many > few").select(F.col(KEY).alias("k"), (F.col("n") - F.col("rows") * F.col("few")).alias("extra"))
     # At most two groups of equal rows a source are uneven.
     here = keyed.select("__mix_key", "__mix_at", F.shiftright("__mix_at", 33).alias("part")).join(uneven.where("extra > 0"), F.col("__mix_key") == F.col("k"))

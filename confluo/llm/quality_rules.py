@@ -70,6 +70,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             s = np.array(stats, np.int64).reshape(-1, 5)
             score = 1 / (1 + np.exp(-model.raw(np.array(x, float).reshape(-1, len(FEATURES)))))
             failed = (s[:, 0] < LEAST_WORDS) | (100 * s[:, 4] > MOST_REPEATED_PERCENT * s[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & (score >= keep_at)), pa.array(score)], names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"])
+            cols = [b.column(0), *(pa.array(s[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & (score >= keep_at)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, *counts, "base_failed", "kept", "score"])
 
-    return d.mapInArrow(run, f"`{id_col}` {id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kinds = ", ".join(f"{c} long" for c in counts)
+    return d.mapInArrow(run, f"`{id_col}` {id_type(docs, id_col)}, {kinds}, base_failed boolean, kept boolean, score double")

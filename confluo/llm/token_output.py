@@ -69,14 +69,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
                 frames.append(comp.compress(raw))
             keys = b.column(2).to_pylist()
             shard = [after + ((k + (1 << 63)) * nulls >> 64) if i is None else bisect_left(bounds, i) for i, k in zip(ids, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["shard", ID, KEY, "n", "frame"])
+            cols = [pa.array(shard, pa.int64()), b.column(0).cast(pa.int64()), b.column(2), pa.array(n, pa.int64()), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", ID, KEY, "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, ids, frames, ends, size = None, 0, [], [], [], 0
 
         def flush():
             index = np.array(ends, "<u8").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sum(n for _, n in ends)], pa.int64()), pa.array([index], pa.binary()), pa.array([b"".join(frames)], pa.binary()), pa.array([crc], pa.int64())], names=["shard", "block", "doc_ids", "n_ids", "index", "payload", "dict_crc"])
+            row = {"shard": shard, "block": block, "doc_ids": ids, "n_ids": sum(n for _, n in ends), "index": index, "payload": b"".join(frames), "dict_crc": crc}
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), kinds)], names=list(row))
 
         for b in batches:
             for s, i, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
@@ -91,7 +94,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
             yield flush()
 
     coded = d.withColumn(KEY, row_key(F.col(ID), F.col(TEXT))).mapInArrow(encode, f"shard long, {ID} long, {KEY} long, n long, frame binary")
-    packed = coded.repartitionById(after + nulls, F.col("shard").cast("int")).sortWithinPartitions("shard", F.asc_nulls_last(ID), KEY).mapInArrow(pack, "shard long, block long, doc_ids array<long>, n_ids long, index binary, payload binary, dict_crc long")
+    dealt = coded.repartitionById(after + nulls, F.col("shard").cast("int")).sortWithinPartitions("shard", F.asc_nulls_last(ID), KEY)
+    packed = dealt.mapInArrow(pack, "shard long, block long, doc_ids array<long>, n_ids long, index binary, payload binary, dict_crc long")
     packed.write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(shared), crc)], "dict binary, dict_crc long").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
@@ -107,7 +111,8 @@ def read_tokens(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     # One row a shard, of SHARD_BYTES of text or more.
     shards = sums.select("shard", (F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("shard_start"))
     inner = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
-    starts = blocks.select("shard", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("in_shard")).join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("start"))
+    held = blocks.select("shard", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("in_shard"))
+    starts = held.join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None)
