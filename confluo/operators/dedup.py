@@ -10,9 +10,10 @@ from confluo.functions.text import normal_action
 
 
 def first_seen(rows: DataFrame, key: str, text: str, *order: str) -> DataFrame:
-    """The first row of each normalised text a key; blank texts go."""
-    line = W.partitionBy(key, "__n").orderBy(*order)
-    return rows.withColumn("__n", normal_action(F.col(text))).where("__n <> ''").withColumn("__r", F.row_number().over(line)).where("__r = 1").drop("__n", "__r")
+    """The first row of each normalised text a key, as one grouped minimum; blank texts go."""
+    named = rows.withColumn("__n", normal_action(F.col(text))).where("__n <> ''")
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__m")
+    return named.groupBy(key, "__n").agg(first).select("__m.*")
 
 
 def last_write(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
