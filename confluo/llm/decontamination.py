@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.common import ID, KEY, TEXT, Memo, cut, id_type, narrow, release, row_key
+from confluo.llm.common import ID, KEY, TEXT, cut, id_type, narrow, release, row_key
 
 #: Directions: RANK, or half as many as passages if those are fewer, but FULL or as many as passages at least.
 RANK, FULL, POWER, SEED = 128, 32, 2, 7
@@ -30,8 +30,8 @@ NEAR, SURE = 0.45, 0.6
 COMMON, ANSWER, ANSWER_WORDS = 0.55, 0.6, 6
 #: Passages of fewer words are found word for word.
 LEAST_WORDS = 8
-#: Words of documents that are compared at once, and windows; words that a task remembers.
-SPAN, ROWS, MEMO = 1 << 15, 1 << 10, 1 << 16
+#: Words of documents that are compared at once, and cosines.
+SPAN, CELLS = 1 << 15, 1 << 20
 #: Fixed value: ASCII punctuation, which is stripped from the ends of words.
 _EDGE = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -69,10 +69,10 @@ def document_frequencies(d: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, place = np.zeros(size + 1, np.int64), sent.value
-        known = Memo(lambda w: place.get(w.strip(_EDGE) or w, -1), MEMO)
+        get = place.get
         for b in batches:
             for t in b.column(0).to_pylist():
-                at = {known[w] for w in set(normal_words(t))}
+                at = {get(w.strip(_EDGE) or w, -1) for w in set(normal_words(t))}
                 at.discard(-1)
                 df[list(at)] += 1
             df[size] += b.num_rows
@@ -176,7 +176,9 @@ class Passages:
         ids = np.full(first[-1] * STEP, pad, np.int64)
         for x, s in zip(docs, first):
             ids[s * STEP : s * STEP + len(x)] = x
-        step = self.rows[ids].reshape(-1, STEP, self.rows.shape[1]).sum(1)
+        step = self.rows[ids[::STEP]]
+        for j in range(1, STEP):
+            step += self.rows[ids[j::STEP]]
         other = self.outside[ids].reshape(-1, STEP).sum(1)
         owner = np.repeat(np.arange(len(docs)), steps + most)
         found: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -187,8 +189,9 @@ class Passages:
                 v += step[j : j + m]
                 o += other[j : j + m]
             v /= np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v) + o, 1e-9))[:, None]
-            for a in range(0, m, ROWS):
-                c = v[a : a + ROWS] @ vectors
+            rows = max(1, CELLS // len(which))
+            for a in range(0, m, rows):
+                c = v[a : a + rows] @ vectors
                 for i, j in zip(*np.nonzero(c >= NEAR)):
                     d = int(owner[a + i])
                     found.setdefault((d, int(which[j])), []).append((int(a + i - first[d]) * STEP, float(c[i, j])))
@@ -231,14 +234,14 @@ def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
         outside = len(block.vocabulary)
-        known = Memo(lambda w: block.vocabulary.get(w.strip(_EDGE) or w, outside), MEMO)
+        get = block.vocabulary.get
         release()
 
         def leaks(texts: list[tuple[int, list[bytes]]]) -> Iterator[tuple]:
             """Leaks of some documents, and of a long one by overlapping parts."""
             cut, far = [], WIDTHS[-1] * STEP + PIECE * 2
             for row, raw in texts:
-                numbers = np.fromiter((known[w] for w in raw), np.int64, len(raw))
+                numbers = np.array([get(w.strip(_EDGE) or w, outside) for w in raw], np.int64)
                 cut += [(row, s, numbers[s : s + SPAN]) for s in range(0, max(1, len(raw) - far), SPAN - far)]
             raws, found = dict(texts), {}
             for (i, k), windows in block.near([c[2] for c in cut]).items():
