@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("strength")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.divergence import divergence
+
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.suffix_dedup import dedup_repeats
+
+    return dedup_repeats(read_table(spark, sf_dir, "documents"), texts=False)
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """What the contract of periodic runs makes of a document's words: in a tenth of the documents, by a checksum of the id, the
+    words from a place on repeat its next few words. A null id changes nothing."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    return words[:at] + [words[at + i % period] for i in range(n - at)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from confluo.llm.periodic_runs import find_runs
+
+    return find_runs(read_table(spark, sf_dir, "documents"), texts=False, change=repeat_tail)
+
+
 OP5_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -119,6 +150,27 @@ select doc_id, size, source_size, target, ((whole + case when unnest(range(1, n
 """
 
 
+#: Whole numbers: hugeint holds each product.
+OP11_SQL = r"""
+with d as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row from documents),
+w as (select lang, source, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*)::bigint as n, count(distinct row)::bigint as docs from w group by all),
+k as (select lang, term, sum(n)::hugeint as q from c group by all having sum(docs) >= 10),
+l as (select lang, count(*)::hugeint as v, sum(q)::hugeint as qn from k group by lang),
+g as (select lang, source, sum(coalesce(n, 0))::hugeint as total from (select distinct lang, source from d) left join (c join k using (lang, term)) using (lang, source) group by all),
+f as (select g.lang, g.source, term, coalesce(c.n, 0)::hugeint as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (total + 2 * v) as p,
+    1 + (1000000000::hugeint * (k.q + 2)) // (qn + 2 * v) as q from g join l using (lang) join k using (lang) left join c using (lang, source, term)),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from f a join f b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+e as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from f where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from e)
+select * from r where part = 'pair' or rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,8 +178,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_token_output, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_license_scan, op7_decontamination, op8_jaccard_join, op9_token_output, op10_toxicity, op11_divergence, op12_suffix_dedup, op13_periodic_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op11_divergence": OP11_SQL}
