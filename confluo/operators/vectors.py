@@ -1,16 +1,17 @@
-"""Exact vector search and similarity in built-in array functions."""
+"""Similarity, centroids and validity of vectors in built-in array functions; neighbours.py searches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluo.operators.shared import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -40,73 +41,6 @@ def validity(v: Column, min_norm: float = 0.1, min_mean: float = 1e-6, max_zero:
     )
 
 
-#: Queries that are met in one pass over the vectors: a block of them is sent to every task.
-QUERIES = 65536
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the stated query set, QUERIES at once."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES))
-    for k in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "v").collect() if n else []
-        if rows:
-            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-
-
-def _distances(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-    """Squared distances of a batch's vectors (column 1) and the queries, by one matrix product."""
-    v = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, q.shape[1])
-    return np.maximum(0.0, (v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * v @ q.T)
-
-
-def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, d, rank): the k nearest by squared distance of each query, ties by id; vectors have one length.
-
-    A task keeps k rows a query and batch, so no pair of vectors becomes a row unless it may be among the nearest.
-    """
-    schema, out = "query_id long, vec_id long, d double", None
-    for ids, q in _blocks(queries):
-        sent = vecs.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                d = np.round(_distances(b, q), 6)
-                got: list[tuple] = []
-                for j in range(len(ids) if len(own) else 0):
-                    near = np.flatnonzero(d[:, j] <= np.partition(d[:, j], min(k, len(own)) - 1)[min(k, len(own)) - 1])
-                    near = near[np.lexsort((own[near], d[near, j]))][:k]
-                    got.append((np.full(len(near), ids[j]), own[near], d[near, j]))
-                cols = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "d"])
-
-        part = vecs.select("vec_id", "v").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vecs.sparkSession.createDataFrame([], f"{schema}, rank int")
-    line = W.partitionBy("query_id").orderBy("d", "vec_id")
-    return out.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
-
-
-def nearest_distance(vecs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(vec_id, d): the squared distance of each vector from the nearest query; null without queries."""
-    out = None
-    for ids, q in _blocks(queries):
-        sent = vecs.sparkSession.sparkContext.broadcast(q)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_distances(b, sent.value).min(1))], names=["vec_id", "d"])
-
-        part = vecs.select("vec_id", "v").mapInArrow(run, "vec_id long, d double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vecs.select("vec_id", F.lit(None).cast("double").alias("d"))
-    return out.groupBy("vec_id").agg(F.min("d").alias("d"))
-
-
 def relevance_gate(d: Column, at: float = 0.35, faithful: bool = True) -> Column:
     """Pass where 1 - D^2 / 2 (as the service does) or the true cosine 1 - D / 2 reaches the threshold; no index passes."""
     return F.coalesce((1 - (d * d if faithful else d) / 2) >= at, F.lit(True))
@@ -127,22 +61,37 @@ def least_best_match(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def plane(vecs: DataFrame, key: str, weight: str) -> DataFrame:
     """(key, x, y): unit centroids on the two main axes of their spread, an axis' largest part positive; zeros for one key.
 
-    The centroids are one row a speaker; their number squared is what the driver gets.
+    The spread is a matrix of the vectors' length squared, summed by its cells over all centroids; it alone goes to the driver, whose
+    two eigenvectors come back as a table of as many rows as the vectors are long. Any number of keys is projected by a join.
     """
-    c = centroids(vecs, key, weight).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("v"))
-    schema = c.select(key).schema.add("x", "double").add("y", "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        m = np.array(pdf["v"].tolist(), float)
-        m = m - m.mean(0)
-        axes = np.linalg.svd(m, full_matrices=False)[2][:2] if len(m) > 1 else np.zeros((2, m.shape[1]))
-        axes = np.vstack([axes, np.zeros((2 - len(axes), m.shape[1]))])
-        axes = axes * np.where(axes[np.arange(2), np.abs(axes).argmax(1)] < 0, -1, 1)[:, None]
-        xy = m @ axes.T
-        return pd.DataFrame({key: pdf[key].to_numpy(), "x": np.round(xy[:, 0], 6) + 0.0, "y": np.round(xy[:, 1], 6) + 0.0})
-
-    return c.groupBy(F.lit(0)).applyInPandas(run, schema)
+    c = cut(centroids(vecs, key, weight))
+    means = c.groupBy("dim").agg(F.avg("x").alias("m"))
+    moved = c.join(means, "dim").select(key, "dim", (F.col("x") - F.col("m")).alias("x"))
+    held = moved.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("v"))
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if b.num_rows:
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (i, j, total)], names=["i", "j", "s"])
+
+    sums = held.select("v").mapInArrow(outer, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    schema = "dim int, a double, b double"
+    size = 1 + max((r["i"] for r in sums), default=-1)
+    spread = np.zeros((size, size))
+    for r in sums:
+        spread[r["i"], r["j"]] = r["s"]
+    values, axes = np.linalg.eigh((spread + spread.T) / 2)
+    axes = axes[:, np.argsort(-values)[:2]].T * (np.sort(values)[::-1][:2, None] > 1e-12)
+    axes = np.vstack([axes, np.zeros((2 - len(axes), size))])
+    axes = axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(1)[:, None], 1) < 0, -1, 1) if size else axes
+    table = vecs.sparkSession.createDataFrame([(k, float(axes[0, k]), float(axes[1, k])) for k in range(size)], schema)
+    xy = moved.join(table, "dim").groupBy(key).agg(*(F.round(F.sum(F.col("x") * F.col(n)), 6).alias(m) for n, m in (("a", "x"), ("b", "y"))))
+    return xy.select(key, (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
 
 
 def pairs_within(vecs: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.functions import repetition, text as T
-from confluo.operators import cluster, context, dedup, health, joins, rules, vectors
+from confluo.operators import cluster, context, dedup, health, joins, neighbours, rules, vectors
 from confluo.sources import adapters as A
 from confluo.sources import sinks
 
@@ -40,6 +40,8 @@ DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in Q:
+            raise ValueError(f"two queries are named {f.__name__}")
         Q[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -165,7 +167,7 @@ def embedding_validity(spark, d):
 query_id order by d, vec_id) as rank from j) select query_id, vec_id, d, rank::int as rank from r where rank <= 15""")
 def knn_top15(spark, d):
     v = A.vectors(spark, d)
-    return vectors.nearest(v, v.where("vec_id % 100 = 0"), 15)
+    return neighbours.nearest(v, v.where("vec_id % 100 = 0"), 15)
 
 
 @query(f"""with {VEC}, j as (select vec.vec_id, min(list_sum(list_transform(list_zip(vec.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as d
@@ -173,7 +175,7 @@ from vec, (select v from vec where vec_id % 100 = 0) q group by 1) select vec_id
 / 2 >= 0.35 as passes_cosine from j""")
 def relevance_gate(spark, d):
     v = A.vectors(spark, d)
-    m = vectors.nearest_distance(v, v.where("vec_id % 100 = 0"))
+    m = neighbours.nearest_distance(v, v.where("vec_id % 100 = 0"))
     return m.select("vec_id", F.round("d", 6).alias("d"), vectors.relevance_gate(F.col("d")).alias("passes"), vectors.relevance_gate(F.col("d"), faithful=False).alias("passes_cosine"))
 
 
@@ -325,12 +327,6 @@ def rule_weights(spark, d):
     return rules.weighed(_typed(spark, d), spark).select("stream_id", "insight_id", "weight")
 
 
-@query("select event_id, json_extract_string(props, '$.k')::bigint as k, json_extract_string(props, '$.topic') is null as topic_missing from events")
-def json_validate(spark, d):
-    p = F.from_json("props", "k bigint, topic string")
-    return A.table(spark, d, "events").select("event_id", p["k"].alias("k"), p["topic"].isNull().alias("topic_missing"))
-
-
 @query(f"""with {TW} select stream_id, sum(length(text))::bigint as chars, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <>
 '')))::bigint as words, count(*) as windows, max(ts_start + 2.5) as position, sum(2.5::double) as duration from tw group by 1""")
 def window_stats(spark, d):

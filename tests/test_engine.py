@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from confluo.functions import repetition
 from confluo.functions import text as T
-from confluo.operators import cluster, context, joins
+from confluo.operators import cluster, context, joins, neighbours, vectors
 from confluo.plans import queries as engine
 from confluo.plans import service  # noqa: F401 - adds its queries
 
@@ -208,18 +208,115 @@ def test_text_and_results_budgets(spark):
     assert n(-1, {"p": None}) == (0, 3) and n(10, {"p": 20}) == (10, 2) and n(50, {}) == (30, 0)
 
 
-def test_nearest_in_batches(spark, monkeypatch):
-    from confluo.operators import vectors
-    from confluo.sources import adapters
-
-    v = adapters.vectors(spark, SF)
-    q = v.where("vec_id % 100 = 0")
-    one = rows(map(tuple, vectors.nearest(v, q, 15).collect()))
-    monkeypatch.setattr(vectors, "QUERIES", 2)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    assert rows(map(tuple, vectors.nearest(v, q, 15).collect())) == one
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert vectors.nearest_distance(v, q.limit(0)).where("d is not null").count() == 0
+def brute_nearest(vecs, queries, k):
+    out = []
+    for q, x in queries:
+        d = np.round([max(0.0, float(((x - v) ** 2).sum())) for _, v in vecs], 6)
+        out += [(q, i, float(e), n + 1) for n, (e, i) in enumerate(sorted((e, i) for (i, _), e in zip(vecs, d))[:k])]
+    return rows(out)
+
+
+def clustered(n, dim, seed):
+    """Vectors around a few centres, a third of them one vector."""
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(8, dim)) * 5
+    v = centres[rnd.integers(0, 8, n)] + rnd.normal(size=(n, dim)) * 0.1
+    v[: n // 3] = v[0]
+    return [(i, x) for i, x in enumerate(np.round(v, 3))]
+
+
+def test_nearest_by_pivots(spark, monkeypatch):
+    """Equal to brute force over few and many cells, parts and tiles; ties, copies, queries outside the table, fewer vectors than k."""
+    schema = "vec_id long, v array<double>"
+    df = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in x], schema)
+    vecs = clustered(3000, 6, 1)
+    asks = [x for x in vecs if x[0] % 100 == 0] + [(10**6 + i, v + 3) for i, v in vecs[:5]]
+    want = brute_nearest(vecs, asks, 7)
+    assert rows(map(tuple, neighbours.nearest(df(vecs), df(asks), 7).collect())) == want
+    monkeypatch.setattr(neighbours, "PART_ROWS", 50)
+    monkeypatch.setattr(neighbours, "TILE", 97)
+    assert rows(map(tuple, neighbours.nearest(df(vecs), df(asks), 7).collect())) == want
+    assert rows(map(tuple, neighbours.nearest(df(vecs[:5]), df(asks), 7).collect())) == brute_nearest(vecs[:5], asks, 7)
+    few = neighbours.nearest_distance(df(vecs[:200]), df(asks)).collect()
+    assert rows(map(tuple, few)) == rows(brute_first(vecs[:200], asks))
+    odd = spark.createDataFrame([(None, [0.0] * 6), (7, None), (1, [0.0] * 6), (1, [0.0] * 6)], schema)
+    assert neighbours.nearest(odd, odd, 3).count() == 2
+    assert neighbours.nearest(odd.limit(0), odd, 3).count() == 0 and neighbours.nearest(odd, odd.limit(0), 3).count() == 0
+    assert neighbours.nearest_distance(df(vecs[:9]), odd.limit(0)).where("d is null").count() == 9
+
+
+def brute_first(vecs, queries):
+    for i, v in vecs:
+        yield i, min(round(float(((x - v) ** 2).sum()), 6) for _, x in queries)
+
+
+def test_pivots_leave_cells_out():
+    """On clustered vectors most rings are beyond the bound, and no neighbour lies in one of them."""
+    vecs = clustered(4000, 6, 2)
+    v = np.array([x for _, x in vecs])
+    c = neighbours.Cells(v[::250], np.zeros((16, 2)), np.zeros((0, 5)))
+    pivot, far = c.home(v)
+    c.spans[:] = [(far[pivot == p].min(initial=9), far[pivot == p].max(initial=0)) for p in range(16)]
+    ring = c.rings_of(pivot, far)
+    keys = sorted(set(zip(pivot.tolist(), ring.tolist())))
+    mine = [far[(pivot == p) & (ring == r)] for p, r in keys]
+    c = neighbours.Cells(c.pivots, c.spans, np.array([(p, r, len(m), m.min(), m.max()) for (p, r), m in zip(keys, mine)], float))
+    cell, met = c.number[pivot, ring], 0
+    for q in v[::97]:
+        d = ((v - q) ** 2).sum(1)
+        first = next(c.asked(q[None, :], 10, None))
+        bound = np.sort(d[np.isin(cell, first)])[9]
+        more = next(c.asked(q[None, :], 10, np.array([bound])))
+        met += len(first) + len(more)
+        assert set(cell[d <= np.sort(d)[9]]) <= set(first) | set(more)
+    assert met < len(v[::97]) * len(keys) / 3
+
+
+def test_many_queries_fit():
+    """A part meets 65,536 queries in tiles: the memory is that of a few of them."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(4)
+    v, q = rnd.normal(size=(2000, 16)), rnd.normal(size=(65536, 16))
+    peaks = []
+    for n in (4096, 65536):
+        tracemalloc.start()
+        found = sum(len(a) for a, _, _ in neighbours._met(v, np.arange(2000), q[:n], np.arange(n), 15, np.full(n, np.inf)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 15 * n
+    assert peaks[1] < 1.2 * peaks[0] < 300e6
+
+
+def test_plane(spark):
+    """Equal to a singular value decomposition; any number of labels; one label and none."""
+    rnd = np.random.default_rng(5)
+    scale = np.array([5.0, 3.0, 1.0, 0.5, 0.2])
+    data = [(i, int(rnd.integers(0, 40)), (rnd.normal(size=5) * scale).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, k, v, i % 3 + 1) for i, k, v in data], "vec_id long, label long, v array<double>, heard int")
+    got = {r.label: (r.x, r.y) for r in vectors.plane(df, "label", "heard").collect()}
+    labels = sorted({k for _, k, _ in data})
+    m = np.array([np.average([v for _, k, v in data if k == x], axis=0, weights=[i % 3 + 1 for i, k, _ in data if k == x]) for x in labels])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    m = m - m.mean(0)
+    axes = np.linalg.svd(m, full_matrices=False)[2][:2]
+    axes = axes * np.where(axes[np.arange(2), np.abs(axes).argmax(1)] < 0, -1, 1)[:, None]
+    assert sorted(got) == labels and np.allclose([got[x] for x in labels], m @ axes.T, atol=2e-6)
+    one = vectors.plane(df.where("label = 3"), "label", "heard").collect()
+    assert [(r.x, r.y) for r in one] == [(0.0, 0.0)]
+    assert vectors.plane(df.limit(0), "label", "heard").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(engine.Q) - set(engine.SQL)))
+def test_query_without_sql_runs(spark, name):
+    """Queries that SQL can't express run over whole tables; their rules are tested below."""
+    found = engine.Q[name](spark, SF)
+    assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
+
+
+def test_names_are_used_once():
+    with pytest.raises(ValueError, match="two queries"):
+        engine.query()(engine.Q["knn_top15"])
 
 
 def test_stream_equals_batch(spark, tmp_path):
