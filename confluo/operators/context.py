@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluo.operators import scan
+
 
 def ordered_text(text: str, *order: str, sep: str = " ") -> Column:
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
@@ -23,22 +25,21 @@ def count_windows(w: DataFrame, n: int) -> DataFrame:
     return out.where(F.col("n_windows") == n).withColumn("char_count", F.length("text").cast("long"))
 
 
-def retain(w: DataFrame, limit: int) -> DataFrame:
-    """The latest windows whose characters fit the limit, and the newest one in any case."""
-    back = W.partitionBy("stream_id").orderBy(F.desc("summary_id"))
-    kept = w.withColumn("__sum", F.sum("char_count").over(back.rowsBetween(W.unboundedPreceding, 0))).withColumn("__rn", F.row_number().over(back))
-    return kept.where((F.col("__sum") <= limit) | (F.col("__rn") == 1)).drop("__sum", "__rn")
+def retain(w: DataFrame, limit: int, parts: int | None = None) -> DataFrame:
+    """The latest windows whose characters fit the limit, and the newest one in any case; ``parts`` as in scan.py."""
+    kept = scan.running_sum(w, "stream_id", [F.desc("summary_id")], F.col("char_count"), "__sum", parts)
+    newest = w.groupBy("stream_id").agg(F.max("summary_id").alias("__newest"))
+    return kept.join(newest, "stream_id").where((F.col("__sum") <= limit) | (F.col("summary_id") == F.col("__newest"))).drop("__sum", "__newest")
 
 
 def availability(w: DataFrame, minimal: int = 500) -> DataFrame:
     return w.groupBy("stream_id").agg(F.min("ts_start").alias("first_start"), F.max_by("ts_end", "summary_id").alias("last_end"), F.sum("char_count").alias("chars"), F.count("*").alias("windows")).withColumn("is_minimal", F.col("chars") < minimal)
 
 
-def recent(w: DataFrame, chars: int) -> DataFrame:
-    """Newest first until so many characters are there, the window that crosses the limit included."""
-    back = W.partitionBy("stream_id").orderBy(F.desc("window_id"))
-    before = F.coalesce(F.sum(F.length("text")).over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return w.withColumn("__b", before).where(F.col("__b") < chars).drop("__b")
+def recent(w: DataFrame, chars: int, parts: int | None = None) -> DataFrame:
+    """Newest first until so many characters are there, the window that crosses the limit included; ``parts`` as in scan.py."""
+    before = scan.running_sum(w, "stream_id", [F.desc("window_id")], F.length("text"), "__b", parts, itself=False)
+    return before.where(F.col("__b") < chars).drop("__b")
 
 
 def budget_fold(items: DataFrame, keys: list[str], order: str, cost: Column, tokens: Column | int) -> DataFrame:

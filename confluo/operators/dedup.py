@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.functions.text import normal_action
+from confluo.operators import scan
 
 
 def first_seen(rows: DataFrame, key: str, text: str, *order: str) -> DataFrame:
@@ -40,7 +41,7 @@ def consolidate(insights: DataFrame) -> DataFrame:
     return rows.join(last, "stream_id").withColumn("insight_id", F.col("__last") + F.row_number().over(line)).drop("__last")
 
 
-def trimmed_cues(cues: DataFrame) -> DataFrame:
+def trimmed_cues(cues: DataFrame, parts: int | None = None) -> DataFrame:
     """Cues of a stream with each end at most a millisecond before the next start."""
-    line = W.partitionBy("stream_id").orderBy("ts_start", "window_id")
-    return cues.withColumn("ts_end", F.least("ts_end", F.coalesce(F.lead("ts_start").over(line) - 0.001, F.col("ts_end"))))
+    n = scan.next_value(cues, "stream_id", ["ts_start", "window_id"], "ts_start", "__next", parts)
+    return n.withColumn("ts_end", F.least("ts_end", F.coalesce(F.col("__next") - 0.001, F.col("ts_end")))).drop("__next")

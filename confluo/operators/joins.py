@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluo.operators import scan
 from confluo.operators.shared import cut
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, tie: str) -> DataFrame:
-    """The last ``value`` of ``right`` at or before each left row: one union, one sort, no join."""
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, tie: str, parts: int | None = None) -> DataFrame:
+    """The last ``value`` of ``right`` at or before each left row: one union, one sort, no join of the tables; ``parts`` as in scan.py."""
     cols = left.columns
     a = left.select(*cols, F.col(left_ts).cast("double").alias("__ts"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__tie"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*[F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(right_ts).cast("double").alias("__ts"), F.lit(0).alias("__kind"), F.col(tie).cast("long").alias("__tie"), F.col(value).alias("__v"))
-    line = W.partitionBy(key).orderBy("__ts", "__kind", "__tie").rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(line)).where("__kind = 1").select(*cols, value)
+    known = scan.last_known(a.unionByName(b), key, ["__ts", "__kind", "__tie"], "__v", "__last", parts)
+    return known.where("__kind = 1").select(*cols, F.col("__last").alias(value))
 
 
 def type_in_force(left: DataFrame, changes: DataFrame, recompute: bool, unknown: str = "UNKNOWN") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.functions import repetition, text as T
-from confluo.operators import cluster, context, dedup, health, joins, neighbours, rules, vectors
+from confluo.operators import cluster, context, dedup, health, joins, neighbours, rules, scan, vectors
 from confluo.sources import adapters as A
 from confluo.sources import sinks
 
@@ -485,3 +485,47 @@ user_id, min(ts)::timestamp as start, count(*) as n from s group by user_id, k""
 def session_windows(spark, d):
     g = A.table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+#: Segments of the queries over one long stream; on a table of any size scan.parts_for gives the number.
+PARTS = 16
+ONE = "one as (select event_id as window_id, props as text, epoch_us(ts) / 1000000.0::double as ts_start, epoch_us(ts) / 1000000.0::double + value as ts_end, case when event_type in ('purchase', 'signup') then event_type end as change from events)"
+
+
+@query(f"""with {ONE}, s as (select *, sum(length(text)) over (order by window_id desc rows unbounded preceding) as s, row_number() over (order by window_id
+desc) as rn from one) select window_id, text, length(text)::bigint as char_count from s where s <= 50000 or rn = 1""")
+def long_stream_retained(spark, d):
+    """Windows of one long stream that a budget of characters keeps."""
+    w = A.one_stream(spark, d).select("stream_id", F.col("window_id").alias("summary_id"), "text", F.length("text").cast("long").alias("char_count"))
+    return context.retain(w, 50000, PARTS).select(F.col("summary_id").alias("window_id"), "text", "char_count")
+
+
+@query(f"""with {ONE}, s as (select *, coalesce(sum(length(text)) over (order by window_id desc rows between unbounded preceding and 1 preceding), 0) as s
+from one) select window_id, text from s where s < 20000""")
+def long_stream_recent(spark, d):
+    return context.recent(A.one_stream(spark, d), 20000, PARTS).select("window_id", "text")
+
+
+@query(f"""with {ONE} select window_id, round(least(ts_end, coalesce(lead(ts_start) over (order by ts_start, window_id) - 0.001, ts_end)), 6) as ts_end
+from one""")
+def long_stream_cues(spark, d):
+    c = dedup.trimmed_cues(A.one_stream(spark, d).select("stream_id", "window_id", "ts_start", "ts_end"), PARTS)
+    return c.select("window_id", F.round("ts_end", 6).alias("ts_end"))
+
+
+@query(f"""with {ONE} select window_id, coalesce(last_value(change ignore nulls) over (order by ts_start, window_id), 'none') as kind from one""")
+def long_stream_types(spark, d):
+    """The type in force at each window of one long stream: an as-of join with its changes."""
+    w = A.one_stream(spark, d)
+    changes = w.where("change is not null").select("stream_id", "ts_start", "window_id", F.col("change").alias("kind"))
+    j = joins.as_of(w.select("stream_id", "window_id", "ts_start"), changes, "stream_id", "ts_start", "ts_start", "kind", "window_id", PARTS)
+    return j.select("window_id", F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
+@query(f"""with {ONE} select window_id, (sum(case when ts_end - ts_start > 100 then 1 else 0 end) over (order by ts_start, window_id rows unbounded
+preceding))::bigint as long_ones from one""")
+def long_stream_counts(spark, d):
+    """A running count along one long stream."""
+    n = F.when(F.col("ts_end") - F.col("ts_start") > 100, 1).otherwise(0)
+    r = scan.running_sum(A.one_stream(spark, d), "stream_id", [F.col("ts_start"), F.col("window_id")], n, "long_ones", PARTS)
+    return r.select("window_id", F.col("long_ones").cast("long").alias("long_ones"))

@@ -19,6 +19,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"), F.floor(F.col("vec_id") / 10).alias("chunk_id"))
 
 
+def one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as windows of a single stream, each as long as its value's seconds; purchases and signups change its type."""
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / F.lit(1000000.0)
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_type"))
+    cols = [F.col("event_id").alias("window_id"), F.col("props").alias("text"), at.alias("ts_start"), (at + F.col("value")).alias("ts_end"), kind.alias("change")]
+    return table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("stream_id"), *cols)
+
+
 def llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, fail = F.col("event_type"), F.col("event_type") == "error"
     plugin = F.when(kind.isin("view", "click"), "rapid_summary").otherwise("context_summary")

@@ -307,6 +307,35 @@ def test_plane(spark):
     assert vectors.plane(df.limit(0), "label", "heard").count() == 0
 
 
+def test_prefix_scan_equals_windows(spark):
+    """Running sums, last and next values by segments: a stream of half the rows, streams of one row, nulls and ties of the first order."""
+    import random
+
+    from confluo.operators import dedup, scan
+
+    r = random.Random(6)
+    data = [(0 if k % 2 else r.randrange(40), r.randrange(60), k, r.randrange(9), r.choice([None, None, "a", "b", "c"])) for k in range(1200)]
+    df = spark.createDataFrame(data, "stream_id long, ts long, window_id long, n long, v string").repartition(5)
+    order = ["ts", "window_id"]
+    for parts in (1, 7, 40):
+        for itself in (True, False):
+            a, b = (rows(map(tuple, scan.running_sum(df, "stream_id", [F.desc("ts"), F.desc("window_id")], F.col("n"), "s", p, itself).select("window_id", "s").collect())) for p in (None, parts))
+            assert a == b
+        for f in (scan.last_known, scan.next_value):
+            a, b = (rows(map(tuple, f(df, "stream_id", order, "v", "x", p).select("window_id", "x").collect())) for p in (None, parts))
+            assert a == b, f
+    w = df.select("stream_id", F.col("window_id").alias("summary_id"), "window_id", F.col("n").alias("char_count"), F.lpad(F.lit("x"), F.col("n").cast("int"), "y").alias("text"), "ts", F.col("ts").cast("double").alias("ts_start"), (F.col("ts") + 5.0).alias("ts_end"))
+    for limit in (0, 3, 100):
+        assert rows(map(tuple, context.retain(w, limit, 9).select(w.columns).collect())) == rows(map(tuple, context.retain(w, limit).collect()))
+        assert rows(map(tuple, context.recent(w, limit, 9).select(w.columns).collect())) == rows(map(tuple, context.recent(w, limit).collect()))
+    assert rows(map(tuple, dedup.trimmed_cues(w, 9).select(w.columns).collect())) == rows(map(tuple, dedup.trimmed_cues(w).select(w.columns).collect()))
+    # No segment, and so no task after it, holds more than a share of the long stream.
+    sizes = [x["count"] for x in scan.segments(df, "stream_id", [F.col("ts"), F.col("window_id")], 12).groupBy("stream_id", scan.SEG).count().collect()]
+    assert max(sizes) < 1200 / 4 and sum(sizes) == 1200
+    assert scan.parts_for(df, "stream_id") is None and scan.parts_for(df, "stream_id", 100) == 12 and scan.parts_for(df.limit(0), "stream_id") is None
+    assert scan.running_sum(df.limit(0), "stream_id", [F.col("ts")], F.col("n"), "s", 4).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(set(engine.Q) - set(engine.SQL)))
 def test_query_without_sql_runs(spark, name):
     """Queries that SQL can't express run over whole tables; their rules are tested below."""
