@@ -252,10 +252,12 @@ class Clusterer:
         return [(kept, lost) for lost, kept in self.merges[before:]][-20:]
 
     def merge_by_hand(self, a: int, b: int) -> bool:
-        """False where one of them isn't known."""
+        """False where one of them isn't known. Who spoke last is then the one that stayed."""
         if a == b or a not in self.speakers or b not in self.speakers:
             return False
         self._join(a, b)
+        if self.last == max(a, b):
+            self.last = min(a, b)
         return True
 
     def statistics(self) -> dict:

@@ -1,13 +1,17 @@
 """Streams that are recomputed, delivered, merged and ended: each against its batch form or plain Python."""
 
+import collections
+import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-
-
-from confluo.streaming import delivery, formatting, pipelines
+from confluo.operators import cluster
+from confluo.sources import adapters
+from confluo.streaming import delivery, formatting, pipelines, speakers
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +138,105 @@ def test_two_channels(spark, tmp_path):
     assert read("data") == [(1, 0), (4, 1)]
     assert delivery.committed(spark, str(tmp_path / "nothing"), "data", fields).count() == 0
     assert [r.event_id for r in delivery.committed(spark, root, "data", fields, before=1).collect()] == [1]
+
+
+def lines(turns):
+    """Turns as the operator's rows, in plain Python."""
+    names = StructType.fromDDL(speakers.ROWS).names
+    return [dict(zip(names, r)) for r in speakers.turn_rows(turns).orderBy("stream_id", "ts", "turn_id").collect()]
+
+
+def heard(spark, tmp_path, name, parts, **kw):
+    """What the streamed operator gives over files, one a micro-batch, and how many keys its state has at the end."""
+    src, out, cp = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "cp"))
+    schema = StructType.fromDDL(speakers.ROWS)
+    for p in parts:
+        spark.createDataFrame([tuple(r[f] for f in schema.names) for r in p], schema).coalesce(1).write.mode("append").parquet(src)
+    before = spark.conf.get(speakers.STORE[0], None)
+    spark.conf.set(*speakers.STORE)
+    try:
+        df = speakers.speakers(pipelines.source(spark, src, schema, 1), **kw)
+        pipelines.run_once(df, cp, lambda b, _: b.write.mode("append").parquet(out))
+        left = {v: spark.read.format("statestore").option("stateVarName", v).load(cp).count() for v in ("speakers", "moves", "counters")}
+    finally:
+        spark.conf.unset(speakers.STORE[0]) if before is None else spark.conf.set(speakers.STORE[0], before)
+    return sorted(map(tuple, spark.read.parquet(out).collect()), key=str), left
+
+
+def heard_in_python(rows):
+    """The same by one clusterer a stream, without state or batches."""
+    out, by = [], {}
+    for r in rows:
+        s = r["stream_id"]
+        c = by.setdefault(s, cluster.Clusterer())
+        if r["kind"] == "turn":
+            k, sure = c.identify(np.asarray(r["v"], float), r["start"], r["start"], r["end"], r["chunk"], r["label"], r["is_overlap"], r["is_onset"], r["duration"])
+            out.append((s, "turn", r["turn_id"], -1 if k is None else k, None, round(sure, 6), None, 1))
+        elif r["kind"] == "merge" and not c.merge_by_hand(r["target"], r["source"]):
+            out.append((s, "warning", None, r["target"], r["source"], None, "unknown speaker", 1))
+        elif r["kind"] == "end":
+            c.consolidate()
+            out += [(s, "ended", None, None, None, None, "end", c.seen), *log_of(s, c)]
+            del by[s]
+    return out + [x for s, c in by.items() for x in log_of(s, c)]
+
+
+def log_of(s, c):
+    return [(s, "merge", None, kept, lost, None, None, 1) for lost, kept in c.merges] + [(s, "invalid", None, None, None, None, rule, n) for rule, n in c.invalid.items()]
+
+
+def added_up(found):
+    """Rows with the drained counts of broken rules summed by stream."""
+    total = collections.Counter()
+    for r in found:
+        total[r[:7]] += r[7]
+    return sorted(((*k, n) for k, n in total.items()), key=str)
+
+
+def control(stream, kind, at, target=None, source=None):
+    return dict.fromkeys(StructType.fromDDL(speakers.ROWS).names) | {"stream_id": stream, "kind": kind, "ts": at, "target": target, "source": source}
+
+
+def test_speakers_with_merges_and_end(spark, tmp_path):
+    """Any cut gives the same turns and logs; a merge by hand changes later turns; an end leaves no state behind."""
+    t = adapters.speaker_turns(spark, "/root/testdata/sf0.001").where("stream_id < 2")
+    every = lines(t)
+    for r in every[5::29]:
+        r["v"] = [0.0] * len(r["v"])
+    mine = [r for r in every if r["stream_id"] == 0]
+    at = mine[60]["ts"]
+    ids = sorted({x[3] for x in heard_in_python(mine[:60]) if x[1] == "turn" and x[3] >= 0})
+    merge = [control(0, "merge", at, ids[0], ids[1]), control(0, "merge", at, 77, ids[0])]
+    last = max(r["ts"] for r in every) + datetime.timedelta(seconds=1)
+    ends = [control(s, "end", last) for s in (0, 1)]
+    plain = heard_in_python(every)
+    whole = sorted([*mine[:61], *merge, *mine[61:], *[r for r in every if r["stream_id"] == 1]], key=lambda r: (r["ts"], {"turn": 0, "merge": 1}[r["kind"]])) + ends
+    want = heard_in_python(whole)
+    assert sorted(map(str, plain)) != sorted(map(str, want)) and any(x[1] == "warning" for x in want) and any(x[1] == "invalid" for x in want)
+    for k, cuts in enumerate(([], [40, 90, 91, 150])):
+        parts = [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)])]
+        got, left = heard(spark, tmp_path, f"c{k}", parts)
+        assert added_up(got) == added_up(want)
+        assert left == {"speakers": 0, "moves": 0, "counters": 0}
+    # Without the ends the state is there: the same operator, one micro-batch less.
+    got, left = heard(spark, tmp_path, "open", [whole[:-2]])
+    assert left["speakers"] > 2 and left["counters"] == 2 and added_up(got) == added_up(heard_in_python(whole[:-2]))
+
+
+def test_speakers_expire(spark, tmp_path):
+    """A stream whose last turn lies a lifetime behind the watermark is consolidated and forgotten; one that goes on isn't."""
+    t = adapters.speaker_turns(spark, "/root/testdata/sf0.001").where("stream_id < 2")
+    every = lines(t)
+    old, new = [r for r in every if r["stream_id"] == 0], [r for r in every if r["stream_id"] == 1]
+    late = [r | {"ts": r["ts"] + datetime.timedelta(hours=2)} for r in new[:50]]
+    # The watermark that a batch moves counts from the next one on.
+    more = [[r | {"ts": r["ts"] + datetime.timedelta(hours=2)}] for r in new[50:53]]
+    got, left = heard(spark, tmp_path, "x", [old, late, *more], lifetime=3600 * 1000)
+    ended = [r for r in got if r[1] == "ended"]
+    assert [(r[0], r[6], r[7]) for r in ended] == [(0, "lifetime", len(old))]
+    assert left["counters"] == 1 and sum(r[1] == "turn" for r in got) == len(old) + 53
+    c = cluster.Clusterer()
+    for r in old:
+        c.identify(np.asarray(r["v"], float), r["start"], r["start"], r["end"], r["chunk"], r["label"], r["is_overlap"], r["is_onset"], r["duration"])
+    c.consolidate()
+    assert sorted((r[4], r[3]) for r in got if r[0] == 0 and r[1] == "merge") == sorted(c.merges)
