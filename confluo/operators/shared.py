@@ -1,20 +1,33 @@
-"""Cutting a plan's lineage in the folder that all machines share."""
+"""The folder that all machines share: for cutting a plan's lineage, and for tables that are written and read back."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in spark.checkpoint.dir and forget the lineage; survives lost executors."""
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where it is unset and there is one machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if root is None and not sc.master.startswith("local"):
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all machines share")
-        sc.setCheckpointDir(root or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "confluo"))
+        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "confluo")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage; survives lost executors."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,11 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.functions import text as T
-from confluo.operators import cluster, context, health, joins, rules, vectors
+from confluo.operators import cluster, context, health, joins, resample, rules, vectors
 from confluo.operators import service as S
+from confluo.operators.shared import shared_folder
 from confluo.plans.queries import _TYPED, CHG, DOT, INS, SEC, SW, TW, VEC, _sw, _typed, query
 from confluo.sources import adapters as A
 from confluo.sources import sinks
+from confluo.streaming import formatting
 
 _CLOCK = "(({s})::bigint // 3600)::varchar || ':' || lpad((({s})::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((({s})::bigint % 60)::varchar, 2, '0')"
 _PART = "case when {n} <> 0 then {n}::varchar || ' {w}' || case when {n} = 1 then '' else 's' end end"
@@ -489,3 +491,38 @@ def speaker_diagnostics(spark, d):
     n = [F.count_distinct(F.when(F.col("final") >= 0, F.col("final"))).alias("speakers"), F.count("*").alias("turns"), F.count_if(F.col("speaker") < 0).alias("unknown")]
     merged = F.count_distinct(F.when(F.col("speaker") != F.col("final"), F.col("speaker"))).alias("merged")
     return t.groupBy("stream_id").agg(*n, merged, F.round(F.avg(F.when(F.col("speaker") >= 0, F.col("confidence"))), 6).alias("confidence"))
+
+
+@query()
+def formatted_windows(spark, d):
+    """Every window under the type in force, against the end of the one before."""
+    return formatting.format_windows(A.transcription_windows(spark, d), A.content_changes(spark, d))
+
+
+def headed(text: str, content_type: str, tail: str) -> str:
+    return f"{content_type}: {text}"
+
+
+@query(f"""with {CHG}, l as (select stream_id, arg_max(content_type, change_window) as latest from chg group by 1)
+select tw.stream_id, tw.window_id, case when coalesce(chg.content_type, 'UNKNOWN') = 'UNKNOWN' then coalesce(l.latest, 'UNKNOWN') else chg.content_type end || ': '
+|| regexp_replace(tw.text, '^\\s+|\\s+$', '', 'g') as formatted from (select *, (ts_start * 1000)::bigint as ms from tw) tw asof left join chg on
+tw.stream_id = chg.stream_id and tw.ms >= chg.start_ms left join l on l.stream_id = tw.stream_id where trim(tw.text) <> ''""")
+def recomputed_windows(spark, d):
+    """Windows that come in two batches, the changes of type that concern them late and the other way round: what the incremental form
+    ends in is what the whole tables give at once."""
+    w, c, root = A.transcription_windows(spark, d), A.content_changes(spark, d), shared_folder(spark, "formatted")
+    for batch in (0, 1):
+        mine = lambda n, batch=batch: F.pmod(F.xxhash64("stream_id", n), F.lit(2)) == batch
+        formatting.recompute(spark, root, batch, w.where(mine("window_id")), c.where(mine("change_window")), headed)
+    return formatting.current(spark, root).select("stream_id", "window_id", "formatted")
+
+
+@query(f"""with {VEC}, x as (select label, row_number() over (partition by label order by vec_id, i) - 1 as k, v[i + 1] as x from vec, range(64) t(i)),
+n as (select label, count(*) as n from x group by 1), o as (select label, unnest(range(0, (n + 2) // 3)) as m from n)
+select o.label as stream_id, m, round(sum(x * case when m * 3 = k then 1.0::double / 3 else sin(pi() * (m * 3 - k) / 3) / (pi() * (m * 3 - k)) end *
+(0.5 + 0.5 * cos(pi() * (m * 3 - k) / 48))), 6) + 0.0::double as y from o join x on x.label = o.label and k > m * 3 - 48 and k < m * 3 + 48 group by 1, 2""")
+def resampled(spark, d):
+    """The vectors of each label, one after another, as frames of a stream at 48 kHz, taken to 16 kHz."""
+    frames = A.vectors(spark, d).select(F.col("label").alias("stream_id"), F.col("vec_id").alias("frame_id"), F.col("v").alias("samples"))
+    y = resample.resample(frames, 48000).select("stream_id", "first", F.posexplode("samples").alias("k", "y"))
+    return y.select("stream_id", (F.col("first") + F.col("k")).alias("m"), (F.round("y", 6) + 0.0).alias("y"))

@@ -1,6 +1,7 @@
 """Streams that are recomputed, delivered, merged and ended: each against its batch form or plain Python."""
 
 import collections
+import contextlib
 import datetime
 import random
 
@@ -9,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from confluo.operators import cluster
+from confluo.operators import cluster, joins, resample
 from confluo.sources import adapters
-from confluo.streaming import delivery, formatting, pipelines, speakers
+from confluo.streaming import delivery, formatting, pipelines, retries, speakers, types_in_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,21 +147,34 @@ def lines(turns):
     return [dict(zip(names, r)) for r in speakers.turn_rows(turns).orderBy("stream_id", "ts", "turn_id").collect()]
 
 
-def heard(spark, tmp_path, name, parts, **kw):
-    """What the streamed operator gives over files, one a micro-batch, and how many keys its state has at the end."""
-    src, out, cp = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "cp"))
-    schema = StructType.fromDDL(speakers.ROWS)
-    for p in parts:
-        spark.createDataFrame([tuple(r[f] for f in schema.names) for r in p], schema).coalesce(1).write.mode("append").parquet(src)
+@contextlib.contextmanager
+def state_store(spark):
     before = spark.conf.get(speakers.STORE[0], None)
     spark.conf.set(*speakers.STORE)
     try:
-        df = speakers.speakers(pipelines.source(spark, src, schema, 1), **kw)
-        pipelines.run_once(df, cp, lambda b, _: b.write.mode("append").parquet(out))
-        left = {v: spark.read.format("statestore").option("stateVarName", v).load(cp).count() for v in ("speakers", "moves", "counters")}
+        yield
     finally:
         spark.conf.unset(speakers.STORE[0]) if before is None else spark.conf.set(speakers.STORE[0], before)
-    return sorted(map(tuple, spark.read.parquet(out).collect()), key=str), left
+
+
+def through(spark, tmp_path, name, schema, parts, make):
+    """What ``make`` gives over rows that come a part at a time, and the folder of its state."""
+    src, out, cp = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "cp"))
+    for p in parts:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(src)
+    with state_store(spark):
+        df = make(pipelines.source(spark, src, StructType.fromDDL(schema), 1))
+        pipelines.run_once(df, cp, lambda b, _: b.write.mode("append").parquet(out))
+    return spark.read.schema(df.schema).parquet(out), cp
+
+
+def heard(spark, tmp_path, name, parts, **kw):
+    """What the streamed operator gives over files, one a micro-batch, and how many keys its state has at the end."""
+    names = StructType.fromDDL(speakers.ROWS).names
+    got, cp = through(spark, tmp_path, name, speakers.ROWS, [[tuple(r[f] for f in names) for r in p] for p in parts], lambda s: speakers.speakers(s, **kw))
+    with state_store(spark):
+        left = {v: spark.read.format("statestore").option("stateVarName", v).load(cp).count() for v in ("speakers", "moves", "counters")}
+    return sorted(map(tuple, got.collect()), key=str), left
 
 
 def heard_in_python(rows):
@@ -240,3 +254,112 @@ def test_speakers_expire(spark, tmp_path):
         c.identify(np.asarray(r["v"], float), r["start"], r["start"], r["end"], r["chunk"], r["label"], r["is_overlap"], r["is_onset"], r["duration"])
     c.consolidate()
     assert sorted((r[4], r[3]) for r in got if r[0] == 0 and r[1] == "merge") == sorted(c.merges)
+
+
+def test_types_in_force_streamed(spark, tmp_path):
+    """Windows and changes shuffled within the watermark's delay give what the batch join gives; changes that can't matter are forgotten."""
+    r, base = random.Random(3), 1_700_000_000_000
+    windows = [(s, k, base + k * 2000 + r.randrange(3) * 500, None) for s in range(3) for k in range(60)] + [(1, 5, base + 11000, None)]
+    changes = [(s, k, base + r.randrange(60) * 2000, r.choice("ABC")) for s in range(3) for k in range(12)]
+    want = joins.type_in_force(
+        spark.createDataFrame([w[:3] for w in windows], "stream_id long, window_id long, ms long"),
+        spark.createDataFrame(changes, "stream_id long, change_window long, start_ms long, content_type string"), False,
+    )
+    # Each row is late by up to 20 seconds of event time; the delay is 30, and the last rows push the watermark.
+    every = sorted([*windows, *changes], key=lambda x: x[2] + r.randrange(20000))
+    ends = [(s, 1000 + j, base + 10**6 + j, None) for j in range(2) for s in range(3)]
+    cuts = [0, 30, 31, 90, 160, len(every)]
+    parts = [every[a:b] for a, b in zip(cuts, cuts[1:])] + [ends[:3], ends[3:]]
+
+    def make(s):
+        w = s.where("content_type is null").select("stream_id", "window_id", "ms")
+        c = s.where("content_type is not null").select("stream_id", F.col("window_id").alias("change_window"), F.col("ms").alias("start_ms"), "content_type")
+        return types_in_force.types_in_force(w, c, "30 seconds")
+
+    got, cp = through(spark, tmp_path, "t", "stream_id long, window_id long, ms long, content_type string", parts, make)
+    cols = ["stream_id", "window_id", "ms", "content_type"]
+    assert rows(map(tuple, got.where("window_id < 1000").select(*cols).collect())) == rows(map(tuple, want.select(*cols).collect()))
+    with state_store(spark):
+        assert spark.read.format("statestore").option("stateVarName", "changes").load(cp).count() == 3
+
+
+def direct(x, rate_in, rate_out):
+    """Convolution with the windowed sinc, sample by sample."""
+    share = min(1.0, rate_out / rate_in)
+    k = np.arange(len(x))
+    out = []
+    for m in range(-(-len(x) * rate_out // rate_in)):
+        t = m * rate_in / rate_out - k
+        w = np.where(np.abs(t) < resample.HALF / share, 0.5 + 0.5 * np.cos(np.pi * t * share / resample.HALF), 0.0)
+        out.append(float((x * share * np.sinc(share * t) * w).sum()))
+    return np.array(out)
+
+
+def framed(x, stream, sizes):
+    at = np.r_[0, np.cumsum(sizes)]
+    return [(stream, k, x[a:b].tolist()) for k, (a, b) in enumerate(zip(at, at[1:]))]
+
+
+def joined(df, stream):
+    got = sorted((r["first"], r["samples"]) for r in df.where(f"stream_id = {stream}").collect())
+    at = 0
+    for first, samples in got:
+        assert first == at
+        at += len(samples)
+    return np.concatenate([s for _, s in got]) if got else np.zeros(0)
+
+
+def test_resample(spark, tmp_path, monkeypatch):
+    """Sines at 44.1, 48 and 8 kHz to 16 kHz: equal to direct convolution and close to the sine, for any frames, in blocks and as a stream."""
+    r, schema = random.Random(4), "stream_id long, frame_id long, samples array<double>"
+    for rate, n in ((44100, 3000), (48000, 3000), (8000, 700)):
+        x = np.sin(2 * np.pi * 440 * np.arange(n) / rate)
+        want = direct(x, rate, 16000)
+        sine = np.sin(2 * np.pi * 440 * np.arange(len(want)) / 16000)
+        assert np.abs(want - sine)[60:-60].max() < 2e-3
+        cuts = []
+        while sum(cuts) < n:
+            cuts.append(min(n - sum(cuts), r.choice([0, 1, 7, 160, 441, 900])))
+        data = framed(x, 1, [n]) + framed(x, 2, cuts)
+        df = spark.createDataFrame([*data, (3, 0, None), (3, 1, [])], schema)
+        for block in (1 << 16, 700):
+            monkeypatch.setattr(resample, "BLOCK", block)
+            got = resample.resample(df, rate, parts=None if block > 700 else 3)
+            assert np.allclose(joined(got, 1), want, atol=1e-12) and np.allclose(joined(got, 2), want, atol=1e-12) and not len(joined(got, 3))
+        ends = [(1, 10**6, None), (2, 10**6, None)]
+        whole = sorted([*data, *ends], key=lambda f: f[1])
+        parts = [whole[:3], whole[3:9], whole[9:]] if rate == 44100 else [whole]
+        streamed, cp = through(spark, tmp_path, f"r{rate}", schema, [p for p in parts if p], lambda s, rate=rate: resample.resample_stream(s, rate))
+        assert np.allclose(joined(streamed, 1), want, atol=1e-12) and np.allclose(joined(streamed, 2), want, atol=1e-12)
+        with state_store(spark):
+            assert spark.read.format("statestore").option("stateVarName", "held").load(cp).count() == 0
+
+
+def test_retries(spark, tmp_path):
+    """Three failures wait, the fourth is given up; hopeless errors at once; a success takes all that waited; streams don't mix."""
+
+    def flaky(payloads):
+        """Errors as the payloads say: the worst of what is waiting."""
+        if "hopeless" in payloads:
+            return "Error: maximum context length is 8192"
+        return "timeout" if payloads and payloads[-1] == "bad" else None
+
+    tries = [["ok", "bad", "bad", "ok", "bad", "hopeless", "ok"], ["bad"] * 9 + ["ok"], ["bad", "bad", "bad", "ok", "bad"]]
+    parts = [[(s, 10 * k + j, p) for s, t in enumerate(tries) if k < len(t) for j, p in enumerate(["x", t[k]])] for k in range(10)]
+    want = []
+    for s, t in enumerate(tries):
+        waiting, failures = [], 0
+        for k, p in enumerate(t):
+            waiting += [(10 * k, "x"), (10 * k + 1, p)]
+            error = flaky([x for _, x in waiting])
+            failures += error is not None
+            keep = error == "timeout" and failures <= 3
+            want += [(s, i, "waits" if keep else "dead" if error else "done", failures, error) for i, _ in waiting]
+            if not keep:
+                waiting, failures = [], 0
+    got, cp = through(spark, tmp_path, "r", "stream_id long, item_id long, payload string", parts, lambda s: retries.retried(s, flaky))
+    assert rows(map(tuple, got.collect())) == rows(want) and {x[2] for x in want} == {"waits", "dead", "done"}
+    last = {(s, i): o for s, i, o, _, _ in want}
+    with state_store(spark):
+        assert spark.read.format("statestore").option("stateVarName", "failures").load(cp).count() == 1
+    assert sum(o == "waits" for o in last.values()) == 2
