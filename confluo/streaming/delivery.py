@@ -19,7 +19,8 @@ COMMITS = "commits"
 def put(rows: DataFrame, root: str, name: str, batch: int, *by: str) -> str:
     """Write a table's rows of a batch, in folders by the columns ``by``; nobody reads them before the batch is committed."""
     path = f"{root}/{name}/batch={batch}"
-    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+    dealt = rows.repartition(*by) if by else rows  # one task a folder, so that none has many small files
+    dealt.write.mode("overwrite").partitionBy(*by).parquet(path)
     return path
 
 

@@ -24,7 +24,7 @@ from confluo.streaming import delivery
 #: Fixed value: letters of the formatted text before that a window is formatted against.
 TAIL = 1000
 #: Streams are dealt to so many folders; a batch reads those of its own streams.
-FOLDERS = 64
+FOLDERS = 16
 WINDOWS = "stream_id long, window_id long, text string, ts_start double, ts_end double"
 CHANGES = "stream_id long, change_window long, start_ms long, content_type string"
 FORMATTED = "stream_id long, window_id long, text string, start_ms long, end_ms long, content_type string, formatted string"
