@@ -51,7 +51,7 @@ def normal_action(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def bare_token(token: Column) -> Column:
@@ -60,7 +60,7 @@ def bare_token(token: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
 def ascii_tokens(text: Column) -> Column:

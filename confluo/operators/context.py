@@ -134,7 +134,7 @@ def between(w: DataFrame, start: float, end: float) -> DataFrame:
     return w.where((F.col("ts_start") < end) & (F.col("ts_end") > start))
 
 
-def _repeated(before: list[str], words: list[str]) -> int:
+def repeated_words(before: list[str], words: list[str]) -> int:
     """Words by the mirrored rule: the i-th last word before against the i-th word after, as long as they are equal."""
     n = 0
     while n < min(len(before), len(words)) and before[-n - 1].lower() == words[n].lower():
@@ -157,7 +157,7 @@ def word_overlap(w: DataFrame) -> DataFrame:
                 words = (text or "").split()
                 if s != stream:
                     stream, before = s, []
-                n = _repeated(before, words)
+                n = repeated_words(before, words)
                 removed.append(n)
                 before = words[n:]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64())], names=["stream_id", "window_id", "removed"])

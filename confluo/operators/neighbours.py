@@ -4,7 +4,8 @@ A cell is a ring of distances around a pivot, cut into parts of PART_ROWS vector
 of all rows is many parts. By the triangle inequality a query at distance d from the pivot is at least d - hi and lo - d from
 each vector of the ring [lo, hi], and at most d + hi. A query first meets the rings that are sure to hold k
 vectors near it; the k-th distance found there is a bound, and then it meets all other rings that the bound doesn't exclude.
-Queries are rows that are joined to parts: none goes through the driver. A task holds one part and TILE distances.
+Queries are rows that are joined to parts: none goes through the driver. A task holds one part and TILE distances; a ring that very many queries ask
+for is copied, and each copy meets ASK_ROWS of them or so.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pivots and rings of a pivot at most (their statistics are what the driver gets), vectors of a part, distances held at once.
-PIVOTS, RINGS, PART_ROWS, TILE = 256, 4, 1 << 15, 1 << 21
+#: Pivots and rings of a pivot at most (their statistics are what the driver gets), vectors of a part, queries that a copy of a part
+#: meets, distances held at once.
+PIVOTS, RINGS, PART_ROWS, ASK_ROWS, TILE = 256, 4, 1 << 15, 1 << 15, 1 << 21
 #: Distances are told apart by six digits; bounds leave room for that and for rounding errors.
 DIGITS, ROOM = 6, 1e-5
 
@@ -102,10 +104,17 @@ def cells(vecs: DataFrame) -> Cells | None:
     return Cells(c.pivots, c.spans, np.array([tuple(r) for r in stats], float).reshape(-1, 5))
 
 
-def _met(v: np.ndarray, ids: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int, bound: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query, id, distance): the k nearest of a part for each query, those beyond its bound left out; TILE distances at once."""
-    step, most = max(1, TILE // max(1, len(ids))), min(k, len(ids))
+def _met(v: np.ndarray, ids: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int | None, bound: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, id, distance): the k nearest of a part for each query, those beyond its bound left out, or all within it; TILE distances
+    at once."""
+    step = max(1, TILE // max(1, len(ids)))
+    most = min(k, len(ids)) if k is not None else 0
     for s in range(0, len(asks), step):
+        if k is None:
+            d = _squared(q[s : s + step], v)
+            row, col = np.nonzero(d <= bound[s : s + step, None])
+            yield asks[s : s + step][row], ids[col], d[row, col]
+            continue
         d = np.round(_squared(q[s : s + step], v), DIGITS)
         last = np.partition(d, most - 1, axis=1)[:, most - 1]
         row, col = np.nonzero(d <= np.minimum(last, bound[s : s + step] + ROOM)[:, None])
@@ -116,44 +125,44 @@ def _met(v: np.ndarray, ids: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int
         yield asks[s : s + step][row[keep]], ids[col[keep]], d[row[keep], col[keep]]
 
 
-def _search(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, d): for each query and part that it meets the k nearest."""
-    tables = [x.select("cell", "part", F.lit(kind).alias("kind"), "id", "v", bound.alias("bound")) for x, kind, bound in ((placed, 0, F.lit(None).cast("double")), (asked, 1, F.col("bound")))]
-    dealt = tables[0].unionByName(tables[1]).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+def _search(placed: DataFrame, asked: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, vec_id, d): for each query and part that it meets the k nearest, or all within its bound."""
+    # One row a ring, so at most PIVOTS * RINGS of them.
+    hot = {r[0]: -(-r[1] // ASK_ROWS) for r in asked.where("part = 0").groupBy("cell").count().where(F.col("count") > ASK_ROWS).collect()}
+    copies = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("cell")), F.lit(1)) if hot else F.lit(1)
+    every = F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("copy")
+    one = F.pmod(F.xxhash64("id"), copies).cast("int").alias("copy")
+    tables = [x.select("cell", "part", copy, F.lit(kind).alias("kind"), "id", "v", bound.alias("bound")) for x, copy, kind, bound in ((placed, every, 0, F.lit(None).cast("double")), (asked, one, 1, F.col("bound")))]
+    dealt = tables[0].unionByName(tables[1]).repartition("cell", "part", "copy").sortWithinPartitions("cell", "part", "copy", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ids, vecs = None, [], []
         for b in batches:
-            cell, part, kind = (b.column(x).to_numpy(zero_copy_only=False) for x in range(3))
-            new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])][: len(cell)])
+            cell, part, copy, kind = places = [b.column(x).to_numpy(zero_copy_only=False) for x in range(4)]
+            new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in places], axis=0)][: len(cell)])
             for s, e in zip(new.tolist(), [*new[1:].tolist(), len(cell)]):
-                if (cell[s], part[s]) != here:
-                    here, ids, vecs = (cell[s], part[s]), [], []
-                own, v = b.column(3)[s:e].to_numpy(zero_copy_only=False), _matrix(b.column(4)[s:e], e - s)
+                if (cell[s], part[s], copy[s]) != here:
+                    here, ids, vecs = (cell[s], part[s], copy[s]), [], []
+                own, v = b.column(4)[s:e].to_numpy(zero_copy_only=False), _matrix(b.column(5)[s:e], e - s)
                 if kind[s] == 0:
                     ids.append(own)
                     vecs.append(v)
                 elif ids:
                     if len(ids) > 1:
                         ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
-                    bound = np.nan_to_num(b.column(5)[s:e].to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+                    bound = np.nan_to_num(b.column(6)[s:e].to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
                     for cols in _met(vecs[0], ids[0], v, own, k, bound):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "d"])
 
     return dealt.mapInArrow(run, "query_id long, vec_id long, d double")
 
 
-def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, d, rank): the k nearest by squared distance (six digits) of each query, ties by id; all of them where there are fewer.
+def _known(x: DataFrame) -> DataFrame:
+    return x.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null")
 
-    ``vecs`` and ``queries`` have rows (vec_id, v); vectors have one length. Rows without an id or a vector aren't met; a query
-    is met with itself if it is among the vectors; queries of one id are one query.
-    """
-    known = lambda x: x.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null")
-    vecs, queries = known(vecs), known(queries).dropDuplicates(["vec_id"])
-    c = cells(vecs)
-    if c is None:
-        return vecs.sparkSession.createDataFrame([], "query_id long, vec_id long, d double, rank int")
+
+def _placed(vecs: DataFrame, c: Cells) -> DataFrame:
+    """(cell, part, id, v): each vector in its part."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,6 +171,12 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             part = _part(b.column(0).to_numpy(zero_copy_only=False), c.parts[cell]) if b.num_rows else cell
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(part, pa.int64()), b.column(0), b.column(1)], names=["cell", "part", "id", "v"])
 
+    return vecs.mapInArrow(place, "cell long, part long, id long, v array<double>")
+
+
+def _asked(queries: DataFrame, c: Cells, k: int) -> DataFrame:
+    """(cell, part, id, v, bound): a copy of each query (vec_id, v[, bound]) for each part that it meets."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bound = None if b.num_columns < 3 else b.column(2).to_numpy(zero_copy_only=False).astype(float)
@@ -179,17 +194,37 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 cols = [pa.array(cell[s : s + step]), pa.array(part[s : s + step], pa.int64()), b.column(0).take(pick), b.column(1).take(pick), pa.array(bounds[s : s + step])]
                 yield pa.RecordBatch.from_arrays(cols, names=["cell", "part", "id", "v", "bound"])
 
-    placed = vecs.mapInArrow(place, "cell long, part long, id long, v array<double>")
-    asks = "cell long, part long, id long, v array<double>, bound double"
-    line = W.partitionBy("query_id").orderBy("d", "vec_id")
+    return queries.mapInArrow(ask, "cell long, part long, id long, v array<double>, bound double")
+
+
+def nearest(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, d, rank): the k nearest by squared distance (six digits) of each query, ties by id; all of them where there are fewer.
+
+    ``vecs`` and ``queries`` have rows (vec_id, v); vectors have one length. Rows without an id or a vector aren't met; a query
+    is met with itself if it is among the vectors; queries of one id are one query.
+    """
+    vecs, queries = _known(vecs), _known(queries).dropDuplicates(["vec_id"])
+    c = cells(vecs)
+    if c is None:
+        return vecs.sparkSession.createDataFrame([], "query_id long, vec_id long, d double, rank int")
+    placed, line = _placed(vecs, c), W.partitionBy("query_id").orderBy("d", "vec_id")
     best = lambda x: x.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
-    first = best(_search(placed, queries.mapInArrow(ask, asks), k))
+    first = best(_search(placed, _asked(queries, c, k), k))
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
-    known_bounds = queries.join(bounds, queries.vec_id == bounds.query_id).select("vec_id", "v", "bound")
-    second = best(_search(placed, known_bounds.mapInArrow(ask, asks), k))
+    bounded = queries.join(bounds, queries.vec_id == bounds.query_id).select("vec_id", "v", "bound")
+    second = best(_search(placed, _asked(bounded, c, k), k))
     return best(first.unionByName(second).drop("rank"))
 
 
+def within(vecs: DataFrame, queries: DataFrame, most: float) -> DataFrame:
+    """(query_id, vec_id, d): all vectors within a squared distance of each query; only rings that may hold one are met."""
+    vecs, queries = _known(vecs), _known(queries).dropDuplicates(["vec_id"])
+    c = cells(vecs)
+    if c is None:
+        return vecs.sparkSession.createDataFrame([], "query_id long, vec_id long, d double")
+    return _search(_placed(vecs, c), _asked(queries.withColumn("bound", F.lit(float(most))), c, 0), None)
+
+
 def nearest_distance(vecs: DataFrame, queries: DataFrame) -> DataFrame:
     """(vec_id, d): the squared distance of each vector from the nearest query; null without queries. Here the queries lie in cells
     and the vectors ask."""

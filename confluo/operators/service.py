@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluo.functions import repetition
 from confluo.functions import text as T
-from confluo.operators.context import ordered_text
+from confluo.operators.context import ordered_text, repeated_words
 
 #: Topics that an insight answer may name, and headings that say nothing.
 TOPICS = ("GENERAL", "BUSINESS", "TECHNICAL", "EDUCATION", "NEWS", "ENTERTAINMENT", "SPORTS", "GAMING", "SUPPORT", "OTHER")
@@ -105,15 +108,32 @@ def speaker_statistics(vecs: DataFrame, decision: Column, confidence: Column, va
 
 
 def timestamp_dedup(w: DataFrame, word_ms: int) -> DataFrame:
-    """(stream_id, window_id, text, path): words with times go if they began before the last window's end; the first window, and
-    windows without word times (every second), keep all here."""
-    prev = F.lag("ts_end").over(_line())
-    at = lambda i: (F.col("ts_start") * 1000 + i * word_ms).cast("long") / 1000.0
-    timed = F.transform(T.words(F.col("text")), lambda x, i: F.struct(x.alias("text"), at(i).alias("at")))
-    free = F.col("prev").isNull() | (F.col("window_id") % 2 == 1)
-    kept = F.filter("words", lambda x: free | (x["at"] >= F.col("prev")))
-    path = F.when(F.col("prev").isNull(), "first").when(F.col("window_id") % 2 == 0, "timestamps").otherwise("words")
-    return w.withColumn("prev", prev).withColumn("words", timed).select("stream_id", "window_id", F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"), path.alias("path"))
+    """(stream_id, window_id, text, path): a window's text without what the one before it had already.
+
+    The first window of a stream stays whole. Words with times (``timed``; ``word_ms`` apart from the window's start on) go if they began
+    before the last window's end; words without go by the mirrored rule against the kept text of the last window. The kept
+    text goes from window to window, so a stream's rows pass by in order, and only the last kept text is held.
+    """
+    names = ["stream_id", "window_id", "text", "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, before, prev = None, [], None
+        for b in batches:
+            texts, paths = [], []
+            for s, start, end, timed, words in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4, 5))):
+                path = "first" if s != stream else "timestamps" if timed else "words"
+                if path == "timestamps":
+                    words = [x for i, x in enumerate(words) if int(start * 1000 + i * word_ms) / 1000.0 >= prev]
+                elif path == "words":
+                    words = words[repeated_words(before, words) :]
+                stream, before, prev = s, words, end
+                texts.append(" ".join(words))
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=names)
+
+    rows = w.select("stream_id", "window_id", "ts_start", "ts_end", "timed", T.words(F.coalesce("text", F.lit(""))).alias("words"))
+    dealt = rows.repartition("stream_id").sortWithinPartitions("stream_id", "window_id")
+    return dealt.mapInArrow(run, "stream_id long, window_id long, text string, path string")
 
 
 def lookup(wanted: DataFrame, w: DataFrame) -> DataFrame:
@@ -151,10 +171,11 @@ def unprocessed(w: DataFrame) -> DataFrame:
 
 def viewer_cues(w: DataFrame, last: int) -> DataFrame:
     """(stream_id, cues, total, duration, in_order): the last cues, newest first; the duration is the last cue's end."""
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("window_id", "text"))))
-    cues = F.array_join(F.transform(F.slice(rows, 1, last), lambda r: r["text"]), " | ")
+    ranked = w.withColumn("rn", F.row_number().over(W.partitionBy("stream_id").orderBy(F.desc("window_id"))))
+    rows = F.array_sort(F.collect_list(F.when(F.col("rn") <= last, F.struct("rn", "text"))))  # no more than the cues shown
+    cues = F.array_join(F.transform(rows, lambda r: r["text"]), " | ")
     end = F.max_by("ts_end", "window_id")
-    return w.groupBy("stream_id").agg(cues.alias("cues"), F.count("*").alias("total"), end.alias("duration"), (F.max("ts_end") == end).alias("in_order"))
+    return ranked.groupBy("stream_id").agg(cues.alias("cues"), F.count("*").alias("total"), end.alias("duration"), (F.max("ts_end") == end).alias("in_order"))
 
 
 def segments_payload(w: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluo.operators import neighbours
 from confluo.operators.shared import cut
 
 
@@ -46,6 +47,25 @@ def relevance_gate(d: Column, at: float = 0.35, faithful: bool = True) -> Column
     return F.coalesce((1 - (d * d if faithful else d) / 2) >= at, F.lit(True))
 
 
+#: The thresholds of validity for ordinary, good and difficult sound: norm, mean size, share of zeros.
+PROFILES = {"default": (0.1, 1e-6, 0.5), "strict": (0.2, 1e-5, 0.3), "lenient": (0.05, 1e-7, 0.7)}
+
+
+def profiled(v: Column) -> Column:
+    """The first rule that a vector breaks under each profile, by name."""
+    return F.create_map(*[x for name, limits in PROFILES.items() for x in (F.lit(name), validity(v, *limits))])
+
+
+def similar_speakers(vecs: DataFrame, key: str, weight: str, at: float, most: int) -> DataFrame:
+    """(a, b, cos): of all pairs of speakers (numbers) the ``most`` whose centroids are the most alike, from ``at`` on, each once, ties by
+    number. Unit vectors of a cosine are within 2 - 2 * cosine of each other, so pairs come from the search by distance."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"])
+    c = cut(centroids(vecs, key, weight).groupBy(F.col(key).cast("long").alias("vec_id")).agg(rows.alias("v")))
+    pairs = neighbours.within(c, c, 2 - 2 * at).where("query_id < vec_id")
+    alike = pairs.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round(1 - F.col("d") / 2, 6).alias("cos"))
+    return alike.orderBy(F.desc("cos"), "a", "b").limit(most)
+
+
 def centroids(vecs: DataFrame, key: str, weight: str) -> DataFrame:
     """Unit weighted mean vectors as (key, dim, x): sums by dimension, combined before the shuffle."""
     s = vecs.select(key, weight, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim")

@@ -255,13 +255,16 @@ def retry_rules(spark, d):
 
 
 @query(f"""with {TW}, w as (select *, lag(ts_end) over (partition by stream_id order by window_id) as prev_end,
-list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as words from tw)
-select stream_id, window_id, coalesce(list_aggregate(list_filter(words, lambda x, i: window_id % 2 = 1 or prev_end is null or (ts_start *
-1000 + (i - 1) * 100)::bigint / 1000.0 >= prev_end), 'string_agg', ' '), '') as text,
-case when prev_end is null then 'first' when window_id % 2 = 0 then 'timestamps' else 'words' end as path from w""")
+list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as words from tw),
+t as (select *, case when prev_end is null then 'first' when window_id % 2 = 0 then 'timestamps' else 'words' end as path,
+list_filter(words, lambda x, i: window_id % 2 = 1 or prev_end is null or (ts_start * 1000 + (i - 1) * 100)::bigint / 1000.0 >= prev_end) as kept from w),
+p as (select *, lag(kept) over (partition by stream_id order by window_id) as before from t),
+n as (select *, case when path = 'words' then coalesce(list_min(list_filter(range(0, least(len(before), len(words))), lambda i: lower(before[len(before) - i])
+<> lower(words[i + 1]))), least(len(before), len(words))) else 0 end as gone from p)
+select stream_id, window_id, coalesce(array_to_string(kept[gone + 1:], ' '), '') as text, path from n""")
 def timestamp_dedup(spark, d):
-    """Words that began before the last window's end go; every second window has no word times and takes the other path."""
-    return S.timestamp_dedup(A.transcription_windows(spark, d), 100)
+    """Words that began before the last window's end go; every second window has no word times, and loses the words that it repeats."""
+    return S.timestamp_dedup(A.transcription_windows(spark, d).withColumn("timed", F.col("window_id") % 2 == 0), 100)
 
 
 @query(f"""with {SW}, ids as (select stream_id, summary_id, unnest([summary_id * 2, summary_id * 2 + 99]) as wanted from sw)
@@ -526,3 +529,23 @@ def resampled(spark, d):
     frames = A.vectors(spark, d).select(F.col("label").alias("stream_id"), F.col("vec_id").alias("frame_id"), F.col("v").alias("samples"))
     y = resample.resample(frames, 48000).select("stream_id", "first", F.posexplode("samples").alias("k", "y"))
     return y.select("stream_id", (F.col("first") + F.col("k")).alias("m"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query(f"""with {VEC}, s as (select vec_id, list_transform(v, lambda x: x * ([1.0, 0.15, 0.07, 0.03])[vec_id % 4 + 1]) as v from vec), m as (select vec_id,
+sqrt({DOT.format(a='v', b='v')}) as n, list_sum(list_transform(v, lambda x: abs(x))) / len(v) as mean, len(list_filter(v, lambda x: abs(x) <= 1e-8)) / len(v) as
+zeros from s), p as (select * from (values ('default', 0.1, 1e-6, 0.5), ('strict', 0.2, 1e-5, 0.3), ('lenient', 0.05, 1e-7, 0.7)) t(profile, a, b, c))
+select profile, case when n < a then 'low_norm' when mean < b then 'low_mean' when zeros > c then 'sparse' else 'valid' end as reason, count(*) as n
+from m, p group by 1, 2""")
+def validity_profiles(spark, d):
+    """Vectors of four loudnesses under the three profiles of validity."""
+    loud = F.element_at(F.array(*[F.lit(x) for x in (1.0, 0.15, 0.07, 0.03)]), (F.col("vec_id") % 4 + 1).cast("int"))
+    v = A.vectors(spark, d).select(F.transform("v", lambda x: x * loud).alias("v"))
+    return v.select(F.explode(vectors.profiled(F.col("v"))).alias("profile", "reason")).groupBy("profile", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {VEC}, m as (select label, i as dim, sum(v[i + 1] * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1) as m from vec, range(64) t(i) group by 1, 2),
+c as (select label, dim, m / sqrt(sum(m * m) over (partition by label)) as x from m) select a.label as a, b.label as b, round(sum(a.x * b.x), 6) as cos
+from c a join c b on a.dim = b.dim and a.label < b.label group by 1, 2 having sum(a.x * b.x) >= 0.0 order by 3 desc, 1, 2 limit 10""")
+def similar_speakers(spark, d):
+    """The ten most alike of all speakers, by their weighted centroids."""
+    return vectors.similar_speakers(A.vectors(spark, d).withColumn("heard", F.col("vec_id") % 5 + 1), "label", "heard", 0.0, 10)

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from confluo.functions import repetition
 from confluo.functions import text as T
 from confluo.operators import cluster, context, joins, neighbours, vectors
+from confluo.operators import service as service_ops
 from confluo.plans import queries as engine
 from confluo.plans import service  # noqa: F401 - adds its queries
 
@@ -235,6 +236,7 @@ def test_nearest_by_pivots(spark, monkeypatch):
     assert rows(map(tuple, neighbours.nearest(df(vecs), df(asks), 7).collect())) == want
     monkeypatch.setattr(neighbours, "PART_ROWS", 50)
     monkeypatch.setattr(neighbours, "TILE", 97)
+    monkeypatch.setattr(neighbours, "ASK_ROWS", 4)
     assert rows(map(tuple, neighbours.nearest(df(vecs), df(asks), 7).collect())) == want
     assert rows(map(tuple, neighbours.nearest(df(vecs[:5]), df(asks), 7).collect())) == brute_nearest(vecs[:5], asks, 7)
     few = neighbours.nearest_distance(df(vecs[:200]), df(asks)).collect()
@@ -245,6 +247,22 @@ def test_nearest_by_pivots(spark, monkeypatch):
     assert neighbours.nearest_distance(df(vecs[:9]), odd.limit(0)).where("d is null").count() == 9
 
 
+def test_within_a_distance(spark):
+    vecs = clustered(600, 5, 9)[200:]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id long, v array<double>")
+    got = sorted((r.query_id, r.vec_id) for r in neighbours.within(df, df.where("vec_id % 9 = 0"), 0.06).collect())
+    assert got == sorted((q, i) for q, x in vecs if q % 9 == 0 for i, v in vecs if ((x - v) ** 2).sum() <= 0.06) and len(got) > 100
+    assert neighbours.within(df.limit(0), df, 1.0).count() == 0
+
+
+def test_dedup_paths(spark):
+    """Windows with and without word times in any order: the kept text of one is what the next is held against."""
+    w = [(1, 0, "a b c", 0.0, 2.0, True), (1, 1, "C b x", 2.0, 4.0, False), (1, 2, "X y", 4.0, 6.0, False), (1, 3, "p q r", 5.9, 8.0, True), (1, 4, "r s", 8.0, 10.0, False), (1, 5, None, 10.0, 12.0, False), (2, 9, "r s", 0.0, 2.0, False)]
+    df = spark.createDataFrame(w, "stream_id long, window_id long, text string, ts_start double, ts_end double, timed boolean")
+    got = [(r.window_id, r.text, r.path) for r in service_ops.timestamp_dedup(df.repartition(3), 100).orderBy("stream_id", "window_id").collect()]
+    assert got == [(0, "a b c", "first"), (1, "x", "words"), (2, "y", "words"), (3, "q r", "timestamps"), (4, "s", "words"), (5, "", "words"), (9, "r s", "first")]
+
+
 def brute_first(vecs, queries):
     for i, v in vecs:
         yield i, min(round(float(((x - v) ** 2).sum()), 6) for _, x in queries)
