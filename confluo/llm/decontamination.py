@@ -3,7 +3,7 @@
 Document frequencies of the benchmark's words are counted over all documents. A randomised SVD (random range, two power
 steps, each a distributed pass of partial products) of the TF-IDF passages gives latent directions, half as many as passages or
 fewer but for very small benchmarks. Windows of all documents are folded in by sums of their words' rows; a word outside the benchmark has no direction, but
-its weight turns its window away from every passage. Windows near a passage by cosine are candidates. They are verified
+its weight turns its window away from every passage. Windows near a passage by cosine are candidates, and so is each passage that stands word for word. They are verified
 on words: the longest common subsequence must hold enough of the passage. A high share is a leak by itself; a weak one is, if
 enough of the passage's rarest words (its answer) are there too.
 """
@@ -25,10 +25,10 @@ RANK, FULL, POWER, SEED = 128, 32, 2, 7
 #: holds them, else the last. BLOCK passages are compared in one pass over the documents.
 PIECE, STEP, WIDTHS, BLOCK = 32, 8, (2, 4), 8192
 #: A window is a candidate from this cosine on; a candidate is a leak from this share of the passage in common on.
-NEAR, SURE = 0.45, 0.6
+NEAR, SURE = 0.2, 0.6
 #: A weaker share is one if so much of the answer, the passage's rarest words, is there too.
 COMMON, ANSWER, ANSWER_WORDS = 0.55, 0.6, 6
-#: Passages of fewer words are found word for word.
+#: Passages of fewer words are found word for word only; those of any length are found so too.
 LEAST_WORDS = 8
 #: Words of documents that are compared at once, and cosines.
 SPAN, CELLS = 1 << 15, 1 << 20
@@ -135,14 +135,14 @@ class Passages:
         self.words = [r[2].encode().split(b" ") for r in rows]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.places = [places(w) for w in self.words]
-        self.short: dict[bytes, list[int]] = {}
-        for k, w in enumerate(self.words):
-            if len(w) < LEAST_WORDS:
-                self.short.setdefault(w[0], []).append(k)
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
         self.answers = [sorted(set(w), key=lambda x: (-float(self.idf[self.vocabulary[x]]), x))[:ANSWER_WORDS] for w in self.words]
+        #: The passages by their rarest word, with its first place in them: few texts hold it.
+        self.rarest: dict[bytes, list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            self.rarest.setdefault(self.answers[k][0], []).append((k, w.index(self.answers[k][0])))
 
     def project(self, basis: np.ndarray) -> None:
         """Vectors of passages, by the width of the windows they are compared with; rows of words, then those of a word
@@ -169,7 +169,7 @@ class Passages:
         return next((s for s in WIDTHS if s * STEP >= n), WIDTHS[-1])
 
     def near(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, float]]]:
-        """{(document, passage): [(first word, cosine) of each window over NEAR]} for documents as word numbers, all at once."""
+        """{(document, passage): [(first word, cosine) of each window from NEAR on]} for documents as word numbers, all at once."""
         pad, most = len(self.rows) - 1, WIDTHS[-1]
         steps = np.array([-(-len(x) // STEP) for x in docs])
         first = np.cumsum(np.r_[0, steps + most])  # so many steps of padding that no window reaches two documents
@@ -216,11 +216,12 @@ class Passages:
         return best
 
     def stands(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(passage, first word) of each short passage that stands word for word."""
-        for x in self.short.keys() & set(words):
+        """(passage, first word) of each passage that stands word for word."""
+        for x in self.rarest.keys() & set(words):
             spots = [i for i, w in enumerate(words) if w == x]
-            for k in self.short[x]:
-                spot = next((i for i in spots if words[i : i + len(self.words[k])] == self.words[k]), None)
+            for k, at in self.rarest[x]:
+                mine = self.words[k]
+                spot = next((i - at for i in spots if i >= at and words[i - at : i - at + len(mine)] == mine), None)
                 if spot is not None:
                     yield k, spot
 
@@ -249,9 +250,10 @@ def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
                 got = block.verified(k, raws[row], [(a + s, c) for a, c in windows])
                 if got and ((row, k) not in found or got[1] > found[row, k][1]):
                     found[row, k] = got
-            for row, raw in texts if block.short else ():
+            for row, raw in texts:
                 for k, spot in block.stands(bare(raw)):
-                    found[row, k] = (1.0, 1.0, 1.0, spot)
+                    # The cosine is that of the passage itself; a window's, if one was near enough, stays.
+                    found[row, k] = (found.get((row, k), (1.0,))[0], 1.0, 1.0, spot)
             for (row, k), got in sorted(found.items()):
                 yield row, block.items[k], got
 
@@ -276,8 +278,8 @@ def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, cosine, common, answer, at), one row a leaking document and benchmark item; the row's key is in KEY.
 
-    Only documents with a leak are in the result; the figures are those of the item's best passage. Items under LEAST_WORDS words
-    are leaks where they stand word for word. Null and empty texts leak nothing, null and empty items aren't leaked;
+    Only documents with a leak are in the result; the figures are those of the item's best passage. Passages that
+    stand word for word are leaks whatever their length, those under LEAST_WORDS words only so. Null and empty texts leak nothing, null and empty items aren't leaked;
     items with a null id are searched and have a null id in the result, all of them one item; equal rows of documents are
     one row of the result, null ids are treated like any; an empty table or benchmark gives no rows; other columns are ignored.
     """
