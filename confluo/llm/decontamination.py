@@ -139,10 +139,13 @@ class Passages:
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
         self.answers = [sorted(set(w), key=lambda x: (-float(self.idf[self.vocabulary[x]]), x))[:ANSWER_WORDS] for w in self.words]
-        #: The passages by their rarest word, with its first place in them: few texts hold it.
-        self.rarest: dict[bytes, list[tuple[int, int]]] = {}
+        #: The passages by the number of their rarest word, with its first place in them: few texts hold it.
+        self.numbers = [np.array([self.vocabulary[x] for x in w], np.int64) for w in self.words]
+        self.rarest: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
-            self.rarest.setdefault(self.answers[k][0], []).append((k, w.index(self.answers[k][0])))
+            self.rarest.setdefault(self.vocabulary[self.answers[k][0]], []).append((k, w.index(self.answers[k][0])))
+        self.rare = np.zeros(len(self.vocabulary) + 1, bool)  # by word, the last one is any other
+        self.rare[list(self.rarest)] = True
 
     def project(self, basis: np.ndarray) -> None:
         """Vectors of passages, by the width of the windows they are compared with; rows of words, then those of a word
@@ -215,15 +218,15 @@ class Passages:
                 best = (cosine, common, share, start)
         return best
 
-    def stands(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(passage, first word) of each passage that stands word for word."""
-        for x in self.rarest.keys() & set(words):
-            spots = [i for i, w in enumerate(words) if w == x]
-            for k, at in self.rarest[x]:
-                mine = self.words[k]
-                spot = next((i - at for i in spots if i >= at and words[i - at : i - at + len(mine)] == mine), None)
-                if spot is not None:
-                    yield k, spot
+    def stands(self, numbers: np.ndarray) -> dict[int, int]:
+        """{passage: first word} of each passage that stands word for word among the numbers of a document's words."""
+        found: dict[int, int] = {}
+        for i in np.flatnonzero(self.rare[numbers]).tolist():
+            for k, at in self.rarest[int(numbers[i])]:
+                mine = self.numbers[k]
+                if i >= at and k not in found and np.array_equal(numbers[i - at : i - at + len(mine)], mine):
+                    found[k] = i - at
+        return found
 
 
 def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
@@ -250,10 +253,10 @@ def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
                 got = block.verified(k, raws[row], [(a + s, c) for a, c in windows])
                 if got and ((row, k) not in found or got[1] > found[row, k][1]):
                     found[row, k] = got
-            for row, raw in texts:
-                for k, spot in block.stands(bare(raw)):
+            for row, s, numbers in reversed(cut):
+                for k, spot in block.stands(numbers).items():
                     # The cosine is that of the passage itself; a window's, if one was near enough, stays.
-                    found[row, k] = (found.get((row, k), (1.0,))[0], 1.0, 1.0, spot)
+                    found[row, k] = (found.get((row, k), (1.0,))[0], 1.0, 1.0, s + spot)
             for (row, k), got in sorted(found.items()):
                 yield row, block.items[k], got
 

@@ -29,7 +29,7 @@ def test_recall_by_length(spark):
             before, after = (r.choice(texts[700:]).split()[: r.randint(20, 100)] for _ in range(2))
             planted[len(docs)] = (k, share)
             docs.append((len(docs), " ".join([*before, *w, *after])))
-    clean = [(10**6 + i, " ".join(x.split()[:200])) for i, x in enumerate(texts[700:900])]
+    clean = [(10**6 + i, " ".join(r.sample(x.split()[:300], k=150))) for i, x in enumerate(texts[700:900])]
     df = spark.createDataFrame([*docs, *clean], "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(df, bench).collect()}
@@ -39,6 +39,4 @@ def test_recall_by_length(spark):
         hit[share, len(items[k])] += (i, k) in found
     assert all(hit[0, n] == all_[0, n] for n in lengths)
     assert all(hit[x] >= 0.85 * all_[x] for x in all_) and sum(hit.values()) >= 0.95 * sum(all_.values())
-    # A clean text may hold an item word for word, as copies of its document do; no other is found.
-    alike = {(i, k) for i, x in clean for k, w in enumerate(items) if " ".join(w).lower() in x.lower()}
-    assert len({p for p in found if p[0] >= 10**6} - alike) <= 2
+    assert not [p for p in found if p[0] >= 10**6]
