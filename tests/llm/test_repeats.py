@@ -204,7 +204,7 @@ def periodic(r):
 
 def test_periodic_runs():
     r = random.Random(1)
-    for _ in range(250):
+    for _ in range(80):
         docs = [periodic(r) for _ in range(r.randint(1, 6))]
         for least, times in ((6, 4), (2, 2), (3, 3)):
             assert periodic_runs.runs_of(docs, least, times) == [brute_runs(d, least, times) for d in docs]
