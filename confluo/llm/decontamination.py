@@ -110,9 +110,9 @@ def latent(texts: DataFrame, place: dict[bytes, int], idf: np.ndarray, rank: int
     return m
 
 
-def places(words: list[bytes]) -> dict[bytes, int]:
+def places(words: list[int]) -> dict[int, int]:
     """Of each word the places it has in ``words``, as bits."""
-    at: dict[bytes, int] = {}
+    at: dict[int, int] = {}
     for i, w in enumerate(words):
         at[w] = at.get(w, 0) | 1 << i
     return at
@@ -134,16 +134,17 @@ class Passages:
         self.items = [(r[0], r[1]) for r in rows]
         self.words = [r[2].encode().split(b" ") for r in rows]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
-        self.places = [places(w) for w in self.words]
+        self.numbers = [np.array([self.vocabulary[x] for x in w], np.int64) for w in self.words]
+        self.places = [places(x.tolist()) for x in self.numbers]
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         self.idf = (np.log((n + 1) / (df + 1)) + 0.01).astype(np.float32)
-        self.answers = [sorted(set(w), key=lambda x: (-float(self.idf[self.vocabulary[x]]), x))[:ANSWER_WORDS] for w in self.words]
+        rarest = [sorted(set(w), key=lambda x: (-float(self.idf[self.vocabulary[x]]), x))[:ANSWER_WORDS] for w in self.words]
+        self.answers = [[self.vocabulary[x] for x in a] for a in rarest]
         #: The passages by the number of their rarest word, with its first place in them: few texts hold it.
-        self.numbers = [np.array([self.vocabulary[x] for x in w], np.int64) for w in self.words]
         self.rarest: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            self.rarest.setdefault(self.vocabulary[self.answers[k][0]], []).append((k, w.index(self.answers[k][0])))
+        for k, (w, a) in enumerate(zip(self.words, rarest)):
+            self.rarest.setdefault(self.vocabulary[a[0]], []).append((k, w.index(a[0])))
         self.rare = np.zeros(len(self.vocabulary) + 1, bool)  # by word, the last one is any other
         self.rare[list(self.rarest)] = True
 
@@ -200,19 +201,24 @@ class Passages:
                     found.setdefault((d, int(which[j])), []).append((int(a + i - first[d]) * STEP, float(c[i, j])))
         return found
 
-    def verified(self, k: int, words: list[bytes], windows: list[tuple[int, float]]) -> tuple | None:
-        """(cosine, share in common, share of the answer, first word) at the best of the windows, or None."""
+    def verified(self, k: int, numbers: np.ndarray, windows: list[tuple[int, float]]) -> tuple | None:
+        """(cosine, share in common, share of the answer, first word) at the best of the windows, or None, from the numbers of a
+        document's words."""
         best, at, n, answer = None, self.places[k], len(self.words[k]), self.answers[k]
         reach = self.width(n) * STEP + n
         for start, cosine in windows:
-            region = bare(words[max(0, start - n) : start + reach])
-            masks = [at[w] for w in region if w in at]
-            if len(masks) < COMMON * n or (best and best[1] >= 1.0):
+            if best and best[1] >= 1.0:
+                break
+            region = numbers[max(0, start - n) : start + reach].tolist()
+            have, there = at.keys() & region, 0
+            for w in have:  # the passage's places whose word is in the region: no common subsequence is longer
+                there |= at[w]
+            if there.bit_count() < COMMON * n:
                 continue
+            masks = [at[w] for w in region if w in have]
             common = in_order(masks) / n
             if common < COMMON or (best and common <= best[1]):
                 continue
-            have = set(region)
             share = sum(w in have for w in answer) / len(answer)
             if common >= SURE or share >= ANSWER:
                 best = (cosine, common, share, start)
@@ -243,14 +249,13 @@ def search(d: DataFrame, block: Passages, *carry: str) -> DataFrame:
 
         def leaks(texts: list[tuple[int, list[bytes]]]) -> Iterator[tuple]:
             """Leaks of some documents, and of a long one by overlapping parts."""
-            cut, far = [], WIDTHS[-1] * STEP + PIECE * 2
+            cut, far, whole, found = [], WIDTHS[-1] * STEP + PIECE * 2, {}, {}
             for row, raw in texts:
-                numbers = np.array([get(w.strip(_EDGE) or w, outside) for w in raw], np.int64)
+                whole[row] = numbers = np.array([get(w.strip(_EDGE) or w, outside) for w in raw], np.int64)
                 cut += [(row, s, numbers[s : s + SPAN]) for s in range(0, max(1, len(raw) - far), SPAN - far)]
-            raws, found = dict(texts), {}
             for (i, k), windows in block.near([c[2] for c in cut]).items():
                 row, s = cut[i][:2]
-                got = block.verified(k, raws[row], [(a + s, c) for a, c in windows])
+                got = block.verified(k, whole[row], [(a + s, c) for a, c in windows])
                 if got and ((row, k) not in found or got[1] > found[row, k][1]):
                     found[row, k] = got
             for row, s, numbers in reversed(cut):
