@@ -204,6 +204,20 @@ def first_half(text: Column) -> Column:
     return F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))
 
 
+def after_truncation(prior: Column, answer: Column, tokens: Column, retry_answer: Column, retry_tokens: Column, most: int) -> Column:
+    """(prior, answer) that count: an answer of ``most`` tokens or more is cut off, and asked for again with the first half of the prior
+    context; one that fails then (null) or is cut off again is empty. A null prior is empty."""
+    context = F.coalesce(prior, F.lit(""))
+    again = F.when(retry_tokens < most, F.coalesce(retry_answer, F.lit(""))).otherwise("")
+    cut = F.coalesce(tokens >= most, F.lit(False))
+    return F.struct(F.when(cut, first_half(context)).otherwise(context).alias("prior"), F.when(cut, again).otherwise(answer).alias("answer"))
+
+
+def segments_text(segments: Column, field: str = "text") -> Column:
+    """The segments' texts in their order, those that are there joined by a blank."""
+    return F.array_join(F.filter(F.transform(segments, lambda s: s[field]), lambda t: t != ""), " ")
+
+
 def insight_line(kind: Column, number: Column, start: Column, end: Column, text: Column, continues: Column, corrects: Column) -> Column:
     """'- **TYPE** [#id] [start - end]: text (CONTINUATION of insight #n)'; a reference of 0 is none."""
     mark = lambda word, n: F.when(n != 0, F.concat(F.lit(f"{word} of insight #"), n.cast("string")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from confluo.functions import repetition
 from confluo.functions import text as T
+from confluo.operators import vectors
 from confluo.operators.context import ordered_text, repeated_words
 
 #: Topics that an insight answer may name, and headings that say nothing.
@@ -292,6 +293,47 @@ def transcript_range(w: DataFrame, start: float, end: float, now: DataFrame) ->
     return now.join(g, "stream_id", "left").select("stream_id", F.coalesce(some, none).alias("answer"))
 
 
+def stream_status(streams: DataFrame, w: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(stream_id, answer): where each of ``streams`` stands, how many windows it has, how long they are in all and on average, and how
+    many summary windows there are; a stream at 0 or without windows hasn't started."""
+    g = w.groupBy("stream_id").agg(F.max("ts_end").alias("at"), F.count("*").alias("n"), F.sum(F.col("ts_end") - F.col("ts_start")).alias("long"))
+    all_ = streams.select("stream_id").join(g, "stream_id", "left").join(summaries.groupBy("stream_id").agg(F.count("*").alias("notes")), "stream_id", "left")
+    line = lambda name, x: F.concat(F.lit(f"{name:<24}: "), x)
+    lines = [line("Current stream position", T.hms(F.col("at"))), line("Total indexed chunks", F.col("n").cast("string")), line("Total indexed duration", T.hms(F.col("long"))), line("Average chunk duration", T.hms(F.col("long") / F.col("n")))]
+    text = F.concat_ws("\n", *lines, line("Fast summary chunks", F.coalesce("notes", F.lit(0)).cast("string")))
+    none = "Stream has not started or no transcript content has been indexed yet."
+    return all_.select("stream_id", F.when(F.col("at") > 0, text).otherwise(none).alias("answer"))
+
+
+def availability_text(streams: DataFrame, available: DataFrame) -> DataFrame:
+    """(stream_id, answer): how long a stretch of each of ``streams`` can be asked about, with its ends, from ``availability``'s rows."""
+    first, last = F.col("first_start"), F.col("last_end")
+    span = F.concat(T.duration_text(last - first), F.lit(" ("), T.hms(first), F.lit(" to "), T.hms(last), F.lit(")"), F.when(F.col("is_minimal"), " - stream recently started").otherwise(""))
+    return streams.select("stream_id").join(available, "stream_id", "left").select("stream_id", F.when(first.isNotNull(), span).otherwise("No summary content available yet.").alias("answer"))
+
+
+def diagnostics(turns: DataFrame, config: dict, sure: float = 0.65, last: int = 20, history: int = 50) -> DataFrame:
+    """One row a stream of ``online_speakers``: speakers and samples at the end, samples a speaker, turns of nobody, speakers that were
+    merged into others, the share of known turns that aren't sure, the mean confidence of the last known turns (1 for none), the
+    distribution of all confidences, the latest turns as speakers in order, and the settings."""
+    known = F.col("speaker") >= 0
+    line = W.partitionBy("stream_id").orderBy(F.desc("turn_id"))
+    t = turns.withColumn("__at", F.sum(known.cast("int")).over(line))  # the turn is the so-manieth known one from the end
+    heard = F.count_if(known)
+    shown = F.transform(F.array_sort(F.collect_list(F.when(known & (F.col("__at") <= history), F.struct("turn_id", "speaker")))), lambda r: r["speaker"])
+    speakers = F.count_distinct(F.when(F.col("final") >= 0, F.col("final")))
+    recent = F.avg(F.when(known & (F.col("__at") <= last), F.col("confidence")))
+    n = [speakers.alias("speakers"), F.count("*").alias("turns"), heard.alias("samples"), (heard / F.greatest(F.lit(1), speakers)).alias("mean_samples"), F.count_if(~known).alias("unknown")]
+    merged = F.count_distinct(F.when(F.col("speaker") != F.col("final"), F.col("speaker"))).alias("merged")
+    unsure = (F.count_if(known & (F.col("confidence") < sure)) / F.greatest(F.lit(1), heard)).alias("low_confidence_rate")
+    one = t.groupBy("stream_id").agg(*n, merged, unsure, F.coalesce(recent, F.lit(1.0)).alias("confidence"), shown.alias("timeline"))
+    spread = vectors.score_distribution(turns.where(known), "stream_id", "confidence")
+    names = [c for c in spread.columns if c != "stream_id"]
+    both = one.join(spread.select("stream_id", F.struct(*names).alias("scores")), "stream_id", "left")
+    settings = F.struct(*[F.lit(v).alias(k) for k, v in config.items()])
+    return both.withColumn("config", settings)
+
+
 def formatted(results: DataFrame, callbacks: dict[str, Column]) -> DataFrame:
     """``results`` with ``line``: a plugin's own format, null where that fails; JSON for a plugin without one; null for no result."""
     json = F.to_json(F.struct("formatted"))

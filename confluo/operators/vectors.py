@@ -78,6 +78,15 @@ def least_best_match(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy(a, b, "va").agg(F.max("cos").alias("best")).groupBy(a, b).agg(F.min("best").alias("least"))
 
 
+def score_distribution(scores: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, n, mean, sd, least, most, p25, p50, p75) of each key's scores: the spread over all of them, percentiles by linear
+    interpolation. Null scores and scores of zero don't count; a key without others has no row."""
+    x = F.col(score)
+    quarter = lambda p, name: F.percentile(score, F.lit(p)).alias(name)
+    real = scores.where((x != 0) & x.isNotNull()).groupBy(key)
+    return real.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("most"), quarter(0.25, "p25"), quarter(0.5, "p50"), quarter(0.75, "p75"))
+
+
 def plane(vecs: DataFrame, key: str, weight: str) -> DataFrame:
     """(key, x, y): unit centroids on the two main axes of their spread, an axis' largest part positive; zeros for one key.
 

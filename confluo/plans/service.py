@@ -489,11 +489,10 @@ def low_confidence_turns(spark, d):
 
 @query()
 def speaker_diagnostics(spark, d):
-    """One row a stream: speakers, turns, who was nobody, merges at the end, and the mean confidence."""
-    t = cluster.online_speakers(A.speaker_turns(spark, d), "stream_id")
-    n = [F.count_distinct(F.when(F.col("final") >= 0, F.col("final"))).alias("speakers"), F.count("*").alias("turns"), F.count_if(F.col("speaker") < 0).alias("unknown")]
-    merged = F.count_distinct(F.when(F.col("speaker") != F.col("final"), F.col("speaker"))).alias("merged")
-    return t.groupBy("stream_id").agg(*n, merged, F.round(F.avg(F.when(F.col("speaker") >= 0, F.col("confidence"))), 6).alias("confidence"))
+    """The diagnostics of each stream's speakers, with the settings they were told apart by."""
+    settings = cluster.Settings()
+    config = {"threshold": settings.threshold, "least_samples": settings.least_samples, "alpha": settings.alpha}
+    return S.diagnostics(cluster.online_speakers(A.speaker_turns(spark, d), "stream_id", settings), config)
 
 
 @query()
@@ -549,3 +548,71 @@ from c a join c b on a.dim = b.dim and a.label < b.label group by 1, 2 having su
 def similar_speakers(spark, d):
     """The ten most alike of all speakers, by their weighted centroids."""
     return vectors.similar_speakers(A.vectors(spark, d).withColumn("heard", F.col("vec_id") % 5 + 1), "label", "heard", 0.0, 10)
+
+
+@query(f"""with {VEC}, p as (select b.label, greatest(0.0::double, {DOT.format(a='a.v', b='b.v')} / (sqrt({DOT.format(a='a.v', b='a.v')}) *
+sqrt({DOT.format(a='b.v', b='b.v')}))) as c from vec a join vec b on b.chunk_id = a.chunk_id and b.vec_id = a.vec_id + 1)
+select label, count(*) as n, round(avg(c), 6) as mean, round(stddev_pop(c), 6) as sd, round(min(c), 6) as least, round(max(c), 6) as most,
+round(quantile_cont(c, 0.25), 6) as p25, round(quantile_cont(c, 0.5), 6) as p50, round(quantile_cont(c, 0.75), 6) as p75 from p where c <> 0 group by 1""")
+def score_distribution(spark, d):
+    """By label how alike a vector and the one before it are; what is turned away scores nothing and doesn't count."""
+    v = A.vectors(spark, d)
+    before = v.select("chunk_id", (F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("before"))
+    s = v.join(before, ["chunk_id", "vec_id"]).select("label", F.greatest(F.lit(0.0), vectors.cosine(F.col("before"), F.col("v"))).alias("score"))
+    spread = vectors.score_distribution(s, "label", "score")
+    return spread.select("label", "n", *[F.round(c, 6).alias(c) for c in spread.columns if c not in ("label", "n")])
+
+
+_SHORT = f"case when ({{s}}) >= 3600 then {_HMS} else {_MMSS} end"
+
+
+@query(f"""with {SW}, s as (select distinct stream_id from tw union select distinct user_id from events), long as (select stream_id, max(ts_end) as upto,
+count(*) as n, sum(ts_end - ts_start) as all_s from tw group by 1), k as (select stream_id, count(*) as notes from sw group by 1)
+select s.stream_id, case when upto > 0 then 'Current stream position : ' || {_SHORT.format(s='floor(upto)')} || chr(10) || 'Total indexed chunks    : ' || n ||
+chr(10) || 'Total indexed duration  : ' || {_SHORT.format(s='floor(all_s)')} || chr(10) || 'Average chunk duration  : ' || {_SHORT.format(s='floor(all_s / n)')} ||
+chr(10) || 'Fast summary chunks     : ' || coalesce(notes, 0) else 'Stream has not started or no transcript content has been indexed yet.' end as answer
+from s left join long using (stream_id) left join k using (stream_id)""")
+def stream_status(spark, d):
+    """Conversations, and users, of whom some have said nothing."""
+    w = A.transcription_windows(spark, d)
+    streams = w.select("stream_id").union(A.llm_requests(spark, d).select("stream_id")).distinct()
+    return S.stream_status(streams, w, _sw(spark, d))
+
+
+_SPAN = "floor(last_end - first_start)"
+
+
+@query(f"""with {SW}, s as (select distinct stream_id from tw union select distinct user_id from events), k as (select *, sum(char_count) over (partition by
+stream_id order by summary_id desc rows unbounded preceding) as s, row_number() over (partition by stream_id order by summary_id desc) as rn from sw),
+a as (select stream_id, min(ts_start) as first_start, arg_max(ts_end, summary_id) as last_end, sum(char_count) < 500 as is_minimal from k where s <= 1500 or rn = 1
+group by 1) select s.stream_id, coalesce(coalesce(nullif(concat_ws(' ', {_PART.format(n=f'({_SPAN}::bigint // 3600)', w='hour')},
+{_PART.format(n=f'({_SPAN}::bigint % 3600 // 60)', w='minute')}, {_PART.format(n=f'({_SPAN}::bigint % 60)', w='second')}), ''), '0 seconds') || ' (' ||
+{_SHORT.format(s='floor(first_start)')} || ' to ' || {_SHORT.format(s='floor(last_end)')} || ')' ||
+case when is_minimal then ' - stream recently started' else '' end, 'No summary content available yet.') as answer from s left join a using (stream_id)""")
+def availability_answers(spark, d):
+    """What can be asked about in each conversation, and of users, of whom some have said nothing."""
+    streams = A.transcription_windows(spark, d).select("stream_id").union(A.llm_requests(spark, d).select("stream_id")).distinct()
+    return S.availability_text(streams, context.availability(context.retain(_sw(spark, d), 1500)))
+
+
+@query(f"""with {TW}, p as (select *, coalesce(lag(text) over (partition by stream_id order by window_id), '') as prior from tw),
+t as (select *, (length(prior) + length(text)) // 4 as tokens, (length(prior) // 2 + length(text)) // 4 as again from p)
+select stream_id, window_id, case when tokens >= 160 then substr(prior, 1, length(prior) // 2) else prior end as prior, case when tokens < 160 then 'A ' || text
+when again < 160 then 'B ' || text else '' end as answer from t""")
+def truncation_retry(spark, d):
+    """Answers as long as what is asked with them: the window before, and again with its first half."""
+    w = A.transcription_windows(spark, d).withColumn("before", F.coalesce(F.lag("text").over(W.partitionBy("stream_id").orderBy("window_id")), F.lit("")))
+    tokens = lambda prior: T.token_estimate(F.concat(prior, "text"))
+    first, again = F.concat(F.lit("A "), "text"), F.concat(F.lit("B "), "text")
+    got = T.after_truncation(F.col("before"), first, tokens(F.col("before")), again, tokens(T.first_half(F.col("before"))), 160)
+    return w.select("stream_id", "window_id", got.alias("got")).select("stream_id", "window_id", "got.prior", "got.answer")
+
+
+@query(f"""with {TW} select stream_id, window_id // 4 as part, coalesce(string_agg(case when window_id % 3 = 1 then nullif(trim(substr(text, 1, 9)), '') else text end,
+' ' order by window_id) filter (window_id % 5 <> 4 and text <> ''), '') as text from tw group by 1, 2""")
+def segment_texts(spark, d):
+    """Four windows as the segments of one: texts that are null or empty leave no blank behind."""
+    short = F.when(F.col("window_id") % 3 == 1, F.trim(F.substring("text", 1, 9))).otherwise(F.col("text"))
+    w = A.transcription_windows(spark, d).withColumn("said", F.when(F.col("window_id") % 5 != 4, short))
+    parts = w.groupBy("stream_id", F.floor(F.col("window_id") / 4).alias("part")).agg(F.array_sort(F.collect_list(F.struct("window_id", "said"))).alias("segments"))
+    return parts.select("stream_id", "part", T.segments_text(F.col("segments"), "said").alias("text"))

@@ -1,6 +1,7 @@
 """Every query against its SQL, and the rules of single operators on hand-made rows."""
 
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -425,3 +426,37 @@ def test_windows_joins_and_actions_streamed(spark, tmp_path):
     base.write.parquet(src)
     both = lambda s: pipelines.rendezvous(s, pipelines.source(spark, src, base.schema).where("window_id % 3 = 0"))
     assert streamed(spark, tmp_path, [base.where("window_id < 60"), base.where("window_id >= 60")], both, "r").count() == 40
+
+
+def test_truncated_answers(spark):
+    """Whole answers, cut ones with a whole, a failed and a cut retry, and null contexts."""
+    rows = [("abcd", "one", 5, "two", 5), ("abcd", "one", 10, "two", 5), ("abcde", "one", 11, None, 5), ("abcd", "one", 10, "two", 10), ("abcd", "one", 10, "two", None), (None, "one", 10, "two", 9), ("abcd", "one", None, "two", 9)]
+    t = spark.createDataFrame(rows, "p string, a string, n long, b string, m long")
+    got = t.select(T.after_truncation(*(F.col(c) for c in "panbm"), 10).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [("abcd", "one"), ("ab", "two"), ("ab", ""), ("ab", ""), ("ab", ""), ("", "two"), ("abcd", "one")]
+
+
+def test_segments_text(spark):
+    t = spark.createDataFrame([([("a",), (None,), ("",), ("b c",), (" ",)],), ([],), (None,)], "s array<struct<text: string>>")
+    assert [r[0] for r in t.select(T.segments_text(F.col("s"))).collect()] == ["a b c  ", "", None]
+
+
+def test_diagnostics(spark):
+    """Each figure of a stream's diagnostics from its turns, in plain Python; nobody known and scores of zero included."""
+    rnd = random.Random(3)
+    rows = [(s, n, k, 0.0 if k < 0 else rnd.choice([0.0, round(rnd.random(), 3)]), -1 if k < 0 else k // 2) for s in (1, 2) for n in range(70) for k in [rnd.randrange(-1, 5)]]
+    rows += [(3, n, -1, 0.0, -1) for n in range(3)]
+    got = {r.stream_id: r for r in service_ops.diagnostics(spark.createDataFrame(rows, "stream_id long, turn_id long, speaker long, confidence double, final long"), {"threshold": 0.71}).collect()}
+    for s in (1, 2, 3):
+        known = [r for r in rows if r[0] == s and r[2] >= 0]
+        scores = np.array([r[3] for r in known if r[3]])
+        r, n = got[s], max(1, len({x[4] for x in known}))
+        assert (r.speakers, r.turns, r.samples, r.unknown) == (len({x[4] for x in known}), 70 if s < 3 else 3, len(known), sum(x[0] == s and x[2] < 0 for x in rows))
+        assert r.mean_samples == len(known) / n and r.merged == len({x[2] for x in known if x[2] != x[4]}) and r.timeline == [x[2] for x in known[-50:]]
+        assert r.low_confidence_rate == sum(x[3] < 0.65 for x in known) / max(1, len(known)) and r.config.threshold == 0.71
+        assert np.isclose(r.confidence, np.mean([x[3] for x in known[-20:]]) if known else 1.0)
+        if not known:
+            assert r.scores is None
+            continue
+        want = [len(scores), scores.mean(), scores.std(), scores.min(), scores.max(), *np.percentile(scores, [25, 50, 75])]
+        assert np.allclose(list(r.scores), want)
